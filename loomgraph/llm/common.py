@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,23 @@ def unit_hash(*parts: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words of the text; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Makes the session ready for Python workers.
+
+    Rows come to them in batches of at most so many, so that a worker's memory
+    has a bound; and the package is sent along once, so that they can import it
+    wherever they run.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    sc = spark.sparkContext
+    if getattr(sc, "loomgraph_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc.loomgraph_sent = True

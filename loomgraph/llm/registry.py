@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import mixing, quality_rules, sharding, url_filters
+from loomgraph.llm import decontamination, mixing, nbsvm, quality_rules, sharding, simple8b, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
         "op2_redirect_filter": url_filters.op2_redirect_filter,
+        "op3_simple8b_ids": simple8b.op3_simple8b_ids,
+        "op5_benchmark_leaks": decontamination.op5_benchmark_leaks,
+        "op7_nb_svm_quality": nbsvm.op7_nb_svm_quality,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
