@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontamination, mixing, nbsvm, quality_rules, sharding, simple8b, url_filters, wrappers
+from loomgraph.llm import decontamination, minhash, mixing, nbsvm, quality_rules, sharding, simple8b, suffix_family, url_filters, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,11 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_rendezvous_shards": sharding.op1_rendezvous_shards,
         "op2_redirect_filter": url_filters.op2_redirect_filter,
         "op3_simple8b_ids": simple8b.op3_simple8b_ids,
+        "op4_minhash_components": minhash.op4_minhash_components,
         "op5_benchmark_leaks": decontamination.op5_benchmark_leaks,
         "op6_wrapper_text": wrappers.op6_wrapper_text,
         "op7_nb_svm_quality": nbsvm.op7_nb_svm_quality,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_suffix_levels": suffix_family.op10_suffix_levels,
     }
 
 

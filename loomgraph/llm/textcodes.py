@@ -93,7 +93,8 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     counts = words.per_text()
     short = np.flatnonzero((counts > 0) & (counts < size))
     first = np.cumsum(counts) - counts
-    extra = np.array([sum((code[first[t] + j] * up_power(j) for j in range(counts[t])), np.uint64(0)) for t in short], np.uint64)
+    powers = np.array([up_power(j) for j in range(size)], np.uint64)
+    extra = np.array([(code[first[t] : first[t] + counts[t]] * powers[: counts[t]]).sum(dtype=np.uint64) for t in short], np.uint64)
     codes = np.concatenate([mix(out[whole]), mix(extra ^ np.uint64(0x5EED))]) if len(short) else mix(out[whole])
     of = np.concatenate([text[:n][whole], short]) if len(short) else text[:n][whole]
     return codes, of
