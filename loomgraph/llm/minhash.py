@@ -179,6 +179,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select("row_key", F.col("key_").alias(key), F.col("n").alias("n_shingles"), "class", component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of which one stays of each component; all columns of the input.
+
+    Rows that share a key are looked at one by one: of equal ones that stay,
+    the first that Spark meets is taken. Empty texts all stay.
+    """
+    row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
+    rows = written(near_duplicates(docs, key, text), "verdicts")
+    per_key = rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows_"), F.max("kept").alias("kept"))
+    unclear = written(per_key.where("rows_ > 1").select(F.col("row_key").alias("row_key_")), "unclear")
+    out_of_it = per_key.where("rows_ > 1 or not kept").select(F.col("row_key").alias("row_key_"))
+    plain = docs.join(_small(written(out_of_it, "dropped")), row_key == F.col("row_key_"), "left_anti")
+    some = sketched(docs.join(_small(unclear), row_key == F.col("row_key_")), text, "sketch_").withColumn("class_", F.col("sketch_.class"))
+    verdict = rows.where("kept").groupBy(F.col("row_key").alias("row_key_"), F.col("class").alias("class_")).agg(F.first("component_id").alias("component_"))
+    some = some.join(verdict, ["row_key_", "class_"])
+    empty = some.where("sketch_.n = 0").select(*docs.columns)
+    one = some.where("sketch_.n > 0").withColumn("group_", F.coalesce("component_", "row_key_")).dropDuplicates(["group_"]).select(*docs.columns)
+    return plain.unionByName(empty).unionByName(one)
+
+
 def op4_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under shingles of five words and a similarity of 0.75.
 
