@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.jobs import memory_jobs
+
 FLAGSHIP = "mem_hybrid_recall"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(memory_jobs.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(memory_jobs.ORACLES)
