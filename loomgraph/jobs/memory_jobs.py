@@ -32,7 +32,7 @@ def mem_fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mem_fulltext_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memory_search.fulltext_topk(memories(spark, sf_dir), ("one", "are"), LIMIT, AS_OF, words=T.stems(F.col("content")))
+    rows = memory_search.fulltext_topk(memories(spark, sf_dir), ("ere",), LIMIT, AS_OF, words=T.stems(F.col("content")))
     return rows.select("id", F.round("text_score", 6).alias("text_score"), "rank")
 
 
@@ -191,7 +191,7 @@ ORACLES = {
     "mem_semantic_topk": with_ctes(f"SELECT id, round(sim, 6) AS sim, rank::INTEGER AS rank FROM ({_sem(LIMIT, "(expires_at IS NULL OR expires_at > TIMESTAMP '2020-01-01')")})", "mem"),
     "mem_semantic_scoped": with_ctes(f"SELECT id, round(sim, 6) AS sim, rank::INTEGER AS rank FROM ({_sem(LIMIT, f"{_LIVE} AND project = 'src0'", 0.0)})", "mem"),
     "mem_fulltext_topk": with_ctes(f"SELECT id, round(text_score, 6) AS text_score, rank::INTEGER AS rank FROM ({_ft(LIMIT)})", "mem"),
-    "mem_fulltext_stemmed": with_ctes(f"SELECT id, round(text_score, 6) AS text_score, rank::INTEGER AS rank FROM ({_ft(LIMIT, ('one', 'are'), words=_STEMS)})", "mem"),
+    "mem_fulltext_stemmed": with_ctes(f"SELECT id, round(text_score, 6) AS text_score, rank::INTEGER AS rank FROM ({_ft(LIMIT, ('ere',), words=_STEMS)})", "mem"),
     "mem_rrf_fusion": with_ctes(f"WITH s AS ({_sem(20, _LIVE)}), f AS ({_ft(20)}) SELECT coalesce(s.id, f.id) AS id, round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + f.rank), 0), 9) AS rrf, CASE WHEN s.id IS NULL THEN 'fulltext' WHEN f.id IS NULL THEN 'semantic' ELSE 'hybrid' END AS match_type FROM s FULL JOIN f ON s.id = f.id", "mem"),
     "mem_hybrid_recall": _hybrid(LIMIT),
     "mem_hybrid_filtered": _hybrid(40, where="memory_type IN ('decision', 'pattern', 'guideline', 'incident') AND list_contains(tags, 'en')"),

@@ -9,13 +9,16 @@ so neither a file's length nor the number of files meets in one task's memory.
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A pattern that matches no line.
+NOTHING = r"(?!)()"
+
+
 class Language(NamedTuple):
     """Patterns (group 1 is the name) of one language."""
 
@@ -26,7 +29,7 @@ class Language(NamedTuple):
     fields: str
     comment: str
     indented: bool
-    methods: str = r"(?!)"
+    methods: str = NOTHING
 
 
 #: File extensions by language.
@@ -36,7 +39,7 @@ NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "def", "class",
 
 _TS = Language(
     r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:class|interface|type|enum)\s+([A-Za-z_$][\w$]*)",
-    r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)|^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)",
+    r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*|(?:const|let|var)\s+(?=[\w$]+\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)))([A-Za-z_$][\w$]*)",
     r"^\s*(?:import|export)\b[^'\"]*['\"]([^'\"]+)['\"]",
     r"\b(?:extends|implements)\s+([\w$.,\s]+?)\s*\{",
     r"^\s+(?:public\s+|private\s+|protected\s+|readonly\s+|static\s+)*([A-Za-z_$][\w$]*)\s*[?!]?\s*(?::[^=(){}]+)?(?:=[^>].*)?;\s*$",
@@ -46,30 +49,26 @@ _TS = Language(
 )
 
 LANGUAGES: dict[str, Language] = {
-    "python": Language(r"^\s*class\s+([A-Za-z_]\w*)", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", r"^\s*(?:from\s+([.\w]+)\s+import|import\s+([.\w]+))", r"^\s*class\s+[A-Za-z_]\w*\s*\(([^)]*)\)", r"^\s+([A-Za-z_]\w*)\s*(?::\s*[^=]+)?(?:=(?!=).*)?$", r"^\s*#", True),
+    "python": Language(r"^\s*class\s+([A-Za-z_]\w*)", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", r"^\s*(?:from|import)\s+([.\w]+)", r"^\s*class\s+[A-Za-z_]\w*\s*\(([^)]*)\)", r"^\s+([A-Za-z_]\w*)\s*(?::\s*[^=]+)?(?:=(?!=).*)?$", r"^\s*#", True),
     "typescript": _TS, "tsx": _TS, "javascript": _TS, "jsx": _TS,
     "rust": Language(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_]\w*)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", r"^\s*(?:pub\s+)?use\s+([\w:]+)", r"^\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+\w+", r"^\s+(?:pub(?:\([^)]*\))?\s+)?([a-z_]\w*)\s*:\s*[^:=][^=]*,\s*$", r"^\s*//", False),
     "go": Language(r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$", r"^\s+\*?([A-Z]\w*)\s*$", r"^\s+([A-Za-z_]\w*)\s+[\[\]*\w.]+(?:\s+`[^`]*`)?\s*$", r"^\s*//", False),
-    "java": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)", r"(?!)", r"^\s*import\s+(?:static\s+)?([\w.]+)", r"\b(?:extends|implements)\s+([\w.,\s<>]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*[A-Za-z_][\w<>\[\], ]*\s+([A-Za-z_]\w*)\s*(?:=[^=].*)?;\s*$", r"^\s*(?://|\*|/\*)", False, r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+)*(?:[A-Za-z_][\w<>\[\], .]*\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?\{"),
+    "java": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)", NOTHING, r"^\s*import\s+(?:static\s+)?([\w.]+)", r"\b(?:extends|implements)\s+([\w.,\s<>]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*[A-Za-z_][\w<>\[\], ]*\s+([A-Za-z_]\w*)\s*(?:=[^=].*)?;\s*$", r"^\s*(?://|\*|/\*)", False, r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+)*(?:[A-Za-z_][\w<>\[\], .]*\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?\{"),
     "kotlin": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|object)\s+([A-Za-z_]\w*)", r"^\s*(?:[a-z]+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*)", r"^\s*import\s+([\w.]+)", r"\b(?:class|object)\s+\w+[^:{]*:\s*([\w.,\s()]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*va[lr]\s+([A-Za-z_]\w*)", r"^\s*(?://|\*|/\*)", False),
     "ruby": Language(r"^\s*(?:class|module)\s+([A-Z]\w*(?:::\w+)*)", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", r"^\s*(?:class\s+[\w:]+\s*<|include|prepend|extend)\s*([A-Z][\w:]*)", r"^\s*attr_(?:reader|writer|accessor)\s+:(\w+)", r"^\s*#", True),
 }
 
 
-def _any(pattern_of, value_of) -> Column:
-    out = F.lit(None).cast("string")
-    for name, language in LANGUAGES.items():
-        out = F.when(F.col("language") == name, value_of(pattern_of(language))).otherwise(out)
-    return out
-
-
-def _first(pattern: str) -> Column:
-    found = [F.nullif(F.regexp_extract("line", pattern, i), F.lit("")) for i in range(1, _groups(pattern) + 1)]
-    return F.coalesce(*found, F.lit(None).cast("string"))
+def patterned(lines: DataFrame) -> DataFrame:
+    """Lines with the patterns of their language as columns; the table of patterns has a row per language."""
+    spark = lines.sparkSession
+    rows = [(name, *(language.indented if f == "indented" else getattr(language, f) for f in Language._fields)) for name, language in LANGUAGES.items()]
+    kinds = ", ".join(f"p_{f} {'boolean' if f == 'indented' else 'string'}" for f in Language._fields)
+    return lines.join(F.broadcast(spark.createDataFrame(rows, f"language string, {kinds}")), "language").where("not rlike(line, p_comment)")
 
 
-def _groups(pattern: str) -> int:
-    return re.compile(pattern).groups
+def _named(pattern: str) -> Column:
+    return F.nullif(F.expr(f"regexp_extract(line, p_{pattern}, 1)"), F.lit(""))
 
 
 def language_of(path: Column) -> Column:
@@ -94,11 +93,7 @@ def parsed_symbols(lines: DataFrame) -> DataFrame:
     enclosing definition is a class is a method. Fields are looked for directly
     in classes.
     """
-    code = ~_any(lambda x: x.comment, lambda p: F.col("line").rlike(p).cast("string")).cast("boolean")
-    level = F.when(F.col("language").isin(*[n for n, x in LANGUAGES.items() if x.indented]), F.col("indent")).otherwise(F.col("depth"))
-    rows = lines.withColumns({
-        "class_": _any(lambda x: x.classes, _first), "function_": F.coalesce(_any(lambda x: x.functions, _first), _any(lambda x: x.methods, _first)), "field_": _any(lambda x: x.fields, _first), "level": level, "code_": code,
-    }).where("code_ and trim(line) <> ''")
+    rows = patterned(lines.where("trim(line) <> ''")).select("file_path", "language", "line_no", "line", F.when(F.col("p_indented"), F.col("indent")).otherwise(F.col("depth")).alias("level"), _named("classes").alias("class_"), F.coalesce(_named("functions"), _named("methods")).alias("function_"), _named("fields").alias("field_"))
     rows = rows.withColumn("function_", F.when(~F.col("function_").isin(*NOT_CALLS), F.col("function_")))
     named = rows.where("class_ is not null or function_ is not null").select("file_path", "language", F.coalesce("class_", "function_").alias("name"), F.when(F.col("class_").isNotNull(), "class").otherwise("function").alias("kind"), "line_no", "level")
     last = rows.groupBy("file_path", "language").agg(F.max("line_no").alias("last_line"))
@@ -124,11 +119,11 @@ def parsed_relationships(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     elsewhere, 0.6 for a call on self or this. A call belongs to the innermost
     enclosing function, else to the file.
     """
-    code = lines.where(~_any(lambda x: x.comment, lambda p: F.col("line").rlike(p).cast("string")).cast("boolean"))
+    code = patterned(lines).select("file_path", "line_no", "line", _named("imports").alias("import_"), _named("inherits").alias("bases_"))
     here = symbols.where("kind <> 'file'").select("file_path", F.col("name").alias("target"), F.lit(1).alias("local_")).distinct()
     defines = symbols.where("kind <> 'file'").select("file_path", F.coalesce("parent", "file_path").alias("source"), F.col("name").alias("target"), F.lit("defines").alias("rel_type"), F.lit(1.0).alias("confidence"))
-    imports = code.withColumn("target", _any(lambda x: x.imports, _first)).where("target is not null").select("file_path", F.col("file_path").alias("source"), "target", F.lit("imports").alias("rel_type"), F.lit(0.3).alias("confidence"))
-    bases = code.withColumns({"bases_": _any(lambda x: x.inherits, _first)}).where("bases_ is not null").select("file_path", "line_no", F.explode(F.split("bases_", r"\s*,\s*|\s+implements\s+")).alias("base_"))
+    imports = code.where("import_ is not null").select("file_path", F.col("file_path").alias("source"), F.col("import_").alias("target"), F.lit("imports").alias("rel_type"), F.lit(0.3).alias("confidence"))
+    bases = code.where("bases_ is not null").select("file_path", "line_no", F.explode(F.split("bases_", r"\s*,\s*|\s+implements\s+")).alias("base_"))
     bases = bases.select("file_path", F.col("line_no").alias("line"), F.regexp_extract("base_", r"^\s*([\w$.:]+)", 1).alias("target")).where("target <> '' and target <> 'object'")
     spans = symbols.where("kind in ('class', 'function', 'method')").select("file_path", "name", "kind", "start_line", "end_line")
     owner = lambda rows, kinds: rows.join(spans.where(F.col("kind").isin(*kinds)), "file_path").where(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("file_path", "line", "target").agg(F.max(F.struct("start_line", "name")).alias("o"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,7 +45,7 @@ def follow(changes: DataFrame, folder: str, checkpoint: str, path: str = "path",
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def state_of(query: StreamingQuery, folder: str) -> DataFrame:
+def state_of(spark: SparkSession, query: StreamingQuery, folder: str) -> DataFrame:
     """The state after the query's last micro-batch."""
     last = query.lastProgress["batchId"]
-    return query.sparkSession.read.parquet(f"{folder}/v={last}")
+    return spark.read.parquet(f"{folder}/v={last}")
