@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bounded_batches, table
-from loomgraph.llm.textcodes import mix
 
 Q = 8
 #: Edits allowed per character of an item.
@@ -32,6 +31,8 @@ LEAST = 32
 BLOCK_CHARS = 4_000_000
 SLICE_CHARS = 1_000_000
 TABLE_BITS = 22
+_FACTORS = {j: np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64)) for j in (1, 2, 4)}
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 HITS = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
 
 
@@ -45,12 +46,11 @@ def codes(text: str) -> np.ndarray:
 
 
 def grams(chars: np.ndarray) -> np.ndarray:
-    """64-bit hash of the q-gram at each place."""
-    n = max(0, len(chars) - Q + 1)
-    h = np.zeros(n, np.uint64)
-    for j in range(Q):
-        h = h * np.uint64(0x100000001B3) + chars[j : j + n]
-    return mix(h)
+    """64-bit hash of the q-gram at each place: pairs, then fours, then eights of characters."""
+    h = chars.astype(np.uint64)
+    for j in (1, 2, 4):
+        h = h[:-j] * _FACTORS[j] + h[j:] if len(h) > j else h[:0]
+    return h * _SPREAD
 
 
 @dataclass
@@ -66,6 +66,8 @@ class Index:
     piece: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
+    window: int  # places in which some window of every hit has at least `seed` shared q-grams
+    seed: int
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index:
@@ -87,33 +89,49 @@ class Index:
         gram, first = np.unique(all_grams[order], return_index=True)
         maybe = np.zeros(1 << TABLE_BITS, bool)
         maybe[(gram >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        return cls(np.array(item, np.int64), chars, edits, size - Q + 1 - edits * Q, gram, np.append(first, len(all_grams)), piece[order], place[order], maybe)
+        bound = size - Q + 1 - edits * Q
+        # A hit's q-grams lie in size + edits places; of as many windows as cover these, one has its share.
+        window = int((size + edits).min()) if len(size) else 1
+        seed = int((-(-bound // -(-(size + edits) // window))).min()) if len(size) else 1
+        return cls(np.array(item, np.int64), chars, edits, bound, gram, np.append(first, len(all_grams)), piece[order], place[order], maybe, window, max(1, seed))
 
     def search(self, chars: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Hits (text, item, distance, start, end) in a run of texts; `text` has each character's text, -1 between texts."""
         g = grams(chars)
-        inside = text[: len(g)] == text[len(chars) - len(g) :] if len(g) else np.zeros(0, bool)
-        at = np.flatnonzero(self.maybe[(g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] & inside)
+        if not len(g) or not self.chars:
+            return []
+        shared = self.maybe[(g >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+        sums = np.zeros(len(g) + 1 + self.window, np.int32)
+        np.cumsum(shared, out=sums[1 : len(g) + 1])
+        sums[len(g) + 1 :] = sums[len(g)]
+        seeds = np.flatnonzero(sums[self.window :] - sums[: len(g) + 1] >= self.seed)
+        if not len(seeds):
+            return []
+        # Only places in reach of a window that is full enough can belong to a hit.
+        reach = max(len(c) for c in self.chars) + int(self.edits.max())
+        cut = np.flatnonzero(np.diff(seeds) > 2 * reach + self.window)
+        low, high = seeds[np.append(0, cut + 1)] - reach, seeds[np.append(cut, len(seeds) - 1)] + self.window + reach
+        at = np.concatenate([np.flatnonzero(shared[max(0, a) : b]) + max(0, a) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        at = at[text[at] == text[at + Q - 1]]
         k = np.searchsorted(self.gram, g[at])
         good = k < len(self.gram)
         good[good] = self.gram[k[good]] == g[at[good]]
         at, k = at[good], k[good]
         if not len(at):
             return []
-        # No piece can be found where fewer places in reach have any shared q-gram than the least bound asks for.
-        reach = int(max(len(c) for c in self.chars) + self.edits.max())
-        share = float(np.min(self.bound / (np.array([len(c) for c in self.chars]) + self.edits)))
-        least = int(self.bound.min())
-        near = np.searchsorted(at, at + reach) - np.searchsorted(at, at - reach)
-        dense = near >= least
-        at, k = at[dense], k[dense]
-        if not len(at) or share <= 0:
-            return []
         per = self.first[k + 1] - self.first[k]
         posting = np.repeat(self.first[k] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
         piece, spot = self.piece[posting], np.repeat(at, per)
         diagonal = spot - self.place[posting]
         width = self.edits[piece] + 1
+        # Where a piece shares all its q-grams on one diagonal, it is there unedited.
+        line, full = np.unique(piece * np.int64(1 << 32) + diagonal + (1 << 20), return_counts=True)
+        sizes = np.array([len(c) for c in self.chars])
+        exact: dict[int, list[int]] = {}
+        for x in line[full >= sizes[line >> 32] - Q + 1].tolist():
+            p, start = x >> 32, (x & ((1 << 32) - 1)) - (1 << 20)
+            if start >= 0 and np.array_equal(chars[start : start + sizes[p]], self.chars[p]):
+                exact.setdefault(p, []).append(start)
         bands = np.concatenate([diagonal // width, diagonal // width - 1])
         key = np.concatenate([piece, piece]) * np.int64(1 << 32) + bands + (1 << 20)
         key, counts = np.unique(key, return_counts=True)
@@ -123,7 +141,8 @@ class Index:
         for p, b in zip(piece[enough].tolist(), ((key[enough] & ((1 << 32) - 1)) - (1 << 20)).tolist(), strict=True):
             k_, c = int(self.edits[p]), self.chars[p]
             lo = b * (k_ + 1) - k_
-            found = aligned(c, chars, lo, 4 * k_ + 2, k_)
+            same = next((x for x in exact.get(p, ()) if lo <= x <= lo + 4 * k_ + 2), None)
+            found = aligned(c, chars, lo, 4 * k_ + 2, k_) if same is None else (0, same, same + len(c))
             if found is None:
                 continue
             distance, start, end = found
