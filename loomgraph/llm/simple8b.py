@@ -17,6 +17,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,12 @@ BLOCK = 1024
 ROW_IDS = 1 << 18
 END_ID = 2
 FILE_SCHEMA = "part int, row long, start_in_part long, doc_ids array<long>, n_tokens array<long>, n_ids long, words binary, block_offsets array<int>, raw_at array<int>"
-#: Pieces whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
-#: A space between two other characters always starts a new piece of byte-level BPE.
+#: Pieces whose ids a worker process remembers before it starts anew.
+REMEMBERED = 1_000_000
+#: A space between two other characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Never in a text that is cut by it.
+MARK = "\0"
 #: Bits of each number below 2^16.
 _SMALL = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 
@@ -119,8 +123,22 @@ def unpack(words: np.ndarray, block_offsets: np.ndarray, raw_at: np.ndarray, n:
     return out.reshape(len(first), BLOCK + 60)[:, :BLOCK].reshape(-1)[:n]
 
 
+def pieces(text: str) -> list[str]:
+    """Cuts a text where byte-level BPE with the usual letter, number, other and space pattern always starts a new piece.
+
+    That is before a space between two other characters; and around line feeds
+    in a text whose white space is single spaces and line feeds inside.
+    """
+    if MARK in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        return CUT.split(text) if text else []
+    return text.replace(" ", MARK + " ").replace("\n", f"{MARK}\n{MARK}").split(MARK)
+
+
 class PieceCoder:
-    """Encodes texts with a `tokenizers` file; pieces met before keep their ids."""
+    """Encodes texts with a `tokenizers` file; pieces met before keep their ids.
+
+    At most REMEMBERED pieces are kept in mind, which bounds the memory.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -134,46 +152,80 @@ class PieceCoder:
         self.ids, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def learn(self, pieces: list[str]) -> None:
-        # Pieces that start with a space are encoded as one text: between two of them no token can reach.
-        pieces = [p for p in pieces if p[0] != " "] + [p for p in pieces if p[0] == " "]
-        alone = sum(p[0] != " " for p in pieces)
-        found = [self.coder.encode(p, add_special_tokens=False).ids for p in pieces[:alone]]
-        sizes, flat = [np.fromiter(map(len, found), np.int64, alone)], [i for x in found for i in x]
-        for lo in range(alone, len(pieces), 4096):
-            some = pieces[lo : lo + 4096]
-            e = self.coder.encode("".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *map(len, some)])
-            of = np.searchsorted(starts, np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids)), "right") - 1
-            sizes.append(np.bincount(of, minlength=len(some)))
-            flat += e.ids
-        sizes = np.concatenate(sizes)
-        k, new = len(self.known), len(flat)
-        for name, top in (("ids", self.used + new), ("first", k + len(pieces)), ("size", k + len(pieces))):
+    def learn(self, new: list[str]) -> None:
+        """Adds unknown pieces. A letter and a full stop or comma at the end are always apart, so such pieces are put together."""
+        ended = [p for p in new if p[-1] in ".," and p[-2:-1].isalpha()]
+        rest = dict.fromkeys(p for p in new if not (p[-1] in ".," and p[-2:-1].isalpha()))
+        rest.update(dict.fromkeys(q for p in ended for q in (p[:-1], p[-1])))
+        self._encode([p for p in rest if p not in self.known])
+        if ended:
+            codes = np.fromiter((self.known[q] for p in ended for q in (p[:-1], p[-1])), np.int64, 2 * len(ended))
+            self._keep(ended, self._ids(codes), self.size[codes].reshape(-1, 2).sum(axis=1))
+
+    def _ids(self, codes: np.ndarray) -> np.ndarray:
+        size = self.size[codes]
+        return self.ids[np.repeat(self.first[codes] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+    def _keep(self, order: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        k, more = len(self.known), len(flat)
+        for name, top in (("ids", self.used + more), ("first", k + len(order)), ("size", k + len(order))):
             old = getattr(self, name)
             if top > len(old):
                 setattr(self, name, np.concatenate([old, np.zeros(max(len(old), top - len(old)), old.dtype)]))
-        self.ids[self.used : self.used + new] = flat
-        self.first[k : k + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.size[k : k + len(pieces)] = sizes
-        self.used += new
-        self.known.update(zip(pieces, range(k, k + len(pieces)), strict=True))
+        self.ids[self.used : self.used + more] = flat
+        self.first[k : k + len(order)] = self.used + np.cumsum(size) - size
+        self.size[k : k + len(order)] = size
+        self.used += more
+        self.known.update(zip(order, range(k, k + len(order)), strict=True))
+
+    def _encode(self, new: list[str]) -> None:
+        # Many pieces are encoded as one text: pieces that start with a space as they are, the others with line feeds between.
+        # Pieces with other white space at an end are encoded alone.
+        odd = [p for p in new if p[-1].isspace() or p[0].isspace() and (p[0] != " " or p[1:2].isspace())]
+        alone = set(odd)
+        spaced, plain = [p for p in new if p[0] == " " and p not in alone], [p for p in new if p[0] != " " and p not in alone]
+        flat: list[int] = []
+        sizes = []
+        for p in odd:
+            found = self.coder.encode(p, add_special_tokens=False).ids
+            flat += found
+            sizes.append([len(found)])
+        for group, gap in ((spaced, ""), (plain, "\n")):
+            for lo in range(0, len(group), 4096):
+                some = group[lo : lo + 4096]
+                e = self.coder.encode(gap.join(some), add_special_tokens=False)
+                starts = np.cumsum([0, *(len(p) + len(gap) for p in some)])
+                at = np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids))
+                of = np.searchsorted(starts, at, "right") - 1
+                ids = np.array(e.ids, np.int64)
+                if gap:
+                    inside = at < starts[of + 1] - 1
+                    ids, of = ids[inside], of[inside]
+                sizes.append(np.bincount(of, minlength=len(some)))
+                flat += ids.tolist()
+        if new:
+            self._keep([*odd, *spaced, *plain], np.array(flat, np.int64), np.concatenate(sizes).astype(np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of each text's ids."""
-        cut = [CUT.split(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.clear()
-        if new := list(dict.fromkeys(p for x in cut for p in x if p not in self.known)):
-            self.learn(new)
-        per = np.fromiter(map(len, cut), np.int64, len(cut))
-        codes = np.fromiter((self.known[p] for x in cut for p in x), np.int64, int(per.sum()))
+        cut: list[str] = []
+        per = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            found = pieces(t)
+            per[i] = len(found)
+            cut += found
+        codes = np.fromiter(map(self.known.get, cut, repeat(-1)), np.int64, len(cut))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            self.learn(list(dict.fromkeys(cut[i] for i in missing)))
+            codes[missing] = [self.known[cut[i]] for i in missing]
         size = self.size[codes]
-        text = np.repeat(np.arange(len(cut)), per)
-        counts = np.bincount(text, weights=size, minlength=len(cut)).astype(np.int64) + 1
-        total = int(size.sum())
-        plain = self.ids[np.repeat(self.first[codes] - (np.cumsum(size) - size), size) + np.arange(total)]
-        out = np.empty(total + len(cut), np.uint32)
+        text = np.repeat(np.arange(len(texts)), per)
+        counts = np.bincount(text, weights=size, minlength=len(texts)).astype(np.int64) + 1
+        plain = self._ids(codes)
+        out = np.empty(len(plain) + len(texts), np.uint32)
         ends = np.cumsum(counts) - 1
         inner = np.ones(len(out), bool)
         inner[ends] = False
@@ -181,9 +233,14 @@ class PieceCoder:
         return out, counts
 
 
+@lru_cache(maxsize=1)
+def coder(path: str) -> PieceCoder:
+    """The worker process's coder: what one task has met, the next ones know."""
+    return PieceCoder(path)
+
+
 def _file_rows(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[pa.RecordBatch]:
     part, start, row = TaskContext.get().partitionId(), 0, 0
-    coder = PieceCoder(tokenizer_path)
     held: tuple[list, list, list] = ([], [], [])
 
     def close() -> pa.RecordBatch:
@@ -199,7 +256,7 @@ def _file_rows(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterat
         for lo in range(0, batch.num_rows, 256):
             some = batch.slice(lo, 256)
             keys, texts = some.column("doc_id").to_pylist(), some.column("text").fill_null("").to_pylist()
-            ids, counts = coder.encode(texts)
+            ids, counts = coder(tokenizer_path).encode(texts)
             ends = np.cumsum(counts)
             for i, key in enumerate(keys):
                 held[0].append(key)
