@@ -11,9 +11,10 @@ At a similarity of 0.75, a pair misses all keys with a probability below
 2 in a million, and the more alike, the less.
 
 Groups of copies don't make pairs: equal sets are one class from the start. In
-a bucket of equal keys, each class is first compared with the smallest class
-only; then classes of one bucket are compared with one another if they are not
-yet in one component, which leaves nothing to do in groups of near copies.
+a bucket of equal keys, each class is first compared with one centre only, the
+class that meets the most others; then classes of one bucket are compared with one another if they are not
+yet in one component, which leaves little to do in groups of near copies. Of
+these, only pairs whose signatures and bitmaps allow a link are looked up.
 """
 
 from __future__ import annotations
@@ -38,8 +39,12 @@ VALUES = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
 #: Ids up to which a table of them is broadcast; beyond it the join is left to Spark.
 BROADCAST_IDS = 500_000
-SKETCH = "struct<n:bigint,class:bigint,signature:array<smallint>>"
-SKETCH_TYPE = pa.struct([("n", pa.int64()), ("class", pa.int64()), ("signature", pa.list_(pa.int16()))])
+#: Classes of a bucket that are compared at once; larger buckets are dealt to blocks, and each two blocks meet.
+BLOCK = 2000
+#: Bits of a set's bitmap, on which each shingle sets one; they bound what two sets can share.
+BITMAP = 1024
+SKETCH = "struct<n:bigint,class:bigint,signature:array<smallint>,bitmap:array<bigint>>"
+SKETCH_TYPE = pa.struct([("n", pa.int64()), ("class", pa.int64()), ("signature", pa.list_(pa.int16())), ("bitmap", pa.list_(pa.int64()))])
 _FACTORS = mix(np.arange(1000, 1000 + VALUES, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -62,7 +67,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for array in batches:
         data, at = texts(array)
-        n_all, class_all, signatures = [], [], []
+        n_all, class_all, signatures, bitmaps = [], [], [], []
         for lo, hi in slices(at):
             code, n = shingle_sets(data, at[lo : hi + 1])
             some = np.flatnonzero(n)
@@ -72,13 +77,18 @@ def _sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 sums[some] = mix(np.add.reduceat(mix(code ^ np.uint64(0xC1A55)), first) + n[some].astype(np.uint64))
                 for j, f in enumerate(_FACTORS):
                     values[some, j] = np.minimum.reduceat(code * f, first)
+            bits = np.zeros((len(n), BITMAP), np.uint8)
+            bits[np.repeat(np.arange(len(n)), n), (mix(code ^ np.uint64(0xB175)) % np.uint64(BITMAP)).astype(np.int64)] = 1
+            bitmaps.append(np.packbits(bits, axis=1).view(np.int64))
             n_all.append(n)
             class_all.append(sums.view(np.int64))
             signatures.append((mix(values) >> np.uint64(48)).astype(np.uint16).view(np.int16))
         size = sum(map(len, n_all))
-        flat = np.concatenate(signatures).ravel() if signatures else np.zeros(0, np.int16)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * VALUES, pa.int32()), pa.array(flat))
-        yield pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (n_all, class_all)] + [lists], fields=list(SKETCH_TYPE))
+        lists = []
+        for parts, width, kind in ((signatures, VALUES, np.int16), (bitmaps, BITMAP // 64, np.int64)):
+            flat = np.concatenate(parts).ravel() if parts else np.zeros(0, kind)
+            lists.append(pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * width, pa.int32()), pa.array(flat)))
+        yield pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (n_all, class_all)] + lists, fields=list(SKETCH_TYPE))
 
 
 def _linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -98,6 +108,60 @@ def _linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(out, pa.bool_())
 
 
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of a bucket's rows, ordered by bucket, of different components and blocks that may be similar enough."""
+    numbers = ("key", "lo", "hi", "block", "place", "class", "component", "n")
+    held: list[np.ndarray] | None = None
+
+    def compared(g: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        block, place, name, component, n, signature, bitmap = g[3:]
+        bitmap = bitmap.view(np.uint64)  # counts of signed numbers would be of their absolute values
+        across, found = g[1][0] != g[2][0], []
+        for at in range(0, len(name), 64):
+            x = slice(at, at + 64)
+            good = component[x, None] < component[None, :]
+            if across:
+                good &= block[x, None] != block[None, :]
+            # A bit that one set has and the other lacks is a shingle that they don't share.
+            shared = bitmap[x, None, :] & bitmap[None, :, :]
+            both = np.bitwise_count(shared).sum(axis=2, dtype=np.int64)
+            bits = np.bitwise_count(bitmap).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[x, None] - (bits[x, None] - both), n[None, :] - (bits[None, :] - both))
+            good &= 100 * most >= SIMILAR * (n[x, None] + n[None, :] - most)
+            i, j = np.nonzero(good)
+            same = signature[i + at] == signature[j]
+            # Of all keys that a pair shares, only the first one reports it.
+            chunks = same.reshape(-1, CHUNKS, CHUNK)
+            first = (chunks.sum(axis=2) >= CHUNK - 1).argmax(axis=1)
+            here = first * CHUNK + (~chunks[np.arange(len(i)), first]).argmax(axis=1)
+            near = (VALUES - same.sum(axis=1) <= DISTANCE) & (here == place[j])
+            found.append((name[i[near] + at], name[j[near]]))
+        return tuple(np.concatenate([f[c] for f in found]) for c in range(2))
+
+    for batch in _and_end(batches):
+        if batch is None:
+            groups = [held] if held is not None else []
+        else:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in numbers]
+            rows += [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, w) for c, w in (("signature", VALUES), ("bitmap", BITMAP // 64))]
+            if held is not None:
+                rows = [np.concatenate(p) for p in zip(held, rows, strict=True)]
+            new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
+            ends = [0, *new.tolist()]
+            groups = [[r[s:e] for r in rows] for s, e in zip(ends, ends[1:], strict=False)]
+            held = [r[ends[-1] :] for r in rows]
+        parts = [compared(g) for g in groups if len(g[0]) > 1]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[c] for p in parts]), pa.int64()) for c in range(2)], names=["a", "b"])
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    for batch in batches:
+        if batch.num_rows:
+            yield batch
+    yield None
+
+
 def sketched(docs: DataFrame, text: str = "text", out: str = "sketch") -> DataFrame:
     """Adds a struct: n (size of the shingle set), class (64-bit hash of the set), signature."""
     bounded_batches(docs.sparkSession)
@@ -121,11 +185,11 @@ def _small(df: DataFrame) -> DataFrame:
 def class_links(docs: DataFrame, key: str, text: str, sketches: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes of different sets, enough of them to give the components.
 
-    `sketches` has the columns row_key, n, class and signature of the docs.
+    `sketches` has the columns row_key, n, class, signature and bitmap of the docs.
     """
-    classes = written(sketches.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
-    keys = classes.select("class", F.explode(bucket_keys(F.col("signature"))).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "low")
+    classes = written(sketches.where("n > 0").groupBy("class").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bitmap").alias("bitmap")), "classes")
+    keys = classes.select("class", F.posexplode(bucket_keys(F.col("signature"))).alias("place", "key"))
+    shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
     members = written(keys.join(shared, "key"), "members")
     met = members.select("class").distinct().join(classes.select("class", "row_key"), "class")
     wanted = _small(written(met, "met").withColumnRenamed("class", "class_"))
@@ -140,17 +204,20 @@ def class_links(docs: DataFrame, key: str, text: str, sketches: DataFrame) -> Da
         both = with_left.join(known.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
         return both.where(F.arrow_udf("boolean")(_linked)("text_a", "text_b")).select("a", "b")
 
-    stars = members.where("class <> low").groupBy("class").agg(F.min("low").alias("low")).select(F.col("low").alias("a"), F.col("class").alias("b"))
+    # The class that meets the most others, such as the text from which near copies stem, is the centre of its buckets.
+    met_most = members.groupBy("class").agg(F.sum("size").alias("meets"))
+    ranked = members.join(met_most, "class")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("meets", "class")).alias("centre"))
+    stars = ranked.select("key", "class").join(centres, "key").where("class <> centre.class").groupBy("class").agg(F.max("centre").alias("centre"))
+    stars = stars.select(F.col("centre.class").alias("a"), F.col("class").alias("b"))
     links = written(confirmed(stars), "stars")
     joined = components(links, "a", "b")
-    placed = members.join(joined.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+    placed = members.join(joined.withColumnRenamed("node", "class"), "class", "left").select("key", "place", "class", F.coalesce("component", "class").alias("component"))
     placed = written(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
-    left = placed.join(open_, "key").join(classes.select("class", "n", "signature"), "class")
-    a, b = left.alias("a"), left.alias("b")
-    differing = F.aggregate(F.zip_with("a.signature", "b.signature", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = (F.col("a.component") < F.col("b.component")) & (100 * F.least("a.n", "b.n") >= SIMILAR * F.greatest("a.n", "b.n")) & (differing <= DISTANCE)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    open_ = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("size")).where("l < h").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    left = placed.join(open_, "key").join(classes.select("class", "n", "signature", "bitmap"), "class").withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "place", "class", "component", "n", "signature", "bitmap")
+    pairs = left.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_near_pairs, "a long, b long").distinct()
     more = written(confirmed(written(pairs, "pairs")), "links")
     return links.unionByName(more)
 
@@ -166,7 +233,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
     rows = sketched(docs.select(F.col(key).alias("key_"), row_key.alias("row_key"), F.col(text).alias("text")))
-    rows = written(rows.select("key_", "row_key", F.col("sketch.n").alias("n"), F.col("sketch.class").alias("class"), F.col("sketch.signature").alias("signature")), "sketches")
+    rows = written(rows.select("key_", "row_key", F.col("sketch.n").alias("n"), F.col("sketch.class").alias("class"), F.col("sketch.signature").alias("signature"), F.col("sketch.bitmap").alias("bitmap")), "sketches")
     links = class_links(docs, key, text, rows)
     found = components(links, "a", "b").withColumnRenamed("node", "class")
     least = rows.where("n > 0").groupBy("class").agg(F.min("key_").alias("least"))
