@@ -21,7 +21,7 @@ from loomgraph.llm.common import bounded_batches, table
 from loomgraph.llm.textcodes import Words, mix, slices, texts
 
 #: Labelled rows that the fit uses at most; those of the smallest id hashes.
-FIT_ROWS = 8000
+FIT_ROWS = 4000
 #: Bits of a hashed n-gram.
 BITS = 20
 SMOOTHING = 1.0
@@ -126,7 +126,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     scaled = []
     for r in rows:
         v = ratio[r]
-        scaled.append(v / max(float(np.sqrt(v @ v)), 1e-9))
+        scaled.append((v / max(float(np.sqrt(v @ v)), 1e-9)).astype(np.float32))
     sign, rng = np.where(labels == 1, 1.0, -1.0), np.random.default_rng(SEED)
     fold, out = np.arange(len(rows)) % FOLDS, np.zeros(len(rows))
     for f in range(FOLDS):
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
             yield pa.RecordBatch.from_arrays([batch.column("k_").cast(pa.string()), batch.column("y_"), pa.array(found, pa.list_(pa.int32()))], names=["k", "y", "grams"])
 
     sample = joined.mapInArrow(rows, "k string, y int, grams array<int>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")]).slice(0, FIT_ROWS)
-    return fit([np.array(g.values if g.values is not None else [], np.int64) for g in sample.column("grams")], sample.column("y").to_numpy())
+    return fit([np.array(g.values if g.values is not None else [], np.int32) for g in sample.column("grams")], sample.column("y").to_numpy())
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
