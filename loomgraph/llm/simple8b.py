@@ -41,8 +41,6 @@ FILE_SCHEMA = "part int, row long, start_in_part long, doc_ids array<long>, n_to
 REMEMBERED = 1_000_000
 #: A space between two other characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Never in a text that is cut by it.
-MARK = "\0"
 #: Bits of each number below 2^16.
 _SMALL = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 
@@ -126,12 +124,25 @@ def unpack(words: np.ndarray, block_offsets: np.ndarray, raw_at: np.ndarray, n:
 def pieces(text: str) -> list[str]:
     """Cuts a text where byte-level BPE with the usual letter, number, other and space pattern always starts a new piece.
 
-    That is before a space between two other characters; and around line feeds
-    in a text whose white space is single spaces and line feeds inside.
+    That is before a space between two other characters; and before line feeds
+    in a text whose white space is single spaces and line feeds inside. A piece
+    that starts with a space comes without it; the text's start comes with one
+    more.
     """
-    if MARK in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-        return CUT.split(text) if text else []
-    return text.replace(" ", MARK + " ").replace("\n", f"{MARK}\n{MARK}").split(MARK)
+    if not text:
+        return []
+    out: list[str] = []
+    starts = []
+    for line in text.split("\n"):
+        starts.append(len(out))
+        out += line.split(" ")
+    if out == text.split():
+        for at in starts:
+            out[at] = "\n" + out[at]
+        out[0] = " " + out[0][1:]
+        return out
+    first, *rest = CUT.split(text)
+    return [" " + first, *(p[1:] for p in rest)]
 
 
 class PieceCoder:
@@ -154,12 +165,13 @@ class PieceCoder:
 
     def learn(self, new: list[str]) -> None:
         """Adds unknown pieces. A letter and a full stop or comma at the end are always apart, so such pieces are put together."""
-        ended = [p for p in new if p[-1] in ".," and p[-2:-1].isalpha()]
-        rest = dict.fromkeys(p for p in new if not (p[-1] in ".," and p[-2:-1].isalpha()))
-        rest.update(dict.fromkeys(q for p in ended for q in (p[:-1], p[-1])))
+        ended = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()]
+        ends = set(ended)
+        rest = dict.fromkeys(p for p in new if p not in ends)
+        rest.update(dict.fromkeys(q for p in ended for q in (p[:-1], " " + p[-1])))
         self._encode([p for p in rest if p not in self.known])
         if ended:
-            codes = np.fromiter((self.known[q] for p in ended for q in (p[:-1], p[-1])), np.int64, 2 * len(ended))
+            codes = np.fromiter((self.known[q] for p in ended for q in (p[:-1], " " + p[-1])), np.int64, 2 * len(ended))
             self._keep(ended, self._ids(codes), self.size[codes].reshape(-1, 2).sum(axis=1))
 
     def _ids(self, codes: np.ndarray) -> np.ndarray:
@@ -179,32 +191,25 @@ class PieceCoder:
         self.known.update(zip(order, range(k, k + len(order)), strict=True))
 
     def _encode(self, new: list[str]) -> None:
-        # Many pieces are encoded as one text: pieces that start with a space as they are, the others with line feeds between.
-        # Pieces with other white space at an end are encoded alone.
-        odd = [p for p in new if p[-1].isspace() or p[0].isspace() and (p[0] != " " or p[1:2].isspace())]
-        alone = set(odd)
-        spaced, plain = [p for p in new if p[0] == " " and p not in alone], [p for p in new if p[0] != " " and p not in alone]
+        # The start of a text, and a piece that ends with white space, is encoded alone; the others many at once.
+        alone = [p for p in new if p[0] == " " or p[-1].isspace()]
+        apart = set(alone)
+        many = [p for p in new if p not in apart]
         flat: list[int] = []
         sizes = []
-        for p in odd:
-            found = self.coder.encode(p, add_special_tokens=False).ids
+        for p in alone:
+            found = self.coder.encode(p[1:] if p[0] == " " else p if p[0] == "\n" else " " + p, add_special_tokens=False).ids
             flat += found
             sizes.append([len(found)])
-        for group, gap in ((spaced, ""), (plain, "\n")):
-            for lo in range(0, len(group), 4096):
-                some = group[lo : lo + 4096]
-                e = self.coder.encode(gap.join(some), add_special_tokens=False)
-                starts = np.cumsum([0, *(len(p) + len(gap) for p in some)])
-                at = np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids))
-                of = np.searchsorted(starts, at, "right") - 1
-                ids = np.array(e.ids, np.int64)
-                if gap:
-                    inside = at < starts[of + 1] - 1
-                    ids, of = ids[inside], of[inside]
-                sizes.append(np.bincount(of, minlength=len(some)))
-                flat += ids.tolist()
+        for lo in range(0, len(many), 4096):
+            some = [p if p[0] == "\n" else " " + p for p in many[lo : lo + 4096]]
+            e = self.coder.encode("".join(some), add_special_tokens=False)
+            starts = np.cumsum([0, *map(len, some)])
+            of = np.searchsorted(starts, np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids)), "right") - 1
+            sizes.append(np.bincount(of, minlength=len(some)))
+            flat += e.ids
         if new:
-            self._keep([*odd, *spaced, *plain], np.array(flat, np.int64), np.concatenate(sizes).astype(np.int64))
+            self._keep([*alone, *many], np.array(flat, np.int64), np.concatenate(sizes).astype(np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of each text's ids."""
