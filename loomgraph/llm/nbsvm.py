@@ -30,6 +30,8 @@ EPOCHS = 12
 FOLDS = 3
 THRESHOLD = 0.3
 SEED = 7
+#: A model as a row; the arrays are 32-bit floats.
+MODEL = "weights binary, ratio binary, bias double, slope double, shift double"
 
 
 @dataclass
@@ -121,12 +123,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     if not good or good == len(labels):
         p = min(max((good + 0.5) / (len(labels) + 1.0), 1e-3), 1 - 1e-3)
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
-    count = {c: np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == c]), minlength=size) + SMOOTHING for c in (0, 1)}
-    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
-    scaled = []
-    for r in rows:
+    ratio = np.zeros(size)
+    for c, way in ((1, 1.0), (0, -1.0)):
+        count = np.full(size, SMOOTHING)
+        for i in np.flatnonzero((labels == 1) == c):
+            count[rows[i]] += 1.0  # the n-grams of a row are distinct
+        count /= count.sum()
+        ratio += way * np.log(count, out=count)
+    # One array for all rows: thousands of small ones would leave the driver's memory in pieces.
+    ends = np.cumsum([len(r) for r in rows])
+    scaled = np.split(np.zeros(ends[-1], np.float32), ends[:-1])
+    for r, s in zip(rows, scaled, strict=True):
         v = ratio[r]
-        scaled.append((v / max(float(np.sqrt(v @ v)), 1e-9)).astype(np.float32))
+        s[:] = v / max(float(np.sqrt(v @ v)), 1e-9)
     sign, rng = np.where(labels == 1, 1.0, -1.0), np.random.default_rng(SEED)
     fold, out = np.arange(len(rows)) % FOLDS, np.zeros(len(rows))
     for f in range(FOLDS):
@@ -151,11 +160,26 @@ def sigmoid(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the model of all rows (y, grams)."""
+    grams, labels = [], []
+    for batch in batches:
+        column = batch.column("grams")
+        if len(column):
+            grams += np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
+        labels += batch.column("y").to_pylist()
+    m = fit(grams, np.array(labels, np.int32))
+    row = {"weights": m.weights.tobytes(), "ratio": m.ratio.tobytes(), "bias": m.bias, "slope": m.slope, "shift": m.shift}
+    yield pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()})
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
     """Fits on the labelled documents of the FIT_ROWS smallest hashes of the key.
 
     Rows with a null key, or a label other than 0 and 1, are left out. The
-    sample is bounded, so its keys are broadcast and its n-grams collected.
+    sample is bounded, so its keys are broadcast and one task fits its n-grams;
+    only the model, of fixed size, comes to the driver. Of keys that repeat,
+    FIT_ROWS rows in all are used.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -172,8 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
                 found += np.split(gram.astype(np.int32), np.searchsorted(of, np.arange(1, hi - lo)))
             yield pa.RecordBatch.from_arrays([batch.column("k_").cast(pa.string()), batch.column("y_"), pa.array(found, pa.list_(pa.int32()))], names=["k", "y", "grams"])
 
-    sample = joined.mapInArrow(rows, "k string, y int, grams array<int>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")]).slice(0, FIT_ROWS)
-    return fit([np.array(g.values if g.values is not None else [], np.int32) for g in sample.column("grams")], sample.column("y").to_numpy())
+    sample = joined.mapInArrow(rows, "k string, y int, grams array<int>").orderBy("k", "y", F.xxhash64("grams")).limit(FIT_ROWS)
+    made = sample.coalesce(1).mapInArrow(_fitted, MODEL).toArrow().to_pylist()
+    if not made:
+        return fit([], np.zeros(0, np.int32))
+    return Model(**made[0] | {c: np.frombuffer(made[0][c], np.float32) for c in ("weights", "ratio")})
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
