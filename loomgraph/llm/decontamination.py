@@ -132,25 +132,32 @@ class Index:
             p, start = x >> 32, (x & ((1 << 32) - 1)) - (1 << 20)
             if start >= 0 and np.array_equal(chars[start : start + sizes[p]], self.chars[p]):
                 exact.setdefault(p, []).append(start)
+        # A band is of one text: its q-grams are counted, and its alignment is looked for, in that text alone.
+        breaks = np.flatnonzero(text < 0)
+        owner = np.searchsorted(breaks, spot)
         bands = np.concatenate([diagonal // width, diagonal // width - 1])
         key = np.concatenate([piece, piece]) * np.int64(1 << 32) + bands + (1 << 20)
-        key, counts = np.unique(key, return_counts=True)
+        owner = np.concatenate([owner, owner])
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
+        counts = np.diff(np.append(new, len(key)))
+        key, owner = key[new], owner[new]
         piece = key >> 32
         enough = counts >= np.maximum(1, self.bound[piece])
+        begins, ends = np.append(0, breaks + 1), np.append(breaks, len(chars))
         out = {}
-        for p, b in zip(piece[enough].tolist(), ((key[enough] & ((1 << 32) - 1)) - (1 << 20)).tolist(), strict=True):
+        for p, b, o in zip(piece[enough].tolist(), ((key[enough] & ((1 << 32) - 1)) - (1 << 20)).tolist(), owner[enough].tolist(), strict=True):
             k_, c = int(self.edits[p]), self.chars[p]
-            lo = b * (k_ + 1) - k_
-            same = next((x for x in exact.get(p, ()) if lo <= x <= lo + 4 * k_ + 2), None)
-            found = aligned(c, chars, lo, 4 * k_ + 2, k_) if same is None else (0, same, same + len(c))
+            lo, begin, end = b * (k_ + 1) - k_, int(begins[o]), int(ends[o])
+            same = next((x for x in exact.get(p, ()) if lo <= x <= lo + 4 * k_ + 2 and begin <= x < end), None)
+            found = aligned(c, chars[begin:end], lo - begin, 4 * k_ + 2, k_) if same is None else (0, same - begin, same - begin + len(c))
             if found is None:
                 continue
-            distance, start, end = found
-            hit = (int(text[start]), int(self.item[p]))
-            if text[start] < 0 or text[end - 1] != text[start]:
-                continue
-            if hit not in out or (distance, start) < out[hit][:2]:
-                out[hit] = (distance, start, end)
+            distance, start, stop = found
+            hit = (int(text[begin]), int(self.item[p]))
+            if hit not in out or (distance, begin + start) < out[hit][:2]:
+                out[hit] = (distance, begin + start, begin + stop)
         return [(*hit, *x) for hit, x in out.items()]
 
 

@@ -295,6 +295,24 @@ def test_benchmark_passages_with_edits():
         assert found.get(i) == want
 
 
+@pytest.mark.parametrize("size", [32, 40, 67, 130, 256])
+def test_benchmark_passages_at_the_ends_of_texts(size):
+    """Up to the budget, characters are missing at either end of an item that is a whole text, between neighbours."""
+    rng = random.Random(size)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    item, most = text(size), int(size * decontamination.EDIT_SHARE)
+    index = decontamination.Index.of([(1, item)])
+    for front in range(most + 1):
+        for back in range(most + 2 - front):
+            part = item[front : size - back]
+            for before, after in ((text(50), text(50)), (text(50) + item[: front + 1], item[size - back - 1 :] + text(50)), ("", ""), (part, part)):
+                found = decontamination._searched(index, [text(9), before, part, after, None])
+                want = [(1, front + back)] if front + back <= most else []
+                assert [(h["item_id"], h["distance"]) for h in found[2]] == want
+                assert all(0 <= h["start"] <= h["end"] <= len(part) for h in found[2])
+                assert (found[1] == found[2] == found[3]) if before == part else not found[0]
+
+
 def test_benchmark_in_several_blocks(spark, sf_dir, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {(r.doc_id, h.item_id) for r in decontamination.with_hits(docs, items).collect() for h in r.hits}
