@@ -8,13 +8,14 @@ keys a text) bring every such pair together, and no other key is needed. Pairs
 are confirmed on the full shingle sets.
 
 At a similarity of 0.75, a pair misses all keys with a probability below
-2 in a million, and the more alike, the less.
+2 in a million, and the more alike, the less. A pair that shares a key counts
+whatever the distance of its signatures.
 
 Groups of copies don't make pairs: equal sets are one class from the start. In
 a bucket of equal keys, each class is first compared with one centre only, the
 class that meets the most others; then classes of one bucket are compared with one another if they are not
 yet in one component, which leaves little to do in groups of near copies. Of
-these, only pairs whose signatures and bitmaps allow a link are looked up.
+these, only pairs whose sizes and bitmaps allow a link are looked up.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunks = same.reshape(-1, CHUNKS, CHUNK)
             first = (chunks.sum(axis=2) >= CHUNK - 1).argmax(axis=1)
             here = first * CHUNK + (~chunks[np.arange(len(i)), first]).argmax(axis=1)
-            near = (VALUES - same.sum(axis=1) <= DISTANCE) & (here == place[j])
+            near = here == place[j]
             found.append((name[i[near] + at], name[j[near]]))
         return tuple(np.concatenate([f[c] for f in found]) for c in range(2))
 

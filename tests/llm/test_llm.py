@@ -256,6 +256,31 @@ def test_keys_join_all_signatures_in_reach(spark):
     assert df.where(F.size(F.array_intersect(minhash.bucket_keys(F.col("a")), minhash.bucket_keys(F.col("b")))) == 0).count() == 0
 
 
+def test_pairs_of_a_bucket_count_at_any_signature_distance():
+    """Of similar texts whose signatures differ in more than DISTANCE values, those that share a key are a pair."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    far = 0
+    for _ in range(3):
+        base = [[f"{rng.randrange(10**9)}" for _ in range(84)] for _ in range(4000)]
+        twins = [w[:73] + [f"x{k}_{j}" for j in range(11)] for k, w in enumerate(base)]
+        two = [next(minhash._sketches(iter([pa.array([" ".join(w) for w in side])]))) for side in (base, twins)]
+        signatures = [np.array(x.field("signature").to_pylist(), np.int16) for x in two]
+        same = signatures[0] == signatures[1]
+        chunks = same.reshape(-1, minhash.CHUNKS, minhash.CHUNK)
+        for i in np.flatnonzero((minhash.VALUES - same.sum(axis=1) > minhash.DISTANCE) & (chunks.sum(axis=2) >= minhash.CHUNK - 1).any(axis=1)):
+            chunk = int((chunks[i].sum(axis=1) >= minhash.CHUNK - 1).argmax())
+            place = chunk * minhash.CHUNK + int((~chunks[i, chunk]).argmax())
+            rows = {"key": [1, 1], "lo": [0, 0], "hi": [0, 0], "block": [0, 0], "place": [place] * 2, "class": [10, 11], "component": [10, 11], "n": [x.field("n")[i].as_py() for x in two]}
+            rows |= {"signature": pa.array([s[i].tolist() for s in signatures], pa.list_(pa.int16())), "bitmap": pa.array([x.field("bitmap")[i].as_py() for x in two], pa.list_(pa.int64()))}
+            linked = next(minhash._linked(iter([(pa.array([" ".join(base[i])]), pa.array([" ".join(twins[i])]))])))[0].as_py()
+            got = [tuple(r.values()) for b in minhash._near_pairs(iter([pa.RecordBatch.from_pydict(rows)])) for r in b.to_pylist()]
+            assert not linked or got == [(10, 11)]
+            far += linked
+    assert far
+
+
 def edits(piece, text):
     """Least edits of the piece against any stretch of the text."""
     t = np.array(list(text))
