@@ -224,8 +224,10 @@ def class_links(docs: DataFrame, key: str, text: str, sketches: DataFrame) -> Da
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns row_key, the key, n_shingles, class, component_id and kept, one row per input row.
+    """Columns row_key, the key, n_shingles, class, component, component_id and kept, one row per input row.
 
+    component is the component's own name, the same for all of its rows and for
+    no others, whatever their keys; it is null for a text without words.
     component_id is the smallest key that a row reaches over links; kept tells
     whether the row's own key is that. A text without words has an empty set,
     is linked with nothing and kept. Null keys count as larger than others: a
@@ -241,29 +243,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     placed = written(least.join(found, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "components")
     heads = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes_"))
     # Components of one class, the most by far, need no join.
-    alone = placed.join(heads.where("classes_ > 1").select("component", "component_id"), "component", "left").select("class", F.coalesce("component_id", "least").alias("component_id"))
+    alone = placed.join(heads.where("classes_ > 1").select("component", "component_id"), "component", "left").select("class", "component", F.coalesce("component_id", "least").alias("component_id"))
     out = rows.select("key_", "row_key", "n", "class").join(alone, "class", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key_"))
-    return out.select("row_key", F.col("key_").alias(key), F.col("n").alias("n_shingles"), "class", component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return out.select("row_key", F.col("key_").alias(key), F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("component")).alias("component"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of which one stays of each component; all columns of the input.
 
-    Rows that share a key are looked at one by one: of equal ones that stay,
-    the first that Spark meets is taken. Empty texts all stay.
+    Of a component's rows with its smallest key, those of the smallest row_key
+    and class stay, and of these the first that Spark meets; so keys may be null
+    or repeated. Empty texts all stay.
     """
     row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
     rows = written(near_duplicates(docs, key, text), "verdicts")
-    per_key = rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows_"), F.max("kept").alias("kept"))
-    unclear = written(per_key.where("rows_ > 1").select(F.col("row_key").alias("row_key_")), "unclear")
-    out_of_it = per_key.where("rows_ > 1 or not kept").select(F.col("row_key").alias("row_key_"))
-    plain = docs.join(_small(written(out_of_it, "dropped")), row_key == F.col("row_key_"), "left_anti")
+    winners = rows.where("kept and n_shingles > 0").groupBy("component").agg(F.min(F.struct("row_key", "class")).alias("winner"))
+    winners = written(winners.select(F.col("winner.row_key").alias("row_key_"), F.col("winner.class").alias("class_")), "winners")
+    per_key = rows.groupBy(F.col("row_key").alias("row_key_")).agg(F.count(F.lit(1)).alias("rows_"), F.max("n_shingles").alias("most_"))
+    per_key = per_key.join(winners.groupBy("row_key_").agg(F.count(F.lit(1)).alias("wins_")), "row_key_", "left")
+    # A key of one row is decided by itself; rows that share one are told apart by their classes.
+    out_of_it = written(per_key.where("rows_ > 1 or (most_ > 0 and wins_ is null)").select("row_key_", "rows_"), "dropped")
+    unclear = out_of_it.where("rows_ > 1").select("row_key_")
+    plain = docs.join(_small(out_of_it.select("row_key_")), row_key == F.col("row_key_"), "left_anti")
     some = sketched(docs.join(_small(unclear), row_key == F.col("row_key_")), text, "sketch_").withColumn("class_", F.col("sketch_.class"))
-    verdict = rows.where("kept").groupBy(F.col("row_key").alias("row_key_"), F.col("class").alias("class_")).agg(F.first("component_id").alias("component_"))
-    some = some.join(verdict, ["row_key_", "class_"])
     empty = some.where("sketch_.n = 0").select(*docs.columns)
-    one = some.where("sketch_.n > 0").withColumn("group_", F.coalesce("component_", "row_key_")).dropDuplicates(["group_"]).select(*docs.columns)
+    one = some.where("sketch_.n > 0").dropDuplicates(["row_key_", "class_"]).join(winners, ["row_key_", "class_"], "left_semi").select(*docs.columns)
     return plain.unionByName(empty).unionByName(one)
 
 

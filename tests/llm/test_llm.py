@@ -242,6 +242,16 @@ def test_one_row_of_each_component_stays(spark, odd_dir):
     assert {r.doc_id for r in got} >= {1, 7, 8, 10}
 
 
+def test_one_row_stays_of_components_whose_keys_repeat_or_are_null(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(120))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(5, a), (5, b), (5, a + " end"), (6, a), (None, c), (None, c), (None, c + " end"), (None, "start " + c), (None, d), (7, d), (8, e), (None, ""), (None, None), (5, "")]
+    got = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = collections.Counter((r.doc_id, {a + " end": a, c + " end": c, "start " + c: c}.get(r.text, r.text)) for r in got)
+    assert left == collections.Counter([(5, a), (5, b), (None, c), (7, d), (8, e), (None, ""), (None, None), (5, "")])
+
+
 def test_keys_join_all_signatures_in_reach(spark):
     """Pigeonhole: signatures that differ in at most DISTANCE values share a key."""
     rng = np.random.default_rng(2)
