@@ -451,12 +451,48 @@ def repeated_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize(("group", "batches", "segment"), [(20_000, 4, 1_000_000), (2, 3, 1_000_000), (20_000, 1, 500)])
-def test_repeated_strings(spark, monkeypatch, group, batches, segment):
-    monkeypatch.setattr(suffix_family, "GROUP", group)
-    rows = repeated_rows(group + batches)
+REMOVAL = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize(("few", "batches", "segment"), [(500_000, 4, 1_000_000), (0, 3, 1_000_000), (500_000, 1, 500)])
+def test_repeated_strings(spark, monkeypatch, few, batches, segment):
+    monkeypatch.setattr(suffix_family, "BROADCAST_IDS", few)
+    monkeypatch.setattr(suffix_family, "HOT", 5)
+    monkeypatch.setattr(suffix_family, "SEGMENT", segment)
+    rows = repeated_rows(few + batches)
     out = suffix_family.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches)
-    assert collections.Counter(tuple(r) for r in out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == brute_removal(rows)
+    assert collections.Counter(tuple(r) for r in out.select(*REMOVAL).collect()) == brute_removal(rows)
+
+
+def test_family_is_opened_and_extended(spark, tmp_path):
+    rows = repeated_rows(11)
+    root = f"file://{tmp_path}/family"
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    for k in range(0, len(rows), 9):
+        suffix_family.Family(spark, root).add(frame(rows[k : k + 9]))
+    n = -(-len(rows) // 9)
+    family = suffix_family.Family(spark, root)
+    assert family.batches == n and sorted(family.levels) == [k for k in range(8) if n >> k & 1]
+    for k in family.levels:
+        heads = [r.head for r in family.level(k).where(F.spark_partition_id() == 0).collect()]
+        assert heads and heads == sorted(heads)
+    out = suffix_family.deduplicated(frame(rows), batches=1, family=family)
+    assert collections.Counter(tuple(r) for r in out.select(*REMOVAL).collect()) == brute_removal(rows)
+
+
+def test_shared_passages(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    rows, flagged = [], set()
+    for k in range(40):
+        passage = words(51 + k % 5)
+        rows += [(2 * k, f"{words(rng.randrange(30))} {passage} {words(5)}"), (2 * k + 1, f"{passage}\n{words(rng.randrange(60))}")]
+        flagged |= {2 * k, 2 * k + 1}
+    short, whole = words(25), words(60)
+    rows += [(100, f"{words(70)} {short} {words(70)}"), (101, f"{short} {words(60)}"), (102, f"{passage[:-9]} x"), (103, f"{words(51)} " * 2), (104, whole), (105, whole), (106, words(50)), (107, None), (108, "")]
+    out = suffix_family.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), batches=1)
+    got = {r.doc_id for r in out.where("shared_passages > 0").collect()}
+    assert got - {102} == flagged | {104, 105}
 
 
 def test_long_texts_are_indexed_in_segments(monkeypatch):
@@ -472,7 +508,7 @@ def test_long_texts_are_indexed_in_segments(monkeypatch):
 
 
 def test_odd_rows_removal(spark, odd_dir, odd_rows):
-    got = collections.Counter(tuple(r) for r in suffix_family.op10_suffix_levels(spark, odd_dir).collect())
+    got = collections.Counter(tuple(r) for r in suffix_family.op10_suffix_levels(spark, odd_dir).select(*REMOVAL).collect())
     assert got == brute_removal([r[:2] for r in odd_rows])
 
 
