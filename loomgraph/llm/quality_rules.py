@@ -1,13 +1,14 @@
 """Quality rules: a table of thresholds compiled into projections.
 
 Measures are plain column expressions over the whole text and rules are rows
-of a table; both become one projection a step, without user functions and
-without a shuffle, so a document is judged where it is read.
+of a table; both become one expression, whose parts are bound once, without
+user functions and without a shuffle, so a document is judged where it is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,7 @@ WINDOW_WORDS = 5
 
 
 class Rule(NamedTuple):
-    """A document passes if low <= value <= high; a null value passes."""
+    """A document passes if low <= value <= high; a null value passes. The value is a measure or `measure / measure`."""
 
     name: str
     value: str
@@ -37,7 +38,7 @@ class Rule(NamedTuple):
     high: float
 
 
-#: The thresholds; `value` is an SQL expression over the measures.
+#: The thresholds.
 RULES = (
     Rule("word_length", "word_chars / n_words", 2.0, 12.0),
     Rule("symbol_ratio", "n_symbols / word_chars", 0.0, 0.1),
@@ -47,62 +48,79 @@ RULES = (
 )
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words, n_upper (all long).
+#: The measures, all long.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_upper")
 
-    A null text counts as empty; every measure of an empty text is 0. Windows
-    are compared by a 64-bit hash of their words. Input columns called like a
-    measure are replaced.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    packed = F.translate(t, BLANKS, "")
-    df = df.withColumns({
-        "words_": F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
-        "lines_": F.filter(F.split(t, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0),
-        "word_chars": F.length(packed).cast("long"),
-        "n_symbols": (F.length(packed) - F.length(F.translate(packed, SYMBOLS, ""))).cast("long"),
-        "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
-    })
-    n = F.size("words_")
-    df = df.withColumns({
-        "n_words": n.cast("long"),
-        "n_lines": F.size("lines_").cast("long"),
-        "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
-        "n_stop_words": F.size(F.filter("words_", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-        "windows_": F.when(n >= WINDOW_WORDS, F.transform(F.sequence(F.lit(1), n - (WINDOW_WORDS - 1)), lambda i: F.xxhash64(F.slice("words_", i, WINDOW_WORDS)))).otherwise(F.array().cast("array<bigint>")),
-    })
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it, also where a filter is pushed down."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in windows that are found twice or more; windows are compared by a 64-bit hash of their words."""
+    n = F.size(words)
+    windows = F.when(n >= WINDOW_WORDS, F.transform(F.sequence(F.lit(1), n - (WINDOW_WORDS - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW_WORDS)))).otherwise(F.array().cast("array<bigint>"))
+    ordered = lambda x: F.sort_array(F.transform(x, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    twice = lambda s: F.filter(F.transform(s, lambda e, j: F.when((e["h"] == F.get(s, j - 1)["h"]) | (e["h"] == F.get(s, j + 1)["h"]), e["i"])), lambda i: i.isNotNull())
+    grown = lambda a, p: F.struct((a["n"] + p + WINDOW_WORDS - F.greatest(p, a["end"])).alias("n"), (p + WINDOW_WORDS).alias("end"))
+    covered = lambda places: F.aggregate(F.sort_array(places), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), grown, lambda a: a["n"])
     # Most texts repeat no window, and only the others are sorted by window and place.
-    df = df.withColumn("sorted_", F.when(F.size(F.array_distinct("windows_")) < F.size("windows_"), F.sort_array(F.transform("windows_", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-    near = lambda j: F.get("sorted_", j)["x"]
-    df = df.withColumn("places_", F.sort_array(F.filter(F.transform("sorted_", lambda e, j: F.when((e["x"] == near(j - 1)) | (e["x"] == near(j + 1)), e["i"])), lambda i: i.isNotNull())))
-    covered = F.aggregate("places_", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, p: F.struct((a["n"] + p + WINDOW_WORDS - F.greatest(p, a["end"])).alias("n"), (p + WINDOW_WORDS).alias("end")), lambda a: a["n"])
-    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return df.drop("words_", "lines_", "windows_", "sorted_", "places_")
+    return bound(windows, lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), bound(ordered(x), lambda s: covered(twice(s)))).otherwise(0))
+
+
+def _measured(text: Column) -> Column:
+    """A struct of the measures of a text that isn't null."""
+
+    def of(r: Column) -> Column:
+        t, packed, words, lines = r["t"], r["packed"], r["words"], r["lines"]
+        values = {
+            "n_words": F.size(words),
+            "word_chars": F.length(packed),
+            "n_symbols": F.length(packed) - F.length(F.translate(packed, SYMBOLS, "")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": _repeat_words(words),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))),
+            "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")),
+        }
+        return F.struct(*(values[m].cast("long").alias(m) for m in MEASURES))
 
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+    return bound(F.struct(text.alias("t"), F.translate(text, BLANKS, "").alias("packed"), words.alias("words"), lines.alias("lines")), of)
 
-def base_failed() -> Column:
+
+def base_failed(m: Column) -> Column:
     """Too few words, or over a fifth of them in repeated windows."""
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
-def compiled(rules: Sequence[Rule]) -> list[Column]:
-    """One boolean column `fails_<name>` per rule; a value that is null or divides by 0 doesn't fail."""
+def compiled(rules: Sequence[Rule], m: Column) -> list[Column]:
+    """One boolean column `fails_<name>` per rule over a struct of measures; a value that is null or divides by 0 doesn't fail."""
     out = []
     for r in rules:
         top, _, below = r.value.partition(" / ")
-        value = F.expr(f"try_divide(cast({top} as double), cast({below} as double))") if below else F.expr(r.value)
+        value = F.try_divide(m[top].cast("double"), m[below].cast("double")) if below else m[top]
         out.append(F.coalesce(~value.between(r.low, r.high), F.lit(False)).alias(f"fails_{r.name}"))
     return out
 
 
 def judged(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Adds the measures, base_failed, fails_<rule> for each rule, and kept (no rule and not the base fails)."""
-    df = measures(df, text)
-    df = df.select("*", base_failed().alias("base_failed"), *compiled(rules))
-    failed = F.col("base_failed")
-    for r in rules:
-        failed = failed | F.col(f"fails_{r.name}")
-    return df.withColumn("kept", ~failed)
+    """Adds the measures, base_failed, fails_<rule> for each rule, and kept (no rule and not the base fails).
+
+    A null text counts as empty; every measure of an empty text is 0. Input
+    columns called like an output are replaced.
+    """
+
+    def of(m: Column) -> Column:
+        fails = compiled(rules, m)
+        kept = reduce(lambda a, b: a | b, fails, base_failed(m))
+        return F.struct(*(m[c].alias(c) for c in MEASURES), base_failed(m).alias("base_failed"), *fails, (~kept).alias("kept"))
+
+    names = [*MEASURES, "base_failed", *(f"fails_{r.name}" for r in rules), "kept"]
+    verdict = bound(_measured(F.coalesce(F.col(text), F.lit(""))), of)
+    return df.drop(*names).withColumn("verdict_", verdict).select("*", *(F.col(f"verdict_.{n}").alias(n) for n in names)).drop("verdict_")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, minhash, mixing, nbsvm, quality_rules, registry, sharding, simple8b, suffix_family, url_filters, wrappers
+from loomgraph.llm.common import written
 from loomgraph.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -428,6 +429,13 @@ def test_quality_rules_keep_good_texts(spark):
     assert kept[1] > 0.99 and kept[0] < 0.15
 
 
+@pytest.mark.parametrize("condition", ["kept", "not base_failed", "n_repeat_words > 0 and not fails_stop_word_ratio"])
+def test_quality_rules_under_filters(spark, sf_dir, condition):
+    out = quality_rules.judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+    whole = written(out, "judged")
+    assert collections.Counter(out.where(condition).collect()) == collections.Counter(whole.where(condition).collect())
+
+
 def brute_removal(rows):
     raws = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[s : s + 400] for b in raws for s in range(len(b) - 399))
