@@ -39,7 +39,7 @@ LENGTH = 400
 #: Bytes at the beginning of a suffix by which suffixes are ordered and meet.
 BEGINNING = 32
 #: Batches in which the texts of one call arrive.
-BATCHES = 4
+BATCHES = 2
 #: Neighbouring windows that are compared together before they are compared one by one.
 BLOCK = 46
 #: Windows of a long text that are indexed at once.
