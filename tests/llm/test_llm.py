@@ -6,6 +6,7 @@ import html as entities
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -390,12 +391,57 @@ def test_template_nodes_are_learnt_from_a_host(spark):
         ("", []),
         ("plain &amp; text", ["plain & text"]),
         ("<p title='a > b'>x</p>", ["x"]),
+        ("<article><svg class='icon'/><p>text</p></article>", ["text"]),
+        ("<article><svg><path d='M0'/><text>no</text></svg><p>text</p></article>", ["text"]),
+        ("<p title=don't>a</p><p>it's</p>", ["a", "it's"]),
+        ('<p title="never closed>a</p><p>b</p>', ["a", "b"]),
+        ("<div class='menu-card recipe'>a</div><section id=header-files>b</section><div class='site-header'>no</div>", ["a", "b"]),
+        ("<title>never closed<p>a</p>", ["never closed", "a"]),
+        ("<table><tr><td><table><tr><td>1</table><td>2<tr><td>3</table>", ["1", "2", "3"]),
+        ("a < b <c", ["a < b <c"]),
     ],
 )
 def test_blocks(html, want):
     assert [t for _, t in wrappers.blocks(wrappers.content_root(wrappers.parsed(html)))] == want
 
 
+@pytest.mark.parametrize("piece", ["<b>", "</b>", "<div>", "<p><button><b>", "<p ", "<!", "<title>", "<a x='", "<svg>", "<td>", "&lt;<"])
+def test_bad_pages_take_linear_time(piece):
+    html = piece * (400_000 // len(piece)) + "<p>end</p>"
+    start = time.process_time()
+    wrappers.blocks(wrappers.content_root(wrappers.parsed(html)))
+    assert time.process_time() - start < 5
+
+
+def test_templates_without_telling_names(spark):
+    """Hosts whose pages share a template without class names, roles or an article element."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("river stone market window garden copper letter morning simple quiet".split()) + str(rng.randrange(900)) for _ in range(n))
+    rows, want = [], {}
+    for h in range(6):
+        top, side, end = [words(4) for _ in range(5)], [words(12) for _ in range(3)], words(9)
+        for i in range(12 + h):
+            body = [words(rng.randrange(8, 40)) for _ in range(rng.randrange(1, 9))]
+            url = f"https://h{h}.example.com/{i}"
+            rows.append((url, f"<body><div>{''.join(f'<p>{t}</p>' for t in top)}</div><table><tr><td>{'<br>'.join(side)}</td><td><h1>{words(5)}</h1>{''.join(f'<p>{b}</p>' for b in body)}<p>{end}</p></td></tr></table><div>{end}</div></body>"))
+            want[url] = (body, [*top, *side, end])
+    got = {r.url: r.out for r in wrappers.extracted(spark.createDataFrame(rows, "url string, html string"), out="out").collect()}
+    kept = [b in got[u] for u, (body, _) in want.items() for b in body]
+    gone = [b not in got[u] for u, (_, template) in want.items() for b in template]
+    assert np.mean(kept) >= 0.99 and np.mean(gone) >= 0.99
+
+
+def test_long_pages_are_aligned_with_bounded_memory(monkeypatch):
+    rng = random.Random(2)
+    u, v = ([rng.randrange(6) for _ in range(n)] for n in (70, 90))
+    value = lambda i: (np.array(v) == u[i]).astype(np.int64)
+    whole = wrappers._way(value, range(70), range(90))
+    monkeypatch.setattr(wrappers, "CELLS", 40)
+    halved = wrappers._way(value, range(70), range(90))
+    for way in (whole, halved):
+        assert len(way) == len(whole) and all(u[i] == v[j] for i, j in way) and all(a < c and b < d for (a, b), (c, d) in itertools.pairwise(way))
+
+
 def test_simple_tree_matching():
     a = wrappers.Outline.of(["/x/p", "/x/p", "/x/h1"], [1, 2, 3], [1, 1, 1])
     b = wrappers.Outline.of(["/x/p", "/x/h1"], [2, 3], [1, 1])
