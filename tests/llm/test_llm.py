@@ -405,6 +405,34 @@ def test_blocks(html, want):
     assert [t for _, t in wrappers.blocks(wrappers.content_root(wrappers.parsed(html)))] == want
 
 
+def linked_pages():
+    """Pages with chains, cycles, stars and relative targets of links; blocked and allowed urls among them."""
+    rng = random.Random(6)
+    canonical = lambda t: f'<head><link href="{t}" rel="canonical"></head>'
+    refresh = lambda t: f"<meta http-equiv=refresh content=\"0; URL='{t}'\">"
+    rows = [
+        ("https://a.example.com/x/1", canonical("/de/1")), ("https://b.example.com/x", canonical("https://a.example.com/x/1")), ("http://b.example.com/y?utm_source=q&utm_medium=r", canonical("x#top")),
+        ("https://c.example.com/1", refresh("//d.example.com/2")), ("https://d.example.com/2", refresh("https://e.example.net/")), ("https://d.example.com/2", canonical("https://c.example.com/1")),
+        ("https://f.example.com/1", canonical("https://g.example.net/a")), ("https://f.example.com/1", canonical("https://a.example.net/en/x")), ("https://h.example.com/", "<LINK REL=canonical HREF=https://f.example.com/1>"),
+        ("https://i.example.com/a/b/c", '<base href="/q/w/">' + canonical("../../de/./k")), ("https://i.example.com/two", canonical("/p") + canonical("/de/p") + refresh("/p3")), ("https://i.example.com/p3", ""),
+        ("https://i.example.com/amp?a=1&b=2", ""), ("https://j.example.com/", canonical("https://i.example.com/amp?a=1&amp;b=2") + canonical("https://z.blog.net/")), ("https://k.example.com/", canonical("mailto:x@example.net")),
+        ("https://l.example.com/", canonical("")), ("no scheme", canonical("/de/9")), (None, canonical("https://e.example.net/")), ("https://m.example.com", canonical("https://n.example.org/fr/") + canonical("https://e.example.net/w")), ("https://M.Example.com/", ""),
+    ]
+    for c in range(4):
+        chain = [f"https://chain{c}.example.com/{k}" for k in range(12)] + ["https://end.example.net/" if c < 2 else "https://end.example.org/es/"] + (["https://fin.example.org/fr/"] if c == 1 else [])
+        rows += [(a, canonical(b)) for a, b in itertools.pairwise(chain)]
+    rows += [(f"https://star{rng.randrange(40)}.example.com/{rng.randrange(3)}", refresh(f"https://star{rng.randrange(40)}.example.{rng.choice(['com', 'com', 'com', 'net'])}/{rng.randrange(3)}")) for _ in range(40)]
+    return rows + rows[:3]
+
+
+def test_aliases_by_recursive_sql(spark, same_as_oracle, tmp_path):
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(linked_pages())], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    same_as_oracle(url_filters.op2_redirect_filter, url_filters.ORACLE, str(tmp_path))
+    verdicts = {r.page_id: (r.rule, r.verdict) for r in url_filters.op2_redirect_filter(spark, str(tmp_path)).collect()}
+    assert [verdicts[i] for i in (0, 1, 2, 3, 6, 8, 9, 11, 12, 14, 15, 18, 19)] == [(None, v) for v in ("block", "block", "block", "block", "allow", "allow", "block", "block", "block", "allow", "allow", "allow", "allow")]
+
+
 @pytest.mark.parametrize("piece", ["<b>", "</b>", "<div>", "<p><button><b>", "<p ", "<!", "<title>", "<a x='", "<svg>", "<td>", "&lt;<"])
 def test_bad_pages_take_linear_time(piece):
     html = piece * (400_000 // len(piece)) + "<p>end</p>"
