@@ -40,8 +40,10 @@ VALUES = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
 #: Ids up to which a table of them is broadcast; beyond it the join is left to Spark.
 BROADCAST_IDS = 500_000
-#: Classes of a bucket that are compared at once; larger buckets are dealt to blocks, and each two blocks meet.
+#: Classes of a bucket that are compared at once; larger buckets are dealt to blocks, and each two blocks that aren't of the largest component meet.
 BLOCK = 2000
+#: Pairs of one class that one task confirms; of more, the class's text is copied for each so many.
+SPLIT = 1000
 #: Bits of a set's bitmap, on which each shingle sets one; they bound what two sets can share.
 BITMAP = 1024
 SKETCH = "struct<n:bigint,class:bigint,signature:array<smallint>,bitmap:array<bigint>>"
@@ -199,10 +201,18 @@ def class_links(docs: DataFrame, key: str, text: str, sketches: DataFrame) -> Da
     found = sketched(found).where("sketch.class = class_").select(F.col("class_").alias("class"), "text")
     known = written(found.dropDuplicates(["class"]), "texts")
 
+    def with_text(pairs: DataFrame, side: str) -> DataFrame:
+        """The pairs with the text of one side, the pairs of a frequent class dealt to several tasks."""
+        often = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("parts")).where("parts > 1")
+        often = _small(written(often, "often"))
+        dealt = pairs.join(often, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        copies = known.withColumnRenamed("class", side).join(often, side, "left")
+        copies = copies.select(side, F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        return dealt.join(copies, [side, "part"]).drop("part")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         bounded_batches(docs.sparkSession, 256)
-        with_left = pairs.join(known.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_left.join(known.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+        both = with_text(with_text(written(pairs, "pairs"), "a"), "b")
         return both.where(F.arrow_udf("boolean")(_linked)("text_a", "text_b")).select("a", "b")
 
     # The class that meets the most others, such as the text from which near copies stem, is the centre of its buckets.
@@ -215,11 +225,16 @@ def class_links(docs: DataFrame, key: str, text: str, sketches: DataFrame) -> Da
     joined = components(links, "a", "b")
     placed = members.join(joined.withColumnRenamed("node", "class"), "class", "left").select("key", "place", "class", F.coalesce("component", "class").alias("component"))
     placed = written(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("size")).where("l < h").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    left = placed.join(open_, "key").join(classes.select("class", "n", "signature", "bitmap"), "class").withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "place", "class", "component", "n", "signature", "bitmap")
+    # Blocks of a bucket's largest component needn't meet one another; they get the numbers after those of the rest.
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    open_ = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all")).where("all > top.size")
+    open_ = open_.select("key", F.col("top.component").alias("largest"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("rest"), F.ceil(F.col("top.size") / BLOCK).alias("more"))
+    left = placed.join(open_, "key").join(classes.select("class", "n", "signature", "bitmap"), "class")
+    in_it, spot = F.col("component") == F.col("largest"), F.xxhash64("class")
+    left = left.withColumns({"block": F.when(in_it, F.col("rest") + F.pmod(spot, "more")).otherwise(F.pmod(spot, "rest")), "last": F.when(in_it, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1})
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "place", "class", "component", "n", "signature", "bitmap")
     pairs = left.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_near_pairs, "a long, b long").distinct()
-    more = written(confirmed(written(pairs, "pairs")), "links")
+    more = written(confirmed(pairs), "links")
     return links.unionByName(more)
 
 
