@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each one's result as Parquet in the shared folder and hands it to the next.
 All but the last return the columns of documents.
+
+In every stage, a null text counts as empty, rows may be repeated, additional
+columns are handed on, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,29 +20,47 @@ SHARDS = 16
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; it learns from the labels outside the held-out fifth."""
+    """Documents that the quality classifier doesn't reject; it learns from the labels outside the held-out fifth.
+
+    An empty text gets the score of a text without n-grams. Equal texts are
+    judged alike. Labels of null ids and null labels teach nothing; without
+    labels of both kinds the share of good ones judges all.
+    """
     model = nbsvm.train(docs, nbsvm.learnable(table(spark, sf_dir, "labels")))
     return nbsvm.scored(docs, model, out="score_").where(F.col("score_") >= nbsvm.THRESHOLD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates.
+
+    Empty texts are near nothing and all stay. Of a group, a row with the
+    smallest id stays, one with a null id only if all have none; of repeated
+    rows, one.
+    """
     return minhash.deduplicated(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item.
+
+    Empty texts have none; null and empty items are in no text.
+    """
     return decontamination.with_hits(docs, table(spark, sf_dir, "benchmark"), out="hits_").where(F.size("hits_") == 0).select(*docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
-    mix = mixing.mixed(docs.withColumn("size_", word_count(F.col("text"))), "size_").where("copies > 0")
-    return mix.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The documents as often as the mix takes them, at most twice.
+
+    A null source is a source of its own. Empty texts have no words; how often
+    they are taken changes no target.
+    """
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    mix = mixing.mixed(rows, "size").where("copies > 0")
+    return mix.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def sharding_keys(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the shard of their id."""
+    """The documents with the shard of their id; a null id has one as well. An input column `shard` is replaced."""
     return sharding.assign(docs, "doc_id", [1.0] * SHARDS)
 
 
@@ -51,7 +72,7 @@ STAGES = [
     ("sharding", sharding_keys),
 ]
 
-#: SQL can express neither the classifier nor the searches; tests compare run() with a brute-force version.
+#: SQL can express neither the classifier nor the searches; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 

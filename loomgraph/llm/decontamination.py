@@ -4,7 +4,7 @@ A passage within k edits of an item of n characters shares at least
 n - q + 1 - k * q q-grams with it, and their diagonals (place in the text less
 place in the item) differ by at most k. Shared q-grams are counted in
 overlapping diagonal bands; bands that reach the bound are verified by an
-alignment in the band.
+alignment in the band. Items too short for that are looked for unedited.
 """
 
 from __future__ import annotations
@@ -12,22 +12,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, table
+from loomgraph.llm.common import bounded_batches, table, written
 
 Q = 8
 #: Edits allowed per character of an item.
 EDIT_SHARE = 0.06
 #: Items are searched in pieces of at most so many characters, each piece starting half a piece after the last.
 PIECE = 256
-#: Items with fewer characters are too common to be searched for.
+#: Items with fewer characters count where they occur unedited, between characters that are no letters or digits.
 LEAST = 32
-#: Characters of items in one broadcast index; more items are searched for in several passes.
+#: Characters of items in one broadcast index; more items are searched for in several passes, one index at a time.
 BLOCK_CHARS = 4_000_000
 SLICE_CHARS = 1_000_000
 TABLE_BITS = 22
@@ -68,12 +69,15 @@ class Index:
     maybe: np.ndarray
     window: int  # places in which some window of every hit has at least `seed` shared q-grams
     seed: int
+    short: ahocorasick.Automaton  # of items under LEAST: their characters, ids
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index:
-        item, chars = [], []
+        item, chars, brief = [], [], {}
         for i, t in items:
             c = codes(normalised(t))
+            if 0 < len(c) < LEAST:
+                brief.setdefault(normalised(t), []).append(i)
             starts = [0] if len(c) <= PIECE else [*range(0, len(c) - PIECE, PIECE // 2), len(c) - PIECE]
             for s in starts if len(c) >= LEAST else []:
                 item.append(i)
@@ -93,7 +97,22 @@ class Index:
         # A hit's q-grams lie in size + edits places; of as many windows as cover these, one has its share.
         window = int((size + edits).min()) if len(size) else 1
         seed = int((-(-bound // -(-(size + edits) // window))).min()) if len(size) else 1
-        return cls(np.array(item, np.int64), chars, edits, bound, gram, np.append(first, len(all_grams)), piece[order], place[order], maybe, window, max(1, seed))
+        short = ahocorasick.Automaton()
+        for t, ids in brief.items():
+            short.add_word(t, (len(t), ids))
+        short.make_automaton()
+        return cls(np.array(item, np.int64), chars, edits, bound, gram, np.append(first, len(all_grams)), piece[order], place[order], maybe, window, max(1, seed), short)
+
+    def unedited(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of each short item's first place in a normalised text."""
+        seen: set[int] = set()
+        for last, (size, ids) in self.short.iter(text) if len(self.short) else ():
+            start, end = last + 1 - size, last + 1
+            if not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum()):
+                for i in ids:
+                    if i not in seen:
+                        seen.add(i)
+                        yield i, start, end
 
     def search(self, chars: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Hits (text, item, distance, start, end) in a run of texts; `text` has each character's text, -1 between texts."""
@@ -201,7 +220,9 @@ def _searched(index: Index, values: list[str | None]) -> list[list[dict]]:
         run, first, size = [], [], 0
         hi = lo
         while hi < len(values) and (hi == lo or size < SLICE_CHARS):
-            c = codes(normalised(values[hi]))
+            plain = normalised(values[hi])
+            c = codes(plain)
+            out[hi] += [{"item_id": i, "distance": 0, "start": a, "end": b} for i, a, b in index.unedited(plain)]
             first.append(size)
             run += [c, np.array([0x110000], np.uint32)]
             size += len(c) + 1
@@ -230,23 +251,36 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     """Adds an array of hits (item_id, distance, start, end in normalised characters), empty for clean texts.
 
     Items are dealt to as many blocks as their characters ask for; each block's
-    index has a bounded size, is broadcast, and is searched for in all texts.
-    A null or empty text has no hit, and neither has an item that is null or
-    shorter than LEAST. Hits of one item are merged into the best one per
-    block. An input column called like the output is replaced.
+    index has a bounded size and is broadcast. Of several blocks, one at a time
+    is searched for in all texts, and the hits of its texts are written. A null
+    or empty text has no hit, and neither has an item that is null or empty.
+    Hits of one item are merged into the best one. An input column called like
+    the output is replaced.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     total = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"]
     blocks = -(-int(total) // BLOCK_CHARS)
-    found = []
-    for b in range(blocks):
+    if not blocks:
+        return docs.withColumn(out, F.array().cast(HITS))
+
+    def index(b: int) -> Broadcast:
         part = benchmark.where(F.col(item).isNotNull() & (F.pmod(F.xxhash64(item), F.lit(blocks)) == b)).select(F.col(item).cast("long"), item_text)
-        shared = spark.sparkContext.broadcast(Index.of(sorted((r[0], r[1] or "") for r in part.toLocalIterator())))
+        return spark.sparkContext.broadcast(Index.of(sorted((r[0], r[1] or "") for r in part.toLocalIterator())))
 
-        found.append(F.arrow_udf(HITS)(searcher(shared))(F.col(text)))
-    hits = F.concat(*found) if len(found) > 1 else found[0] if found else F.array().cast(HITS)
-    return docs.withColumn(out, hits)
+    if blocks == 1:
+        return docs.withColumn(out, F.arrow_udf(HITS)(searcher(index(0)))(F.col(text)))
+    found = None
+    for b in range(blocks):
+        shared = index(b)
+        hits = docs.select(F.xxhash64(text).alias("text_id_"), F.arrow_udf(HITS)(searcher(shared))(F.col(text)).alias("hits_")).where(F.size("hits_") > 0)
+        hits = written(hits, "hits")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    # Equal texts have equal hits.
+    merged = found.select("text_id_", F.explode("hits_").alias("hit_")).distinct().groupBy("text_id_").agg(F.sort_array(F.collect_list("hit_")).alias("hits_"))
+    rows = docs.drop(out).withColumn("text_id_", F.xxhash64(text)).join(merged, "text_id_", "left")
+    return rows.withColumn(out, F.coalesce("hits_", F.array().cast(HITS))).drop("text_id_", "hits_")
 
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,6 +363,58 @@ def test_benchmark_in_several_blocks(spark, sf_dir, monkeypatch):
     assert one == many and exact <= one
 
 
+def least_edits(item, text):
+    """Fewest edits between the item and any stretch of the text (the textbook recurrence)."""
+    row = np.zeros(len(text) + 1, np.int64)
+    chars = np.array(list(text))
+    for i, c in enumerate(item):
+        new = np.minimum(row[1:] + 1, row[:-1] + (chars != c))
+        new = np.concatenate([[i + 1], new])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row.min())
+
+
+def brute_leaks(docs, items):
+    out = set()
+    for i, item in items:
+        t = decontamination.normalised(item)
+        if i is None or not t:
+            continue
+        starts = [0] if len(t) <= decontamination.PIECE else [*range(0, len(t) - decontamination.PIECE, decontamination.PIECE // 2), len(t) - decontamination.PIECE]
+        for d, text in docs:
+            plain = decontamination.normalised(text)
+            if len(t) < decontamination.LEAST:
+                if re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", plain):
+                    out.add((d, i))
+            elif plain and any(least_edits(p, plain) <= int(len(p) * decontamination.EDIT_SHARE) for s in starts if (p := t[s : s + decontamination.PIECE])):
+                out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("block", [4_000_000, 600])
+def test_leaks_by_brute_force(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", block)
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+
+    def edited(t, k):
+        for _ in range(k):
+            p = rng.randrange(len(t))
+            t = rng.choice([t[:p] + t[p + 1 :], t[:p] + "z" + t[p:], t[:p] + "y" + t[p + 1 :]])
+        return t
+
+    items = [(k, words(n)) for k, n in enumerate([2, 4, 8, 12, 20, 40, 60, 120, 1, 6])] + [(20, None), (21, " "), (None, words(20)), (22, "I"), (23, "a+b?")]
+    docs = [(0, None), (1, ""), (2, words(300)), (3, "x" * 500), (4, "so i say: A+B?"), (5, "aib a+b?c")]
+    for k in range(60):
+        item = items[k % 10][1]
+        docs.append((10 + k, f"{words(rng.randrange(30))} {edited(item, rng.randrange(1 + int(len(item) * 0.09)))} {words(rng.randrange(30))}".title()))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = decontamination.op5_benchmark_leaks(spark, str(tmp_path)).collect()
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(docs, items)
+
+
 def test_main_text_of_pages(spark, sf_dir):
     got = {r.page_id: r.text for r in wrappers.op6_wrapper_text(spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
@@ -490,6 +542,33 @@ def test_quality_scores_on_held_out_rows(spark):
     assert np.mean([p == 1 for y, _, p in rows if y == 1]) > 0.97
 
 
+def test_dual_descent_reaches_the_primal_optimum(monkeypatch):
+    """Against projected gradient ascent on the whole dual with a plain kernel matrix, and the log-count ratios by hand."""
+    monkeypatch.setattr(nbsvm, "EPOCHS", 400)
+    rng = np.random.default_rng(3)
+    size, n = 40, 60
+    labels = (rng.random(n) < 0.4).astype(int)
+    rows = [np.unique(rng.integers(0, size, 8) // (1 + y)) for y in labels]
+    sign = np.where(labels == 1, 1.0, -1.0)
+    scaled = [np.full(len(r), 1 / np.sqrt(len(r))) for r in rows]
+    w, bias = nbsvm.descend(rows, scaled, sign, size, np.random.default_rng(0))
+    x = np.zeros((n, size + 1))
+    for i, (r, v) in enumerate(zip(rows, scaled, strict=True)):
+        x[i, r], x[i, -1] = v, 1.0
+    cost = nbsvm.COST * n / (2 * np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum()))
+    gram = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha = np.zeros(n)
+    for _ in range(60_000):
+        alpha = np.clip(alpha + (1 - gram @ alpha) / np.linalg.norm(gram, 2), 0, cost)
+    plain = (alpha * sign) @ x
+    loss = lambda v: 0.5 * v @ v + cost @ np.maximum(0, 1 - sign * (x @ v))
+    assert loss(np.append(w, bias)) <= loss(plain) * 1.005 + 1e-9
+    model = nbsvm.fit(rows, labels)
+    good, bad = (np.array([nbsvm.SMOOTHING + sum(k in set(r.tolist()) for r, y in zip(rows, labels, strict=True) if y == c) for k in range(size)]) for c in (1, 0))
+    rest = nbsvm.SMOOTHING * ((1 << nbsvm.BITS) - size)
+    assert np.allclose(model.ratio[:size], np.log(good / (good.sum() + rest)) - np.log(bad / (bad.sum() + rest)), atol=1e-4)
+
+
 def test_mix_comes_near_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     out = mixing.mixed(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "size")
@@ -610,5 +689,49 @@ def test_pipeline(spark, sf_dir, odd_dir, empty_dir):
     assert not any(b in decontamination.normalised(t) for t in left.values() for b in items)
     assert all(c[3] for c in brute_components(list(left.items())))
     assert max(collections.Counter(r.doc_id for r in rows).values()) <= 2
-    for folder in (odd_dir, empty_dir):
-        corpus_pipeline.run(spark, folder).count()
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+@pytest.mark.parametrize("folder", ["sf_dir", "odd_dir"])
+def test_pipeline_stages_by_brute_force(spark, folder, request):
+    """Each stage on its predecessor's rows, against a plain version of it."""
+    import corpus_pipeline
+
+    path = request.getfixturevalue(folder)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns, steps = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, path), "test_stage")
+        steps.append((name, [r.asDict() for r in docs.collect()], [r.asDict() for r in out.collect()]))
+        assert out.columns == columns or name == "sharding"
+        docs = out
+    whole = lambda rows: collections.Counter(tuple(r[c] for c in columns) for r in rows)
+    for name, before, after in steps:
+        if name == "quality classifier":
+            scores = collections.Counter((r.doc_id, r.score >= nbsvm.THRESHOLD) for r in nbsvm.op7_nb_svm_quality(spark, path).collect())
+            assert collections.Counter(r["doc_id"] for r in after) == collections.Counter({k: n for (k, kept), n in scores.items() if kept})
+        elif name == "near-duplicates":
+            left = [r["text"] for r in after]
+            assert not whole(after) - whole(before)
+            sets = [x for t in left if (x := shingles(t))]
+            similar = lambda a, b: (both := len(a & b)) and 100 * both >= 75 * (len(a) + len(b) - both)
+            assert not any(similar(a, b) for a, b in itertools.combinations(sets, 2))
+            assert len(sets) == len({c for c in components_of([r["text"] for r in before]) if c is not None})
+            assert sum(not shingles(t) for t in left) == sum(not shingles(r["text"]) for r in before)
+        elif name == "benchmark decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+            assert not whole(after) - whole(before)
+            before, after = ([r for r in rows if len(r["text"] or "") < 1200] for rows in (before, after))  # the plain version takes its time
+            held = {d for d, _ in brute_leaks([(k, r["text"]) for k, r in enumerate(before)], items)}
+            assert whole(after) == whole([r for k, r in enumerate(before) if k not in held])
+        elif name == "mixing":
+            assert not set(whole(after)) - set(whole(before)) and all(n <= 2 * whole(before)[k] for k, n in whole(after).items())
+        else:
+            assert whole(after) == whole(before)
+            shard = {}
+            assert all(r["shard"] == shard.setdefault(r["doc_id"], r["shard"]) and 0 <= r["shard"] < corpus_pipeline.SHARDS for r in after)
+
+
+def components_of(texts):
+    """The component of each text, None without words."""
+    return [c if shingles(t) else None for t, (_, _, c, _) in zip(texts, brute_components(list(enumerate(texts))), strict=True)]
