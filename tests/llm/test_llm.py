@@ -727,7 +727,8 @@ def test_pipeline_stages_by_brute_force(spark, folder, request):
         elif name == "mixing":
             assert not set(whole(after)) - set(whole(before)) and all(n <= 2 * whole(before)[k] for k, n in whole(after).items())
         else:
-            assert whole(after) == whole(before)
+            rest = lambda rows: collections.Counter(tuple(r[c] for c in columns if c != "shard") for r in rows)
+            assert rest(after) == rest(before)
             shard = {}
             assert all(r["shard"] == shard.setdefault(r["doc_id"], r["shard"]) and 0 <= r["shard"] < corpus_pipeline.SHARDS for r in after)
 
