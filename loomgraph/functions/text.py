@@ -40,8 +40,10 @@ def fingerprint(text: Column) -> Column:
 
 
 def truncated(text: Column, size: int = 2000) -> Column:
-    """The text if it has at most `size` characters, else that many and a mark."""
-    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, size), F.lit("...[truncated]")))
+    """The text if it has at most `size` UTF-8 bytes, else its characters that end within them, and a mark."""
+    raw = F.encode(text, "UTF-8")
+    cut = F.coalesce(*(F.try_validate_utf8(F.substring(raw, 1, size - k).cast("string")) for k in range(4)))
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat(cut, F.lit("...[truncated]")))
 
 
 def layer(path: Column) -> Column:

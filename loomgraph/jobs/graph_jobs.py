@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import evaluation, frontends, graph, incremental
+from loomgraph.operators import evaluation, frontends, graph, incremental, memory_search
 from loomgraph.sources.tables import table
 from loomgraph.streaming import watch
 from loomgraph.views import file_edges, relationships, symbols, with_ctes
@@ -25,6 +26,8 @@ def _checkpoints(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/") if found else f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
 
 
@@ -58,10 +61,8 @@ def graph_impact_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_impact_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upstream of the first symbol that a name finds."""
-    s = symbols(spark, sf_dir)
-    first = F.broadcast(graph.found_symbols(s, "order_1", limit=1).select(F.col("id").alias("target_id")))
-    return relationships(spark, sf_dir).join(first, "target_id").select("source_id", "target_id", "rel_type")
+    """Impact of the first symbol that a name finds."""
+    return _paths(graph.impact_by_name(relationships(spark, sf_dir), symbols(spark, sf_dir), "order_1", "upstream"))
 
 
 def graph_bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,16 +146,22 @@ def graph_imported_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_edges(spark, sf_dir).where(F.col("importer").contains("/s1")).select("imported").distinct()
 
 
+def _part_name(key: str) -> Column:
+    """A name of its own for every third part, and one for the others of each four neighbours."""
+    k = F.col(key)
+    return F.when(k % 3 == 0, F.concat(F.lit("u"), k.cast("string"))).otherwise(F.concat(F.lit("b"), F.floor(k / 4).cast("string")))
+
+
 def named_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls whose target is a name: from orders to the first word of a part's name."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    """Calls whose target is a name: from orders to parts."""
+    rows = table(spark, sf_dir, "lineitem")
     kind = F.array(*map(F.lit, ("calls", "references", "inherits")))[(F.col("l_orderkey") % 3).cast("int")]
-    return rows.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("source_id"), F.concat(F.lit("b"), (F.col("l_partkey") % 300).cast("string")).alias("target_name"), kind.alias("rel_type"), F.lit(0.8).alias("confidence")).distinct()
+    return rows.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("source_id"), _part_name("l_partkey").alias("target_name"), kind.alias("rel_type"), F.lit(0.8).alias("confidence")).distinct()
 
 
 def short_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as symbols whose names are ambiguous."""
-    return table(spark, sf_dir, "part").where("p_partkey % 3 <> 0 or p_partkey < 300").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("b"), (F.col("p_partkey") % 300).cast("string")).alias("name"), F.col("p_brand").alias("file_path"))
+    """Parts as symbols, some of whose names are ambiguous."""
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), _part_name("p_partkey").alias("name"), F.col("p_brand").alias("file_path"))
 
 
 def _resolved(kind: str):
@@ -180,6 +187,23 @@ def graph_import_suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.suffix_matched(files.select(F.regexp_extract("file_path", r"([^/]+/[^/]+)$", 1).alias("module")).where("module <> ''"), files)
 
 
+def import_statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Imports (importer, module, dots) as orders name them, and the files that customers and suppliers make up."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    ending = F.array(*map(F.lit, (".py", ".ts", "/index.ts", "/__init__.py")))[(F.col("c_custkey") % 4).cast("int")]
+    mine = c.select("c_custkey", F.format_string("app/n%d/m%d", "c_nationkey", "c_custkey").alias("stem"), ending.alias("ending"))
+    theirs = s.select(F.format_string("lib/n%d/s%d/core_%d.ts", "s_nationkey", "s_suppkey", "s_suppkey").alias("file_path"))
+    files = mine.select(F.concat("stem", "ending").alias("file_path")).unionByName(theirs)
+    o = table(spark, sf_dir, "orders").join(mine, F.col("o_custkey") == F.col("c_custkey")).select(F.concat("stem", "ending").alias("importer"), (F.col("o_orderkey") % 1000 + 1).alias("t"), (F.col("o_orderkey") % 25).alias("n"), (F.col("o_custkey") % 6).alias("way"))
+    module = F.when(F.col("way") == 0, F.format_string("./m%d", "t")).when(F.col("way") == 1, F.format_string("../n%d/m%d", "n", "t")).when(F.col("way") == 2, F.format_string("n%d.m%d", "n", "t"))
+    module = module.when(F.col("way") == 3, F.format_string("../../lib/n%d/s%d", "n", F.col("t") % 100 + 1)).when(F.col("way") == 4, F.format_string("app.n%d.m%d", "n", "t")).otherwise(F.format_string("crate.n%d.m%d", "n", "t"))
+    return o.select("importer", module.alias("module"), F.when(F.col("way") == 2, 2).otherwise(0).alias("dots")).distinct(), files
+
+
+def graph_resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.resolved_imports(*import_statements(spark, sf_dir))
+
+
 def graph_prefix_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = symbols(spark, sf_dir).select(F.col("file_path").alias("path"))
     roots = spark.createDataFrame([("src", "all"), ("src/api", "api"), ("lib/utils", "utils"), ("tests", "tests"), ("src/api/m1.py", "one")], "root string, project string")
@@ -194,11 +218,21 @@ def graph_enclosing_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.enclosing(points, spans, ["k"])
 
 
+def moment(spark: SparkSession, sf_dir: str, share: float) -> str:
+    """The moment at a share of the time between the first and the last event."""
+    ends = table(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    return str(ends["a"] + timedelta(microseconds=int((ends["b"] - ends["a"]) / timedelta(microseconds=1) * share))) if ends["a"] else "1970-01-01"
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Files with their modification times before two moments of the events."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file_path"), F.col("ts").alias("mtime"), "event_type")
-    at = lambda low, high: e.where((F.col("mtime") >= F.lit(low).cast("timestamp_ntz")) & (F.col("mtime") < F.lit(high).cast("timestamp_ntz"))).groupBy("file_path").agg(F.max("mtime").alias("mtime"))
-    return at("2024-01-01", "2024-01-03"), at("2024-01-02 12:00:00", "2024-01-04")
+    """Files with their modification times after all events before two moments; an error deletes a file."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file_path"), "ts", "event_type")
+
+    def at(share: float) -> DataFrame:
+        last = e.where(F.col("ts") < F.lit(moment(spark, sf_dir, share)).cast("timestamp_ntz")).groupBy("file_path").agg(F.max(F.struct("ts", "event_type")).alias("last"))
+        return last.where("last.event_type <> 'error'").select("file_path", F.col("last.ts").alias("mtime"))
+
+    return at(0.5), at(0.75)
 
 
 def idx_incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +245,7 @@ def idx_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idx_since_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, found = snapshots(spark, sf_dir)
-    return incremental.newer(found, "2024-01-03 12:00:00").select("file_path")
+    return incremental.newer(found, moment(spark, sf_dir, 0.625)).select("file_path")
 
 
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,12 +272,13 @@ def watch_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per label, the ids of every 50th vector against those of the label."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
-    found = e.where("vec_id < 60").select("vec_id", "label")
-    rows = queries.join(F.broadcast(found.withColumn("grp", F.col("vec_id") % 5)), F.col("query_id") / 50 % 5 == F.col("grp"))
-    return rows.groupBy("query_id").agg(F.sort_array(F.collect_list("vec_id")).alias("found"), F.sort_array(F.collect_list(F.when(F.col("label") == F.col("wanted"), F.col("vec_id")))).alias("relevant"))
+    """The ten nearest vectors of every hundredth one by rank, and which of these have its label."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    near = memory_search.nearest_in_blocks(e.select("id", "embedding"), e.where("id % 100 = 0").select("id", "embedding"), 10, -1.0)
+    rows = near.join(e.select("id", "label"), "id").join(e.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "id", (F.col("label") == F.col("wanted")).alias("good"))))
+    lists = rows.groupBy("query_id").agg(ranked.alias("r"))
+    return lists.select("query_id", F.transform("r", lambda x: x["id"]).alias("found"), F.transform(F.filter("r", lambda x: x["good"]), lambda x: x["id"]).alias("relevant"))
 
 
 def eval_recall_precision_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +293,7 @@ def eval_macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*evaluation.nearest_rank("value", (0.5, 0.95, 0.99)))
+    return evaluation.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", (0.5, 0.95, 0.99))
 
 
 def eval_rank_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,8 +313,8 @@ def ab_conversation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file per customer, in a language by key: a class, a field and a method per order of at most 5."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("r <= 5")
+    """One source file per customer, in a language by key: a class, a field and a method per order."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     c = table(spark, sf_dir, "customer").select("c_custkey")
     key, order, prev = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("r")).cast("string")
     lang = (F.col("o_custkey") % 4).cast("int")
@@ -311,7 +346,7 @@ def parse_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("file_path", "rel_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
-_NAMES = ("graph_impact_upstream", "graph_impact_downstream", "graph_impact_both", "graph_impact_depth_limit", "graph_impact_rollup", "graph_impact_by_name", "graph_bfs_hops", "graph_callers_of", "graph_find_symbol", "graph_symbols_in_file", "graph_layer_detect", "graph_layer_histogram", "graph_edge_histogram", "graph_edge_batch_clean", "graph_remove_file_cascade", "graph_remove_project_cascade", "graph_import_edges", "graph_degrees", "graph_file_symbols", "graph_tour", "graph_subclasses", "graph_imported_targets", "graph_call_fanout", "graph_ref_unique_only", "graph_inherit_first", "graph_derived_imports", "graph_import_suffix_match", "graph_prefix_project", "graph_enclosing_scope", "idx_incremental_diff", "idx_index_stats", "idx_since_filter", "watch_debounce_batch", "watch_latest_states", "watch_stream_states", "eval_recall_precision_mrr", "eval_macro_scores", "eval_latency_percentiles", "eval_rank_assertions", "ab_token_pivot", "ab_conversation_totals", "parse_symbols", "parse_relationships")
+_NAMES = ("graph_impact_upstream", "graph_impact_downstream", "graph_impact_both", "graph_impact_depth_limit", "graph_impact_rollup", "graph_impact_by_name", "graph_bfs_hops", "graph_callers_of", "graph_find_symbol", "graph_symbols_in_file", "graph_layer_detect", "graph_layer_histogram", "graph_edge_histogram", "graph_edge_batch_clean", "graph_remove_file_cascade", "graph_remove_project_cascade", "graph_import_edges", "graph_degrees", "graph_file_symbols", "graph_tour", "graph_subclasses", "graph_imported_targets", "graph_call_fanout", "graph_ref_unique_only", "graph_inherit_first", "graph_derived_imports", "graph_import_suffix_match", "graph_resolve_imports", "graph_prefix_project", "graph_enclosing_scope", "idx_incremental_diff", "idx_index_stats", "idx_since_filter", "watch_debounce_batch", "watch_latest_states", "watch_stream_states", "eval_recall_precision_mrr", "eval_macro_scores", "eval_latency_percentiles", "eval_rank_assertions", "ab_token_pivot", "ab_conversation_totals", "parse_symbols", "parse_relationships")
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 
@@ -337,13 +372,28 @@ def _layer(path: str) -> str:
   CASE WHEN contains({stem}, 'test') OR contains({stem}, 'spec') THEN 'test' WHEN contains({stem}, 'config') OR contains({stem}, 'settings') THEN 'config' WHEN regexp_matches({stem}, '(controller|handler)$') THEN 'api' WHEN regexp_matches({stem}, 'service$') THEN 'service' WHEN regexp_matches({stem}, '(model|entity|repository)$') THEN 'data' END)"""
 
 
-_CALLS = "c AS (SELECT DISTINCT 'O' || l_orderkey AS source_id, 'b' || l_partkey % 300 AS target_name, list_extract(['calls', 'references', 'inherits'], l_orderkey % 3 + 1) AS rel_type, 0.8::DOUBLE AS confidence FROM lineitem WHERE l_linenumber <= 2), s AS (SELECT 'P' || p_partkey AS id, 'b' || p_partkey % 300 AS name, p_brand AS file_path, count(*) OVER (PARTITION BY p_partkey % 300) AS n FROM part WHERE p_partkey % 3 <> 0 OR p_partkey < 300)"
-_SNAP = "st AS (SELECT user_id::VARCHAR AS file_path, max(ts) AS mtime FROM events WHERE ts >= '2024-01-01' AND ts < '2024-01-03' GROUP BY 1), fo AS (SELECT user_id::VARCHAR AS file_path, max(ts) AS mtime FROM events WHERE ts >= '2024-01-02 12:00:00' AND ts < '2024-01-04' GROUP BY 1)"
+_CALLS = "c AS (SELECT DISTINCT 'O' || l_orderkey AS source_id, CASE WHEN l_partkey % 3 = 0 THEN 'u' || l_partkey ELSE 'b' || l_partkey // 4 END AS target_name, list_extract(['calls', 'references', 'inherits'], l_orderkey % 3 + 1) AS rel_type, 0.8::DOUBLE AS confidence FROM lineitem), s AS (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM (SELECT 'P' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'u' || p_partkey ELSE 'b' || p_partkey // 4 END AS name, p_brand AS file_path FROM part))"
+_AT = lambda share: f"(SELECT make_timestamp(epoch_us(min(ts)) + floor((epoch_us(max(ts)) - epoch_us(min(ts))) * {share})::BIGINT) FROM events)"
+_STATE = lambda share: f"SELECT file_path, mtime FROM (SELECT user_id::VARCHAR AS file_path, max(ts) AS mtime, arg_max(event_type, (ts, event_type)) AS kind FROM events WHERE ts < {_AT(share)} GROUP BY 1) WHERE kind <> 'error'"
+_SNAP = f"st AS ({_STATE(0.5)}), fo AS ({_STATE(0.75)})"
 _DIFF = f"WITH {_SNAP} SELECT coalesce(st.file_path, fo.file_path) AS file_path, CASE WHEN fo.mtime IS NULL THEN 'deleted' WHEN st.mtime IS NULL THEN 'new' WHEN st.mtime <> fo.mtime THEN 'changed' ELSE 'same' END AS state FROM st FULL JOIN fo ON st.file_path = fo.file_path"
-_FOUND = "r AS (SELECT q.vec_id AS query_id, list(e.vec_id ORDER BY e.vec_id) AS found, coalesce(list(e.vec_id ORDER BY e.vec_id) FILTER (e.label = q.label), []) AS relevant FROM embeddings q JOIN embeddings e ON e.vec_id < 60 AND q.vec_id % 50 = 0 AND (q.vec_id / 50) % 5 = e.vec_id % 5 GROUP BY 1), sc AS (SELECT query_id, CASE WHEN len(relevant) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(found[1:5], relevant)) / len(relevant)::DOUBLE END AS recall, CASE WHEN len(found) = 0 THEN CASE WHEN len(relevant) = 0 THEN 1.0::DOUBLE ELSE 0 END ELSE len(list_intersect(found[1:5], relevant)) / least(5, len(found))::DOUBLE END AS precision, coalesce(1.0::DOUBLE / list_min(list_transform(relevant, lambda x: list_position(found, x))), 0) AS reciprocal_rank FROM r)"
+_FOUND = "nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label = q.label AS good, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS sim FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)), r AS (SELECT query_id, list(id ORDER BY rank) AS found, coalesce(list(id ORDER BY rank) FILTER (good), []) AS relevant FROM nn WHERE rank <= 10 GROUP BY 1), sc AS (SELECT query_id, CASE WHEN len(relevant) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(found[1:5], relevant)) / len(relevant)::DOUBLE END AS recall, CASE WHEN len(found) = 0 THEN CASE WHEN len(relevant) = 0 THEN 1.0::DOUBLE ELSE 0 END ELSE len(list_intersect(found[1:5], relevant)) / least(5, len(found))::DOUBLE END AS precision, coalesce(1.0::DOUBLE / list_min(list_transform(relevant, lambda x: list_position(found, x))), 0) AS reciprocal_rank FROM r)"
+_VARIANTS = ", ".join(f"({i}, '{v}')" for i, v in enumerate(graph.VARIANTS))
+_IMPORTS = f"""WITH f AS (SELECT 'app/n' || c_nationkey || '/m' || c_custkey || list_extract(['.py', '.ts', '/index.ts', '/__init__.py'], c_custkey % 4 + 1) AS file_path, c_custkey FROM customer UNION ALL SELECT 'lib/n' || s_nationkey || '/s' || s_suppkey || '/core_' || s_suppkey || '.ts', NULL FROM supplier),
+o AS (SELECT file_path AS importer, o_orderkey % 1000 + 1 AS t, o_orderkey % 25 AS n, o_custkey % 6 AS way FROM orders JOIN f ON c_custkey = o_custkey),
+i AS (SELECT DISTINCT importer, CASE way WHEN 0 THEN './m' || t WHEN 1 THEN '../n' || n || '/m' || t WHEN 2 THEN 'n' || n || '.m' || t WHEN 3 THEN '../../lib/n' || n || '/s' || (t % 100 + 1) WHEN 4 THEN 'app.n' || n || '.m' || t ELSE 'crate.n' || n || '.m' || t END AS module, CASE WHEN way = 2 THEN 2 ELSE 0 END AS dots FROM o),
+p AS (SELECT *, CASE WHEN dots > 0 THEN repeat('../', dots - 1) || replace(module, '.', '/') WHEN starts_with(module, './') OR starts_with(module, '../') THEN module END AS rel FROM i),
+r AS (SELECT importer, module, dots, list_reduce(list_prepend('', string_split(regexp_replace(importer, '[^/]*$', '') || rel, '/')), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/?[^/]*$', '') WHEN x IN ('.', '') THEN a WHEN a = '' THEN x ELSE a || '/' || x END) AS stem FROM p WHERE rel IS NOT NULL),
+v(k, variant) AS (VALUES {_VARIANTS}),
+a AS (SELECT importer, module, dots, arg_min(file_path, k) AS imported FROM r, v JOIN f ON file_path = stem || variant GROUP BY ALL),
+d AS (SELECT importer, module, dots, arg_min(file_path, (length(file_path), file_path)) AS imported FROM r JOIN f ON regexp_extract(file_path, '^(.*)/[^/]*$', 1) = stem GROUP BY ALL),
+m AS (SELECT importer, module, dots, replace(module, '.', '/') AS whole, regexp_replace(replace(module, '.', '/'), '^[^/]*/', '') AS rest FROM p WHERE rel IS NULL),
+x AS (SELECT file_path, regexp_replace(regexp_replace(file_path, '[.][^./]*$', ''), '/(index|__init__|mod)$', '') AS stem FROM f),
+b AS (SELECT importer, module, dots, arg_min(file_path, (part, length(file_path), file_path)) AS imported FROM (SELECT importer, module, dots, whole AS s, 0 AS part FROM m UNION ALL SELECT importer, module, dots, rest, 1 FROM m) JOIN x ON stem = s OR ends_with(stem, '/' || s) GROUP BY ALL)
+SELECT importer, module, imported, 'relative' AS how FROM a UNION ALL SELECT importer, module, d.imported, 'relative' FROM d LEFT JOIN a USING (importer, module, dots) WHERE a.imported IS NULL UNION ALL SELECT importer, module, imported, 'absolute' FROM b"""
 _TOK = "len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9_]+'), lambda t: t <> ''))"
 _PCT = lambda p: f"list_extract(list(value ORDER BY value) FILTER (value IS NOT NULL), round({p} * (count(value) - 1))::BIGINT + 1)"
-_ORD = "o AS (SELECT o_custkey, count(*) AS n, min(o_orderkey::VARCHAR) FILTER (r <= 5) AS first_order, least(count(*), 5) AS m FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) GROUP BY o_custkey), f AS (SELECT c_custkey, 'src/customer' || c_custkey || list_extract(['.py', '.ts', '.java', '.rb'], c_custkey % 4 + 1) AS file_path, coalesce(m, 0) AS m, first_order FROM customer LEFT JOIN o ON c_custkey = o_custkey)"
+_ORD = "o AS (SELECT o_custkey, count(*) AS n, min(o_orderkey::VARCHAR) AS first_order, count(*) AS m FROM orders GROUP BY o_custkey), f AS (SELECT c_custkey, 'src/customer' || c_custkey || list_extract(['.py', '.ts', '.java', '.rb'], c_custkey % 4 + 1) AS file_path, coalesce(m, 0) AS m, first_order FROM customer LEFT JOIN o ON c_custkey = o_custkey)"
 
 ORACLES = {
     "graph_impact_upstream": _impact_query(ROOT, 4, "upstream"),
@@ -351,7 +401,7 @@ ORACLES = {
     "graph_impact_both": _impact_query("C2", 2, "upstream", "downstream"),
     "graph_impact_depth_limit": _impact_query(ROOT, 1, "upstream"),
     "graph_impact_rollup": with_ctes(f"WITH RECURSIVE i_upstream AS {_impact(ROOT, 4, 'upstream')}, j AS (SELECT file_path, {_layer('file_path')} AS layer FROM i_upstream JOIN sym USING (id)), a AS (SELECT count(*) AS n_paths, count(DISTINCT file_path) AS n_files, list_sort(list(DISTINCT file_path)) AS files, list_sort(coalesce(list(DISTINCT layer) FILTER (layer IS NOT NULL), [])) AS layers FROM j) SELECT n_paths, n_files, array_to_string(files, ',') AS files, array_to_string(layers, ',') AS layers, len(layers) >= 3 AS risky FROM a", "rel", "sym"),
-    "graph_impact_by_name": with_ctes("SELECT source_id, target_id, rel_type FROM rel WHERE target_id = (SELECT id FROM sym WHERE name ILIKE 'order_1' OR regexp_replace(file_path, '^.*/', '') ILIKE 'order_1.%' OR regexp_replace(file_path, '^.*/', '') ILIKE 'order_1' ORDER BY CASE WHEN lower(name) = 'order_1' THEN 0 ELSE 1 END, name, id LIMIT 1)", "rel", "sym"),
+    "graph_impact_by_name": with_ctes("WITH RECURSIVE hit AS (SELECT (SELECT id FROM sym WHERE name ILIKE 'order_1' OR regexp_replace(file_path, '^.*/', '') ILIKE 'order_1.%' OR regexp_replace(file_path, '^.*/', '') ILIKE 'order_1' ORDER BY CASE WHEN lower(name) = 'order_1' THEN 0 ELSE 1 END, name, id LIMIT 1) AS h), i AS (SELECT source_id AS id, 1 AS depth, confidence, [h, source_id] AS path, rel_type FROM rel JOIN hit ON target_id = h UNION ALL SELECT rel.source_id, depth + 1, i.confidence * rel.confidence, list_append(path, rel.source_id), rel.rel_type FROM i JOIN rel ON target_id = i.id WHERE depth < 3 AND NOT list_contains(path, rel.source_id)) SELECT id, depth, round(confidence, 6) AS confidence, array_to_string(path, '>') AS path, rel_type, 'upstream' AS direction FROM i", "rel", "sym"),
     "graph_bfs_hops": with_ctes(f"WITH RECURSIVE b AS (SELECT '{ROOT}' AS id, 0 AS depth UNION SELECT rel.source_id, depth + 1 FROM b JOIN rel ON rel.target_id = b.id WHERE depth < 4) SELECT id, min(depth)::INTEGER AS depth FROM b WHERE id <> '{ROOT}' GROUP BY id", "rel"),
     "graph_callers_of": with_ctes("WITH RECURSIVE b AS (SELECT 'O1' AS id, 0 AS depth UNION SELECT rel.source_id, depth + 1 FROM b JOIN rel ON rel.target_id = b.id AND rel_type = 'calls' WHERE depth < 3) SELECT id, min(depth)::INTEGER AS depth, any_value(name) AS name, any_value(file_path) AS file_path FROM b JOIN sym USING (id) WHERE id <> 'O1' GROUP BY id", "rel", "sym"),
     "graph_find_symbol": with_ctes("SELECT id, name, file_path, CASE WHEN lower(name) = 'm1_' THEN 0 ELSE 1 END AS exact_rank FROM sym WHERE name ILIKE 'm1_' OR regexp_replace(file_path, '^.*/', '') ILIKE 'm1_.%' OR regexp_replace(file_path, '^.*/', '') ILIKE 'm1_' ORDER BY exact_rank, name, id LIMIT 50", "sym"),
@@ -372,11 +422,12 @@ ORACLES = {
     "graph_inherit_first": f"WITH {_CALLS} SELECT source_id, (SELECT id FROM s WHERE name = target_name ORDER BY file_path, id LIMIT 1) AS target_id, rel_type, confidence FROM c WHERE rel_type = 'inherits' AND target_name IN (SELECT name FROM s)",
     "graph_derived_imports": with_ctes("WITH e AS (SELECT a.file_path AS importer, b.file_path AS imported, rel_type FROM rel JOIN sym a ON a.id = source_id JOIN sym b ON b.id = target_id) SELECT DISTINCT importer, imported, 0.6::DOUBLE AS confidence FROM e WHERE rel_type IN ('inherits', 'calls', 'uses_type') AND importer <> imported AND (importer, imported) NOT IN (SELECT (importer, imported) FROM e WHERE rel_type = 'defines')", "rel", "sym"),
     "graph_import_suffix_match": "WITH f AS (SELECT regexp_replace(regexp_extract(url, '^[^:]+://([^?#]*)', 1), '/$', '') AS file_path FROM pages), m AS (SELECT DISTINCT regexp_extract(file_path, '([^/]+/[^/]+)$', 1) AS module FROM f WHERE regexp_matches(file_path, '[^/]+/[^/]+$')) SELECT module, arg_min(file_path, (length(file_path), file_path)) AS file_path FROM m JOIN f ON file_path = module OR ends_with(file_path, '/' || module) GROUP BY module",
+    "graph_resolve_imports": _IMPORTS,
     "graph_prefix_project": with_ctes("WITH r(root, project) AS (VALUES ('src', 'all'), ('src/api', 'api'), ('lib/utils', 'utils'), ('tests', 'tests'), ('src/api/m1.py', 'one')), p AS (SELECT DISTINCT file_path AS path FROM sym) SELECT path, arg_max(r.project, length(root)) AS project FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY path", "sym"),
     "graph_enclosing_scope": "WITH p AS (SELECT DISTINCT l_suppkey AS k, (floor(l_quantity)::INTEGER + l_linenumber)::INTEGER AS line FROM lineitem), s AS (SELECT DISTINCT l_suppkey AS k, l_linenumber::INTEGER AS start_line, floor(l_linenumber * 2 + l_quantity)::INTEGER AS end_line FROM lineitem) SELECT k, line, arg_min('f_' || start_line || '_' || end_line, (end_line - start_line, start_line)) AS name FROM p JOIN s USING (k) WHERE line BETWEEN start_line AND end_line GROUP BY k, line",
     "idx_incremental_diff": _DIFF,
     "idx_index_stats": f"SELECT state, count(*) AS n FROM ({_DIFF}) GROUP BY state",
-    "idx_since_filter": f"WITH {_SNAP} SELECT file_path FROM fo WHERE mtime > '2024-01-03 12:00:00'",
+    "idx_since_filter": f"WITH {_SNAP} SELECT file_path FROM fo WHERE mtime > {_AT(0.625)}",
     "watch_debounce_batch": "WITH e AS (SELECT user_id::VARCHAR AS path, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT path, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM r GROUP BY path, run",
     "watch_latest_states": "SELECT user_id::VARCHAR AS path, arg_max(event_type, (ts, event_type)) AS kind, max(ts) AS ts FROM events GROUP BY user_id",
     "watch_stream_states": "SELECT user_id::VARCHAR AS path, arg_max(event_type, (ts, event_type)) AS kind, max(ts) AS ts FROM events GROUP BY user_id",

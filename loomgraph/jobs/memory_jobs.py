@@ -116,7 +116,7 @@ def mem_insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mem_type_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    stem = F.regexp_extract(F.col("text"), r"^[^\n]{0,80}", 0)
+    stem = F.regexp_extract(F.col("text"), r"^[^\n]*", 0)
     kind = ingest.memory_type_of_stem(stem)
     return d.select("doc_id", kind.alias("by_stem"), ingest.memory_type_of_title(stem).alias("by_title"), ingest.importance_of(kind).alias("importance"), ingest.slug(stem).alias("slug"))
 
@@ -184,7 +184,7 @@ u AS (SELECT coalesce(s.id, f.id) AS id, coalesce(1.0::DOUBLE / (60 + s.rank), 0
 SELECT id, round(rrf * (0.7 + 0.3 * {_REL}), 9) AS score, match_type, memory_type FROM u JOIN mem USING (id) WHERE {where} ORDER BY score DESC, id LIMIT {limit}""", "mem")
 
 
-_STEM = "regexp_extract(text, '^[^\\n]{0,80}')"
+_STEM = "regexp_extract(text, '^[^\\n]*')"
 _KIND = f"CASE WHEN regexp_matches(lower({_STEM}), 'architecture|design|(-adr|-decision)$|^adr[-_]') THEN 'architecture' WHEN regexp_matches(lower({_STEM}), 'contributing|guideline|style|conduct') THEN 'guideline' ELSE 'code_context' END"
 
 ORACLES = {
@@ -209,7 +209,7 @@ ORACLES = {
     "mem_upsert_merge": "WITH n AS (SELECT p_partkey * 2 AS id, p_name || ' v2' AS name, 'moved' AS file_path, p_size + 1 AS start_line FROM part WHERE p_partkey % 5 = 0) SELECT coalesce(p_partkey, id) AS id, coalesce(name, p_name) AS name, coalesce(p_brand, file_path) AS file_path, coalesce(start_line, p_size)::INTEGER AS start_line FROM part FULL JOIN n ON p_partkey = id",
     "mem_insert_new": "SELECT doc_id AS id, source FROM documents UNION ALL SELECT vec_id * 3, 'seed' FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = vec_id * 3)",
     "mem_type_classify": f"SELECT doc_id, {_KIND} AS by_stem, CASE WHEN contains(lower({_STEM}), 'fix') OR contains(lower({_STEM}), 'bug') THEN 'error_pattern' WHEN contains(lower({_STEM}), 'refactor') THEN 'pattern' ELSE 'decision' END AS by_title, CASE {_KIND} WHEN 'architecture' THEN 0.8::DOUBLE WHEN 'guideline' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS importance, translate(lower({_STEM}), ' /', '--') AS slug FROM documents",
-    "mem_truncate": "SELECT doc_id, CASE WHEN length(text) <= 2000 THEN length(text) ELSE 2000 + length('...[truncated]') END::BIGINT AS n_chars_shown, octet_length(encode(text)) > 2000 AS long_note FROM documents",
+    "mem_truncate": "WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, octet_length(encode(text)) AS size FROM documents), c AS (SELECT r, unnest(range(1, least(length(text), 2000) + 1)) AS i FROM d WHERE size > 2000), n AS (SELECT r, count(*) FILTER (upto <= 2000) AS n FROM (SELECT r, sum(octet_length(encode(substr(text, i, 1)))) OVER (PARTITION BY r ORDER BY i) AS upto FROM c JOIN d USING (r)) GROUP BY r) SELECT doc_id, CASE WHEN size <= 2000 THEN length(text) ELSE n + length('...[truncated]') END::BIGINT AS n_chars_shown, size > 2000 AS long_note FROM d LEFT JOIN n USING (r)",
     "ingest_md_sections": "SELECT conv_id, count(*) AS n_sections, count(*) FILTER (role = 'user') AS n_user FROM conversations GROUP BY conv_id",
     "ingest_dedup_batch": f"WITH b AS (SELECT conv_id, turn, {_NORM.format('text')} AS fp, row_number() OVER (PARTITION BY {_NORM.format('text')} ORDER BY conv_id, turn) AS r FROM conversations WHERE octet_length(encode(trim(text))) >= 50) SELECT conv_id, turn FROM b WHERE r = 1 AND fp NOT IN (SELECT {_NORM.format('text')} FROM documents WHERE text IS NOT NULL)",
     "ingest_pr_json": "SELECT event_id, coalesce((props::JSON->>'$.k')::BIGINT, 0) AS number, CASE WHEN event_type IS NULL THEN 'decision' ELSE 'error_pattern' END AS memory_type, 'unknown' AS author, octet_length(encode(trim(repeat('word ', coalesce((props::JSON->>'$.k')::BIGINT, 0))))) >= 50 AS stored FROM events",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,24 @@ def retrieval_scores(results: DataFrame, k: int) -> DataFrame:
     })
 
 
-def nearest_rank(values: str, shares: Sequence[float]) -> list[Column]:
-    """Percentiles by the nearest index round(share * (n - 1)) of the sorted values."""
-    return [F.get(F.sort_array(F.collect_list(values)), F.round(F.lit(p) * (F.count(values) - 1)).cast("int")).alias(f"p{round(100 * p)}") for p in shares]
+def nearest_ranks(df: DataFrame, key: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """Percentiles of each key by the nearest index round(share * (n - 1)) of the sorted values: key, p50, ...; null without values.
+
+    Equal values are counted first, then those of each of 1,024 ranges between
+    a key's least and greatest; only the values of the ranges that hold a wanted
+    rank are put in order. So no group of values meets in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy(key).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all"))
+    placed = counts.join(ends, key).withColumn("range", F.coalesce(F.floor(F.try_divide((F.col("v") - F.col("low")) * 1023, F.col("high") - F.col("low"))), F.lit(0)))
+    upto = lambda *by: Window.partitionBy(key, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(key, "range").agg(F.sum("n").alias("in_range"), F.first("all").alias("all")).withColumn("before", F.coalesce(F.sum("in_range").over(upto("range")), F.lit(0)))
+    wanted = ranges.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("rank", F.round(F.col("share") * (F.col("all") - 1)) - F.col("before"))
+    wanted = wanted.where("rank >= 0 and rank < in_range").select(key, "range", "share", "rank")
+    inside = placed.select(key, "range", "v", "n").join(wanted.select(key, "range").distinct(), [key, "range"], "left_semi").withColumn("before", F.coalesce(F.sum("n").over(upto("range", "v")), F.lit(0)))
+    found = inside.join(wanted, [key, "range"]).where("rank >= before and rank < before + n")
+    out = found.groupBy(key).agg(*(F.max(F.when(F.col("share") == p, F.col("v"))).alias(f"p{round(100 * p)}") for p in shares))
+    return df.select(key).distinct().withColumnRenamed(key, "key_").join(out, F.col("key_").eqNullSafe(F.col(key)), "left").drop(key).withColumnRenamed("key_", key)
 
 
 def grade(score: Column) -> Column:

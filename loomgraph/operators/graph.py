@@ -31,6 +31,13 @@ def impact_paths(edges: DataFrame, start: str, direction: str, depth: int) -> Da
     return out.withColumn("direction", F.lit(direction))
 
 
+def impact_by_name(edges: DataFrame, symbols: DataFrame, name: str, direction: str, depth: int = 3, kind: str | None = None, project: str | None = None) -> DataFrame:
+    """Impact paths of the first symbol that a name finds; depth is kept between 1 and 10. Without a hit, no rows."""
+    hit = found_symbols(symbols, name, kind, project, limit=1).first()
+    paths = impact_paths(edges, hit["id"] if hit else "", direction, max(1, min(10, depth)))
+    return paths if hit else paths.limit(0)
+
+
 def reached(edges: DataFrame, start: str, hops: int) -> DataFrame:
     """Symbols within so many hops upstream, each once with its least depth: id, depth."""
     step = edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("next")).distinct()
@@ -177,6 +184,43 @@ def suffix_matched(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hits.groupBy("module").agg(F.min(F.struct(F.length("file_path").alias("n"), "file_path")).alias("best")).select("module", "best.file_path")
 
 
+#: What may follow an import's path in a file's, in order of preference.
+VARIANTS = ("", ".py", "/__init__.py", ".ts", ".tsx", "/index.ts", "/index.tsx", ".js", "/index.js", ".rs", "/mod.rs", ".go", ".rb", ".java", ".kt", ".kts")
+
+
+def walked(path: Column) -> Column:
+    """A path without empty, `.` and `..` segments; `..` above the top is dropped."""
+    return F.aggregate(F.split(path, "/"), F.lit(""), lambda a, x: F.when(x == "..", F.regexp_replace(a, "/?[^/]*$", "")).when(x.isin(".", ""), a).when(a == "", x).otherwise(F.concat(a, F.lit("/"), x)))
+
+
+def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """The file that each import (importer, module, dots) means: importer, module, imported, how; none without a file.
+
+    A module that begins with `./` or `../`, or has leading dots (counted apart,
+    one for the importer's own folder), is looked for from the importer's
+    folder: under the first of the VARIANTS, else as the file with the shortest
+    path right in that folder. Others match the file, without its ending or
+    index name, that ends with the module's path, or with its path after the
+    first segment; the shortest, then the first by name. All matches are
+    equi-joins: each file is listed under its variants, folders and suffixes.
+    """
+    path = F.regexp_replace("module", r"\.", "/")
+    local = F.when(F.col("dots") > 0, F.concat(F.expr("repeat('../', dots - 1)"), path)).when(F.col("module").rlike(r"^\.\.?/"), F.col("module"))
+    rows = imports.withColumn("local_", local)
+    stems = rows.where("local_ is not null").select("importer", "module", "dots", walked(F.concat(F.regexp_replace("importer", "[^/]*$", ""), "local_")).alias("stem"))
+    tries = stems.select("*", F.posexplode(F.array(*map(F.lit, VARIANTS))).alias("k", "variant")).withColumn("file_path", F.concat("stem", "variant"))
+    best = tries.join(files.select("file_path").distinct(), "file_path").groupBy("importer", "module", "dots").agg(F.min_by("file_path", "k").alias("imported"))
+    shortest = F.min(F.struct(F.length("file_path").alias("n"), "file_path"))
+    folders = files.where(F.col("file_path").contains("/")).select(F.regexp_extract("file_path", "^(.*)/[^/]*$", 1).alias("stem"), "file_path").groupBy("stem").agg(shortest.alias("first"))
+    found = stems.join(best, ["importer", "module", "dots"], "left").join(folders, "stem", "left").select("importer", "module", F.coalesce("imported", "first.file_path").alias("imported")).where("imported is not null")
+    named = files.select("file_path", F.regexp_replace(F.regexp_replace("file_path", r"\.[^./]*$", ""), "/(index|__init__|mod)$", "").alias("stem"))
+    parts = F.split("stem", "/")
+    keyed = named.select("file_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("key")).groupBy("key").agg(shortest.alias("first"))
+    far = rows.where("local_ is null").select("importer", "module", "dots", F.posexplode(F.array(path, F.regexp_replace(path, "^[^/]*/", ""))).alias("part", "key"))
+    far = far.join(keyed, "key").groupBy("importer", "module", "dots").agg(F.min(F.struct("part", "first")).alias("hit")).select("importer", "module", F.col("hit.first.file_path").alias("imported"))
+    return found.withColumn("how", F.lit("relative")).unionByName(far.withColumn("how", F.lit("absolute")))
+
+
 def prefix_matched(paths: DataFrame, projects: DataFrame) -> DataFrame:
     """The project whose root is the longest path prefix of each path: path, project.
 

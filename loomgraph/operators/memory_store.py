@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import fingerprint
 
 
-def bumped(memories: DataFrame, ids: DataFrame) -> DataFrame:
-    """Access counts of the ids are one higher; the others stay."""
+def bumped(memories: DataFrame, ids: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Access counts of the ids are one higher, and their last_accessed_at, where there is one, is `as_of`; the others stay."""
     hit = ids.select("id").distinct().withColumn("hit_", F.lit(1))
-    return memories.join(hit, "id", "left").withColumn("access_count", F.col("access_count") + F.coalesce("hit_", F.lit(0))).drop("hit_")
+    rows = memories.join(hit, "id", "left").withColumn("access_count", F.col("access_count") + F.coalesce("hit_", F.lit(0)))
+    if as_of and "last_accessed_at" in memories.columns:
+        rows = rows.withColumn("last_accessed_at", F.when(F.col("hit_") == 1, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("last_accessed_at")))
+    return rows.drop("hit_")
 
 
 def updated(memories: DataFrame, chosen: Column, values: Mapping[str, Column], as_of: str) -> DataFrame:
-    """Sets the given columns of the chosen rows, and their updated_at; without values nothing changes."""
+    """Sets the given columns of the chosen rows, and their updated_at; without values nothing changes.
+
+    New content brings its fingerprint along, where the memories have one.
+    """
     if not values:
         return memories
+    if "content" in values and "content_fingerprint" in memories.columns:
+        values = {**values, "content_fingerprint": fingerprint(values["content"])}
     out = {name: F.when(chosen, value).otherwise(F.col(name)) for name, value in values.items()}
     return memories.withColumns(out | {"updated_at": F.when(chosen, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("updated_at"))})
 
@@ -48,9 +56,8 @@ def first_of_each(memories: DataFrame, text: str = "content", order: str = "id")
 
 def ingested(store: DataFrame, batch: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
     """Rows of the batch that are stored: the first of each fingerprint, unless the store has it already."""
-    keyed = batch.withColumn("fp_", fingerprint(F.col(text)))
-    rank = F.row_number().over(Window.partitionBy("fp_").orderBy(*order))
-    first = keyed.withColumn("rank_", rank).where("rank_ = 1").drop("rank_")
+    keyed = batch.select(fingerprint(F.col(text)).alias("fp_"), F.struct(*order).alias("order_"), F.struct(*batch.columns).alias("row_"))
+    first = keyed.groupBy("fp_").agg(F.min_by("row_", "order_").alias("row_")).select("fp_", "row_.*")
     return first.join(store.select(fingerprint(F.col("content")).alias("fp_")).distinct(), "fp_", "left_anti").drop("fp_")
 
 

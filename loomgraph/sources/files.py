@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that are never walked into.
-SKIPPED = ("node_modules", "target", "dist", "build", "__pycache__", "venv", ".venv", "vendor", "site-packages", "coverage", "out", "bin", "obj", "env")
+SKIPPED = ("node_modules", "__pycache__", "target", "dist", "build", ".git", "vendor", "venv", ".venv", "log", "logs", "tmp", "coverage", "public", "storage", ".bundle", "e2e", "playwright-report")
 
 
 def wanted(path: Column, extensions: tuple[str, ...]) -> Column:
