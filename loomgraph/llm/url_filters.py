@@ -59,6 +59,7 @@ def matched(df: DataFrame, rules: Sequence[UrlRule]) -> DataFrame:
 UTM = r"([?&])(?:utm_[^&]*(?:&|$))+"
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?(?:[^\"'>]*\s)?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+LINKED = r"(?i)<(?:link\b[^>]*canonical|meta\b[^>]*refresh)"
 BASE = r"(?is)<base\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
 REFRESHED = r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)"
@@ -102,7 +103,8 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """
     h = F.coalesce(F.col(html), F.lit(""))
     targets = F.concat(F.transform(F.regexp_extract_all(h, F.lit(CANONICAL), F.lit(0)), _href), F.transform(F.regexp_extract_all(h, F.lit(REFRESH), F.lit(0)), lambda m: F.regexp_extract(m, REFRESHED, 1)))
-    linked = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("from_url"), F.col(html).alias("html_"), targets.alias("targets_")).where(F.size("targets_") > 0)
+    # One pass finds the few pages that may have links; only these are searched in detail.
+    linked = pages.where(F.col(url).isNotNull() & h.rlike(LINKED)).select(F.col(url).alias("from_url"), F.col(html).alias("html_"), targets.alias("targets_")).where(F.size("targets_") > 0)
     base = F.coalesce(resolved(_href(F.regexp_extract("html_", BASE, 0)), F.col("from_url")), F.col("from_url"))
     rows = linked.select("from_url", base.alias("base_"), F.explode("targets_").alias("target_"))
     return rows.select("from_url", resolved(F.col("target_"), F.col("base_")).alias("to_url")).where("to_url is not null")
