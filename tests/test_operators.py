@@ -212,3 +212,41 @@ def test_stream_of_bursts(spark, tmp_path):
     q = watch.stream_bursts(stream).writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert sorted((r.path, r.n) for r in spark.table("bursts").collect()) == [("a", 1), ("a", 2)]
+
+
+def test_truncated_by_bytes(spark):
+    texts = ["a" * 2000, "a" * 2001, "é" * 1000, "é" * 1001, "a" + "é" * 1500, "ab" + "日" * 900, "abc" + "🎉" * 600, "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in rows.select("i", T.truncated(F.col("t")).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert got[i] == (t if len(raw) <= 2000 else raw[:2000].decode(errors="ignore") + "...[truncated]")
+
+
+def test_imports_are_resolved(spark):
+    files = ["pkg/a/x.py", "pkg/b/__init__.py", "pkg/b/c.py", "web/ui/index.ts", "web/ui/list.tsx", "web/router/router.ts", "web/router/zz_other.ts", "web/main.ts", "lib/deep/pkg/a/x.py", "src/controller.rs", "top.py"]
+    imports = [("pkg/a/x.py", "b", 2), ("pkg/a/x.py", "b.c", 2), ("pkg/a/x.py", "nothing", 1), ("web/main.ts", "./ui", 0), ("web/main.ts", "./ui/list", 0), ("web/main.ts", "./router", 0), ("web/ui/list.tsx", "../main", 0), ("web/main.ts", "../../../top", 0), ("top.py", "pkg.a.x", 0), ("top.py", "a.x", 0), ("top.py", "kg.a.x", 0), ("src/main.rs", "bat.controller", 0), ("top.py", "pkg.b", 0), ("top.py", "left-pad", 0)]
+    out = graph.resolved_imports(spark.createDataFrame(imports, "importer string, module string, dots int"), spark.createDataFrame([(f,) for f in files], "file_path string"))
+    got = {(r.importer, r.module): r.imported for r in out.collect()}
+    assert got == {
+        ("pkg/a/x.py", "b"): "pkg/b/__init__.py", ("pkg/a/x.py", "b.c"): "pkg/b/c.py", ("web/main.ts", "./ui"): "web/ui/index.ts", ("web/main.ts", "./ui/list"): "web/ui/list.tsx", ("web/main.ts", "./router"): "web/router/router.ts",
+        ("web/ui/list.tsx", "../main"): "web/main.ts", ("web/main.ts", "../../../top"): "top.py", ("top.py", "pkg.a.x"): "pkg/a/x.py", ("top.py", "a.x"): "pkg/a/x.py", ("top.py", "kg.a.x"): "pkg/a/x.py", ("src/main.rs", "bat.controller"): "src/controller.rs", ("top.py", "pkg.b"): "pkg/b/__init__.py",
+    }
+
+
+def test_nearest_ranks(spark):
+    rows = [("one", 5.0), ("null", None), ("same", 2.0), ("same", 2.0), (None, 1.0)] + [("many", float((7 * k) % 1000) ** 2) for k in range(1000)] + [("ties", float(k // 300)) for k in range(1000)]
+    got = {r.k: (r.p50, r.p95, r.p99) for r in evaluation.nearest_ranks(spark.createDataFrame(rows, "k string, v double"), "k", "v", (0.5, 0.95, 0.99)).collect()}
+    for key in ("one", "same", "many", "ties"):
+        v = sorted(x for k, x in rows if k == key)
+        assert got[key] == tuple(v[int(p * (len(v) - 1) + 0.5)] for p in (0.5, 0.95, 0.99))
+    assert got["null"] == (None, None, None)
+
+
+def test_new_content_has_its_fingerprint(spark):
+    rows = spark.createDataFrame([(1, "Old  Text", "x", None, None), (2, "b", "y", None, None)], "id int, content string, content_fingerprint string, updated_at timestamp_ntz, last_accessed_at timestamp_ntz").withColumn("access_count", F.lit(0))
+    out = memory_store.updated(rows, F.col("id") == 1, {"content": F.lit("new TEXT")}, "2024-01-01 00:00:00")
+    got = {r.id: r for r in out.withColumn("want", T.fingerprint(F.lit("New text"))).collect()}
+    assert got[1].content_fingerprint == got[1].want and got[2].content_fingerprint == "y"
+    seen = {r.id: (r.access_count, r.last_accessed_at is None) for r in memory_store.bumped(rows, rows.where("id = 2"), "2024-01-01 00:00:00").collect()}
+    assert seen == {1: (0, True), 2: (1, False)}
