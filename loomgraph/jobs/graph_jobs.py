@@ -312,9 +312,9 @@ def ab_conversation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("tool_calls"), F.count(F.lit(1)).alias("turns"), F.round(F.sum("value"), 4).alias("tokens"), wall.alias("wall_us"))
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file per customer, in a language by key: a class, a field and a method per order."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+def source_files(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+    """One source file per customer, in a language by key: a class, a field and a method per order; of the orders before a moment, if one is given."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz") if before else F.lit(True)).select("o_custkey", "o_orderkey").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     c = table(spark, sf_dir, "customer").select("c_custkey")
     key, order, prev = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("r")).cast("string")
     lang = (F.col("o_custkey") % 4).cast("int")
@@ -438,5 +438,5 @@ ORACLES = {
     "ab_token_pivot": f"WITH p AS (SELECT conv_id, sum({_TOK}) FILTER (role = 'user') AS u, sum({_TOK}) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id) SELECT count(*) AS pairs, coalesce(sum(u), 0)::BIGINT AS \"user\", coalesce(sum(a), 0)::BIGINT AS assistant, round(100.0::DOUBLE * (sum(a) - sum(u)) / sum(u), 4) AS change_percent FROM p WHERE u IS NOT NULL AND a IS NOT NULL",
     "ab_conversation_totals": "SELECT user_id, count(*) FILTER (event_type = 'click') AS tool_calls, count(*) AS turns, round(sum(value), 4) AS tokens, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS wall_us FROM events GROUP BY user_id",
     "parse_symbols": f"WITH {_ORD} SELECT file_path, 'file' AS kind, 1::BIGINT AS n, file_path AS first_name FROM f UNION ALL SELECT file_path, 'class', 1, 'Customer' || c_custkey FROM f UNION ALL SELECT file_path, 'field', 1, 'total' FROM f UNION ALL SELECT file_path, 'method', m, 'run_' || first_order FROM f WHERE m > 0",
-    "parse_relationships": f"WITH {_ORD} SELECT file_path, 'defines' AS rel_type, m + 2 AS n, (m + 2)::DOUBLE AS confidence FROM f UNION ALL SELECT file_path, 'imports', 1, 0.3 FROM f UNION ALL SELECT file_path, 'inherits', 1, 0.5 FROM f UNION ALL SELECT file_path, 'calls', m, 0.5 + (m - 1) FROM f WHERE m > 0",
+    "parse_relationships": f"WITH {_ORD} SELECT file_path, 'defines' AS rel_type, m + 2 AS n, (m + 2)::DOUBLE AS confidence FROM f UNION ALL SELECT file_path, 'imports', 1, 0.3 FROM f UNION ALL SELECT file_path, 'inherits', 1, CASE WHEN c_custkey % 4 IN (1, 2) THEN 0.8 ELSE 0.5 END FROM f UNION ALL SELECT file_path, 'calls', m, 0.5 + (m - 1) FROM f WHERE m > 0",
 }

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Types after a colon or an arrow, and members of the own object that are neither called nor written.
+ANNOTATED = r"(?:(?<!:):(?!:)|->)\s*&?(?:mut\s+)?(?:[\w.]+\.)?([A-Z]\w*)"
+READS = r"\b(?:self|this)\.([A-Za-z_]\w*)\b(?!\s*\()(?!\s*(?:[-+*/|&^%]|\|\||&&|\*\*|//)?=(?!=))"
 #: A pattern that matches no line.
 NOTHING = r"(?!)()"
 
@@ -30,6 +33,12 @@ class Language(NamedTuple):
     comment: str
     indented: bool
     methods: str = NOTHING
+    names: str = NOTHING  # group 1: what an import brings in, identifiers in any punctuation
+    types: str = NOTHING  # every match's group 1 is a type that the line uses
+    reads: str = NOTHING  # every match's group 1 is a member that the line reads
+    owners: str = NOTHING  # a block that holds methods of group 1, but is no symbol
+    receiver: str = NOTHING  # the class of a method that stands outside it
+    joint: str = ""  # between class and method in a method's name; empty for bare names
 
 
 #: File extensions by language.
@@ -46,15 +55,18 @@ _TS = Language(
     r"^\s*(?://|\*|/\*)",
     False,
     r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*(?::[^={]+)?\{",
+    r"^\s*import\s+(?:type\s+)?([^'\"]*?)\s+from\b",
+    ANNOTATED,
+    READS,
 )
 
 LANGUAGES: dict[str, Language] = {
-    "python": Language(r"^\s*class\s+([A-Za-z_]\w*)", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", r"^\s*(?:from|import)\s+([.\w]+)", r"^\s*class\s+[A-Za-z_]\w*\s*\(([^)]*)\)", r"^\s+([A-Za-z_]\w*)\s*(?::\s*[^=]+)?(?:=(?!=).*)?$", r"^\s*#", True),
+    "python": Language(r"^\s*class\s+([A-Za-z_]\w*)", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", r"^\s*(?:from|import)\s+([.\w]+)", r"^\s*class\s+[A-Za-z_]\w*\s*\(([^)]*)\)", r"^\s+([A-Za-z_]\w*)\s*(?::\s*[^=]+)?(?:=(?!=).*)?$", r"^\s*#", True, names=r"^\s*(?:from\s+[.\w]+\s+)?import\s+([\w, ()*]+)", types=ANNOTATED, reads=READS),
     "typescript": _TS, "tsx": _TS, "javascript": _TS, "jsx": _TS,
-    "rust": Language(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_]\w*)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", r"^\s*(?:pub\s+)?use\s+([\w:]+)", r"^\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+\w+", r"^\s+(?:pub(?:\([^)]*\))?\s+)?([a-z_]\w*)\s*:\s*[^:=][^=]*,\s*$", r"^\s*//", False),
-    "go": Language(r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$", r"^\s+\*?([A-Z]\w*)\s*$", r"^\s+([A-Za-z_]\w*)\s+[\[\]*\w.]+(?:\s+`[^`]*`)?\s*$", r"^\s*//", False),
-    "java": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)", NOTHING, r"^\s*import\s+(?:static\s+)?([\w.]+)", r"\b(?:extends|implements)\s+([\w.,\s<>]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*[A-Za-z_][\w<>\[\], ]*\s+([A-Za-z_]\w*)\s*(?:=[^=].*)?;\s*$", r"^\s*(?://|\*|/\*)", False, r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+)*(?:[A-Za-z_][\w<>\[\], .]*\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?\{"),
-    "kotlin": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|object)\s+([A-Za-z_]\w*)", r"^\s*(?:[a-z]+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*)", r"^\s*import\s+([\w.]+)", r"\b(?:class|object)\s+\w+[^:{]*:\s*([\w.,\s()]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*va[lr]\s+([A-Za-z_]\w*)", r"^\s*(?://|\*|/\*)", False),
+    "rust": Language(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_]\w*)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", r"^\s*(?:pub\s+)?use\s+([\w:]+)", r"^\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+\w+", r"^\s+(?:pub(?:\([^)]*\))?\s+)?([a-z_]\w*)\s*:\s*[^:=][^=]*,\s*$", r"^\s*//", False, names=r"^\s*(?:pub\s+)?use\s+(?:\w+::)*(\w+|\{[^}]*\})", types=ANNOTATED, reads=READS, owners=r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:]+(?:<[^>]*>)?\s+for\s+)?(\w+)", joint="::"),
+    "go": Language(r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$", r"^\s+\*?([A-Z]\w*)\s*$", r"^\s+([A-Za-z_]\w*)\s+[\[\]*\w.]+(?:\s+`[^`]*`)?\s*$", r"^\s*//", False, types=r"^\s*(?:func\b|var\b|\w+\s).*?[\s(\]*](?:[a-z]\w*\.)?([A-Z]\w*)(?=\s*[,){]|\s*$)", receiver=r"^\s*func\s+\(\s*(?:\w+\s+)?\*?(\w+)", joint="."),
+    "java": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)", NOTHING, r"^\s*import\s+(?:static\s+)?([\w.]+)", r"\b(?:extends|implements)\s+([\w.,\s<>]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*[A-Za-z_][\w<>\[\], ]*\s+([A-Za-z_]\w*)\s*(?:=[^=].*)?;\s*$", r"^\s*(?://|\*|/\*)", False, r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+)*(?:[A-Za-z_][\w<>\[\], .]*\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?\{", r"^\s*import\s+(?:static\s+)?(?:\w+\.)*(\w+)\s*;", r"\b([A-Z]\w*)(?:<[^>]*>)?(?:\[\])*\s+[a-z_]\w*\s*[=;,)]", READS),
+    "kotlin": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|object)\s+([A-Za-z_]\w*)", r"^\s*(?:[a-z]+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*)", r"^\s*import\s+([\w.]+)", r"\b(?:class|object)\s+\w+[^:{]*:\s*([\w.,\s()]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*va[lr]\s+([A-Za-z_]\w*)", r"^\s*(?://|\*|/\*)", False, names=r"^\s*import\s+(?:\w+\.)*(\w+(?:\s+as\s+\w+)?)\s*$", types=ANNOTATED, reads=READS),
     "ruby": Language(r"^\s*(?:class|module)\s+([A-Z]\w*(?:::\w+)*)", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", r"^\s*(?:class\s+[\w:]+\s*<|include|prepend|extend)\s*([A-Z][\w:]*)", r"^\s*attr_(?:reader|writer|accessor)\s+:(\w+)", r"^\s*#", True),
 }
 
@@ -71,6 +83,30 @@ def _named(pattern: str) -> Column:
     return F.nullif(F.expr(f"regexp_extract(line, p_{pattern}, 1)"), F.lit(""))
 
 
+def _all(pattern: str) -> Column:
+    """Group 1 of every match of a pattern, each once."""
+    return F.array_distinct(F.expr(f"regexp_extract_all(line, p_{pattern}, 1)"))
+
+
+def innermost(points: DataFrame, spans: DataFrame, strictly: bool = False) -> DataFrame:
+    """Points (file_path, line, ...) with the innermost of the nested spans (file_path, start_line, end_line, ...) that holds them: span, null if none does.
+
+    Spans nest: two of a file are apart or one holds the other. So a running
+    count of the open ones gives each place its depth, and the span that opened
+    last at that depth is the innermost; two sorts by file, however long it is.
+    With `strictly`, a span doesn't hold its own first line.
+    """
+    point, span = F.struct(*points.columns), F.struct(*spans.columns)
+    no_point, no_span = F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType), F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType)
+    marks = spans.select("file_path", F.col("start_line").cast("long").alias("at_"), F.lit(2).alias("turn_"), F.lit(1).alias("step_"), no_point.alias("point_"), span.alias("span_"))
+    marks = marks.unionByName(spans.select("file_path", (F.col("end_line") + 1).cast("long").alias("at_"), F.lit(0).alias("turn_"), F.lit(-1).alias("step_"), no_point.alias("point_"), no_span.alias("span_")))
+    marks = marks.unionByName(points.select("file_path", F.col("line").cast("long").alias("at_"), F.lit(1 if strictly else 3).alias("turn_"), F.lit(0).alias("step_"), point.alias("point_"), no_span.alias("span_")))
+    upto = lambda *by: Window.partitionBy(*by).orderBy("at_", "turn_").rowsBetween(Window.unboundedPreceding, 0)
+    deep = marks.withColumn("deep_", F.sum("step_").over(upto("file_path")))
+    held = deep.where("turn_ <> 0").withColumn("span_", F.when(F.col("deep_") > 0, F.last("span_", ignorenulls=True).over(upto("file_path", "deep_"))))
+    return held.where("point_ is not null").select("point_.*", F.col("span_").alias("span"))
+
+
 def language_of(path: Column) -> Column:
     """Language by the file's extension, null if unknown."""
     known = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
@@ -90,49 +126,78 @@ def parsed_symbols(lines: DataFrame) -> DataFrame:
 
     A file is a symbol that spans it. A definition ends before the next line
     that isn't deeper, or at the end of the file; a function whose innermost
-    enclosing definition is a class is a method. Fields are looked for directly
-    in classes.
+    enclosing definition is a class, or that names a receiver, is a method. In
+    languages with a joint, a method's name begins with that of its class.
+    Fields are looked for directly in classes. All is done by windows over a
+    file's lines, so the work grows with the lines times the levels of nesting.
     """
-    rows = patterned(lines.where("trim(line) <> ''")).select("file_path", "language", "line_no", "line", F.when(F.col("p_indented"), F.col("indent")).otherwise(F.col("depth")).alias("level"), _named("classes").alias("class_"), F.coalesce(_named("functions"), _named("methods")).alias("function_"), _named("fields").alias("field_"))
-    rows = rows.withColumn("function_", F.when(~F.col("function_").isin(*NOT_CALLS), F.col("function_")))
-    named = rows.where("class_ is not null or function_ is not null").select("file_path", "language", F.coalesce("class_", "function_").alias("name"), F.when(F.col("class_").isNotNull(), "class").otherwise("function").alias("kind"), "line_no", "level")
-    last = rows.groupBy("file_path", "language").agg(F.max("line_no").alias("last_line"))
-    ends = named.alias("d").join(rows.alias("r"), (F.col("d.file_path") == F.col("r.file_path")) & (F.col("r.line_no") > F.col("d.line_no")) & (F.col("r.level") <= F.col("d.level")) & ~F.trim("r.line").rlike(r"^[)}\]]|^end\b"))
-    ends = ends.groupBy("d.file_path", "d.line_no").agg(F.min("r.line_no").alias("next_line"))
-    spans = named.join(ends, ["file_path", "line_no"], "left").join(last.drop("language"), "file_path").select("file_path", "language", "name", "kind", F.col("line_no").alias("start_line"), F.coalesce(F.col("next_line") - 1, "last_line").alias("end_line"), "level")
-    inner = spans.alias("i").join(spans.alias("o"), (F.col("i.file_path") == F.col("o.file_path")) & (F.col("i.start_line") > F.col("o.start_line")) & (F.col("i.start_line") <= F.col("o.end_line")) & (F.col("i.level") > F.col("o.level")))
-    parent = inner.groupBy(F.col("i.file_path").alias("file_path"), F.col("i.start_line").alias("start_line")).agg(F.max(F.struct("o.start_line", "o.name", "o.kind")).alias("p"))
-    defined = spans.join(parent, ["file_path", "start_line"], "left")
-    defined = defined.select("file_path", "language", "name", F.when((F.col("kind") == "function") & (F.col("p.kind") == "class"), "method").otherwise(F.col("kind")).alias("kind"), "start_line", "end_line", F.col("p.name").alias("parent"))
-    fields = rows.where("field_ is not null and class_ is null and function_ is null").alias("f").join(spans.alias("o"), (F.col("f.file_path") == F.col("o.file_path")) & (F.col("f.line_no") > F.col("o.start_line")) & (F.col("f.line_no") <= F.col("o.end_line")))
-    fields = fields.groupBy("f.file_path", "f.language", "f.field_", "f.line_no").agg(F.max(F.struct("o.start_line", "o.name", "o.kind")).alias("p")).where("p.kind = 'class'")
-    fields = fields.where(~F.col("field_").isin(*NOT_CALLS, "pass", "self", "end")).select("file_path", "language", F.col("field_").alias("name"), F.lit("field").alias("kind"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.col("p.name").alias("parent"))
+    code = patterned(lines.where("trim(line) <> ''"))
+    function = F.coalesce(_named("functions"), _named("methods"))
+    rows = code.select("file_path", "language", "line_no", "line", F.when(F.col("p_indented"), F.col("indent")).otherwise(F.col("depth")).cast("int").alias("level"), _named("classes").alias("class_"), _named("owners").alias("block_"), F.when(~function.isin(*NOT_CALLS), function).alias("function_"), _named("fields").alias("field_"), _named("receiver").alias("receiver_"), F.col("p_joint").alias("joint_"))
+    rows = rows.withColumn("opens_", F.coalesce("class_", "block_", "function_"))
+    last = rows.groupBy("file_path", "language").agg(F.max("line_no").alias("last_line"), F.sort_array(F.collect_set(F.when(F.col("opens_").isNotNull(), F.col("level")))).alias("levels_"))
+    # For each level of definitions, the lines that end one: a definition's next one is its end.
+    ending = rows.where("opens_ is not null or not rlike(trim(line), '^([)}\\\\]]|end\\\\b)')").join(last, ["file_path", "language"])
+    ending = ending.withColumn("level_", F.explode(F.filter("levels_", lambda t: t >= F.col("level"))))
+    after = F.lead("line_no").over(Window.partitionBy("file_path", "level_").orderBy("line_no"))
+    kind = F.when(F.col("class_").isNotNull(), "class").when(F.col("block_").isNotNull(), "block").otherwise("function")
+    spans = ending.withColumn("end_line", F.coalesce(after - 1, "last_line")).where("opens_ is not null and level = level_").select("file_path", "language", F.col("opens_").alias("name"), kind.alias("kind"), F.col("line_no").alias("start_line"), "end_line", "receiver_", "joint_")
+    holders = spans.select("file_path", "start_line", "end_line", "name", "kind")
+    inner = innermost(spans.withColumn("line", F.col("start_line")), holders, strictly=True)
+    owner = F.coalesce("receiver_", F.when(F.col("span.kind").isin("class", "block"), F.col("span.name")))
+    method = (F.col("kind") == "function") & owner.isNotNull()
+    name = F.when(method & (F.col("joint_") != ""), F.concat(owner, "joint_", "name")).otherwise(F.col("name"))
+    defined = inner.where("kind <> 'block'").select("file_path", "language", name.alias("name"), F.when(method, "method").otherwise(F.col("kind")).alias("kind"), "start_line", "end_line", F.coalesce("receiver_", "span.name").alias("parent"))
+    fields = innermost(rows.where("field_ is not null and opens_ is null").select("file_path", "language", "field_", F.col("line_no").alias("line")), holders).where("span.kind = 'class'")
+    fields = fields.where(~F.col("field_").isin(*NOT_CALLS, "pass", "self", "end")).select("file_path", "language", F.col("field_").alias("name"), F.lit("field").alias("kind"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.col("span.name").alias("parent"))
     files = last.select("file_path", "language", F.col("file_path").alias("name"), F.lit("file").alias("kind"), F.lit(1).alias("start_line"), F.col("last_line").alias("end_line"), F.lit(None).cast("string").alias("parent"))
     return files.unionByName(defined).unionByName(fields)
 
 
+def parsed_imports(lines: DataFrame) -> DataFrame:
+    """Import statements: file_path, module, names (what they bring in)."""
+    code = patterned(lines).select("file_path", _named("imports").alias("module"), _named("names").alias("names_")).where("module is not null")
+    return code.select("file_path", "module", F.array_except(F.regexp_extract_all(F.coalesce("names_", F.lit("")), F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1)), F.array(F.lit("as"), F.lit("type"))).alias("names"))
+
+
 def parsed_relationships(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """Relationships by name: file_path, source, target, rel_type, confidence.
 
-    defines (1.0) from a class to its members or from the file; imports (0.3);
-    inherits and calls by where the target is known: 1.0 in the file, 0.5
-    elsewhere, 0.6 for a call on self or this. A call belongs to the innermost
-    enclosing function, else to the file.
+    defines (1.0) from a class to its members or from the file; imports (0.3,
+    until the file is found); references (1.0) to members that are read from
+    the own object and defined in the file; inherits, calls and uses_type by
+    where the target is known: 1.0 in the file, 0.8 where imported, 0.5
+    elsewhere, 0.6 for a call on self or this. All but inheritance belong to
+    the innermost enclosing function, else to the file. On the own object, a
+    name means the member of the source's class first, in languages with a
+    joint. What a Python file imports by name, it uses (0.8).
     """
-    code = patterned(lines).select("file_path", "line_no", "line", _named("imports").alias("import_"), _named("inherits").alias("bases_"))
+    code = patterned(lines)
     here = symbols.where("kind <> 'file'").select("file_path", F.col("name").alias("target"), F.lit(1).alias("local_")).distinct()
+    brought = parsed_imports(lines).select("file_path", F.explode("names").alias("target"), F.lit(1).alias("imported_")).distinct()
     defines = symbols.where("kind <> 'file'").select("file_path", F.coalesce("parent", "file_path").alias("source"), F.col("name").alias("target"), F.lit("defines").alias("rel_type"), F.lit(1.0).alias("confidence"))
-    imports = code.where("import_ is not null").select("file_path", F.col("file_path").alias("source"), F.col("import_").alias("target"), F.lit("imports").alias("rel_type"), F.lit(0.3).alias("confidence"))
-    bases = code.where("bases_ is not null").select("file_path", "line_no", F.explode(F.split("bases_", r"\s*,\s*|\s+implements\s+")).alias("base_"))
-    bases = bases.select("file_path", F.col("line_no").alias("line"), F.regexp_extract("base_", r"^\s*([\w$.:]+)", 1).alias("target")).where("target <> '' and target <> 'object'")
-    spans = symbols.where("kind in ('class', 'function', 'method')").select("file_path", "name", "kind", "start_line", "end_line")
-    owner = lambda rows, kinds: rows.join(spans.where(F.col("kind").isin(*kinds)), "file_path").where(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("file_path", "line", "target").agg(F.max(F.struct("start_line", "name")).alias("o"))
-    inherits = owner(bases, ("class",)).join(here, ["file_path", "target"], "left").select("file_path", F.col("o.name").alias("source"), "target", F.lit("inherits").alias("rel_type"), F.when(F.col("local_") == 1, 1.0).otherwise(0.5).alias("confidence"))
-    called = code.select("file_path", F.col("line_no").alias("line"), F.explode(F.regexp_extract_all("line", F.lit(r"(?<![\w$])((?:self\.|this\.)?[A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("called_"))
-    called = called.select("file_path", "line", F.regexp_replace("called_", r"^(self|this)\.", "").alias("target"), F.col("called_").rlike(r"^(self|this)\.").alias("own_")).where(~F.col("target").isin(*NOT_CALLS))
-    called = called.join(symbols.where("kind <> 'file'").select("file_path", F.col("start_line").alias("line"), F.col("name").alias("target")), ["file_path", "line", "target"], "left_anti")
-    owners = owner(called, ("function", "method")).select("file_path", "line", "target", F.col("o.name").alias("owner_"))
-    calls = called.join(owners, ["file_path", "line", "target"], "left").join(here, ["file_path", "target"], "left")
-    calls = calls.select("file_path", F.coalesce("owner_", "file_path").alias("source"), "target", F.lit("calls").alias("rel_type"), F.when(F.col("local_") == 1, 1.0).when(F.col("own_"), 0.6).otherwise(0.5).alias("confidence"))
-    every = defines.unionByName(imports).unionByName(inherits).unionByName(calls)
+    imports = parsed_imports(lines).select("file_path", F.col("file_path").alias("source"), F.col("module").alias("target"), F.lit("imports").alias("rel_type"), F.lit(0.3).alias("confidence"))
+    spans = symbols.where("kind in ('class', 'function', 'method')").select("file_path", "name", "kind", "start_line", "end_line", "parent")
+    known = lambda rows: rows.join(here, ["file_path", "target"], "left").join(brought, ["file_path", "target"], "left")
+    tier = F.when(F.col("local_") == 1, 1.0).when(F.col("imported_") == 1, 0.8)
+    bases = code.select("file_path", F.col("line_no").alias("line"), _named("inherits").alias("bases_"), _named("owners").alias("block_")).where("bases_ is not null")
+    bases = bases.select("file_path", "line", "block_", F.explode(F.split("bases_", r"\s*,\s*|\s+implements\s+")).alias("base_"))
+    bases = bases.select("file_path", "line", "block_", F.regexp_extract("base_", r"^\s*([\w$.:]+)", 1).alias("target")).where("target <> '' and target <> 'object'")
+    heirs = innermost(bases, spans.where("kind = 'class'")).withColumn("source", F.coalesce("block_", "span.name")).where("source is not null")
+    inherits = known(heirs).select("file_path", "source", "target", F.lit("inherits").alias("rel_type"), F.coalesce(tier, F.lit(0.5)).alias("confidence"))
+    call = F.regexp_extract_all("line", F.lit(r"(?<![\w$:])((?:self\.|this\.|Self::)?[A-Za-z_$][\w$]*(?:::[a-z_]\w*)?)\s*\("), F.lit(1))
+    found = code.where(_named("imports").isNull()).select("file_path", F.col("line_no").alias("line"), F.col("p_joint").alias("joint_"), F.explode(F.concat(
+        F.transform(call, lambda c: F.struct(F.lit("calls").alias("rel_type"), F.regexp_replace(c, r"^(self\.|this\.|Self::)", "").alias("target"), c.rlike(r"^(self\.|this\.|Self::)").alias("own_"))),
+        F.transform(_all("types"), lambda c: F.struct(F.lit("uses_type").alias("rel_type"), c.alias("target"), F.lit(False).alias("own_"))),
+        F.transform(_all("reads"), lambda c: F.struct(F.lit("references").alias("rel_type"), c.alias("target"), F.lit(True).alias("own_"))),
+    )).alias("u")).select("file_path", "line", "joint_", "u.*").where(~F.col("target").isin(*NOT_CALLS))
+    defining = symbols.where("kind in ('class', 'function', 'method')").select("file_path", F.col("start_line").alias("line"), F.element_at(F.split("name", r"::|\."), -1).alias("target"), F.explode(F.array(F.lit("calls"), F.lit("uses_type"))).alias("rel_type"))
+    found = found.join(defining, ["file_path", "line", "target", "rel_type"], "left_anti").join(bases.select("file_path", "line", "target"), ["file_path", "line", "target"], "left_anti")
+    uses = innermost(found, spans.where("kind in ('function', 'method')"))
+    member = F.concat("span.parent", "joint_", "target")
+    uses = uses.withColumn("target", F.when(F.col("own_") & (F.col("joint_") != "") & (F.col("rel_type") == "calls") & F.col("span.parent").isNotNull(), member).otherwise(F.col("target")))
+    uses = known(uses).where("rel_type <> 'references' or local_ = 1").select("file_path", F.coalesce("span.name", "file_path").alias("source"), "target", "rel_type", F.coalesce(tier, F.when(F.col("own_"), 0.6).otherwise(0.5)).alias("confidence"))
+    taken = code.where("language = 'python' and rlike(line, '^ *from ')").select("file_path", F.col("file_path").alias("source"), F.explode(F.regexp_extract_all(F.coalesce(_named("names"), F.lit("")), F.lit(r"(\w+)(?:\s+as\s+\w+)?"), F.lit(1))).alias("target"), F.lit("uses_type").alias("rel_type"), F.lit(0.8).alias("confidence"))
+    uses = uses.unionByName(taken)
+    every = defines.unionByName(imports).unionByName(inherits).unionByName(uses)
     return every.where("source <> target").groupBy("file_path", "source", "target", "rel_type").agg(F.max("confidence").alias("confidence"))

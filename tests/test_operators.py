@@ -128,6 +128,8 @@ def test_retrieval_scores_of_nothing(spark):
 
 
 SOURCES = {
+    "app/t.py": "from shop.money import Money, Rate as R\n\nclass Item:\n    cost: int = 0\n    def price(self, r: Rate) -> Money:\n        return Money(self.cost, tax(r))\ndef tax(r):\n    def inner():\n        return tax(0)\n    return r\ndef top():\n    pass\ntop()\n",
+    "app/o.ts": "import { Money, Rate } from './money';\nclass Order implements Priced {\n  cost = 0;\n  price(r: Rate): Money {\n    this.seen = true;\n    return this.tax(this.cost, r);\n  }\n  tax(a, b) {\n    return a;\n  }\n}\n",
     "app/inv.py": "import os\nfrom base import Base\n\nclass Invoice(Base):\n    total = 0\n    def add(self, x):\n        self.check(x)\n        return helper(x)\n\n    def check(self, x):\n        return x\n\ndef helper(x):\n    return x\n",
     "app/a.ts": "import { B } from './b';\nexport class A extends B {\n  n: number = 0;\n  run(x: number): void {\n    this.stop(x);\n  }\n  stop(x: number) {\n    go(x);\n  }\n}\nexport const go = (x) => {\n  return x;\n}\n",
     "app/l.rs": "use crate::base::Base;\npub struct Acc {\n    pub total: i64,\n}\nimpl Base for Acc {\n    fn add(&self) {\n        self.total();\n    }\n}\nfn main() {\n    add();\n}\n",
@@ -151,8 +153,10 @@ def parsed(spark):
     [
         ("app/inv.py", {("Invoice", "class"), ("total", "field"), ("add", "method"), ("check", "method"), ("helper", "function")}),
         ("app/a.ts", {("A", "class"), ("n", "field"), ("run", "method"), ("stop", "method"), ("go", "function")}),
-        ("app/l.rs", {("Acc", "class"), ("total", "field"), ("main", "function")}),
-        ("app/m.go", {("Srv", "class"), ("port", "field"), ("Start", "function"), ("listen", "function")}),
+        ("app/l.rs", {("Acc", "class"), ("total", "field"), ("Acc::add", "method"), ("main", "function")}),
+        ("app/m.go", {("Srv", "class"), ("port", "field"), ("Srv.Start", "method"), ("listen", "function")}),
+        ("app/t.py", {("Item", "class"), ("cost", "field"), ("price", "method"), ("tax", "function"), ("inner", "function"), ("top", "function")}),
+        ("app/o.ts", {("Order", "class"), ("cost", "field"), ("price", "method"), ("tax", "method")}),
         ("app/N.java", {("N", "class"), ("total", "field"), ("add", "method"), ("check", "method")}),
         ("app/k.kt", {("K", "class"), ("total", "field"), ("add", "method"), ("check", "method")}),
         ("app/r.rb", {("R", "class"), ("total", "field"), ("add", "method"), ("check", "method")}),
@@ -160,23 +164,33 @@ def parsed(spark):
 )
 def test_symbols(parsed, path, want):
     found = {(r.name, r.kind) for r in parsed[0] if r.file_path == path and r.kind != "file"}
-    assert want <= found
+    assert found == want
 
 
 @pytest.mark.parametrize(
     ("path", "want"),
     [
-        ("app/inv.py", {("Invoice", "Base", "inherits", 0.5), ("add", "check", "calls", 1.0), ("add", "helper", "calls", 1.0), ("Invoice", "add", "defines", 1.0)}),
-        ("app/a.ts", {("A", "B", "inherits", 0.5), ("run", "stop", "calls", 1.0), ("stop", "go", "calls", 1.0)}),
-        ("app/m.go", {("Srv", "Base", "inherits", 0.5), ("Start", "listen", "calls", 1.0)}),
-        ("app/N.java", {("N", "Base", "inherits", 0.5), ("add", "check", "calls", 1.0)}),
-        ("app/k.kt", {("K", "Base", "inherits", 0.5), ("add", "check", "calls", 1.0)}),
-        ("app/r.rb", {("R", "Base", "inherits", 0.5), ("R", "Helper", "inherits", 0.5), ("add", "check", "calls", 1.0)}),
+        ("app/inv.py", {("Invoice", "Base", "inherits", 0.8), ("app/inv.py", "Base", "uses_type", 0.8), ("app/inv.py", "base", "imports", 0.3), ("app/inv.py", "os", "imports", 0.3), ("add", "check", "calls", 1.0), ("add", "helper", "calls", 1.0)}),
+        ("app/a.ts", {("A", "B", "inherits", 0.8), ("app/a.ts", "./b", "imports", 0.3), ("run", "stop", "calls", 1.0), ("stop", "go", "calls", 1.0)}),
+        ("app/l.rs", {("Acc", "Base", "inherits", 0.8), ("app/l.rs", "crate::base::Base", "imports", 0.3), ("Acc::add", "Acc::total", "calls", 0.6), ("main", "add", "calls", 0.5)}),
+        ("app/m.go", {("Srv", "Base", "inherits", 0.5), ("app/m.go", "fmt", "imports", 0.3), ("Srv.Start", "Srv", "uses_type", 1.0), ("Srv.Start", "listen", "calls", 1.0)}),
+        ("app/N.java", {("N", "Base", "inherits", 0.8), ("app/N.java", "a.Base", "imports", 0.3), ("add", "check", "calls", 1.0)}),
+        ("app/k.kt", {("K", "Base", "inherits", 0.8), ("app/k.kt", "a.Base", "imports", 0.3), ("add", "check", "calls", 1.0), ("add", "Int", "uses_type", 0.5), ("check", "Int", "uses_type", 0.5)}),
+        ("app/r.rb", {("R", "Base", "inherits", 0.5), ("R", "Helper", "inherits", 0.5), ("app/r.rb", "base", "imports", 0.3), ("add", "check", "calls", 1.0)}),
+        ("app/t.py", {("app/t.py", "shop.money", "imports", 0.3), ("app/t.py", "Money", "uses_type", 0.8), ("app/t.py", "Rate", "uses_type", 0.8), ("price", "Rate", "uses_type", 0.8), ("price", "Money", "uses_type", 0.8), ("price", "cost", "references", 1.0), ("price", "Money", "calls", 0.8), ("price", "tax", "calls", 1.0), ("inner", "tax", "calls", 1.0), ("app/t.py", "top", "calls", 1.0)}),
+        ("app/o.ts", {("app/o.ts", "./money", "imports", 0.3), ("Order", "Priced", "inherits", 0.5), ("price", "Rate", "uses_type", 0.8), ("price", "Money", "uses_type", 0.8), ("price", "cost", "references", 1.0), ("price", "tax", "calls", 1.0)}),
     ],
 )
 def test_relationships(parsed, path, want):
-    found = {(r.source, r.target, r.rel_type, r.confidence) for r in parsed[1] if r.file_path == path}
-    assert want <= found
+    found = {(r.source, r.target, r.rel_type, r.confidence) for r in parsed[1] if r.file_path == path and r.rel_type != "defines"}
+    assert found == want
+
+
+def test_definitions_belong_to_their_class_or_file(parsed):
+    found = {(r.source, r.target) for r in parsed[1] if r.rel_type == "defines"}
+    assert found == {(r.parent or r.file_path, r.name) for r in parsed[0] if r.kind != "file"}
+    spans = {(r.name, r.kind): (r.start_line, r.end_line, r.parent) for r in parsed[0] if r.file_path == "app/t.py"}
+    assert spans["Item", "class"] == (3, 6, None) and spans["price", "method"] == (5, 6, "Item") and spans["inner", "function"] == (8, 9, "tax") and spans["tax", "function"] == (7, 10, None)
 
 
 def test_source_tree_skips_hidden_and_other_files(spark, tmp_path):
