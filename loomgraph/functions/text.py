@@ -29,6 +29,11 @@ def stems(text: Column) -> Column:
     return F.transform(F.filter(tokens(text), lambda t: ~t.isin(*STOP_WORDS)), stem)
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends, that of Unicode and line ends included."""
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++\z", "")
+
+
 def normalised(text: Column) -> Column:
     """Lower case, white-space runs as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), "[ \\t\\n\\x0B\\f\\r]+", " "))

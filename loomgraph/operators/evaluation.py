@@ -61,3 +61,56 @@ def paired_totals(runs: DataFrame, pair: str, mode: str, modes: Sequence[str], v
     whole = per.dropna(subset=list(modes))
     sums = whole.agg(F.count(F.lit(1)).alias("pairs"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in modes])
     return sums.withColumn("change_percent", F.round(F.try_divide(100.0 * (F.col(modes[1]) - F.col(modes[0])), F.col(modes[0])), 4))
+
+
+#: Categories of queries with their titles.
+CATEGORIES = {"A": "A - Basic Search Quality", "B": "B - Hybrid Search Effectiveness", "C": "C - Filtering", "D": "D - Edge Cases", "E": "E - Ranking Quality", "F": "F - Performance"}
+
+
+def category_summary(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """Passed and all queries of each known category that has any: category (its title), passed, total.
+
+    Results (query_id, passed) meet the ground truth (query_id, category); a
+    query that is listed twice in a category counts once there.
+    """
+    titles = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
+    rows = results.join(truth.select("query_id", F.try_element_at(titles, F.col("category")).alias("category")).where("category is not null").distinct(), "query_id")
+    return rows.groupBy("category").agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"))
+
+
+def delta(before: Column, after: Column) -> Column:
+    """The change in percent with its sign and one decimal; N/A without a base."""
+    change = F.bround(F.try_divide(100.0 * (after - before), before), 1)
+    return F.when((before == 0) | before.isNull(), "N/A").otherwise(F.concat(F.when(change > 0, "+").otherwise(""), F.format_string("%.1f%%", change)))
+
+
+def paired_report(runs: DataFrame, pair: str, mode: str, modes: tuple[str, str], metrics: dict[str, str]) -> DataFrame:
+    """A section of markdown per pair, and one of totals: section, markdown. `metrics` are titles by column of `runs`.
+
+    A pair that lacks a mode says so and counts for no total. Sections are put
+    together where the data are; only the totals' row meets in one task.
+    """
+    run = runs.groupBy(pair, mode).agg(*[F.sum(c).alias(c) for c in metrics])
+    wide = run.groupBy(pair).pivot(mode, list(modes)).agg(F.max(F.struct(*metrics)))
+    head = "\n".join(("", f"| Metric | {modes[0]} | {modes[1]} | Delta |", "|--------|---|---|-------|"))
+
+    def lines(before, after) -> Column:
+        number = lambda x: F.format_number(F.coalesce(x, F.lit(0)), 0)
+        rows = [F.concat(F.lit(f"| {title} | "), number(before(c)), F.lit(" | "), number(after(c)), F.lit(" | "), delta(before(c), after(c)), F.lit(" |")) for c, title in metrics.items()]
+        return F.concat_ws("\n", F.lit(head), *rows)
+
+    of = lambda m: lambda c: F.col(m)[c]
+    missing = F.when(F.col(modes[0]).isNull(), modes[0]).when(F.col(modes[1]).isNull(), modes[1])
+    body = F.when(missing.isNotNull(), F.concat(F.lit("\n> Missing `"), missing, F.lit("` run. Skipping comparison."))).otherwise(lines(of(modes[0]), of(modes[1])))
+    name = F.coalesce(F.col(pair).cast("string"), F.lit(""))
+    sections = wide.select(name.alias("section"), F.concat(F.lit("## "), name, F.lit("\n"), body).alias("markdown"))
+    both = wide.where(F.col(modes[0]).isNotNull() & F.col(modes[1]).isNotNull())
+    totals = both.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(m)[c]).alias(f"{i}_{c}") for i, m in enumerate(modes) for c in metrics]).where("n > 0")
+    summary = F.concat(F.lit("## Aggregate\n"), lines(lambda c: F.col(f"0_{c}"), lambda c: F.col(f"1_{c}")))
+    return sections.unionByName(totals.select(F.lit("Aggregate").alias("section"), summary.alias("markdown")))
+
+
+def write_report(sections: DataFrame, path: str) -> None:
+    """Writes the sections as markdown text, the totals last."""
+    order = F.when(F.col("markdown").startswith("## Aggregate\n"), 1).otherwise(0)
+    sections.orderBy(order, "section").select(F.concat("markdown", F.lit("\n"))).write.mode("overwrite").text(path)

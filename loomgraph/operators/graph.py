@@ -31,6 +31,11 @@ def impact_paths(edges: DataFrame, start: str, direction: str, depth: int) -> Da
     return out.withColumn("direction", F.lit(direction))
 
 
+def ranked_paths(paths: DataFrame) -> DataFrame:
+    """Impact paths, the nearest first, then the surest; ties by path."""
+    return paths.orderBy("depth", F.desc("confidence"), "path")
+
+
 def impact_by_name(edges: DataFrame, symbols: DataFrame, name: str, direction: str, depth: int = 3, kind: str | None = None, project: str | None = None) -> DataFrame:
     """Impact paths of the first symbol that a name finds; depth is kept between 1 and 10. Without a hit, no rows."""
     hit = found_symbols(symbols, name, kind, project, limit=1).first()
@@ -96,6 +101,20 @@ def file_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("project", "file_path").agg(F.transform(ordered, lambda s: s["name"]).alias("names"))
 
 
+def numbered(df: DataFrame, order: Sequence[str], start: int = 0) -> DataFrame:
+    """Adds `stop`, the place of each row by the order's columns, from `start`; checkpointed.
+
+    Rows are dealt by ranges and numbered within each, after the number of rows
+    of the ranges before; so no task holds all.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    rows = dealt.join(F.broadcast(sizes.select("range_", before.alias("before_"))), "range_")
+    place = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) + F.col("before_") - 1 + start
+    return rows.withColumn("stop", place.cast("long")).drop("range_", "before_").checkpoint()
+
+
 def tour(file_edges: DataFrame, limit: int | None = None) -> DataFrame:
     """Reading order of files: stop, file_path, in_degree.
 
@@ -111,7 +130,7 @@ def tour(file_edges: DataFrame, limit: int | None = None) -> DataFrame:
     done, placed = None, 0
     while True:
         ready = waiting.where("left = 0")
-        ready = ready.withColumn("stop", (F.row_number().over(Window.orderBy("after", "file_path")) + placed).cast("long")).select("file_path", "stop", "in_degree").checkpoint()
+        ready = numbered(ready, ["after", "file_path"], placed + 1).select("file_path", "stop", "in_degree")
         n = ready.count()
         if not n:
             break
@@ -119,7 +138,7 @@ def tour(file_edges: DataFrame, limit: int | None = None) -> DataFrame:
         placed += n
         read = edges.join(ready, F.col("importer") == F.col("file_path")).groupBy("imported").agg(F.count(F.lit(1)).alias("read_"), F.max("stop").alias("last_")).withColumnRenamed("imported", "file_path")
         waiting = waiting.where("left > 0").join(read, "file_path", "left").select("file_path", (F.col("left") - F.coalesce("read_", F.lit(0))).alias("left"), "in_degree", F.greatest("after", F.coalesce("last_", F.lit(-1))).alias("after")).checkpoint()
-    rest = waiting.withColumn("stop", (F.row_number().over(Window.orderBy("file_path")) + placed).cast("long")).select("file_path", "stop", "in_degree")
+    rest = numbered(waiting, ["file_path"], placed + 1).select("file_path", "stop", "in_degree")
     out = rest if done is None else done.unionByName(rest)
     out = out.select("stop", "file_path", "in_degree")
     return out.where(F.col("stop") <= limit) if limit else out

@@ -11,6 +11,8 @@ from loomgraph.functions.text import tokens
 
 #: Constant of reciprocal-rank fusion.
 RRF_K = 60
+#: Vectors that meet a block of queries at once; a bound on memory.
+ROWS_AT_ONCE = 1024
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -46,9 +48,9 @@ def semantic_topk(memories: DataFrame, query: DataFrame, k: int, as_of: str, min
 
 
 def fulltext_topk(memories: DataFrame, terms: Sequence[str], k: int, as_of: str, words: Column | None = None, **scope: str | None) -> DataFrame:
-    """The k memories that hold all terms, by term count over 1 + ln(length): id, text_score, rank."""
-    wanted = F.array(*[F.lit(t) for t in terms])
-    rows = memories.where(live(as_of) & in_scope(**scope)).select("id", (tokens(F.col("content")) if words is None else words).alias("words"))
+    """The k memories that hold all terms, by term count over 1 + ln(length): id, text_score, rank; none without terms."""
+    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    rows = memories.where(F.lit(bool(terms)) & live(as_of) & in_scope(**scope)).select("id", (tokens(F.col("content")) if words is None else words).alias("words"))
     rows = rows.where(F.size(F.array_except(wanted, "words")) == 0)
     hits = F.size(F.filter("words", lambda w: F.array_contains(wanted, w)))
     top = rows.select("id", F.round(hits / (1 + F.log(F.size("words").cast("double"))), 9).alias("text_score")).orderBy(F.desc("text_score"), "id").limit(k)
@@ -77,15 +79,16 @@ def needs_word_hit(query: Column) -> Column:
     return (F.size(words) <= 1) | marked
 
 
-def hybrid_recall(memories: DataFrame, query: DataFrame, terms: Sequence[str], limit: int, as_of: str, types: Sequence[str] = (), tags: Sequence[str] = (), min_similarity: float = 0.0, strict_scope: bool = True, must_hit: bool = False, **scope: str | None) -> DataFrame:
+def hybrid_recall(memories: DataFrame, query: DataFrame, terms: Sequence[str], limit: int, as_of: str, types: Sequence[str] = (), tags: Sequence[str] = (), min_similarity: float = 0.0, strict_scope: bool = True, must_hit: bool = False, words: Column | None = None, **scope: str | None) -> DataFrame:
     """The best memories by fused ranks and relevance: id, score, match_type, memory_type.
 
     Both searches fetch twice the limit; types and tags (all of them) are
     filtered after fusion. `strict_scope` keeps full-text hits in scope too.
-    With `must_hit` and no full-text hit, nothing is found.
+    With `must_hit` and no full-text hit, nothing is found. `words` are the
+    memories' words; by default the tokens of the content.
     """
     semantic = semantic_topk(memories, query, 2 * limit, as_of, min_similarity, **scope)
-    fulltext = fulltext_topk(memories, terms, 2 * limit, as_of, **(scope if strict_scope else {}))
+    fulltext = fulltext_topk(memories, terms, 2 * limit, as_of, words, **(scope if strict_scope else {}))
     found = fused(semantic, fulltext)
     if must_hit:
         found = found.join(F.broadcast(fulltext.select(F.lit(True).alias("hit")).limit(1)), how="cross").drop("hit")
@@ -116,22 +119,33 @@ def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, min_simila
             ids_q, q = shared.value
             for batch in batches:
                 ids = batch.column("id").to_numpy()
-                v = np.array(batch.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
-                sims = np.round((q @ v.T) / np.maximum(np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)), 1e-300), 6) if len(ids) else np.zeros((len(ids_q), 0))
-                sims[ids_q[:, None] == ids[None, :]] = -2.0
-                out = []
-                for i in range(len(ids_q)):
-                    best = np.lexsort((ids, -sims[i]))[:k]
-                    out += [(int(ids_q[i]), int(ids[j]), float(sims[i, j])) for j in best if sims[i, j] >= min_similarity]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "sim"])
+                for at in range(0, len(ids), ROWS_AT_ONCE):
+                    some = slice(at, at + ROWS_AT_ONCE)
+                    v = batch.column("embedding")[some].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+                    sims = np.round((q @ v.T) / np.maximum(np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)), 1e-300), 6)
+                    sims[ids_q[:, None] == ids[None, some]] = -2.0
+                    least = np.full(len(q), min_similarity)
+                    if sims.shape[1] > k:
+                        least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
+                    i, j = np.nonzero(sims >= least[:, None])  # ties with the k-th included
+                    order = np.lexsort((ids[some][j], -sims[i, j], i))
+                    i, j = i[order], j[order]
+                    starts = np.flatnonzero(np.diff(i, prepend=-1))
+                    place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+                    i, j = i[place < k], j[place < k]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_q[i]), pa.array(ids[some][j]), pa.array(sims[i, j])], names=["query_id", "id", "sim"])
 
         return nearest
 
     n, found = -(-queries.count() // block), None
     for b in range(max(n, 1)):
         some = queries.where(F.pmod(F.xxhash64("id"), F.lit(max(n, 1))) == b).orderBy("id").toPandas()
+        if some.empty:
+            continue
         shared = spark.sparkContext.broadcast((some["id"].to_numpy(), np.array(some["embedding"].tolist(), np.float64).reshape(len(some), -1)))
-        part = vectors.mapInArrow(searcher(shared), "query_id long, id long, sim double") if len(some) else spark.createDataFrame([], "query_id long, id long, sim double")
+        part = vectors.mapInArrow(searcher(shared), "query_id long, id long, sim double")
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, id long, sim double")
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -10,20 +10,28 @@ from pyspark.sql import functions as F
 
 #: Folders that are never walked into.
 SKIPPED = ("node_modules", "__pycache__", "target", "dist", "build", ".git", "vendor", "venv", ".venv", "log", "logs", "tmp", "coverage", "public", "storage", ".bundle", "e2e", "playwright-report")
+#: Folders in which no documentation is looked for.
+MARKDOWN_SKIPPED = ("node_modules", ".git", "vendor", "target", ".venv", "__pycache__", ".tox", "dist", "build", ".cache", ".next", ".nuxt")
 
 
-def wanted(path: Column, extensions: tuple[str, ...]) -> Column:
+def wanted(path: Column, extensions: tuple[str, ...], skipped: tuple[str, ...] = SKIPPED) -> Column:
     """Whether a path has one of the extensions and no hidden or skipped folder."""
     parts = F.slice(F.split(path, "/"), 2, 100)
-    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin(*extensions) & ~F.exists(parts, lambda p: p.startswith(".") | p.isin(*SKIPPED))
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin(*extensions) & ~F.exists(parts, lambda p: p.startswith(".") | p.isin(*skipped))
 
 
-def tree(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
-    """Text files below a folder: file_path (below the root), mtime, content; files that aren't UTF-8 are left out."""
+def tree(spark: SparkSession, root: str, extensions: tuple[str, ...], skipped: tuple[str, ...] = SKIPPED, keep_unreadable: bool = False) -> DataFrame:
+    """Text files below a folder: file_path (below the root), mtime, content; files that aren't UTF-8 are left out, or kept without content."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.col("path"), "^(?:[a-z]+:)?/*" + re.escape(root.split(":")[-1].strip("/")), "")
-    rows = rows.select(path.alias("file_path"), F.col("modificationTime").alias("mtime"), F.col("content")).where(wanted(F.col("file_path"), extensions))
-    return rows.select(F.regexp_replace("file_path", "^/+", "").alias("file_path"), "mtime", F.col("content").cast("string").alias("content")).where(F.is_valid_utf8("content"))
+    rows = rows.select(path.alias("file_path"), F.col("modificationTime").alias("mtime"), F.col("content")).where(wanted(F.col("file_path"), extensions, skipped))
+    rows = rows.select(F.regexp_replace("file_path", "^/+", "").alias("file_path"), "mtime", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+    return rows if keep_unreadable else rows.where("content is not null")
+
+
+def markdown(spark: SparkSession, root: str) -> DataFrame:
+    """Markdown files below a folder; those that aren't UTF-8 have null content."""
+    return tree(spark, root, ("md",), MARKDOWN_SKIPPED, keep_unreadable=True)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

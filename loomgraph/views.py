@@ -39,7 +39,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _path(key) -> F.Column:
-    return F.concat(F.array(*map(F.lit, FOLDERS))[(key % len(FOLDERS)).cast("int")], F.lit("/m"), (key % 97).cast("string"), F.lit(".py"))
+    return F.concat(F.array(*map(F.lit, FOLDERS))[(key % len(FOLDERS)).cast("int")], F.lit("/m"), F.floor(key / 40).cast("string"), F.lit(".py"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,18 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports between part files and supplier files, as lineitem relates them: importer, imported."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.select(F.concat(F.lit("pkg/s"), (F.col("l_suppkey") % 400).cast("string"), F.lit(".py")).alias("importer"), F.concat(F.lit("pkg/p"), (F.col("l_partkey") % 400 + F.col("l_suppkey") % 400).cast("string"), F.lit(".py")).alias("imported")).distinct()
+    """Imports between the files of suppliers, parts and orders: importer, imported.
+
+    Suppliers import their parts, a part that of a tenth of its key; a returned
+    line makes order and part import each other, which gives cycles.
+    """
+    lines, py = table(spark, sf_dir, "lineitem"), F.lit(".py")
+    name = lambda prefix, key: F.concat(F.lit(f"pkg/{prefix}"), key.cast("string"), py)
+    part, tenth, order = F.col("l_partkey"), F.floor(F.col("l_partkey") / 10), F.col("l_orderkey")
+    pair = lambda a, b: F.struct(a.alias("importer"), b.alias("imported"))
+    returned = (F.col("l_returnflag") == "R") & (part % 50 == 0)
+    pairs = F.array(pair(name("s", F.col("l_suppkey")), name("p", part)), pair(name("p", part), name("p", tenth)), F.when(returned, pair(name("o", order), name("p", part))), F.when(returned, pair(name("p", part), name("o", order))))
+    return lines.select(F.explode(pairs).alias("pair")).where("pair is not null").select("pair.*").distinct()
 
 
 _TYPES = ", ".join(f"'{t}'" for t in MEMORY_TYPES)
@@ -78,7 +87,7 @@ _FOLDERS = ", ".join(f"'{f}'" for f in FOLDERS)
 
 
 def _symbol_sql(t: str, prefix: str, key: str, name: str, kind: str, project: str) -> str:
-    return f"SELECT '{prefix}' || {key} AS id, {name} AS name, '{kind}' AS kind, list_extract([{_FOLDERS}], {key} % {len(FOLDERS)} + 1) || '/m' || {key} % 97 || '.py' AS file_path, '{project}' AS project, ({key} % 50 * 10 + 1)::INTEGER AS start_line, ({key} % 50 * 10 + 9)::INTEGER AS end_line FROM {t}"
+    return f"SELECT '{prefix}' || {key} AS id, {name} AS name, '{kind}' AS kind, list_extract([{_FOLDERS}], {key} % {len(FOLDERS)} + 1) || '/m' || {key} // 40 || '.py' AS file_path, '{project}' AS project, ({key} % 50 * 10 + 1)::INTEGER AS start_line, ({key} % 50 * 10 + 9)::INTEGER AS end_line FROM {t}"
 
 
 ORACLE_CTES = {
@@ -90,7 +99,7 @@ ORACLE_CTES = {
     "rel": """rel AS (SELECT 'R' || n_regionkey AS source_id, 'N' || n_nationkey AS target_id, 'defines' AS rel_type, 1.0::DOUBLE AS confidence FROM nation
   UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 'defines', 1.0::DOUBLE FROM customer UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 'calls', 0.8::DOUBLE FROM orders
   UNION ALL SELECT DISTINCT 'O' || l_orderkey, 'P' || l_partkey, 'references', 0.5::DOUBLE FROM lineitem UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'P' || l_partkey, 'uses_type', 0.9::DOUBLE FROM lineitem)""",
-    "fe": "fe AS (SELECT DISTINCT 'pkg/s' || l_suppkey % 400 || '.py' AS importer, 'pkg/p' || (l_partkey % 400 + l_suppkey % 400) || '.py' AS imported FROM lineitem)",
+    "fe": "fe AS (SELECT 'pkg/s' || l_suppkey || '.py' AS importer, 'pkg/p' || l_partkey || '.py' AS imported FROM lineitem UNION SELECT 'pkg/p' || l_partkey || '.py', 'pkg/p' || l_partkey // 10 || '.py' FROM lineitem UNION SELECT 'pkg/o' || l_orderkey || '.py', 'pkg/p' || l_partkey || '.py' FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 50 = 0 UNION SELECT 'pkg/p' || l_partkey || '.py', 'pkg/o' || l_orderkey || '.py' FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 50 = 0)",
 }
 
 
