@@ -24,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as named by spark.checkpoint.dir.
 
-    Where the setting is unset, as in a local test, a temporary folder of the
-    driver's machine is set for this session.
+    Where the setting is unset, a temporary folder of this machine is set for a
+    local session, as in tests; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
     if sc.getCheckpointDir() is None:
