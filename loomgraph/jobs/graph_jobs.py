@@ -132,7 +132,7 @@ def graph_file_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     _checkpoints(spark)
-    edges = file_edges(spark, sf_dir)
+    edges = file_edges(spark, sf_dir).checkpoint()
     return graph.tour_notes(graph.tour(edges), edges).select("stop", "file_path", "in_degree", "reason")
 
 

@@ -101,12 +101,18 @@ def file_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("project", "file_path").agg(F.transform(ordered, lambda s: s["name"]).alias("names"))
 
 
-def numbered(df: DataFrame, order: Sequence[str], start: int = 0) -> DataFrame:
-    """Adds `stop`, the place of each row by the order's columns, from `start`; checkpointed.
+#: So many rows may be put in order in one task.
+ROWS_IN_A_TASK = 100_000
 
-    Rows are dealt by ranges and numbered within each, after the number of rows
-    of the ranges before; so no task holds all.
+
+def numbered(df: DataFrame, order: Sequence[str], n: int, start: int = 0) -> DataFrame:
+    """Adds `stop`, the place of each of the n rows by the order's columns, from `start`; checkpointed.
+
+    Few rows are put in order in one task. More are dealt by ranges and numbered
+    within each, after the number of rows of the ranges before.
     """
+    if n <= ROWS_IN_A_TASK:
+        return df.withColumn("stop", (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long")).checkpoint()
     dealt = df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()).checkpoint()
     sizes = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
@@ -130,15 +136,15 @@ def tour(file_edges: DataFrame, limit: int | None = None) -> DataFrame:
     done, placed = None, 0
     while True:
         ready = waiting.where("left = 0")
-        ready = numbered(ready, ["after", "file_path"], placed + 1).select("file_path", "stop", "in_degree")
         n = ready.count()
         if not n:
             break
+        ready = numbered(ready, ["after", "file_path"], n, placed + 1).select("file_path", "stop", "in_degree")
         done = ready if done is None else done.unionByName(ready)
         placed += n
         read = edges.join(ready, F.col("importer") == F.col("file_path")).groupBy("imported").agg(F.count(F.lit(1)).alias("read_"), F.max("stop").alias("last_")).withColumnRenamed("imported", "file_path")
         waiting = waiting.where("left > 0").join(read, "file_path", "left").select("file_path", (F.col("left") - F.coalesce("read_", F.lit(0))).alias("left"), "in_degree", F.greatest("after", F.coalesce("last_", F.lit(-1))).alias("after")).checkpoint()
-    rest = numbered(waiting, ["file_path"], placed + 1).select("file_path", "stop", "in_degree")
+    rest = numbered(waiting, ["file_path"], waiting.count(), placed + 1).select("file_path", "stop", "in_degree")
     out = rest if done is None else done.unionByName(rest)
     out = out.select("stop", "file_path", "in_degree")
     return out.where(F.col("stop") <= limit) if limit else out

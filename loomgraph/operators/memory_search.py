@@ -79,8 +79,8 @@ def needs_word_hit(query: Column) -> Column:
     return (F.size(words) <= 1) | marked
 
 
-def hybrid_recall(memories: DataFrame, query: DataFrame, terms: Sequence[str], limit: int, as_of: str, types: Sequence[str] = (), tags: Sequence[str] = (), min_similarity: float = 0.0, strict_scope: bool = True, must_hit: bool = False, words: Column | None = None, **scope: str | None) -> DataFrame:
-    """The best memories by fused ranks and relevance: id, score, match_type, memory_type.
+def hybrid_recall(memories: DataFrame, query: DataFrame, terms: Sequence[str], limit: int, as_of: str, types: Sequence[str] = (), tags: Sequence[str] = (), min_similarity: float = 0.0, strict_scope: bool = True, must_hit: bool = False, words: Column | None = None, keep: Sequence[str] = (), **scope: str | None) -> DataFrame:
+    """The best memories by fused ranks and relevance: id, score, match_type, memory_type, and the columns to keep.
 
     Both searches fetch twice the limit; types and tags (all of them) are
     filtered after fusion. `strict_scope` keeps full-text hits in scope too.
@@ -98,7 +98,7 @@ def hybrid_recall(memories: DataFrame, query: DataFrame, terms: Sequence[str], l
     if tags:
         rows = rows.where(F.size(F.array_except(F.array(*map(F.lit, tags)), "tags")) == 0)
     score = F.round(F.col("rrf") * (0.7 + 0.3 * relevance(as_of)), 9)
-    return rows.select("id", score.alias("score"), "match_type", "memory_type").orderBy(F.desc("score"), "id").limit(limit)
+    return rows.select("id", score.alias("score"), "match_type", "memory_type", *keep).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, min_similarity: float, block: int = 4096) -> DataFrame:

@@ -53,10 +53,9 @@ def recall(memories: DataFrame, query_vector: DataFrame, text: str, as_of: str,
     terms, must_hit = asked(memories.sparkSession, text)
     scope = {k: v for k, v in (("organization", organization), ("project", project)) if v is not None}
     n = clamped(limit, RECALLED)
-    best = memory_search.hybrid_recall(memories if text.strip() else memories.where(F.lit(False)), query_vector, terms, n, as_of, kinds(memory_types), listed(tags), must_hit=must_hit, words=T.stems(content), **scope)
-    rows = memories.join(F.broadcast(best.drop("memory_type")), "id")  # at most 25 rows
     shown = [c for c in ("summary", "tags", "importance", "created_at", "access_count") if c in memories.columns]
-    return rows.select("id", "score", "match_type", "memory_type", T.truncated(F.col("content")).alias("content"), *shown).orderBy(F.desc("score"), "id")
+    best = memory_search.hybrid_recall(memories if text.strip() else memories.where(F.lit(False)), query_vector, terms, n, as_of, kinds(memory_types), listed(tags), must_hit=must_hit, words=T.stems(content), keep=["content", *shown], **scope)
+    return best.withColumn("content", T.truncated(F.col("content")))
 
 
 def stored(store: DataFrame, new: DataFrame, as_of: str) -> DataFrame:

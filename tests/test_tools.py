@@ -175,9 +175,10 @@ def test_report(spark, tmp_path):
     assert [line for line in text if line.startswith("## ")] == ["## t1", "## t2", "## t3", "## Aggregate"]
 
 
-def test_numbered_and_ranked(spark):
+def test_numbered_and_ranked(spark, monkeypatch):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(4)
-    rows = graph.numbered(df, ["k"], 5).collect()
-    assert sorted((r.k, r.stop) for r in rows) == [(k, k + 5) for k in range(1000)]
+    for limit in (10, 1000):
+        monkeypatch.setattr(graph, "ROWS_IN_A_TASK", limit)
+        assert sorted((r.k, r.stop) for r in graph.numbered(df, ["k"], 1000, 5).collect()) == [(k, k + 5) for k in range(1000)]
     paths = spark.createDataFrame([(2, 0.9, "a"), (1, 0.1, "b"), (1, 0.5, "c")], "depth int, confidence double, path string")
     assert [r.path for r in graph.ranked_paths(paths).collect()] == ["c", "b", "a"]
