@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,14 +63,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Makes the session ready for Python workers.
-
-    Rows come to them in batches of at most so many, so that a worker's memory
-    has a bound; and the package is sent along once, so that they can import it
-    wherever they run.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def send_package(spark: SparkSession) -> None:
+    """Sends the package along once, so that Python workers can import it wherever they run."""
     sc = spark.sparkContext
     if getattr(sc, "loomgraph_sent", False):
         return
@@ -79,3 +75,24 @@ def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(path))
     sc.loomgraph_sent = True
+
+
+@contextmanager
+def python_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Jobs that start inside hand rows to Python workers in batches of at most so many, which bounds a worker's memory.
+
+    The caller's setting holds again afterwards.
+    """
+    send_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    send_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

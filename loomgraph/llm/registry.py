@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontamination, minhash, mixing, nbsvm, quality_rules, sharding, simple8b, suffix_family, url_filters, wrappers
+from loomgraph.llm import decontamination, line_filter, minhash, mixing, nbsvm, prefix_trie, quality_rules, sharding, simple8b, suffix_family, url_filters, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_suffix_levels": suffix_family.op10_suffix_levels,
+        "op11_zfast_trie": prefix_trie.op11_zfast_trie,
+        "op13_line_filters": line_filter.op13_line_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rendezvous_shards": sharding.ORACLE, "op2_redirect_filter": url_filters.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+    return {
+        "op1_rendezvous_shards": sharding.ORACLE,
+        "op2_redirect_filter": url_filters.ORACLE,
+        "op8_mix_sources": mixing.ORACLE,
+        "op9_quality_rules": quality_rules.ORACLE,
+        "op11_zfast_trie": prefix_trie.ORACLE,
+        "op13_line_filters": line_filter.ORACLE,
+    }
