@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontamination, line_filter, minhash, mixing, nbsvm, prefix_trie, quality_rules, sharding, simple8b, suffix_family, url_filters, wrappers
+from loomgraph.llm import decontamination, hard_negatives, line_filter, minhash, mixing, nbsvm, prefix_trie, quality_rules, sharding, simple8b, suffix_family, url_filters, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_suffix_levels": suffix_family.op10_suffix_levels,
         "op11_zfast_trie": prefix_trie.op11_zfast_trie,
+        "op12_cover_tree_negatives": hard_negatives.op12_cover_tree_negatives,
         "op13_line_filters": line_filter.op13_line_filters,
     }
 
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_mix_sources": mixing.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
         "op11_zfast_trie": prefix_trie.ORACLE,
+        "op12_cover_tree_negatives": hard_negatives.ORACLE,
         "op13_line_filters": line_filter.ORACLE,
     }
