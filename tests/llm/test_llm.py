@@ -49,13 +49,27 @@ def odd_dir(spark, odd_rows, tmp_path_factory):
     spark.createDataFrame([(1, 1, 0), (2, 0, None), (3, None, 1), (None, 1, 1), (7, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     pages = [(1, "http://a.example.net/en/x", "<p>hi"), (2, None, None), (None, "no scheme", ""), (4, "https://A.Example.COM/de/?q#f", "<article><h1>T</h1><p>x &amp; y</article>"), (4, "https://b.example.com/x", '<link rel="canonical" href="https://a.example.com/de/1">'), (5, "https://b.example.com/x?utm_source=f#top", "<div>" * 3000 + "deep"), (6, "https://c.org/fr/", '<link rel=canonical href="https://b.example.com/x">')]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"host": F.lit(1), "path": F.lit(2), "text": F.lit("old"), "rule": F.lit(3)}).write.parquet(f"{d}/pages.parquet")
+    turns = [(0, 2, "user", "b"), (0, None, None, "a"), (0, 2, "user", "b"), (1, 1, "user", None), (2, 1, "x", "own"), (None, 1, "user", "lost"), (7, 1, "user", "no base"), (-3, 1, "user", "below zero")]
+    turns += [(5 * i, t, "user", f"turn {t}" if t < 9 + i else f"{i} only") for i in range(4, 8) for t in range(30)]
+    turns += [(5 * i + j, t, "user", f"turn {t}") for i in range(4, 8) for j in range(1, 5) for t in range(12)] + [(99, 1, "user", base_text()), (102, 1, "user", "x")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"depth": F.lit("d"), "hi": F.lit(1), "symbol": F.lit("s")}).write.parquet(f"{d}/conversations.parquet")
+    rng = random.Random(5)
+    point = lambda n=6: [round(rng.uniform(-1, 1), 2) for _ in range(n)]
+    same = point()
+    vecs = [(i, same if i % 3 == 0 else point(), i % 4) for i in range(-200, 700, 5)]
+    vecs += [(100, same, 1), (100, same, 1), (None, same, 2), (None, same, 0), (300, None, 1), (301, same, None), (302, [0.1, None], 1), (303, [float("nan")], 1), (304, [float("inf")], 2), (305, [], 1), (400, [0.5], 3), (306, [3e38], 1), (500, [0.0] * 6, 2)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").withColumns({"row": F.lit("r"), "part": F.lit(1), "v": F.lit(2)}).write.parquet(f"{d}/embeddings.parquet")
     return str(d)
 
 
+def base_text():
+    return "long " * 40_000
+
+
 @pytest.fixture(scope="module")
 def empty_dir(spark, odd_dir, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{odd_dir}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return str(d)
 
@@ -73,7 +87,7 @@ def test_empty_tables(name, spark, empty_dir):
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_odd_tables(name, spark, odd_dir, odd_rows):
     n = registry.queries()[name](spark, odd_dir).count()
-    assert n == (7 if name.startswith(("op2", "op6")) else n if name.startswith("op5") else len(odd_rows))
+    assert n == (7 if name.startswith(("op2", "op6")) else n if name.startswith(("op5", "op11", "op12")) else len(odd_rows))
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
