@@ -343,7 +343,7 @@ WITH c AS (
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 w AS (SELECT greatest(1, max(len(v))) AS w FROM c),
-r AS (SELECT vec_id, row, label, list_resize(v, (SELECT w FROM w), 0) AS v FROM c),
+r AS (SELECT vec_id, row, label, list_resize(v, w.w, 0) AS v FROM c, w WHERE coalesce(list_max(list_transform(v, lambda x: abs(x))), 0) <= floor(sqrt(4611686018427387904.0 / w.w))),
 s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.row, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
 p AS (SELECT anchor, anchor_id, row AS positive, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) <= 5)
 SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.vec_id NULLS LAST, s.row)::INTEGER AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
