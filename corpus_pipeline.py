@@ -19,6 +19,17 @@ from loomgraph.llm.common import table, word_count, written
 SHARDS = 16
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Id, text, and one column `row` with all others, so that no name of theirs can clash with one that a stage makes."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest or [F.lit(None).cast("int").alias("none")]).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labels outside the held-out fifth.
 
@@ -27,7 +38,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels of both kinds the share of good ones judges all.
     """
     model = nbsvm.train(docs, nbsvm.learnable(table(spark, sf_dir, "labels")))
-    return nbsvm.scored(docs, model, out="score_").where(F.col("score_") >= nbsvm.THRESHOLD).select(*docs.columns)
+    return unpacked(nbsvm.scored(packed(docs), model).where(F.col("score") >= nbsvm.THRESHOLD), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest id stays, one with a null id only if all have none; of repeated
     rows, one.
     """
-    return minhash.deduplicated(docs)
+    return unpacked(minhash.deduplicated(packed(docs)), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +56,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     Empty texts have none; null and empty items are in no text.
     """
-    return decontamination.with_hits(docs, table(spark, sf_dir, "benchmark"), out="hits_").where(F.size("hits_") == 0).select(*docs.columns)
+    return unpacked(decontamination.with_hits(packed(docs), table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0), docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +65,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null source is a source of its own. Empty texts have no words; how often
     they are taken changes no target.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), whole.alias("row"))
     mix = mixing.mixed(rows, "size").where("copies > 0")
     return mix.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
