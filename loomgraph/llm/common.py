@@ -81,7 +81,9 @@ def send_package(spark: SparkSession) -> None:
 def python_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     """Jobs that start inside hand rows to Python workers in batches of at most so many, which bounds a worker's memory.
 
-    The caller's setting holds again afterwards.
+    The caller's setting holds again afterwards. Frames that are only planned
+    inside, and run later, come in batches of the caller's setting, which Spark
+    bounds by 64 MB as well.
     """
     send_package(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -92,7 +94,3 @@ def python_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     finally:
         spark.conf.set(name, before)
 
-
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    send_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

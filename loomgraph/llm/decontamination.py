@@ -4,11 +4,12 @@ A passage within k edits of an item of n characters shares at least
 n - q + 1 - k * q q-grams with it, and their diagonals (place in the text less
 place in the item) differ by at most k. Shared q-grams are counted in
 overlapping diagonal bands; bands that reach the bound are verified by an
-alignment in the band. Items too short for that are looked for unedited.
+alignment in the band. Items too short for an edit are looked for unedited.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,15 +20,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, table, written
+from loomgraph.llm.common import send_package, table, written
 
 Q = 8
 #: Edits allowed per character of an item.
 EDIT_SHARE = 0.06
-#: Items are searched in pieces of at most so many characters, each piece starting half a piece after the last.
+#: An item counts as found where any of its pieces is found within the piece's own budget: one piece of so many characters at every half of that, or the whole item if it is shorter.
 PIECE = 256
-#: Items with fewer characters count where they occur unedited, between characters that are no letters or digits.
-LEAST = 32
+#: Items with fewer characters have no edit in their budget: they count where they occur unedited, between characters that are no letters or digits.
+LEAST = math.ceil(1 / EDIT_SHARE)
 #: Characters of items in one broadcast index; more items are searched for in several passes, one index at a time.
 BLOCK_CHARS = 4_000_000
 SLICE_CHARS = 1_000_000
@@ -258,7 +259,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     the output is replaced.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    send_package(spark)
     total = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"]
     blocks = -(-int(total) // BLOCK_CHARS)
     if not blocks:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, table, written
+from loomgraph.llm.common import python_batches, send_package, table, written
 from loomgraph.llm.components import components
 from loomgraph.llm.textcodes import Words, mix, slices, texts, windows
 
@@ -167,7 +167,7 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 def sketched(docs: DataFrame, text: str = "text", out: str = "sketch") -> DataFrame:
     """Adds a struct: n (size of the shingle set), class (64-bit hash of the set), signature."""
-    bounded_batches(docs.sparkSession)
+    send_package(docs.sparkSession)
     return docs.withColumn(out, F.arrow_udf(SKETCH)(_sketches)(F.col(text)))
 
 
@@ -211,7 +211,6 @@ def class_links(docs: DataFrame, key: str, text: str, sketches: DataFrame) -> Da
         return dealt.join(copies, [side, "part"]).drop("part")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        bounded_batches(docs.sparkSession, 256)
         both = with_text(with_text(written(pairs, "pairs"), "a"), "b")
         return both.where(F.arrow_udf("boolean")(_linked)("text_a", "text_b")).select("a", "b")
 
@@ -249,6 +248,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     row with a null key is kept only if all rows that it reaches have null keys.
     Classes are told apart by 64 bits.
     """
+    with python_batches(docs.sparkSession, 256):
+        return _near_duplicates(docs, key, text)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
     rows = sketched(docs.select(F.col(key).alias("key_"), row_key.alias("row_key"), F.col(text).alias("text")))
     rows = written(rows.select("key_", "row_key", F.col("sketch.n").alias("n"), F.col("sketch.class").alias("class"), F.col("sketch.signature").alias("signature"), F.col("sketch.bitmap").alias("bitmap")), "sketches")

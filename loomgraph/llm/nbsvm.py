@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, table
+from loomgraph.llm.common import python_batches, send_package, table
 from loomgraph.llm.textcodes import Words, mix, slices, texts
 
 #: Labelled rows that the fit uses at most; those of the smallest id hashes.
@@ -182,7 +182,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     FIT_ROWS rows in all are used.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     some = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("k_"), F.col(label).cast("int").alias("y_"))
     some = some.orderBy(F.md5(F.col("k_").cast("string")), "k_", "y_").limit(FIT_ROWS)
     joined = docs.select(F.col(key).alias("k_"), F.col(text).alias("t_")).join(F.broadcast(some), "k_").select("k_", "y_", "t_")
@@ -197,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
             yield pa.RecordBatch.from_arrays([batch.column("k_").cast(pa.string()), batch.column("y_"), pa.array(found, pa.list_(pa.int32()))], names=["k", "y", "grams"])
 
     sample = joined.mapInArrow(rows, "k string, y int, grams array<int>").orderBy("k", "y", F.xxhash64("grams")).limit(FIT_ROWS)
-    made = sample.coalesce(1).mapInArrow(_fitted, MODEL).toArrow().to_pylist()
+    with python_batches(spark):
+        made = sample.coalesce(1).mapInArrow(_fitted, MODEL).toArrow().to_pylist()
     if not made:
         return fit([], np.zeros(0, np.int32))
     return Model(**made[0] | {c: np.frombuffer(made[0][c], np.float32) for c in ("weights", "ratio")})
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the score (0 to 1, higher: label 1 likelier). A null text counts as empty. Replaces an input column of that name."""
-    bounded_batches(docs.sparkSession)
+    send_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, shared_dir, table
+from loomgraph.llm.common import python_batches, send_package, shared_dir, table
 
 #: Ids in a word and bits of each, by selector 0 to 13; 15 is the escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -283,8 +283,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, key: str = "doc_id",
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-    bounded_batches(docs.sparkSession)
-    rows.mapInArrow(lambda it: _file_rows(it, tokenizer_path), FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    with python_batches(docs.sparkSession):
+        rows.mapInArrow(lambda it: _file_rows(it, tokenizer_path), FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +308,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select("part", before.cast("long").alias("part_start"))
-    bounded_batches(spark, 4)
+    send_package(spark)
     rows = files.mapInArrow(_decoded, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, shared_dir, table, written
+from loomgraph.llm.common import python_batches, shared_dir, table, written
 from loomgraph.llm.textcodes import _CODES, Words, _powers, mix, slices, texts, windows
 
 #: Bytes of a repeated string.
@@ -261,7 +261,10 @@ class Family:
         batches; that they are repeated as a whole is not among the runs. Null
         texts and those of under 400 bytes are left out.
         """
-        bounded_batches(self.spark, 256)
+        with python_batches(self.spark, 256):
+            return self._add(docs, text)
+
+    def _add(self, docs: DataFrame, text: str) -> DataFrame:
         rows = docs.where(F.octet_length(text) >= LENGTH).select(F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
         if self.texts_in:
             rows = rows.join(self.texts().select("text_id").distinct(), "text_id", "left_anti")
@@ -359,9 +362,9 @@ def shared_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     so two texts that share the run share the passage. Words are compared as
     they are, white space between them is not.
     """
-    bounded_batches(docs.sparkSession, 256)
     rows = docs.where(F.octet_length(text) > 2 * PASSAGE - 2).select(F.xxhash64(text).alias("text_id"), F.explode(F.arrow_udf("array<bigint>")(_passages)(text)).alias("key"))
-    rows = written(rows, "passages")
+    with python_batches(docs.sparkSession, 256):
+        rows = written(rows, "passages")
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("key", "n")
     shared = having(rows, written(keys, "keys"), "key").distinct().groupBy("text_id").agg(F.count(F.lit(1)).alias("n_passages"))
     return rows.select("text_id").distinct().join(shared, "text_id", "left").select("text_id", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
@@ -387,7 +390,8 @@ def deduplicated(docs: DataFrame, text: str = "text", batches: int = BATCHES, fa
     lists = family.runs().groupBy("text_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     lists = written(lists, "lists")
     known = having(family.texts(), lists.select("text_id", F.lit(1).alias("n")), "text_id").dropDuplicates(["text_id"])
-    kept = written(known.join(lists, "text_id").select("text_id", F.arrow_udf("struct<n_removed:bigint,n_spans:bigint,kept_sha256:string>")(_kept)("text", "runs").alias("r_")), "kept")
+    with python_batches(spark, 256):
+        kept = written(known.join(lists, "text_id").select("text_id", F.arrow_udf("struct<n_removed:bigint,n_spans:bigint,kept_sha256:string>")(_kept)("text", "runs").alias("r_")), "kept")
     passages = written(shared_passages(docs, text), "shared_passages")
     rows = docs.withColumns({"text_id": F.xxhash64(content), "n_bytes": F.octet_length(content).cast("long"), "sha_": F.sha2(content.cast("binary"), 256)}).drop("n_removed", "n_spans", "kept_sha256", "shared_passages", text)
     copied = rows.where(F.col("n_bytes") > 2 * PASSAGE - 2).groupBy("text_id").agg(F.count(F.lit(1)).alias("copies_")).where("copies_ > 1").select("text_id", F.lit(True).alias("copied_"))

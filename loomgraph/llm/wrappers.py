@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, table, written
+from loomgraph.llm.common import python_batches, send_package, table, written
 from loomgraph.llm.url_filters import with_parts
 
 #: Elements without content of their own.
@@ -367,7 +367,7 @@ def aligned(group: pa.Table) -> pa.Table:
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The template nodes of each host that has any: host, template (array of block hashes)."""
-    bounded_batches(pages.sparkSession, 256)
+    send_package(pages.sparkSession)
     keyed = with_parts(pages.select(url, html), url).where("host <> ''").select("host", html, F.xxhash64(url, html).alias("order_"))
     large = keyed.groupBy("host").count().where(F.col("count") > GROUP_PAGES).select("host", F.ceil(F.col("count") / GROUP_PAGES).alias("groups_"))
     if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
@@ -397,7 +397,8 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", out: str =
     than three pages, has no template and keeps all but furniture. Copies of a page are not
     evidence of a template. Input columns called like the output are replaced.
     """
-    found = written(wrappers(pages, url, html), "wrappers").withColumnRenamed("host", "host_of_template_")
+    with python_batches(pages.sparkSession, 256):
+        found = written(wrappers(pages, url, html), "wrappers").withColumnRenamed("host", "host_of_template_")
     if found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         found = F.broadcast(found)
     names = [c for c in pages.columns if c != out]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import hard_negatives, line_filter, prefix_trie
+from loomgraph.llm import decontamination, hard_negatives, line_filter, prefix_trie
 from loomgraph.llm.common import python_batches, written
 from loomgraph.llm.textcodes import mix
 
@@ -221,3 +221,35 @@ def test_hashes_of_lines_differ_by_content_only():
     values = ["", "a", "aa", "b", "ab", "a", "é"]
     got = line_filter.hashes(pa.array(values, pa.large_string()))
     assert got[1] == got[5] and len(set(got.tolist())) == 6 and got[0] == mix(np.zeros(1, np.uint64))[0]
+
+
+def test_pipeline_hands_on_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline
+
+    names = ["score_", "score", "hits_", "hits", "row_key_", "row_key", "class_", "class", "sketch_", "sketch", "row", "copies", "size", "target", "key_", "text_id_", "none", "a.b"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({n: F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")) for n in names})
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        docs = written(out, "stage")
+        assert spark.conf.get(setting) == before
+        changed = " or ".join(f"`{n}` is null or `{n}` <> concat('{n}:', doc_id)" for n in names)
+        assert docs.count() and docs.where(changed).count() == 0, name
+
+
+@pytest.mark.parametrize("n", [12, 16, 17, 24, 31, 32, 40])
+def test_items_of_any_length_have_their_edits(n):
+    """An item is found with as many edits as its budget, and with one more it isn't, by one rule from the first length with an edit."""
+    item = "q" + "wxyz abcd efgh ijkl mnop qrst uvwx ehlo"[: n - 2] + "k"
+    assert len(item) == n
+    index = decontamination.Index.of([(1, item)])
+    budget = int(n * decontamination.EDIT_SHARE)
+    assert (budget > 0) == (n >= decontamination.LEAST)
+    for edits in range(budget + 2):
+        changed = list(item)
+        for e in range(edits):
+            changed[2 + 5 * e] = "#"
+        found = decontamination._searched(index, ["before it " + "".join(changed) + " and after"])[0]
+        assert [h["distance"] for h in found] == ([edits] if edits <= budget else [])
