@@ -79,16 +79,19 @@ def needs_word_hit(query: Column) -> Column:
     return (F.size(words) <= 1) | marked
 
 
-def hybrid_recall(memories: DataFrame, query: DataFrame, terms: Sequence[str], limit: int, as_of: str, types: Sequence[str] = (), tags: Sequence[str] = (), min_similarity: float = 0.0, strict_scope: bool = True, must_hit: bool = False, words: Column | None = None, keep: Sequence[str] = (), **scope: str | None) -> DataFrame:
+def hybrid_recall(memories: DataFrame, query: DataFrame, terms: Sequence[str], limit: int, as_of: str, types: Sequence[str] = (), tags: Sequence[str] = (), min_similarity: float = 0.0, strict_scope: bool = True, must_hit: bool = False, words: Column | None = None, keep: Sequence[str] = (), semantic: DataFrame | None = None, fulltext: DataFrame | None = None, **scope: str | None) -> DataFrame:
     """The best memories by fused ranks and relevance: id, score, match_type, memory_type, and the columns to keep.
 
     Both searches fetch twice the limit; types and tags (all of them) are
     filtered after fusion. `strict_scope` keeps full-text hits in scope too.
     With `must_hit` and no full-text hit, nothing is found. `words` are the
-    memories' words; by default the tokens of the content.
+    memories' words; by default the tokens of the content. Searches of an index
+    can stand for either scan: `semantic` (id, rank) and `fulltext` (id, rank).
     """
-    semantic = semantic_topk(memories, query, 2 * limit, as_of, min_similarity, **scope)
-    fulltext = fulltext_topk(memories, terms, 2 * limit, as_of, words, **(scope if strict_scope else {}))
+    if semantic is None:
+        semantic = semantic_topk(memories, query, 2 * limit, as_of, min_similarity, **scope)
+    if fulltext is None:
+        fulltext = fulltext_topk(memories, terms, 2 * limit, as_of, words, **(scope if strict_scope else {}))
     found = fused(semantic, fulltext)
     if must_hit:
         found = found.join(F.broadcast(fulltext.select(F.lit(True).alias("hit")).limit(1)), how="cross").drop("hit")

@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def send_package(spark: SparkSession) -> None:
+    """Sends the package along once, so that Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "loomgraph_sent", False):
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc.loomgraph_sent = True
+
+
 def local_session(cores: int | str = 8, name: str = "loomgraph", **conf: str) -> SparkSession:
     """A local session with the settings that the library expects everywhere.
 
