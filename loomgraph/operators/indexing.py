@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators import frontends, graph, incremental
+from loomgraph.sources.change_log import COMPACT_AT, ChangeLog
 
 
 class Index(NamedTuple):
@@ -102,26 +103,31 @@ def stats(index: Index, resolved: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def follow(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keeps an index up to date from a stream of changes (file_path, mtime, content, removed), one version a micro-batch.
+    """Keeps an index up to date from a stream of changes (file_path, mtime, content, removed), in a log by file.
 
     Of several changes of a file in a batch, the last counts. A removed file's
     rows go; one that can't be read or is empty (no content) keeps its old
-    ones. Version n follows from version n - 1 and the batch, so a batch that
-    is run again after a failure overwrites its own version only.
+    ones. A micro-batch writes the rows of its own files only, and one that is
+    run again after a failure replaces itself. The log is compacted every
+    COMPACT_AT batches.
     """
+    log = ChangeLog(changes.sparkSession, folder)
 
     def merge(batch: DataFrame, epoch: int) -> None:
         last = batch.groupBy("file_path").agg(F.max_by(F.struct("mtime", "content", "removed"), F.struct("mtime", "removed")).alias("c")).select("file_path", "c.*").persist()
-        new = parsed(last.where("not removed and trim(content) <> ''").select("file_path", "mtime", "content"))
-        if epoch:
-            old = Index.read(batch.sparkSession, f"{folder}/v={epoch - 1}")
-            new = replaced(old, new, last.where("removed"))
-        new.write(f"{folder}/v={epoch}")
+        seen = last.where("not removed and trim(content) <> ''")
+        new = parsed(seen.select("file_path", "mtime", "content"))
+        log.append(epoch, new._asdict(), seen.select("file_path").unionByName(last.where("removed").select("file_path")))
         last.unpersist()
+        if log.batches() >= COMPACT_AT:
+            log.compact({name: log.current(name) for name in Index._fields})
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def followed(spark: SparkSession, query: StreamingQuery, folder: str) -> Index:
-    """The index after the query's last micro-batch."""
-    return Index.read(spark, f"{folder}/v={query.lastProgress['batchId']}")
+def followed(spark: SparkSession, query: StreamingQuery | None, folder: str) -> Index:
+    """The index after the last micro-batch that was written; without any, that of no files."""
+    log = ChangeLog(spark, folder)
+    if log.epoch() < 0:
+        return parsed(spark.createDataFrame([], "file_path string, mtime timestamp_ntz, content string"))
+    return Index(*(log.current(name) for name in Index._fields))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomgraph.sources.change_log import COMPACT_AT, ChangeLog
+
 
 def bursts(changes: DataFrame, gap_ms: int = 500, path: str = "path", ts: str = "ts") -> DataFrame:
     """Batch form of the debounce: path, first_ts, last_ts, n of each run of changes without a gap of gap_ms."""
@@ -29,23 +31,30 @@ def latest_states(changes: DataFrame, path: str = "path", ts: str = "ts", kind:
 
 
 def follow(changes: DataFrame, folder: str, checkpoint: str, path: str = "path", ts: str = "ts", kind: str = "kind") -> StreamingQuery:
-    """Keeps the last change of each path in versioned Parquet folders, one version a micro-batch.
+    """Keeps the last change of each path in a log: a micro-batch writes the last changes of its own paths only.
 
-    Version n is made from version n - 1 and the batch, so a batch that is run
-    again after a failure overwrites its own version only. The files of the
-    state are read with state_of().
+    A batch that is run again after a failure replaces itself, and a restart
+    goes on where the checkpoint says, with new data or without. The log is
+    compacted every COMPACT_AT batches. The state is read with state_of().
     """
+    log = ChangeLog(changes.sparkSession, folder, path)
+    if log.epoch() < 0 and log.rows("states") is None:
+        empty = changes.sparkSession.createDataFrame([], changes.select(path, kind, ts).schema)
+        log.compact({"states": empty, "touched": empty.select(path)})  # the state before the first batch
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(path, ts, kind)
-        if epoch:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{folder}/v={epoch - 1}"))
-        latest_states(rows, path, ts, kind).write.mode("overwrite").parquet(f"{folder}/v={epoch}")
+        rows = latest_states(batch.select(path, ts, kind), path, ts, kind).persist()
+        log.append(epoch, {"states": rows}, rows)
+        rows.unpersist()
+        if log.batches() >= COMPACT_AT:
+            log.compact({"states": latest_states(log.rows("states"), path, ts, kind), "touched": rows.select(path).limit(0)})
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def state_of(spark: SparkSession, query: StreamingQuery, folder: str) -> DataFrame:
-    """The state after the query's last micro-batch."""
-    last = query.lastProgress["batchId"]
-    return spark.read.parquet(f"{folder}/v={last}")
+def state_of(spark: SparkSession, query: StreamingQuery | None, folder: str, path: str = "path", ts: str = "ts", kind: str = "kind") -> DataFrame:
+    """The state after the last micro-batch that was written; empty before the first. The query isn't asked, as one that found nothing new has no progress."""
+    rows = ChangeLog(spark, folder, path).rows("states")
+    if rows is None:
+        raise ValueError(f"nothing was followed into {folder}")
+    return latest_states(rows, path, ts, kind)
