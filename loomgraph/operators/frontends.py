@@ -1,7 +1,8 @@
 """Language front ends: symbols and relationships from source text, as Spark expressions.
 
-A language is a table of line patterns. Files become one row per line, lines
-are matched by the patterns, and nesting follows from indentation, for
+A language is a table of line patterns. Files are scanned first: comments and
+strings are masked, and brackets closed on their line. Then they become one row
+per line, lines are matched by the patterns, and nesting follows from indentation, for
 languages of indented blocks, or from a running count of braces. Scopes,
 attribution of calls and confidences are windows and joins over these lines,
 so neither a file's length nor the number of files meets in one task's memory.
@@ -14,10 +15,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.lexer import prepared
+from loomgraph.session import send_package
 
 #: Types after a colon or an arrow, and members of the own object that are neither called nor written.
 ANNOTATED = r"(?:(?<!:):(?!:)|->)\s*&?(?:mut\s+)?(?:[\w.]+\.)?([A-Z]\w*)"
 READS = r"\b(?:self|this)\.([A-Za-z_]\w*)\b(?!\s*\()(?!\s*(?:[-+*/|&^%]|\|\||&&|\*\*|//)?=(?!=))"
+#: Variables with their types after a colon, or made by a constructor.
+DECLARED = r"\b([A-Za-z_]\w*)\s*(?::\s*&?(?:mut\s+)?|(?::\s*[\w.]+\s*)?=\s*(?:new\s+)?(?=(?:[\w.]+\.)?[A-Z]\w*\s*(?:\(|::|\{)))(?:[\w.]+\.)?([A-Z]\w*)"
+#: A member of a variable: its name, the member, a bracket if it is called; not one that is written.
+MEMBERS = r"(?<![\w.$])([A-Za-z_]\w*)\.([A-Za-z_]\w*)\b(?!\s*(?:[-+*/|&^%]|\|\||&&|\*\*|//)?=(?!=))(\s*\()?"
 #: A pattern that matches no line.
 NOTHING = r"(?!)()"
 
@@ -38,13 +45,15 @@ class Language(NamedTuple):
     reads: str = NOTHING  # every match's group 1 is a member that the line reads
     owners: str = NOTHING  # a block that holds methods of group 1, but is no symbol
     receiver: str = NOTHING  # the class of a method that stands outside it
+    variables: str = NOTHING  # every match's groups 1 and 2 are a variable and its declared type
+    typed: str = NOTHING  # the same with the type first
     joint: str = ""  # between class and method in a method's name; empty for bare names
 
 
 #: File extensions by language.
 EXTENSIONS = {"py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "rb": "ruby"}
 #: Words that look like calls but aren't.
-NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "def", "class", "fn", "func", "fun", "function", "match", "when", "super", "new", "elif", "else", "and", "or", "not", "in", "with", "print", "assert", "sizeof", "typeof", "lambda", "yield", "await", "async", "require", "puts", "throw", "raise", "constructor")
+NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "def", "class", "fn", "func", "fun", "function", "match", "when", "super", "new", "elif", "else", "and", "or", "not", "in", "with", "print", "assert", "sizeof", "typeof", "lambda", "import", "yield", "await", "async", "require", "puts", "throw", "raise", "constructor")
 
 _TS = Language(
     r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:class|interface|type|enum)\s+([A-Za-z_$][\w$]*)",
@@ -58,15 +67,16 @@ _TS = Language(
     r"^\s*import\s+(?:type\s+)?([^'\"]*?)\s+from\b",
     ANNOTATED,
     READS,
+    variables=DECLARED,
 )
 
 LANGUAGES: dict[str, Language] = {
-    "python": Language(r"^\s*class\s+([A-Za-z_]\w*)", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", r"^\s*(?:from|import)\s+([.\w]+)", r"^\s*class\s+[A-Za-z_]\w*\s*\(([^)]*)\)", r"^\s+([A-Za-z_]\w*)\s*(?::\s*[^=]+)?(?:=(?!=).*)?$", r"^\s*#", True, names=r"^\s*(?:from\s+[.\w]+\s+)?import\s+([\w, ()*]+)", types=ANNOTATED, reads=READS),
+    "python": Language(r"^\s*class\s+([A-Za-z_]\w*)", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", r"^\s*(?:from|import)\s+([.\w]+)", r"^\s*class\s+[A-Za-z_]\w*\s*\(([^)]*)\)", r"^\s+([A-Za-z_]\w*)\s*(?::\s*[^=]+)?(?:=(?!=).*)?$", r"^\s*#", True, names=r"^\s*(?:from\s+[.\w]+\s+)?import\s+([\w, ()*]+)", types=ANNOTATED, reads=READS, variables=DECLARED),
     "typescript": _TS, "tsx": _TS, "javascript": _TS, "jsx": _TS,
-    "rust": Language(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_]\w*)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", r"^\s*(?:pub\s+)?use\s+([\w:]+)", r"^\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+\w+", r"^\s+(?:pub(?:\([^)]*\))?\s+)?([a-z_]\w*)\s*:\s*[^:=][^=]*,\s*$", r"^\s*//", False, names=r"^\s*(?:pub\s+)?use\s+(?:\w+::)*(\w+|\{[^}]*\})", types=ANNOTATED, reads=READS, owners=r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:]+(?:<[^>]*>)?\s+for\s+)?(\w+)", joint="::"),
-    "go": Language(r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$", r"^\s+\*?([A-Z]\w*)\s*$", r"^\s+([A-Za-z_]\w*)\s+[\[\]*\w.]+(?:\s+`[^`]*`)?\s*$", r"^\s*//", False, types=r"^\s*(?:func\b|var\b|\w+\s).*?[\s(\]*](?:[a-z]\w*\.)?([A-Z]\w*)(?=\s*[,){]|\s*$)", receiver=r"^\s*func\s+\(\s*(?:\w+\s+)?\*?(\w+)", joint="."),
-    "java": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)", NOTHING, r"^\s*import\s+(?:static\s+)?([\w.]+)", r"\b(?:extends|implements)\s+([\w.,\s<>]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*[A-Za-z_][\w<>\[\], ]*\s+([A-Za-z_]\w*)\s*(?:=[^=].*)?;\s*$", r"^\s*(?://|\*|/\*)", False, r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+)*(?:[A-Za-z_][\w<>\[\], .]*\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?\{", r"^\s*import\s+(?:static\s+)?(?:\w+\.)*(\w+)\s*;", r"\b([A-Z]\w*)(?:<[^>]*>)?(?:\[\])*\s+[a-z_]\w*\s*[=;,)]", READS),
-    "kotlin": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|object)\s+([A-Za-z_]\w*)", r"^\s*(?:[a-z]+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*)", r"^\s*import\s+([\w.]+)", r"\b(?:class|object)\s+\w+[^:{]*:\s*([\w.,\s()]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*va[lr]\s+([A-Za-z_]\w*)", r"^\s*(?://|\*|/\*)", False, names=r"^\s*import\s+(?:\w+\.)*(\w+(?:\s+as\s+\w+)?)\s*$", types=ANNOTATED, reads=READS),
+    "rust": Language(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_]\w*)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", r"^\s*(?:pub\s+)?use\s+([\w:]+)", r"^\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+\w+", r"^\s+(?:pub(?:\([^)]*\))?\s+)?([a-z_]\w*)\s*:\s*[^:=][^=]*,\s*$", r"^\s*//", False, names=r"^\s*(?:pub\s+)?use\s+(?:\w+::)*(\w+|\{[^}]*\})", types=ANNOTATED, reads=READS, owners=r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:]+(?:<[^>]*>)?\s+for\s+)?(\w+)", variables=DECLARED, joint="::"),
+    "go": Language(r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$", r"^\s+\*?([A-Z]\w*)\s*$", r"^\s+([A-Za-z_]\w*)\s+[\[\]*\w.]+(?:\s+`[^`]*`)?\s*$", r"^\s*//", False, types=r"^\s*(?:func\b|var\b|\w+\s).*?[\s(\]*](?:[a-z]\w*\.)?([A-Z]\w*)(?=\s*[,){]|\s*$)", receiver=r"^\s*func\s+\(\s*(?:\w+\s+)?\*?(\w+)", variables=r"\b(\w+)\s*(?:\s(?:\.\.\.|\[\])?|:=\s*&?)\*?(?:[a-z]\w*\.)?([A-Z]\w*)(?=\s*[,){=]|\s*$)"),
+    "java": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)", NOTHING, r"^\s*import\s+(?:static\s+)?([\w.]+)", r"\b(?:extends|implements)\s+([\w.,\s<>]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*[A-Za-z_][\w<>\[\], ]*\s+([A-Za-z_]\w*)\s*(?:=[^=].*)?;\s*$", r"^\s*(?://|\*|/\*)", False, r"^\s+(?=.*\{|(?!(?:return|throw|new|else|case|assert|yield)\b)(?:[a-z]+\s+)*[A-Za-z_][\w<>\[\], .]*\s[A-Za-z_]\w*\s*\([^)]*\)[^=]*;\s*$)(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+)*(?:[A-Za-z_][\w<>\[\], .]*\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?[{;]", r"^\s*import\s+(?:static\s+)?(?:\w+\.)*(\w+)\s*;", r"\b([A-Z]\w*)(?:<[^>]*>)?(?:\[\])*\s+[a-z_]\w*\s*[=;,)]", READS, typed=r"\b([A-Z]\w*)(?:<[^>]*>)?\s+([a-z_]\w*)\s*[=;,)]"),
+    "kotlin": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|object)\s+([A-Za-z_]\w*)", r"^\s*(?:[a-z]+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*)", r"^\s*import\s+([\w.]+)", r"\b(?:class|object|interface)\s+\w+(?:<[^>]*>)?\s*(?:\([^)]*\))?\s*:\s*([\w.,\s()]+?)\s*(?:\{|$)", r"^\s+(?:[a-z]+\s+)*va[lr]\s+([A-Za-z_]\w*)", r"^\s*(?://|\*|/\*)", False, names=r"^\s*import\s+(?:\w+\.)*(\w+(?:\s+as\s+\w+)?)\s*$", types=ANNOTATED, reads=READS, variables=DECLARED),
     "ruby": Language(r"^\s*(?:class|module)\s+([A-Z]\w*(?:::\w+)*)", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", r"^\s*(?:class\s+[\w:]+\s*<|include|prepend|extend)\s*([A-Z][\w:]*)", r"^\s*attr_(?:reader|writer|accessor)\s+:(\w+)", r"^\s*#", True),
 }
 
@@ -115,7 +125,9 @@ def language_of(path: Column) -> Column:
 
 def lines_of(files: DataFrame) -> DataFrame:
     """One row per line: file_path, language, line_no (from 1), line, indent, depth (of braces before the line)."""
-    rows = files.select("file_path", language_of(F.col("file_path")).alias("language"), F.posexplode(F.split(F.coalesce("content", F.lit("")), "\r?\n")).alias("at", "line")).where("language is not null")
+    send_package(files.sparkSession)
+    known = files.select("file_path", language_of(F.col("file_path")).alias("language"), F.coalesce("content", F.lit("")).alias("content")).where("language is not null")
+    rows = known.select("file_path", "language", F.posexplode(F.split(prepared(F.col("content"), F.col("language")), "\r?\n")).alias("at", "line"))
     rows = rows.withColumns({"line_no": F.col("at") + 1, "indent": F.length("line") - F.length(F.ltrim("line"))})
     before = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("depth", F.coalesce(F.sum(F.regexp_count("line", F.lit(r"\{")) - F.regexp_count("line", F.lit(r"\}"))).over(before), F.lit(0))).drop("at")
@@ -132,8 +144,9 @@ def parsed_symbols(lines: DataFrame) -> DataFrame:
     file's lines, so the work grows with the lines times the levels of nesting.
     """
     code = patterned(lines.where("trim(line) <> ''"))
-    function = F.coalesce(_named("functions"), _named("methods"))
-    rows = code.select("file_path", "language", "line_no", "line", F.when(F.col("p_indented"), F.col("indent")).otherwise(F.col("depth")).cast("int").alias("level"), _named("classes").alias("class_"), _named("owners").alias("block_"), F.when(~function.isin(*NOT_CALLS), function).alias("function_"), _named("fields").alias("field_"), _named("receiver").alias("receiver_"), F.col("p_joint").alias("joint_"))
+    method = _named("methods")
+    function = F.coalesce(_named("functions"), F.when(~method.isin(*NOT_CALLS), method))
+    rows = code.select("file_path", "language", "line_no", "line", F.when(F.col("p_indented"), F.col("indent")).otherwise(F.col("depth")).cast("int").alias("level"), _named("classes").alias("class_"), _named("owners").alias("block_"), function.alias("function_"), _named("fields").alias("field_"), _named("receiver").alias("receiver_"), F.col("p_joint").alias("joint_"))
     rows = rows.withColumn("opens_", F.coalesce("class_", "block_", "function_"))
     last = rows.groupBy("file_path", "language").agg(F.max("line_no").alias("last_line"), F.sort_array(F.collect_set(F.when(F.col("opens_").isNotNull(), F.col("level")))).alias("levels_"))
     # For each level of definitions, the lines that end one: a definition's next one is its end.
@@ -160,6 +173,26 @@ def parsed_imports(lines: DataFrame) -> DataFrame:
     return code.select("file_path", "module", F.array_except(F.regexp_extract_all(F.coalesce("names_", F.lit("")), F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1)), F.array(F.lit("as"), F.lit("type"))).alias("names"))
 
 
+def typed_uses(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Members used on variables of a declared type: file_path, source, type, member, rel_type (calls or references).
+
+    A variable's type holds within the innermost function that declares it, as
+    receiver, parameter or local variable.
+    """
+    code = patterned(lines)
+    spans = symbols.where("kind in ('function', 'method')").select("file_path", "name", "start_line", "end_line")
+    both = lambda p, a, b: F.arrays_zip(F.expr(f"regexp_extract_all(line, p_{p}, {a})").alias("v"), F.expr(f"regexp_extract_all(line, p_{p}, {b})").alias("t"))
+    pair = lambda p, a, b: F.transform(both(p, a, b), lambda x: F.struct(x["v"].alias("variable"), x["t"].alias("type")))
+    declared = code.select("file_path", F.col("line_no").alias("line"), F.explode(F.concat(F.when(F.col("p_variables") == NOTHING, F.array().cast("array<struct<variable:string,type:string>>")).otherwise(pair("variables", 1, 2)), F.when(F.col("p_typed") == NOTHING, F.array().cast("array<struct<variable:string,type:string>>")).otherwise(pair("typed", 2, 1)))).alias("d")).select("file_path", "line", "d.*")
+    inside = lambda rows: innermost(rows, spans).where("span is not null").withColumn("at_", F.col("span.start_line"))
+    declared = inside(declared).select("file_path", "at_", "variable", "type").distinct()
+    part = lambda k: F.regexp_extract_all("line", F.lit(MEMBERS), F.lit(k))
+    used = code.select("file_path", F.col("line_no").alias("line"), F.explode(F.arrays_zip(part(1).alias("variable"), part(2).alias("member"), part(3).alias("called"))).alias("u")).select("file_path", "line", "u.*").where("variable not in ('self', 'this')")
+    found = inside(used).join(declared, ["file_path", "at_", "variable"])
+    kind = F.when(F.col("called") == "", "references").otherwise("calls")
+    return found.select("file_path", F.col("span.name").alias("source"), "type", "member", kind.alias("rel_type")).distinct()
+
+
 def parsed_relationships(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """Relationships by name: file_path, source, target, rel_type, confidence.
 
@@ -181,7 +214,7 @@ def parsed_relationships(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     known = lambda rows: rows.join(here, ["file_path", "target"], "left").join(brought, ["file_path", "target"], "left")
     tier = F.when(F.col("local_") == 1, 1.0).when(F.col("imported_") == 1, 0.8)
     bases = code.select("file_path", F.col("line_no").alias("line"), _named("inherits").alias("bases_"), _named("owners").alias("block_")).where("bases_ is not null")
-    bases = bases.select("file_path", "line", "block_", F.explode(F.split("bases_", r"\s*,\s*|\s+implements\s+")).alias("base_"))
+    bases = bases.select("file_path", "line", "block_", F.explode(F.split(F.regexp_replace("bases_", r"\([^)]*\)", ""), r"\s*,\s*|\s+implements\s+")).alias("base_"))
     bases = bases.select("file_path", "line", "block_", F.regexp_extract("base_", r"^\s*([\w$.:]+)", 1).alias("target")).where("target <> '' and target <> 'object'")
     heirs = innermost(bases, spans.where("kind = 'class'")).withColumn("source", F.coalesce("block_", "span.name")).where("source is not null")
     inherits = known(heirs).select("file_path", "source", "target", F.lit("inherits").alias("rel_type"), F.coalesce(tier, F.lit(0.5)).alias("confidence"))
@@ -199,5 +232,7 @@ def parsed_relationships(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     uses = known(uses).where("rel_type <> 'references' or local_ = 1").select("file_path", F.coalesce("span.name", "file_path").alias("source"), "target", "rel_type", F.coalesce(tier, F.when(F.col("own_"), 0.6).otherwise(0.5)).alias("confidence"))
     taken = code.where("language = 'python' and rlike(line, '^ *from ')").select("file_path", F.col("file_path").alias("source"), F.explode(F.regexp_extract_all(F.coalesce(_named("names"), F.lit("")), F.lit(r"(\w+)(?:\s+as\s+\w+)?"), F.lit(1))).alias("target"), F.lit("uses_type").alias("rel_type"), F.lit(0.8).alias("confidence"))
     uses = uses.unionByName(taken)
-    every = defines.unionByName(imports).unionByName(inherits).unionByName(uses)
+    members = symbols.where("kind in ('field', 'method')").select("file_path", F.col("parent").alias("type"), F.element_at(F.split("name", "::"), -1).alias("member"), F.col("name").alias("target")).distinct()
+    near = typed_uses(lines, symbols).join(members, ["file_path", "type", "member"]).select("file_path", "source", "target", "rel_type", F.lit(1.0).alias("confidence"))
+    every = defines.unionByName(imports).unionByName(inherits).unionByName(uses).unionByName(near)
     return every.where("source <> target").groupBy("file_path", "source", "target", "rel_type").agg(F.max("confidence").alias("confidence"))

@@ -19,11 +19,12 @@ from loomgraph.sources.change_log import COMPACT_AT, ChangeLog
 
 
 class Index(NamedTuple):
-    """Tables by file_path: symbols, edges by name, imports, and the files with their modification times."""
+    """Tables by file_path: symbols, edges by name, imports, members used on variables of a type, and the files with their modification times."""
 
     symbols: DataFrame
     named: DataFrame
     imports: DataFrame
+    typed: DataFrame
     files: DataFrame
 
     def write(self, folder: str) -> None:
@@ -39,6 +40,7 @@ def parsed(files: DataFrame) -> Index:
     """What the texts of files (file_path, mtime, content) tell; symbols are checkpointed, as all else is joined to them. Files of unknown endings give no symbol, null content that of an empty file."""
     lines = frontends.lines_of(files)
     symbols = frontends.parsed_symbols(lines).checkpoint()
+    named_symbols = symbols
     named = frontends.parsed_relationships(lines, symbols).where("rel_type <> 'imports'")
     key = F.md5(F.concat_ws("\n", "file_path", "kind", "name", "start_line"))
     symbols = symbols.select(key.alias("id"), "name", "kind", "file_path", "language", "start_line", "end_line", "parent")
@@ -50,7 +52,8 @@ def parsed(files: DataFrame) -> Index:
     crate = F.regexp_replace(F.regexp_replace(F.regexp_replace("module", "::", "."), r"^(?:(?:crate|self|super)\.)+", ""), r"\.[A-Z]\w*$", "")
     module = F.when(python, F.regexp_replace("module", r"^\.+", "")).when(rust, crate).otherwise(F.col("module"))
     imports = frontends.parsed_imports(lines).select("file_path", module.alias("module"), dots.cast("int").alias("dots")).distinct()
-    return Index(symbols, named, imports, files.select("file_path", "mtime"))
+    typed = frontends.typed_uses(lines, named_symbols).join(owners, ["file_path", "source"]).select("file_path", "source_id", "type", "member", "rel_type")
+    return Index(symbols, named, imports, typed, files.select("file_path", "mtime"))
 
 
 def edges(index: Index) -> DataFrame:
@@ -68,7 +71,11 @@ def edges(index: Index) -> DataFrame:
     rows = index.named.join(local, ["file_path", "target_name"], "left")
     near = rows.where("target_id is not null").select("source_id", "target_id", "rel_type", "confidence")
     far = graph.resolved(rows.where("target_id is null and rel_type <> 'defines'").select("source_id", "target_name", "rel_type", "confidence").distinct(), s.where("kind <> 'file'"))
-    linked = near.unionByName(far).checkpoint()
+    # A member of a variable's type: that of the same file, else the only one.
+    members = s.where("kind in ('field', 'method')").select(F.col("parent").alias("type"), F.element_at(F.split("name", "::"), -1).alias("member"), F.col("id").alias("target_id"), F.col("file_path").alias("at_"))
+    met = index.typed.join(members, ["type", "member"]).groupBy("source_id", "file_path", "type", "member", "rel_type").agg(F.min(F.when(F.col("at_") == F.col("file_path"), F.col("target_id"))).alias("here_"), F.count(F.lit(1)).alias("n_"), F.min("target_id").alias("only_"))
+    of_type = met.where("here_ is not null or n_ = 1").select("source_id", F.coalesce("here_", "only_").alias("target_id"), "rel_type", F.when(F.col("here_").isNotNull(), 1.0).otherwise(0.8).alias("confidence"))
+    linked = near.unionByName(far).unionByName(of_type).checkpoint()
     found = graph.resolved_imports(index.imports.withColumnRenamed("file_path", "importer"), index.files.select("file_path"))
     known = found.where("importer <> imported").select("importer", "imported").distinct().withColumn("confidence", F.lit(1.0)).checkpoint()
     used = graph.derived_imports(linked, s, known)

@@ -154,7 +154,7 @@ def parsed(spark):
         ("app/inv.py", {("Invoice", "class"), ("total", "field"), ("add", "method"), ("check", "method"), ("helper", "function")}),
         ("app/a.ts", {("A", "class"), ("n", "field"), ("run", "method"), ("stop", "method"), ("go", "function")}),
         ("app/l.rs", {("Acc", "class"), ("total", "field"), ("Acc::add", "method"), ("main", "function")}),
-        ("app/m.go", {("Srv", "class"), ("port", "field"), ("Srv.Start", "method"), ("listen", "function")}),
+        ("app/m.go", {("Srv", "class"), ("port", "field"), ("Start", "method"), ("listen", "function")}),
         ("app/t.py", {("Item", "class"), ("cost", "field"), ("price", "method"), ("tax", "function"), ("inner", "function"), ("top", "function")}),
         ("app/o.ts", {("Order", "class"), ("cost", "field"), ("price", "method"), ("tax", "method")}),
         ("app/N.java", {("N", "class"), ("total", "field"), ("add", "method"), ("check", "method")}),
@@ -173,7 +173,7 @@ def test_symbols(parsed, path, want):
         ("app/inv.py", {("Invoice", "Base", "inherits", 0.8), ("app/inv.py", "Base", "uses_type", 0.8), ("app/inv.py", "base", "imports", 0.3), ("app/inv.py", "os", "imports", 0.3), ("add", "check", "calls", 1.0), ("add", "helper", "calls", 1.0)}),
         ("app/a.ts", {("A", "B", "inherits", 0.8), ("app/a.ts", "./b", "imports", 0.3), ("run", "stop", "calls", 1.0), ("stop", "go", "calls", 1.0)}),
         ("app/l.rs", {("Acc", "Base", "inherits", 0.8), ("app/l.rs", "crate::base::Base", "imports", 0.3), ("Acc::add", "Acc::total", "calls", 0.6), ("main", "add", "calls", 0.5)}),
-        ("app/m.go", {("Srv", "Base", "inherits", 0.5), ("app/m.go", "fmt", "imports", 0.3), ("Srv.Start", "Srv", "uses_type", 1.0), ("Srv.Start", "listen", "calls", 1.0)}),
+        ("app/m.go", {("Srv", "Base", "inherits", 0.5), ("app/m.go", "fmt", "imports", 0.3), ("Start", "Srv", "uses_type", 1.0), ("Start", "listen", "calls", 1.0)}),
         ("app/N.java", {("N", "Base", "inherits", 0.8), ("app/N.java", "a.Base", "imports", 0.3), ("add", "check", "calls", 1.0)}),
         ("app/k.kt", {("K", "Base", "inherits", 0.8), ("app/k.kt", "a.Base", "imports", 0.3), ("add", "check", "calls", 1.0), ("add", "Int", "uses_type", 0.5), ("check", "Int", "uses_type", 0.5)}),
         ("app/r.rb", {("R", "Base", "inherits", 0.5), ("R", "Helper", "inherits", 0.5), ("app/r.rb", "base", "imports", 0.3), ("add", "check", "calls", 1.0)}),
