@@ -82,3 +82,18 @@ LAYER_FOLDERS = {
     }.items()
     for folder in folders.split()
 }
+
+
+def camel(name: Column) -> Column:
+    """`users_controller` as `UsersController`."""
+    return F.array_join(F.transform(F.split(name, "_"), lambda part: F.concat(F.upper(F.substr(part, F.lit(1), F.lit(1))), F.substr(part, F.lit(2)))), "")
+
+
+def snake(name: Column) -> Column:
+    """`UsersController` as `users_controller`; each capital but the first letter begins a word."""
+    return F.lower(F.regexp_replace(name, r"(?<!^)(\p{Lu})", "_$1"))
+
+
+def constant_path(constant: Column) -> Column:
+    """The path under which a constant is loaded by name: `api/v1/users_controller` for `Api::V1::UsersController`."""
+    return F.array_join(F.transform(F.split(F.regexp_replace(constant, "^::", ""), "::"), snake), "/")

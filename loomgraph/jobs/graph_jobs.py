@@ -204,6 +204,25 @@ def graph_resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolved_imports(*import_statements(spark, sf_dir))
 
 
+def autoloading_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Ruby class per customer that includes one module per order, named by customers; most files have the name of their class."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    names = c.select(F.col("c_custkey").alias("k"), F.format_string("Sales::V%d::OpenOrders%d", "c_nationkey", "c_custkey").alias("constant"), F.format_string("v%d/open_orders%d.rb", "c_nationkey", "c_custkey").alias("end"))
+    path = F.concat(F.when(F.col("k") % 3 == 0, "app/models/sales/").when(F.col("k") % 3 == 1, "lib/").otherwise("bin/run_"), F.when(F.col("k") % 3 == 2, F.regexp_replace("end", "/", "_")).otherwise(F.col("end")))
+    used = o.select("o_custkey", (F.col("o_orderkey") % 1000 + 1).alias("k"), "o_orderkey").join(names.select("k", "constant"), "k")
+    lines = used.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("  include "), "constant"))), "\n").alias("body"))
+    rows = names.join(lines, F.col("k") == F.col("o_custkey"), "left")
+    return rows.select(path.alias("file_path"), F.concat(F.lit("class "), "constant", F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("\nend\n")).alias("content"))
+
+
+def graph_autoloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that Ruby's constants are loaded from by name."""
+    files = autoloading_files(spark, sf_dir)
+    named = frontends.autoloads(frontends.lines_of(files))
+    found = graph.resolved_imports(named.select(F.col("file_path").alias("importer"), "module", F.lit(0).alias("dots")), files.select("file_path"))
+    return found.select("importer", "module", "imported")
+
+
 def graph_prefix_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = symbols(spark, sf_dir).select(F.col("file_path").alias("path"))
     roots = spark.createDataFrame([("src", "all"), ("src/api", "api"), ("lib/utils", "utils"), ("tests", "tests"), ("src/api/m1.py", "one")], "root string, project string")
@@ -346,7 +365,7 @@ def parse_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("file_path", "rel_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
-_NAMES = ("graph_impact_upstream", "graph_impact_downstream", "graph_impact_both", "graph_impact_depth_limit", "graph_impact_rollup", "graph_impact_by_name", "graph_bfs_hops", "graph_callers_of", "graph_find_symbol", "graph_symbols_in_file", "graph_layer_detect", "graph_layer_histogram", "graph_edge_histogram", "graph_edge_batch_clean", "graph_remove_file_cascade", "graph_remove_project_cascade", "graph_import_edges", "graph_degrees", "graph_file_symbols", "graph_tour", "graph_subclasses", "graph_imported_targets", "graph_call_fanout", "graph_ref_unique_only", "graph_inherit_first", "graph_derived_imports", "graph_import_suffix_match", "graph_resolve_imports", "graph_prefix_project", "graph_enclosing_scope", "idx_incremental_diff", "idx_index_stats", "idx_since_filter", "watch_debounce_batch", "watch_latest_states", "watch_stream_states", "eval_recall_precision_mrr", "eval_macro_scores", "eval_latency_percentiles", "eval_rank_assertions", "ab_token_pivot", "ab_conversation_totals", "parse_symbols", "parse_relationships")
+_NAMES = ("graph_impact_upstream", "graph_impact_downstream", "graph_impact_both", "graph_impact_depth_limit", "graph_impact_rollup", "graph_impact_by_name", "graph_bfs_hops", "graph_callers_of", "graph_find_symbol", "graph_symbols_in_file", "graph_layer_detect", "graph_layer_histogram", "graph_edge_histogram", "graph_edge_batch_clean", "graph_remove_file_cascade", "graph_remove_project_cascade", "graph_import_edges", "graph_degrees", "graph_file_symbols", "graph_tour", "graph_subclasses", "graph_imported_targets", "graph_call_fanout", "graph_ref_unique_only", "graph_inherit_first", "graph_derived_imports", "graph_import_suffix_match", "graph_resolve_imports", "graph_autoloads", "graph_prefix_project", "graph_enclosing_scope", "idx_incremental_diff", "idx_index_stats", "idx_since_filter", "watch_debounce_batch", "watch_latest_states", "watch_stream_states", "eval_recall_precision_mrr", "eval_macro_scores", "eval_latency_percentiles", "eval_rank_assertions", "ab_token_pivot", "ab_conversation_totals", "parse_symbols", "parse_relationships")
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 
@@ -423,6 +442,8 @@ ORACLES = {
     "graph_derived_imports": with_ctes("WITH e AS (SELECT a.file_path AS importer, b.file_path AS imported, rel_type FROM rel JOIN sym a ON a.id = source_id JOIN sym b ON b.id = target_id) SELECT DISTINCT importer, imported, 0.6::DOUBLE AS confidence FROM e WHERE rel_type IN ('inherits', 'calls', 'uses_type') AND importer <> imported AND (importer, imported) NOT IN (SELECT (importer, imported) FROM e WHERE rel_type = 'defines')", "rel", "sym"),
     "graph_import_suffix_match": "WITH f AS (SELECT regexp_replace(regexp_extract(url, '^[^:]+://([^?#]*)', 1), '/$', '') AS file_path FROM pages), m AS (SELECT DISTINCT regexp_extract(file_path, '([^/]+/[^/]+)$', 1) AS module FROM f WHERE regexp_matches(file_path, '[^/]+/[^/]+$')) SELECT module, arg_min(file_path, (length(file_path), file_path)) AS file_path FROM m JOIN f ON file_path = module OR ends_with(file_path, '/' || module) GROUP BY module",
     "graph_resolve_imports": _IMPORTS,
+    "graph_autoloads": """WITH n AS (SELECT c_custkey AS k, 'v' || c_nationkey || '/open_orders' || c_custkey AS stem, CASE c_custkey % 3 WHEN 0 THEN 'app/models/sales/' || stem WHEN 1 THEN 'lib/' || stem ELSE 'bin/run_' || replace(stem, '/', '_') END || '.rb' AS path FROM customer)
+  SELECT DISTINCT a.path AS importer, 'sales/' || b.stem AS module, b.path AS imported FROM orders JOIN n a ON a.k = o_custkey JOIN n b ON b.k = o_orderkey % 1000 + 1 WHERE b.k % 3 < 2""",
     "graph_prefix_project": with_ctes("WITH r(root, project) AS (VALUES ('src', 'all'), ('src/api', 'api'), ('lib/utils', 'utils'), ('tests', 'tests'), ('src/api/m1.py', 'one')), p AS (SELECT DISTINCT file_path AS path FROM sym) SELECT path, arg_max(r.project, length(root)) AS project FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY path", "sym"),
     "graph_enclosing_scope": "WITH p AS (SELECT DISTINCT l_suppkey AS k, (floor(l_quantity)::INTEGER + l_linenumber)::INTEGER AS line FROM lineitem), s AS (SELECT DISTINCT l_suppkey AS k, l_linenumber::INTEGER AS start_line, floor(l_linenumber * 2 + l_quantity)::INTEGER AS end_line FROM lineitem) SELECT k, line, arg_min('f_' || start_line || '_' || end_line, (end_line - start_line, start_line)) AS name FROM p JOIN s USING (k) WHERE line BETWEEN start_line AND end_line GROUP BY k, line",
     "idx_incremental_diff": _DIFF,

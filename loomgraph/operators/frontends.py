@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.lexer import prepared
+from loomgraph.functions.text import constant_path
 from loomgraph.session import send_package
 
 #: Types after a colon or an arrow, and members of the own object that are neither called nor written.
@@ -77,7 +78,7 @@ LANGUAGES: dict[str, Language] = {
     "go": Language(r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$", r"^\s+\*?([A-Z]\w*)\s*$", r"^\s+([A-Za-z_]\w*)\s+[\[\]*\w.]+(?:\s+`[^`]*`)?\s*$", r"^\s*//", False, types=r"^\s*(?:func\b|var\b|\w+\s).*?[\s(\]*](?:[a-z]\w*\.)?([A-Z]\w*)(?=\s*[,){]|\s*$)", receiver=r"^\s*func\s+\(\s*(?:\w+\s+)?\*?(\w+)", variables=r"\b(\w+)\s*(?:\s(?:\.\.\.|\[\])?|:=\s*&?)\*?(?:[a-z]\w*\.)?([A-Z]\w*)(?=\s*[,){=]|\s*$)"),
     "java": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)", NOTHING, r"^\s*import\s+(?:static\s+)?([\w.]+)", r"\b(?:extends|implements)\s+([\w.,\s<>]+?)\s*\{", r"^\s+(?:[a-z]+\s+)*[A-Za-z_][\w<>\[\], ]*\s+([A-Za-z_]\w*)\s*(?:=[^=].*)?;\s*$", r"^\s*(?://|\*|/\*)", False, r"^\s+(?=.*\{|(?!(?:return|throw|new|else|case|assert|yield)\b)(?:[a-z]+\s+)*[A-Za-z_][\w<>\[\], .]*\s[A-Za-z_]\w*\s*\([^)]*\)[^=]*;\s*$)(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+)*(?:[A-Za-z_][\w<>\[\], .]*\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?[{;]", r"^\s*import\s+(?:static\s+)?(?:\w+\.)*(\w+)\s*;", r"\b([A-Z]\w*)(?:<[^>]*>)?(?:\[\])*\s+[a-z_]\w*\s*[=;,)]", READS, typed=r"\b([A-Z]\w*)(?:<[^>]*>)?\s+([a-z_]\w*)\s*[=;,)]"),
     "kotlin": Language(r"^\s*(?:[a-z]+\s+)*(?:class|interface|object)\s+([A-Za-z_]\w*)", r"^\s*(?:[a-z]+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*)", r"^\s*import\s+([\w.]+)", r"\b(?:class|object|interface)\s+\w+(?:<[^>]*>)?\s*(?:\([^)]*\))?\s*:\s*([\w.,\s()]+?)\s*(?:\{|$)", r"^\s+(?:[a-z]+\s+)*va[lr]\s+([A-Za-z_]\w*)", r"^\s*(?://|\*|/\*)", False, names=r"^\s*import\s+(?:\w+\.)*(\w+(?:\s+as\s+\w+)?)\s*$", types=ANNOTATED, reads=READS, variables=DECLARED),
-    "ruby": Language(r"^\s*(?:class|module)\s+([A-Z]\w*(?:::\w+)*)", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", r"^\s*(?:class\s+[\w:]+\s*<|include|prepend|extend)\s*([A-Z][\w:]*)", r"^\s*attr_(?:reader|writer|accessor)\s+:(\w+)", r"^\s*#", True),
+    "ruby": Language(r"^\s*(?:class|module)\s+([A-Z]\w*(?:::\w+)*)", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", r"^\s*(?:class\s+[\w:]+\s*<|include|prepend|extend)\s*(?:::)?([A-Z][\w:]*(?:\s*,\s*(?:::)?[A-Z][\w:]*)*)", r"^\s*attr_(?:reader|writer|accessor)\s+:(\w+)", r"^\s*#", True),
 }
 
 
@@ -173,6 +174,12 @@ def parsed_imports(lines: DataFrame) -> DataFrame:
     return code.select("file_path", "module", F.array_except(F.regexp_extract_all(F.coalesce("names_", F.lit("")), F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1)), F.array(F.lit("as"), F.lit("type"))).alias("names"))
 
 
+def autoloads(lines: DataFrame) -> DataFrame:
+    """What Ruby files name without requiring it, superclasses and included modules: file_path, constant, module (the path it is loaded from)."""
+    code = patterned(lines.where("language = 'ruby'")).select("file_path", F.explode(F.split(_named("inherits"), r"\s*,\s*")).alias("constant")).distinct()
+    return code.withColumn("module", constant_path(F.col("constant")))
+
+
 def typed_uses(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """Members used on variables of a declared type: file_path, source, type, member, rel_type (calls or references).
 

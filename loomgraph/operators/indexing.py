@@ -51,7 +51,8 @@ def parsed(files: DataFrame) -> Index:
     dots = F.when(python, F.length(F.regexp_extract("module", r"^(\.*)", 1))).otherwise(0)
     crate = F.regexp_replace(F.regexp_replace(F.regexp_replace("module", "::", "."), r"^(?:(?:crate|self|super)\.)+", ""), r"\.[A-Z]\w*$", "")
     module = F.when(python, F.regexp_replace("module", r"^\.+", "")).when(rust, crate).otherwise(F.col("module"))
-    imports = frontends.parsed_imports(lines).select("file_path", module.alias("module"), dots.cast("int").alias("dots")).distinct()
+    stated = frontends.parsed_imports(lines).select("file_path", module.alias("module"), dots.cast("int").alias("dots"))
+    imports = stated.unionByName(frontends.autoloads(lines).select("file_path", "module", F.lit(0).alias("dots"))).distinct()
     typed = frontends.typed_uses(lines, named_symbols).join(owners, ["file_path", "source"]).select("file_path", "source_id", "type", "member", "rel_type")
     return Index(symbols, named, imports, typed, files.select("file_path", "mtime"))
 

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text as T
 from loomgraph.operators import graph, indexing
 
 SCHEMA = "file_path string, mtime timestamp_ntz, content string"
@@ -95,3 +96,24 @@ def test_empty_and_odd_files(spark, tmp_path):
     assert indexing.edges(none).count() == none.symbols.count() == 0
     odd = indexing.parsed(spark.createDataFrame([("a.py", T1, None), ("b.py", T1, ""), ("c.py", T1, "class A:\n" * 3)], SCHEMA))
     assert {(r.file_path, r.name) for r in odd.symbols.collect()} == {("c.py", "c.py"), ("c.py", "A")}
+
+
+def test_ruby_constants_are_loaded_by_name(spark, tmp_path):
+    """Superclasses and included modules mean the files that are named after them."""
+    row = spark.createDataFrame([("Api::V1::UsersController",), ("::HTTPServer",), ("Plain",), ("",)], "c string").select(T.constant_path(F.col("c")).alias("p")).collect()
+    assert [r.p for r in row] == ["api/v1/users_controller", "h_t_t_p_server", "plain", ""]
+    assert spark.createDataFrame([("users_controller",), ("",), ("_a",)], "c string").select(T.camel(F.col("c")).alias("p")).collect() == [("UsersController",), ("",), ("A",)]
+    texts = {
+        "app/controllers/users_controller.rb": "class UsersController < ::ApplicationController\n  include Api::Signed, Timed\n  def show\n  end\nend\n",
+        "app/controllers/application_controller.rb": "class ApplicationController < ActionController::Base\nend\n",
+        "lib/api/signed.rb": "module Api\n  module Signed\n    # include Timed\n  end\nend\n",
+        "lib/timed.rb": "module Timed\nend\n",
+        "lib/other.py": "class Other(Timed):\n    pass\n",
+    }
+    index = written(spark, indexing.parsed(scan(spark, texts)), tmp_path, "ruby")
+    found = {(r.file_path, r.module) for r in index.imports.collect()}
+    users, app = "app/controllers/users_controller.rb", "app/controllers/application_controller.rb"
+    assert found == {(users, "application_controller"), (users, "api/signed"), (users, "timed"), (app, "action_controller/base")}
+    paths = index.symbols.where("kind = 'file'").select("id", "file_path")
+    e = indexing.edges(index).where("rel_type = 'imports' and confidence = 1.0").join(paths.toDF("source_id", "a"), "source_id").join(paths.toDF("target_id", "b"), "target_id")
+    assert {(r.a, r.b) for r in e.collect()} == {(users, app), (users, "lib/api/signed.rb"), (users, "lib/timed.rb")}
