@@ -22,13 +22,17 @@ def tool_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "score", "match_type", "memory_type", F.length("content").cast("long").alias("n_chars"), "summary")
 
 
-def tool_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories that may contradict new ones: every hundredth text, its vector moved towards the next one's."""
+def new_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New memories: every hundredth text, its vector moved towards the next one's."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
     moved = F.zip_with("embedding", "other", lambda a, b: a.cast("double") + b.cast("double") / 2)
     pairs = e.where("v % 100 = 0").join(e.select((F.col("v") - 1).alias("v"), F.col("embedding").alias("other")), "v").select("v", moved.alias("embedding"))
-    new = table(spark, sf_dir, "documents").join(pairs, F.col("doc_id") == F.col("v")).select((-F.col("doc_id") - 1).alias("id"), F.col("text").alias("content"), "embedding")
-    out = memory_tools.stored(memories(spark, sf_dir), new, AS_OF)
+    return table(spark, sf_dir, "documents").join(pairs, F.col("doc_id") == F.col("v")).select((-F.col("doc_id") - 1).alias("id"), F.col("text").alias("content"), "embedding")
+
+
+def tool_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories that may contradict new ones."""
+    out = memory_tools.stored(memories(spark, sf_dir), new_memories(spark, sf_dir), AS_OF)
     first = F.get("contradictions", F.lit(0))
     return out.select("id", F.size("contradictions").cast("long").alias("n_contradictions"), first["id"].alias("first_id"), first["similarity"].alias("similarity"), first["memory_type"].alias("memory_type"), "long_note")
 

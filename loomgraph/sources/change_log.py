@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Batches since the last base from which a log is compacted.
@@ -27,14 +27,18 @@ class ChangeLog:
     def __init__(self, spark: SparkSession, folder: str, key: str = "file_path"):
         self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
 
-    def _entries(self) -> list[tuple[int, str, str]]:
-        """(epoch, kind, folder) of the last base and the batches after it, in order."""
+    def _manifest(self) -> list[Row]:
+        """The rows of the manifest, one a batch or base."""
         try:
-            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest").collect()  # a row a batch
+            return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest").collect()
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return []
+
+    def _entries(self) -> list[tuple[int, str, str]]:
+        """(epoch, kind, folder) of the last base and the batches after it, in order."""
+        rows = self._manifest()
         base = max((r["epoch"] for r in rows if r["kind"] == "base"), default=None)
         last = {(r["epoch"], r["kind"]): r for r in sorted(rows, key=lambda r: r["place"])}
         kept = [r for (e, kind), r in last.items() if (kind == "base" and e == base) or (kind == "batch" and (base is None or e > base))]
@@ -65,15 +69,18 @@ class ChangeLog:
         parts = [self.spark.read.parquet(f"{at}/{name}").withColumn("epoch_", F.lit(e)) for e, _, at in (self._entries() if entries is None else entries)]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
-    def current(self, name: str) -> DataFrame | None:
-        """The table as of the last batch; None if there is nothing."""
-        entries = self._entries()
+    def current(self, name: str, entries: list[tuple[int, str, str]] | None = None, with_epoch: bool = False) -> DataFrame | None:
+        """The table as of the last batch, or of the entries given; None if there is nothing."""
+        entries = self._entries() if entries is None else entries
         rows = self.rows(name, entries)
         later = [e for e in entries if e[1] == "batch"]
-        if rows is None or not later:
-            return None if rows is None else rows.drop("epoch_")
+        if rows is None:
+            return None
+        columns = [c for c in rows.columns if with_epoch or c != "epoch_"]
+        if not later:
+            return rows.select(*columns)
         newest = self.rows("touched", later).groupBy(self.key).agg(F.max("epoch_").alias("newest_"))
-        return rows.join(newest, self.key, "left").where("newest_ is null or newest_ = epoch_").select(*[c for c in rows.columns if c != "epoch_"])
+        return rows.join(newest, self.key, "left").where("newest_ is null or newest_ = epoch_").select(*columns)
 
     def compact(self, tables: dict[str, DataFrame]) -> None:
         """Writes these merged tables as the base of the last batch; later readers start from it."""
