@@ -86,7 +86,7 @@ class MemoryLog:
 
         def change(now: DataFrame) -> tuple[DataFrame, DataFrame]:
             fresh = rows.where("id is not null").dropDuplicates(["id"]).join(now.select("id"), "id", "left_anti").select(*types) if given else rows
-            return fresh, rows.limit(0)  # no id was there before, so nothing is superseded
+            return fresh, rows.limit(0)  # no id is there before, so nothing is superseded; ids that are made must not be made twice
 
         at = self._commit(change)
         written = self.spark.read.schema(before.schema).parquet(f"{at}/rows")  # ids are made once; what follows reads them

@@ -109,19 +109,21 @@ def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, min_simila
 
     The queries are dealt to blocks of bounded size. Each block is broadcast
     and meets all vectors where they are read, as matrix products; only the k
-    best of a batch go on to the ranking.
+    best of a batch go on to the ranking. Ids are whole numbers or strings.
     """
     import numpy as np
     import pyarrow as pa
 
     spark = vectors.sparkSession
     vectors, queries = vectors.where("embedding is not null").select("id", "embedding"), queries.where("embedding is not null").select("id", "embedding")
+    kind = "string" if vectors.schema["id"].dataType.simpleString() == "string" else "long"
+    texts = kind == "string"
 
     def searcher(shared):
         def nearest(batches):
             ids_q, q = shared.value
             for batch in batches:
-                ids = batch.column("id").to_numpy()
+                ids = np.array(batch.column("id").to_pylist(), str) if texts else batch.column("id").to_numpy()
                 for at in range(0, len(ids), ROWS_AT_ONCE):
                     some = slice(at, at + ROWS_AT_ONCE)
                     v = batch.column("embedding")[some].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
@@ -145,10 +147,10 @@ def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, min_simila
         some = queries.where(F.pmod(F.xxhash64("id"), F.lit(max(n, 1))) == b).orderBy("id").toPandas()
         if some.empty:
             continue
-        shared = spark.sparkContext.broadcast((some["id"].to_numpy(), np.array(some["embedding"].tolist(), np.float64).reshape(len(some), -1)))
-        part = vectors.mapInArrow(searcher(shared), "query_id long, id long, sim double")
+        shared = spark.sparkContext.broadcast((some["id"].to_numpy(str if texts else None), np.array(some["embedding"].tolist(), np.float64).reshape(len(some), -1)))
+        part = vectors.mapInArrow(searcher(shared), f"query_id {kind}, id {kind}, sim double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, sim double")
+        found = spark.createDataFrame([], f"query_id {kind}, id {kind}, sim double")
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -80,7 +80,7 @@ class ChangeLog:
         if not later:
             return rows.select(*columns)
         newest = self.rows("touched", later).groupBy(self.key).agg(F.max("epoch_").alias("newest_"))
-        return rows.join(newest, self.key, "left").where("newest_ is null or newest_ = epoch_").select(*columns)
+        return rows.join(newest, self.key, "left").where("newest_ is null or newest_ <= epoch_").select(*columns)
 
     def compact(self, tables: dict[str, DataFrame]) -> None:
         """Writes these merged tables as the base of the last batch; later readers start from it."""
