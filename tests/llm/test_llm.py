@@ -468,10 +468,13 @@ def test_template_nodes_are_learnt_from_a_host(spark):
         ("<title>never closed<p>a</p>", ["never closed", "a"]),
         ("<table><tr><td><table><tr><td>1</table><td>2<tr><td>3</table>", ["1", "2", "3"]),
         ("a < b <c", ["a < b <c"]),
+        ("<article><h2 id=search>a</h2><section id=login>b</section><div class=widget>c</div><p>d <label>e</label> f</p></article>", ["a", "b", "c", "d e f"]),
+        ("<article><header><h1>T</h1></header><div class='google-ads'>no</div><p class='has-comments'>x</p></article>", ["T", "x"]),
+        ("<body class=no-ads><div style='color: red; display: none'>no</div><div class=google-ads>no</div><header>no</header><p>x", ["x"]),
     ],
 )
 def test_blocks(html, want):
-    assert [t for _, t in wrappers.blocks(wrappers.content_root(wrappers.parsed(html)))] == want
+    assert wrappers.main_blocks(html) == want
 
 
 def linked_pages():
@@ -506,7 +509,8 @@ def test_aliases_by_recursive_sql(spark, same_as_oracle, tmp_path):
 def test_bad_pages_take_linear_time(piece):
     html = piece * (400_000 // len(piece)) + "<p>end</p>"
     start = time.process_time()
-    wrappers.blocks(wrappers.content_root(wrappers.parsed(html)))
+    wrappers.main_blocks(html)
+    list(wrappers.walked(wrappers.parsed(html), 0, 3))
     assert time.process_time() - start < 5
 
 
@@ -528,6 +532,60 @@ def test_templates_without_telling_names(spark):
     assert np.mean(kept) >= 0.99 and np.mean(gone) >= 0.99
 
 
+def plain_matching(x, y):
+    """Nodes of a largest top-down, order-keeping matching, by the plain recursion."""
+    if x.name != y.name:
+        return 0
+    best = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
+    for i, c in enumerate(x.children, 1):
+        for j, d in enumerate(y.children, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_matching(c, d))
+    return 1 + best[-1][-1]
+
+
+def test_matching_is_largest():
+    rng = random.Random(11)
+
+    def markup(depth):
+        return "".join(f"<{t}>{markup(depth - 1) if depth else 'w' * rng.randrange(1, 4)}</{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randrange(1, 5)))
+
+    for _ in range(60):
+        a, b = (list(wrappers.walked(wrappers.parsed(markup(2)), 0, 3)) for _ in range(2))
+        x, y = (wrappers.Outline.of([k for k, *_ in o], ["/".join(f) for _, f, *_ in o], [wrappers.code(p, t) for *_, p, t in o], [len(t) for *_, t in o]) for o in (a, b))
+        pairs = wrappers.matched(x, y)
+        assert len(pairs) == plain_matching(x, y) and all(u.name == v.name for u, v, _ in pairs)
+        rest = wrappers.differing(pairs)
+        assert rest[0] == x.total + y.total - sum(2 * min(u.size, v.size) for u, v, _ in pairs) and min(rest) >= 0
+
+
+def test_wrappers_alone_find_the_given_articles(spark, sf_dir):
+    """Without any name of elements, classes or ids, on hosts with pages to align."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    several = url_filters.with_parts(pages).groupBy("host").count().where("count > 3").select("host")
+    pages = url_filters.with_parts(pages).join(several, "host", "left_semi").select("page_id", "url", "html")
+    got = wrappers.extracted(pages, prior=False).collect()
+    kept = lost = gone = left = 0
+    for r in got:
+        inside = [t for _, _, _, t in wrappers.walked(wrappers.parsed(r.html[r.html.index("<article>") : r.html.index("</article>")]))]
+        every = [t for _, _, _, t in wrappers.walked(wrappers.parsed(r.html), 0, 3)]
+        have = collections.Counter(r.text.split("\n\n"))
+        kept += sum(len(t) for t in inside if have[t])
+        lost += sum(len(t) for t in inside if not have[t])
+        outside = collections.Counter(every) - collections.Counter(inside)
+        extra = have - collections.Counter(inside)
+        left += sum(len(t) * n for t, n in extra.items())
+        gone += sum(len(t) * n for t, n in outside.items()) - sum(len(t) * n for t, n in extra.items())
+    assert got and kept >= 0.9 * (kept + lost) and gone >= 0.9 * (gone + left)
+
+
+def test_copies_are_aligned_once(spark):
+    """Copies of a page count once, so they are no evidence and no large group."""
+    copies = spark.range(3000).select(F.concat(F.lit("https://c.example.com/"), "id").alias("url"), F.lit("<div>menu</div><p>a copied page</p>").alias("html"))
+    own = spark.range(20).select(F.concat(F.lit("https://c.example.com/own"), "id").alias("url"), F.concat(F.lit("<div>menu</div><p>"), F.repeat(F.concat(F.lit("own "), "id", F.lit(" ")), (F.col("id") % 7).cast("int") + 3), F.lit("</p>")).alias("html"))
+    got = {r.url: r.text for r in wrappers.extracted(copies.unionByName(own)).collect()}
+    assert got["https://c.example.com/own3"] == " ".join(["own 3"] * 6) and got["https://c.example.com/17"] == "a copied page"
+
+
 def test_long_pages_are_aligned_with_bounded_memory(monkeypatch):
     rng = random.Random(2)
     u, v = ([rng.randrange(6) for _ in range(n)] for n in (70, 90))
@@ -540,10 +598,10 @@ def test_long_pages_are_aligned_with_bounded_memory(monkeypatch):
 
 
 def test_simple_tree_matching():
-    a = wrappers.Outline.of(["/x/p", "/x/p", "/x/h1"], [1, 2, 3], [1, 1, 1])
-    b = wrappers.Outline.of(["/x/p", "/x/h1"], [2, 3], [1, 1])
+    a = wrappers.Outline.of([0, 1, 1], ["x:1/p:1", "p:2", "h1:1"], [1, 2, 3], [1, 1, 1])
+    b = wrappers.Outline.of([0, 1], ["x:1/p:1", "h1:1"], [2, 3], [1, 1])
     pairs = wrappers.matched(a, b)
-    assert {(x.name, y.name) for x, y in pairs} == {("", ""), ("x", "x"), ("p", "p"), ("h1", "h1")} and len(pairs) == 4
+    assert {(x.name, y.name) for x, y, _ in pairs} == {("", ""), ("x", "x"), ("p", "p"), ("h1", "h1")} and len(pairs) == 4
 
 
 def test_quality_scores_on_held_out_rows(spark):
