@@ -390,60 +390,90 @@ def _way(value: Callable[[int], np.ndarray], rows: range, columns: range) -> lis
     return out[::-1]
 
 
-def _sizes(a: Outline, b: Outline) -> Callable[[Outline, Outline], int]:
-    """The number of nodes in a largest top-down, order-keeping matching of any two nodes of two trees that can meet in one.
+class _Sizes(dict[tuple[int, int], int]):
+    """The number of nodes in a largest top-down, order-keeping matching of two nodes.
 
-    It depends on the trees' shapes alone, so it is found once for each two
-    shapes, from the lowest trees up.
+    It depends on their shapes alone, so it is found once for each two shapes,
+    when it is asked for, from the lowest trees up.
     """
-    known: dict[tuple[int, int], int] = {}
-
-    def size(x: Outline, y: Outline) -> int:
-        return 0 if x.name != y.name else 1 if not x.children or not y.children else known[x.shape, y.shape]
-
-    met, queue = {(a.shape, b.shape)}, [(a, b)]
-    for x, y in queue:
-        for c in {c.shape: c for c in x.children if c.children}.values():
-            for d in {d.shape: d for d in y.children if d.children}.values():
-                if c.name == d.name and (c.shape, d.shape) not in met:
-                    met.add((c.shape, d.shape))
-                    queue.append((c, d))
-    for x, y in sorted(queue, key=lambda xy: xy[0].height):
-        if x.children and y.children:
-            value = _values(x, y, size, texts=False)
-            known[x.shape, y.shape] = 1 + int(_last_row(value, range(len(x.children)), slice(None))[-1])
-    return size
-
 
-def _values(x: Outline, y: Outline, size: Callable[[Outline, Outline], int], texts: bool) -> Callable[[int], np.ndarray]:
-    """The worth of matching a child of x with each child of y: the size, or PAIR times it and one more for equal subtrees."""
-    u, v = ({c.shape: c for c in n.children} for n in (x, y))
-    place = {s: k for k, s in enumerate(v)}
-    rows = {s: np.array([size(c, d) for d in v.values()], np.int64) for s, c in u.items()}
-    at = np.array([place[d.shape] for d in y.children])
+    def of(self, a: Outline, b: Outline) -> int:
+        if a.name != b.name:
+            return 0
+        if not a.children or not b.children:
+            return 1
+        if (a.shape, b.shape) not in self:
+            self._fill(a, b)
+        return self[a.shape, b.shape]
+
+    def _fill(self, a: Outline, b: Outline) -> None:
+        met, queue = {(a.shape, b.shape)}, [(a, b)]
+        for x, y in queue:
+            for c in {c.shape: c for c in x.children if c.children}.values():
+                for d in {d.shape: d for d in y.children if d.children}.values():
+                    if c.name == d.name and (c.shape, d.shape) not in met and (c.shape, d.shape) not in self:
+                        met.add((c.shape, d.shape))
+                        queue.append((c, d))
+        for x, y in sorted(queue, key=lambda xy: xy[0].height):
+            self[x.shape, y.shape] = 1 + int(_last_row(_values(x.children, y.children, self, texts=False), range(len(x.children)), slice(None))[-1])
+
+
+def _values(u: list[Outline], v: list[Outline], sizes: _Sizes, texts: bool) -> Callable[[int], np.ndarray]:
+    """The worth of matching a node of u with each node of v: the size, or PAIR times it and one more for equal subtrees."""
+    kinds = {d.shape: d for d in v}
+    place = {s: k for k, s in enumerate(kinds)}
+    rows = {s: np.array([sizes.of(c, d) for d in kinds.values()], np.int64) for s, c in {c.shape: c for c in u}.items()}
+    at = np.array([place[d.shape] for d in v])
     if not texts:
-        return lambda i: rows[x.children[i].shape][at]
-    trees = np.array([d.tree for d in y.children])
+        return lambda i: rows[u[i].shape][at]
+    trees = np.array([d.tree for d in v])
 
     def value(i: int) -> np.ndarray:
-        got = rows[x.children[i].shape][at]
-        return np.where(got > 0, PAIR * got + (trees == x.children[i].tree), 0)
+        got = rows[u[i].shape][at]
+        return np.where(got > 0, PAIR * got + (trees == u[i].tree), 0)
 
     return value
 
 
+def _paired(u: list[Outline], v: list[Outline], sizes: _Sizes) -> list[tuple[Outline, Outline]]:
+    """A best matching of two lists of siblings.
+
+    Nodes at either end whose name occurs once in each list can only be matched
+    with one another, and stand in no other's way. Of leaves of one name without
+    equal texts, any are as good: the last ones are taken.
+    """
+    ends: list[tuple[Outline, Outline]] = []
+    once = Counter(c.name for c in u)
+    once.update(d.name for d in v)
+    i, j, m = 0, 0, len(u)
+    n = len(v)
+    while i < m and j < n and u[i].name == v[j].name and once[u[i].name] == 2:
+        ends.append((u[i], v[j]))
+        i, j = i + 1, j + 1
+    while i < m and j < n and u[m - 1].name == v[n - 1].name and once[u[m - 1].name] == 2:
+        m, n = m - 1, n - 1
+        ends.append((u[m], v[n]))
+    u, v = u[i:m], v[j:n]
+    if not u or not v:
+        return ends
+    alike = len({c.name for c in u} | {d.name for d in v}) == 1 and (not any(c.children for c in u) or not any(d.children for d in v))
+    if alike and {c.tree for c in u}.isdisjoint(d.tree for d in v):
+        k = min(len(u), len(v))
+        return ends + list(zip(u[-k:], v[-k:], strict=True))
+    return ends + [(u[a], v[b]) for a, b in _way(_values(u, v, sizes, texts=True), range(len(u)), range(len(v)))]
+
+
 def matched(a: Outline, b: Outline) -> list[tuple[Outline, Outline, int]]:
     """Pairs of nodes of a largest top-down, order-keeping matching of two trees (simple tree matching), and the place of each pair's parents in the list (-1: none).
 
     Of matchings of children, those with equal subtrees are preferred: a
     matched node counts PAIR, equal subtrees one more.
     """
-    size = _sizes(a, b)
+    sizes = _Sizes()
     out = [(a, b, -1)]
     for k, (x, y, _) in enumerate(out):
         if x.children and y.children:
-            way = _way(_values(x, y, size, texts=True), range(len(x.children)), range(len(y.children)))
-            out += [(x.children[i], y.children[j], k) for i, j in way]
+            out += [(c, d, k) for c, d in _paired(x.children, y.children, sizes)]
     return out
 
 
