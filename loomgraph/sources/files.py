@@ -13,6 +13,9 @@ SKIPPED = ("node_modules", "__pycache__", "target", "dist", "build", ".git", "ve
 #: Folders in which no documentation is looked for.
 MARKDOWN_SKIPPED = ("node_modules", ".git", "vendor", "target", ".venv", "__pycache__", ".tox", "dist", "build", ".cache", ".next", ".nuxt")
 
+#: Bytes of files that a task reads, about.
+READ_BYTES = 128 << 20
+
 
 def wanted(path: Column, extensions: tuple[str, ...], skipped: tuple[str, ...] = SKIPPED) -> Column:
     """Whether a path has one of the extensions and no hidden or skipped folder."""
@@ -20,12 +23,85 @@ def wanted(path: Column, extensions: tuple[str, ...], skipped: tuple[str, ...] =
     return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin(*extensions) & ~F.exists(parts, lambda p: p.startswith(".") | p.isin(*skipped))
 
 
+def _uri(spark: SparkSession, root: str) -> str:
+    """The root with its scheme; without one, that of the session's file system."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", root):
+        root = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + "/" + root.lstrip("/")
+    return re.sub(r"^file:/*", "file:///", root).rstrip("/")
+
+
+def listed(spark: SparkSession, root: str, extensions: tuple[str, ...], skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """Files below a folder, without opening any: file_path (below the root), mtime, size.
+
+    Folders are listed level by level, each level by as many tasks as there
+    are; hidden and skipped ones are never listed, nor are links to folders.
+    Spark's own readers leave out names that start with an underscore, such as
+    `__init__.py`; these are listed here.
+    """
+    uri, sc = _uri(spark, root), spark.sparkContext
+
+    def children(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{base}/{folder}", allow_not_found=True))
+                found = [f for f in found if f.type == fs.FileType.File or f.type == fs.FileType.Directory and not (isinstance(system, fs.LocalFileSystem) and os.path.islink(f.path))]
+                names = [f"{folder}/{f.base_name}" if folder else f.base_name for f in found]
+                columns = [pa.array(names, pa.string()), pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()), pa.array([(f.mtime_ns or 0) // 1000 for f in found], pa.int64()), pa.array([f.size for f in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["file_path", "folder", "mtime", "size"])
+
+    kept = (lambda df: df.checkpoint()) if sc.getCheckpointDir() else (lambda df: df.persist())
+    frontier, n, levels = spark.createDataFrame([("",)], "file_path string"), 1, []
+    while n:
+        level = kept(frontier.repartition(min(n, sc.defaultParallelism)).mapInArrow(children, "file_path string, folder boolean, mtime long, size long"))
+        levels.append(level.where("not folder"))
+        name = F.element_at(F.split("file_path", "/"), -1)
+        frontier = level.where(F.col("folder") & ~name.startswith(".") & ~name.isin(*skipped)).select("file_path")
+        n = frontier.count()
+    rows = levels[0]
+    for level in levels[1:]:
+        rows = rows.unionByName(level)
+    return rows.where(wanted(F.concat(F.lit("/"), "file_path"), extensions, skipped)).select("file_path", F.timestamp_micros("mtime").alias("mtime"), "size")
+
+
+def with_content(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Listed files (file_path, mtime, size) with their bytes: file_path, mtime, content. Files that are gone since are left out.
+
+    Files are dealt by a hash to tasks of about READ_BYTES; a task holds one file at a time.
+    """
+    uri = _uri(spark, root)
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([content], pa.binary())], ["file_path", "mtime", "content"])
+
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(size.n, spark.sparkContext.defaultParallelism), min(size.n, -(-size.bytes // READ_BYTES)))
+    return rows.select("file_path", "mtime").repartition(tasks, "file_path").mapInArrow(read, "file_path string, mtime timestamp, content binary")
+
+
 def tree(spark: SparkSession, root: str, extensions: tuple[str, ...], skipped: tuple[str, ...] = SKIPPED, keep_unreadable: bool = False) -> DataFrame:
-    """Text files below a folder: file_path (below the root), mtime, content; files that aren't UTF-8 are left out, or kept without content."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.col("path"), "^(?:[a-z]+:)?/*" + re.escape(root.split(":")[-1].strip("/")), "")
-    rows = rows.select(path.alias("file_path"), F.col("modificationTime").alias("mtime"), F.col("content")).where(wanted(F.col("file_path"), extensions, skipped))
-    rows = rows.select(F.regexp_replace("file_path", "^/+", "").alias("file_path"), "mtime", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+    """Text files below a folder: file_path (below the root), mtime, content; files that aren't UTF-8 are left out, or kept without content.
+
+    The folder is listed first, so only wanted files are opened.
+    """
+    rows = with_content(spark, root, listed(spark, root, extensions, skipped))
+    rows = rows.select("file_path", "mtime", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
     return rows if keep_unreadable else rows.where("content is not null")
 
 

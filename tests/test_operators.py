@@ -264,3 +264,23 @@ def test_new_content_has_its_fingerprint(spark):
     assert got[1].content_fingerprint == got[1].want and got[2].content_fingerprint == "y"
     seen = {r.id: (r.access_count, r.last_accessed_at is None) for r in memory_store.bumped(rows, rows.where("id = 2"), "2024-01-01 00:00:00").collect()}
     assert seen == {1: (0, True), 2: (1, False)}
+
+
+def test_folders_are_listed_before_files_are_read(spark, tmp_path):
+    """Names with an underscore are found; skipped folders and other endings are neither listed nor opened."""
+    for name in ("pkg/__init__.py", "pkg/_own.py", "_under/k.py", "a b/ü %.py", "pkg/c.txt", "node_modules/z.py", ".hid/q.py", "pkg/.dot.py"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(f"# {name}")
+    (tmp_path / "pkg" / "bad.py").write_bytes(b"\xff\xfe")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    want = {"pkg/__init__.py", "pkg/_own.py", "_under/k.py", "a b/ü %.py"}
+    found = files.listed(spark, str(tmp_path), ("py",))
+    assert {r.file_path for r in found.collect()} == want | {"pkg/bad.py"}
+    (tmp_path / "pkg" / "bad.py").unlink()
+    assert {r.file_path: r.content for r in files.with_content(spark, str(tmp_path), found).collect()} == {w: f"# {w}".encode() for w in want}
+    rows = files.tree(spark, f"file://{tmp_path}", ("py",)).collect()
+    assert {r.file_path: r.content for r in rows} == {w: f"# {w}" for w in want}
+    assert all(abs(r.mtime.timestamp() - (tmp_path / r.file_path).stat().st_mtime) < 1 for r in rows)
+    (tmp_path / "none").mkdir()
+    assert files.tree(spark, str(tmp_path / "none"), ("py",)).collect() == []
