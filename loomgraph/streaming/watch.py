@@ -1,11 +1,13 @@
-"""Watching file changes: debounced bursts, and keyed state from a stream of changes."""
+"""Watching file changes: debounced bursts, keyed state from a stream of changes, and changes routed to projects."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomgraph.operators.graph import prefix_matched
 from loomgraph.sources.change_log import COMPACT_AT, ChangeLog
 
 
@@ -58,3 +60,32 @@ def state_of(spark: SparkSession, query: StreamingQuery | None, folder: str, pat
     if rows is None:
         raise ValueError(f"nothing was followed into {folder}")
     return latest_states(rows, path, ts, kind)
+
+
+def route(changes: DataFrame, projects: DataFrame, folder: str, checkpoint: str, path: str = "path") -> StreamingQuery:
+    """Writes each change with the project whose root is the longest prefix of its path, null if none is: Parquet by batch and project.
+
+    Projects (project, root) are read anew for each micro-batch. A batch that is
+    run again after a failure replaces its own folder.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = batch.persist()
+        found = prefix_matched(rows.select(F.col(path).alias("path")), projects).withColumnRenamed("path", path)
+        out = rows.drop("project").join(found, path, "left")
+        out.write.mode("overwrite").partitionBy("project").parquet(f"{folder.rstrip('/')}/batch={epoch}")
+        rows.unpersist()
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def routed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All routed changes: the columns of the schema, and project. Empty before the first batch; one project's are read from its own folders only."""
+    whole = f"{schema}, batch long, project string"
+    try:
+        rows = spark.read.schema(whole).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], whole)
+    return rows.drop("batch")

@@ -100,3 +100,22 @@ def test_one_changed_file_writes_its_own_rows_only(spark, tmp_path):
     query = followed(spark, tmp_path, FILES, indexing.follow)  # a restart without new data
     assert names() == {"f0", "f1", "f2", "changed"}
     assert change_log.COMPACT_AT > 1
+
+
+def test_changes_are_routed_to_the_longest_root(spark, tmp_path):
+    """Also after a restart without data, and with a project that is added between two batches."""
+    schema = "path string, ts long"
+    at = {k: f"{tmp_path}/{k}" for k in ("in", "out", "checkpoint")}
+    projects = spark.createDataFrame([("a", "/w/a"), ("b", "/w/a/sub/b")], "project string, root string")
+    source = lambda: spark.readStream.schema(schema).parquet(at["in"])
+    add = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(at["in"])
+    assert watch.routed(spark, at["out"], schema).collect() == []
+    add([("/w/a/x.py", 1), ("/w/a/sub/b/y.py", 2), ("/w/ab/z.py", 3), ("/w/a/x.py", 1), (None, 4)])
+    for _ in range(2):
+        watch.route(source(), projects, at["out"], at["checkpoint"]).awaitTermination()
+    add([("/w/ab/z.py", 5), ("/w/a", 6)])
+    more = projects.union(spark.createDataFrame([("c", "/w/ab")], projects.schema))
+    watch.route(source(), more, at["out"], at["checkpoint"]).awaitTermination()
+    rows = watch.routed(spark, at["out"], schema)
+    assert sorted((r.ts, r.project) for r in rows.collect()) == [(1, "a"), (1, "a"), (2, "b"), (3, None), (4, None), (5, "c"), (6, "a")]
+    assert {r.ts for r in rows.where("project = 'c'").collect()} == {5}
