@@ -532,6 +532,16 @@ def test_templates_without_telling_names(spark):
     assert np.mean(kept) >= 0.99 and np.mean(gone) >= 0.99
 
 
+def test_extraction_hands_on_columns_of_any_name(spark):
+    """Also with a page too deep for recursion and one of many blocks."""
+    rows = [("https://b.example.com/1", "<div>" * 3000 + "deep"), ("https://b.example.com/2", "<div>" * 2500 + "".join(f"<p>word {i}</p>" for i in range(5000))), ("https://b.example.com/3", None), (None, "<p>x")]
+    own = {c: F.lit(c) for c in ("host", "path", "text", "region", "template", "row_", "text_", "url_", "code", "order_")}
+    out = wrappers.extracted(spark.createDataFrame(rows, "url string, html string").withColumns(own))
+    got = {r.url: r for r in out.collect()}
+    assert all(r[c] == c for r in got.values() for c in own if c != "text")
+    assert [got[u].text for u, _ in rows] == ["deep", "\n\n".join(f"word {i}" for i in range(5000)), "", "x"]
+
+
 def plain_matching(x, y):
     """Nodes of a largest top-down, order-keeping matching, by the plain recursion."""
     if x.name != y.name:
