@@ -1,18 +1,23 @@
 """Language front ends: symbols and relationships from source text, as Spark expressions.
 
 A language is a table of line patterns. Files are scanned first: comments and
-strings are masked, and brackets closed on their line. Then they become one row
-per line, lines are matched by the patterns, and nesting follows from indentation, for
-languages of indented blocks, or from a running count of braces. Scopes,
-attribution of calls and confidences are windows and joins over these lines,
-so neither a file's length nor the number of files meets in one task's memory.
+strings are masked, and brackets closed on their line. Then they become arrays
+of lines, which are matched by the patterns, and nesting follows from
+indentation, for languages of indented blocks, or from a running count of
+braces. A file is one row before that, too, so its lines as an array bring no
+new bound; no shuffle is needed until names are joined. Several queries of the
+same lines should store them first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.lexer import prepared
@@ -26,6 +31,8 @@ READS = r"\b(?:self|this)\.([A-Za-z_]\w*)\b(?!\s*\()(?!\s*(?:[-+*/|&^%]|\|\||&&|
 DECLARED = r"\b([A-Za-z_]\w*)\s*(?::\s*&?(?:mut\s+)?|(?::\s*[\w.]+\s*)?=\s*(?:new\s+)?(?=(?:[\w.]+\.)?[A-Z]\w*\s*(?:\(|::|\{)))(?:[\w.]+\.)?([A-Z]\w*)"
 #: A member of a variable: its name, the member, a bracket if it is called; not one that is written.
 MEMBERS = r"(?<![\w.$])([A-Za-z_]\w*)\.([A-Za-z_]\w*)\b(?!\s*(?:[-+*/|&^%]|\|\||&&|\*\*|//)?=(?!=))(\s*\()?"
+#: What a line defines, for the nesting.
+CLASS, BLOCK, FUNCTION = 1, 2, 3
 #: A pattern that matches no line.
 NOTHING = r"(?!)()"
 
@@ -82,12 +89,17 @@ LANGUAGES: dict[str, Language] = {
 }
 
 
-def patterned(lines: DataFrame) -> DataFrame:
-    """Lines with the patterns of their language as columns; the table of patterns has a row per language."""
-    spark = lines.sparkSession
-    rows = [(name, *(language.indented if f == "indented" else getattr(language, f) for f in Language._fields)) for name, language in LANGUAGES.items()]
+def _with_patterns(rows: DataFrame) -> DataFrame:
+    """Rows with the patterns of their language as columns; the table of patterns has a row per language."""
+    spark = rows.sparkSession
+    table = [(name, *(language.indented if f == "indented" else getattr(language, f) for f in Language._fields)) for name, language in LANGUAGES.items()]
     kinds = ", ".join(f"p_{f} {'boolean' if f == 'indented' else 'string'}" for f in Language._fields)
-    return lines.join(F.broadcast(spark.createDataFrame(rows, f"language string, {kinds}")), "language").where("not rlike(line, p_comment)")
+    return rows.join(F.broadcast(spark.createDataFrame(table, f"language string, {kinds}")), "language")
+
+
+def patterned(lines: DataFrame) -> DataFrame:
+    """Lines with the patterns of their language as columns."""
+    return _with_patterns(lines)
 
 
 def _named(pattern: str) -> Column:
@@ -99,73 +111,125 @@ def _all(pattern: str) -> Column:
     return F.array_distinct(F.expr(f"regexp_extract_all(line, p_{pattern}, 1)"))
 
 
-def innermost(points: DataFrame, spans: DataFrame, strictly: bool = False) -> DataFrame:
-    """Points (file_path, line, ...) with the innermost of the nested spans (file_path, start_line, end_line, ...) that holds them: span, null if none does.
-
-    Spans nest: two of a file are apart or one holds the other. So a running
-    count of the open ones gives each place its depth, and the span that opened
-    last at that depth is the innermost; two sorts by file, however long it is.
-    With `strictly`, a span doesn't hold its own first line.
-    """
-    point, span = F.struct(*points.columns), F.struct(*spans.columns)
-    no_point, no_span = F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType), F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType)
-    marks = spans.select("file_path", F.col("start_line").cast("long").alias("at_"), F.lit(2).alias("turn_"), F.lit(1).alias("step_"), no_point.alias("point_"), span.alias("span_"))
-    marks = marks.unionByName(spans.select("file_path", (F.col("end_line") + 1).cast("long").alias("at_"), F.lit(0).alias("turn_"), F.lit(-1).alias("step_"), no_point.alias("point_"), no_span.alias("span_")))
-    marks = marks.unionByName(points.select("file_path", F.col("line").cast("long").alias("at_"), F.lit(1 if strictly else 3).alias("turn_"), F.lit(0).alias("step_"), point.alias("point_"), no_span.alias("span_")))
-    upto = lambda *by: Window.partitionBy(*by).orderBy("at_", "turn_").rowsBetween(Window.unboundedPreceding, 0)
-    deep = marks.withColumn("deep_", F.sum("step_").over(upto("file_path")))
-    held = deep.where("turn_ <> 0").withColumn("span_", F.when(F.col("deep_") > 0, F.last("span_", ignorenulls=True).over(upto("file_path", "deep_"))))
-    return held.where("point_ is not null").select("point_.*", F.col("span_").alias("span"))
-
-
 def language_of(path: Column) -> Column:
     """Language by the file's extension, null if unknown."""
     known = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
     return known[F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))]
 
 
+def _nested(rows: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """For each line of files: the depth of braces before it, where its definition ends, and on which lines what holds it is defined.
+
+    A line that stops definitions (2) ends the open ones that aren't less deep
+    than it; what is open then holds it. Places are counted from 0, -1 is none.
+    """
+    kind = pa.struct([(name, pa.int32()) for name in ("depth", "end", "owner", "inside", "held", "last")])
+    for indents, braces, kinds, stops, indented in rows:
+        columns = [c.flatten().to_pylist() for c in (indents, braces, kinds, stops)]
+        sizes, start, out = pc.list_value_length(indents).to_pylist(), 0, ([], [], [], [], [], [])
+        for n, by_indent in zip(sizes, indented.to_pylist(), strict=True):
+            depth, inner, last = 0, [], 0
+            end = [-1] * n
+            for at, (indent, brace, what, stop) in enumerate(zip(*(c[start : start + n] for c in columns), strict=True)):
+                level = indent if by_indent else depth
+                if stop:
+                    last = at + 1
+                while stop == 2 and inner and inner[-1][0] >= level:
+                    end[inner.pop()[1]] = at
+                _, owner, inside, held = inner[-1] if inner else (0, -1, -1, -1)
+                if what:
+                    inside, held = at if what == FUNCTION else inside, at if what == CLASS else held
+                    inner.append((level, at, inside, held))
+                for column, value in zip(out, (depth, None, owner, inside, held), strict=False):
+                    column.append(value)
+                depth += brace
+            for _, at, _, _ in inner:
+                end[at] = last
+            out[1][start:] = end
+            out[5].extend([last] * n)
+            start += n
+        ends = pa.array([0, *np.cumsum(sizes, dtype=np.int64).tolist()], pa.int32())
+        yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in out], fields=list(kind)))
+
+
 def lines_of(files: DataFrame) -> DataFrame:
-    """One row per line: file_path, language, line_no (from 1), line, indent, depth (of braces before the line)."""
-    send_package(files.sparkSession)
-    known = files.select("file_path", language_of(F.col("file_path")).alias("language"), F.coalesce("content", F.lit("")).alias("content")).where("language is not null")
-    rows = known.select("file_path", "language", F.posexplode(F.split(prepared(F.col("content"), F.col("language")), "\r?\n")).alias("at", "line"))
-    rows = rows.withColumns({"line_no": F.col("at") + 1, "indent": F.length("line") - F.length(F.ltrim("line"))})
-    before = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("depth", F.coalesce(F.sum(F.regexp_count("line", F.lit(r"\{")) - F.regexp_count("line", F.lit(r"\}"))).over(before), F.lit(0))).drop("at")
+    """One row per line that isn't blank or a comment: file_path, language, line_no (from 1), line, indent, depth (of braces before the line), and how lines nest.
+
+    A definition ends before the next line that isn't deeper, or at the end of
+    the file. For a line that defines something: symbol_, kind_ (class, block,
+    function or method), end_line and parent_; for a field's line: field_ and
+    holder_, its class. inside_ is the innermost function that holds the line,
+    class_ the name of the innermost class, last_line the file's last line.
+
+    All this follows from the file alone, so a file's lines are matched and
+    nested as an array, in one pass. Before it, files are dealt to as many
+    tasks as shuffles have: few bytes of a table may make much text.
+    """
+    spark = files.sparkSession
+    send_package(spark)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    known = files.repartition(tasks, "file_path").select("file_path", language_of(F.col("file_path")).alias("language"), F.coalesce("content", F.lit("")).alias("content")).where("language is not null")
+    rows = _with_patterns(known.select("file_path", "language", F.split(prepared(F.col("content"), F.col("language")), "\r?\n").alias("lines")))
+    found = lambda line, pattern: F.call_function("regexp_extract", line, F.col(f"p_{pattern}"), F.lit(1))
+    count = lambda line, sign: F.length(line) - F.length(F.replace(line, F.lit(sign), F.lit("")))
+    code = lambda line: (F.trim(line) != "") & ~F.call_function("rlike", line, F.col("p_comment"))
+    parts = lambda line: F.struct(*[found(line, f"{name}").alias(name) for name in ("classes", "owners", "functions", "methods", "fields", "receiver")], F.trim(line).rlike(r"^([)}\]]|end\b)").alias("closes"))
+    rows = rows.withColumn("raw", F.transform("lines", lambda line: F.when(code(line), parts(line))))
+    some = lambda x: F.coalesce(x != "", F.lit(False))
+    method = lambda r: some(r["methods"]) & ~r["methods"].isin(*NOT_CALLS)
+    what = lambda r: F.when(some(r["classes"]), CLASS).when(some(r["owners"]), BLOCK).when(some(r["functions"]) | method(r), FUNCTION).otherwise(0)
+    stop = lambda r: F.when(r.isNull(), 0).when((what(r) == 0) & r["closes"], 1).otherwise(2)
+    indents, braces = F.transform("lines", lambda line: F.length(line) - F.length(F.ltrim(line))), F.transform("lines", lambda line: count(line, "{") - count(line, "}"))
+    kinds = "array<struct<depth:int,end:int,owner:int,inside:int,held:int,last:int>>"
+    rows = rows.withColumns({"indents": indents, "kinds": F.transform("raw", what)})
+    rows = rows.withColumn("nest", F.arrow_udf(kinds)(_nested)("indents", braces, "kinds", F.transform("raw", stop), "p_indented"))
+    # What each line defines, by its own words; then its place among the others.
+    name = lambda r: F.when(some(r["classes"]), r["classes"]).when(some(r["owners"]), r["owners"]).when(some(r["functions"]), r["functions"]).when(method(r), r["methods"])
+    rows = rows.withColumn("names", F.transform("raw", name))
+    at = lambda array, place: F.when(place >= 0, F.get(F.col(array), place))
+
+    def defined(r: Column, i: Column) -> Column:
+        owner, kind = F.get("nest", i)["owner"], F.get("kinds", i)
+        receiver = F.when(some(r["receiver"]), r["receiver"])
+        of = F.coalesce(receiver, F.when(at("kinds", owner).isin(CLASS, BLOCK), at("names", owner)))
+        is_method = (kind == FUNCTION) & of.isNotNull()
+        full = F.when(is_method & (F.col("p_joint") != ""), F.concat(of, "p_joint", F.get("names", i))).otherwise(F.get("names", i))
+        said = F.when(is_method, "method").when(kind == FUNCTION, "function").when(kind == CLASS, "class").when(kind == BLOCK, "block")
+        return F.struct(full.alias("name"), said.alias("kind"), (i + 1).alias("start_line"), F.coalesce(receiver, at("names", owner)).alias("parent"))
+
+    rows = rows.withColumn("defs", F.transform("raw", defined))
+
+    def placed(r: Column, i: Column) -> Column:
+        nest, own = F.get("nest", i), F.get("defs", i)
+        is_field = some(r["fields"]) & (F.get("kinds", i) == 0) & (at("kinds", nest["owner"]) == CLASS) & ~r["fields"].isin(*NOT_CALLS, "pass", "self", "end")
+        inside = at("defs", nest["inside"])
+        return F.when(r.isNotNull(), F.struct(
+            (i + 1).alias("line_no"), F.get("lines", i).alias("line"), F.get("indents", i).alias("indent"), nest["depth"].alias("depth"), nest["last"].alias("last_line"),
+            own["name"].alias("symbol_"), own["kind"].alias("kind_"), nest["end"].alias("end_line"), own["parent"].alias("parent_"),
+            F.when(is_field, r["fields"]).alias("field_"), F.when(is_field, at("names", nest["owner"])).alias("holder_"),
+            F.struct(inside["name"].alias("name"), inside["start_line"].alias("start_line"), inside["parent"].alias("parent")).alias("inside_"),
+            at("names", nest["held"]).alias("class_"), F.when(some(r["owners"]), r["owners"]).alias("block_"),
+        ))
+
+    return rows.select("file_path", "language", F.explode(F.array_compact(F.transform("raw", placed))).alias("l")).select("file_path", "language", "l.*")
 
 
 def parsed_symbols(lines: DataFrame) -> DataFrame:
     """Symbols: file_path, language, name, kind, start_line, end_line, parent.
 
-    A file is a symbol that spans it. A definition ends before the next line
-    that isn't deeper, or at the end of the file; a function whose innermost
-    enclosing definition is a class, or that names a receiver, is a method. In
-    languages with a joint, a method's name begins with that of its class.
-    Fields are looked for directly in classes. All is done by windows over a
-    file's lines, so the work grows with the lines times the levels of nesting.
+    A file is a symbol that spans it. A function whose innermost enclosing
+    definition is a class, or that names a receiver, is a method. In languages
+    with a joint, a method's name begins with that of its class. Fields are
+    looked for directly in classes.
     """
-    code = patterned(lines.where("trim(line) <> ''"))
-    method = _named("methods")
-    function = F.coalesce(_named("functions"), F.when(~method.isin(*NOT_CALLS), method))
-    rows = code.select("file_path", "language", "line_no", "line", F.when(F.col("p_indented"), F.col("indent")).otherwise(F.col("depth")).cast("int").alias("level"), _named("classes").alias("class_"), _named("owners").alias("block_"), function.alias("function_"), _named("fields").alias("field_"), _named("receiver").alias("receiver_"), F.col("p_joint").alias("joint_"))
-    rows = rows.withColumn("opens_", F.coalesce("class_", "block_", "function_"))
-    last = rows.groupBy("file_path", "language").agg(F.max("line_no").alias("last_line"), F.sort_array(F.collect_set(F.when(F.col("opens_").isNotNull(), F.col("level")))).alias("levels_"))
-    # For each level of definitions, the lines that end one: a definition's next one is its end.
-    ending = rows.where("opens_ is not null or not rlike(trim(line), '^([)}\\\\]]|end\\\\b)')").join(last, ["file_path", "language"])
-    ending = ending.withColumn("level_", F.explode(F.filter("levels_", lambda t: t >= F.col("level"))))
-    after = F.lead("line_no").over(Window.partitionBy("file_path", "level_").orderBy("line_no"))
-    kind = F.when(F.col("class_").isNotNull(), "class").when(F.col("block_").isNotNull(), "block").otherwise("function")
-    spans = ending.withColumn("end_line", F.coalesce(after - 1, "last_line")).where("opens_ is not null and level = level_").select("file_path", "language", F.col("opens_").alias("name"), kind.alias("kind"), F.col("line_no").alias("start_line"), "end_line", "receiver_", "joint_")
-    holders = spans.select("file_path", "start_line", "end_line", "name", "kind")
-    inner = innermost(spans.withColumn("line", F.col("start_line")), holders, strictly=True)
-    owner = F.coalesce("receiver_", F.when(F.col("span.kind").isin("class", "block"), F.col("span.name")))
-    method = (F.col("kind") == "function") & owner.isNotNull()
-    name = F.when(method & (F.col("joint_") != ""), F.concat(owner, "joint_", "name")).otherwise(F.col("name"))
-    defined = inner.where("kind <> 'block'").select("file_path", "language", name.alias("name"), F.when(method, "method").otherwise(F.col("kind")).alias("kind"), "start_line", "end_line", F.coalesce("receiver_", "span.name").alias("parent"))
-    fields = innermost(rows.where("field_ is not null and opens_ is null").select("file_path", "language", "field_", F.col("line_no").alias("line")), holders).where("span.kind = 'class'")
-    fields = fields.where(~F.col("field_").isin(*NOT_CALLS, "pass", "self", "end")).select("file_path", "language", F.col("field_").alias("name"), F.lit("field").alias("kind"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.col("span.name").alias("parent"))
-    files = last.select("file_path", "language", F.col("file_path").alias("name"), F.lit("file").alias("kind"), F.lit(1).alias("start_line"), F.col("last_line").alias("end_line"), F.lit(None).cast("string").alias("parent"))
-    return files.unionByName(defined).unionByName(fields)
+    one = lambda name, kind, start, end, parent: F.struct(F.col(name).alias("name"), kind.alias("kind"), start.cast("int").alias("start_line"), F.col(end).cast("int").alias("end_line"), parent.cast("string").alias("parent"))
+    at = F.col("line_no")
+    found = F.array(
+        F.when(at == F.col("last_line"), one("file_path", F.lit("file"), F.lit(1), "last_line", F.lit(None))),
+        F.when(F.col("kind_") != "block", one("symbol_", F.col("kind_"), at, "end_line", F.col("parent_"))),
+        F.when(F.col("field_").isNotNull(), one("field_", F.lit("field"), at, "line_no", F.col("holder_"))),
+    )
+    return lines.select("file_path", "language", F.explode(F.array_compact(found)).alias("s")).select("file_path", "language", "s.*")
 
 
 def parsed_imports(lines: DataFrame) -> DataFrame:
@@ -186,18 +250,15 @@ def typed_uses(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     A variable's type holds within the innermost function that declares it, as
     receiver, parameter or local variable.
     """
-    code = patterned(lines)
-    spans = symbols.where("kind in ('function', 'method')").select("file_path", "name", "start_line", "end_line")
+    code = patterned(lines).where("inside_.start_line is not null")
     both = lambda p, a, b: F.arrays_zip(F.expr(f"regexp_extract_all(line, p_{p}, {a})").alias("v"), F.expr(f"regexp_extract_all(line, p_{p}, {b})").alias("t"))
     pair = lambda p, a, b: F.transform(both(p, a, b), lambda x: F.struct(x["v"].alias("variable"), x["t"].alias("type")))
-    declared = code.select("file_path", F.col("line_no").alias("line"), F.explode(F.concat(F.when(F.col("p_variables") == NOTHING, F.array().cast("array<struct<variable:string,type:string>>")).otherwise(pair("variables", 1, 2)), F.when(F.col("p_typed") == NOTHING, F.array().cast("array<struct<variable:string,type:string>>")).otherwise(pair("typed", 2, 1)))).alias("d")).select("file_path", "line", "d.*")
-    inside = lambda rows: innermost(rows, spans).where("span is not null").withColumn("at_", F.col("span.start_line"))
-    declared = inside(declared).select("file_path", "at_", "variable", "type").distinct()
+    declared = code.select("file_path", "inside_", F.explode(F.concat(F.when(F.col("p_variables") == NOTHING, F.array().cast("array<struct<variable:string,type:string>>")).otherwise(pair("variables", 1, 2)), F.when(F.col("p_typed") == NOTHING, F.array().cast("array<struct<variable:string,type:string>>")).otherwise(pair("typed", 2, 1)))).alias("d")).select("file_path", F.col("inside_.start_line").alias("at_"), "d.*").distinct()
     part = lambda k: F.regexp_extract_all("line", F.lit(MEMBERS), F.lit(k))
-    used = code.select("file_path", F.col("line_no").alias("line"), F.explode(F.arrays_zip(part(1).alias("variable"), part(2).alias("member"), part(3).alias("called"))).alias("u")).select("file_path", "line", "u.*").where("variable not in ('self', 'this')")
-    found = inside(used).join(declared, ["file_path", "at_", "variable"])
+    used = code.select("file_path", "inside_", F.explode(F.arrays_zip(part(1).alias("variable"), part(2).alias("member"), part(3).alias("called"))).alias("u")).select("file_path", F.col("inside_.start_line").alias("at_"), F.col("inside_.name").alias("source"), "u.*").where("variable not in ('self', 'this')")
+    found = used.join(declared, ["file_path", "at_", "variable"])
     kind = F.when(F.col("called") == "", "references").otherwise("calls")
-    return found.select("file_path", F.col("span.name").alias("source"), "type", "member", kind.alias("rel_type")).distinct()
+    return found.select("file_path", "source", "type", "member", kind.alias("rel_type")).distinct()
 
 
 def parsed_relationships(lines: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -213,33 +274,34 @@ def parsed_relationships(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     joint. What a Python file imports by name, it uses (0.8).
     """
     code = patterned(lines)
-    here = symbols.where("kind <> 'file'").select("file_path", F.col("name").alias("target"), F.lit(1).alias("local_")).distinct()
-    brought = parsed_imports(lines).select("file_path", F.explode("names").alias("target"), F.lit(1).alias("imported_")).distinct()
+    # What is known of a name in a file: that it is defined there, or imported.
+    here = symbols.where("kind <> 'file'").select("file_path", F.col("name").alias("target"), F.lit(1.0).alias("tier_"))
+    brought = parsed_imports(lines).select("file_path", F.explode("names").alias("target"), F.lit(0.8).alias("tier_"))
+    tiers = here.unionByName(brought).groupBy("file_path", "target").agg(F.max("tier_").alias("tier_"))
     defines = symbols.where("kind <> 'file'").select("file_path", F.coalesce("parent", "file_path").alias("source"), F.col("name").alias("target"), F.lit("defines").alias("rel_type"), F.lit(1.0).alias("confidence"))
     imports = parsed_imports(lines).select("file_path", F.col("file_path").alias("source"), F.col("module").alias("target"), F.lit("imports").alias("rel_type"), F.lit(0.3).alias("confidence"))
-    spans = symbols.where("kind in ('class', 'function', 'method')").select("file_path", "name", "kind", "start_line", "end_line", "parent")
-    known = lambda rows: rows.join(here, ["file_path", "target"], "left").join(brought, ["file_path", "target"], "left")
-    tier = F.when(F.col("local_") == 1, 1.0).when(F.col("imported_") == 1, 0.8)
-    bases = code.select("file_path", F.col("line_no").alias("line"), _named("inherits").alias("bases_"), _named("owners").alias("block_")).where("bases_ is not null")
-    bases = bases.select("file_path", "line", "block_", F.explode(F.split(F.regexp_replace("bases_", r"\([^)]*\)", ""), r"\s*,\s*|\s+implements\s+")).alias("base_"))
-    bases = bases.select("file_path", "line", "block_", F.regexp_extract("base_", r"^\s*([\w$.:]+)", 1).alias("target")).where("target <> '' and target <> 'object'")
-    heirs = innermost(bases, spans.where("kind = 'class'")).withColumn("source", F.coalesce("block_", "span.name")).where("source is not null")
-    inherits = known(heirs).select("file_path", "source", "target", F.lit("inherits").alias("rel_type"), F.coalesce(tier, F.lit(0.5)).alias("confidence"))
+    bases = F.split(F.regexp_replace(_named("inherits"), r"\([^)]*\)", ""), r"\s*,\s*|\s+implements\s+")
+    bases = F.filter(F.transform(bases, lambda b: F.regexp_extract(b, r"^\s*([\w$.:]+)", 1)), lambda b: ~b.isin("", "object"))
+    code = code.withColumn("bases_", bases)
+    heirs = code.select("file_path", F.coalesce("block_", "class_").alias("source"), F.explode("bases_").alias("target")).where("source is not null")
+    heirs = heirs.select("file_path", "source", "target", F.lit("inherits").alias("rel_type"), F.lit(0.5).alias("unknown_"))
     call = F.regexp_extract_all("line", F.lit(r"(?<![\w$:])((?:self\.|this\.|Self::)?[A-Za-z_$][\w$]*(?:::[a-z_]\w*)?)\s*\("), F.lit(1))
-    found = code.where(_named("imports").isNull()).select("file_path", F.col("line_no").alias("line"), F.col("p_joint").alias("joint_"), F.explode(F.concat(
+    found = code.where(_named("imports").isNull()).select("file_path", F.col("p_joint").alias("joint_"), "symbol_", "kind_", "bases_", "inside_", F.explode(F.concat(
         F.transform(call, lambda c: F.struct(F.lit("calls").alias("rel_type"), F.regexp_replace(c, r"^(self\.|this\.|Self::)", "").alias("target"), c.rlike(r"^(self\.|this\.|Self::)").alias("own_"))),
         F.transform(_all("types"), lambda c: F.struct(F.lit("uses_type").alias("rel_type"), c.alias("target"), F.lit(False).alias("own_"))),
         F.transform(_all("reads"), lambda c: F.struct(F.lit("references").alias("rel_type"), c.alias("target"), F.lit(True).alias("own_"))),
-    )).alias("u")).select("file_path", "line", "joint_", "u.*").where(~F.col("target").isin(*NOT_CALLS))
-    defining = symbols.where("kind in ('class', 'function', 'method')").select("file_path", F.col("start_line").alias("line"), F.element_at(F.split("name", r"::|\."), -1).alias("target"), F.explode(F.array(F.lit("calls"), F.lit("uses_type"))).alias("rel_type"))
-    found = found.join(defining, ["file_path", "line", "target", "rel_type"], "left_anti").join(bases.select("file_path", "line", "target"), ["file_path", "line", "target"], "left_anti")
-    uses = innermost(found, spans.where("kind in ('function', 'method')"))
-    member = F.concat("span.parent", "joint_", "target")
-    uses = uses.withColumn("target", F.when(F.col("own_") & (F.col("joint_") != "") & (F.col("rel_type") == "calls") & F.col("span.parent").isNotNull(), member).otherwise(F.col("target")))
-    uses = known(uses).where("rel_type <> 'references' or local_ = 1").select("file_path", F.coalesce("span.name", "file_path").alias("source"), "target", "rel_type", F.coalesce(tier, F.when(F.col("own_"), 0.6).otherwise(0.5)).alias("confidence"))
+    )).alias("u")).select("file_path", "joint_", "symbol_", "kind_", "bases_", "inside_", "u.*").where(~F.col("target").isin(*NOT_CALLS))
+    # A line doesn't use what it defines or inherits from.
+    defining = F.col("kind_").isin("class", "function", "method") & (F.element_at(F.split("symbol_", r"::|\."), -1) == F.col("target")) & F.col("rel_type").isin("calls", "uses_type")
+    found = found.where(~F.coalesce(defining, F.lit(False)) & ~F.coalesce(F.array_contains("bases_", F.col("target")), F.lit(False)))
+    member = F.concat("inside_.parent", "joint_", "target")
+    target = F.when(F.col("own_") & (F.col("joint_") != "") & (F.col("rel_type") == "calls") & F.col("inside_.parent").isNotNull(), member).otherwise(F.col("target"))
+    uses = found.select("file_path", F.coalesce("inside_.name", "file_path").alias("source"), target.alias("target"), "rel_type", F.when(F.col("own_"), 0.6).otherwise(0.5).alias("unknown_"))
+    uses = uses.unionByName(heirs).join(tiers, ["file_path", "target"], "left").where("rel_type <> 'references' or tier_ = 1")
+    uses = uses.select("file_path", "source", "target", "rel_type", F.coalesce("tier_", "unknown_").alias("confidence"))
     taken = code.where("language = 'python' and rlike(line, '^ *from ')").select("file_path", F.col("file_path").alias("source"), F.explode(F.regexp_extract_all(F.coalesce(_named("names"), F.lit("")), F.lit(r"(\w+)(?:\s+as\s+\w+)?"), F.lit(1))).alias("target"), F.lit("uses_type").alias("rel_type"), F.lit(0.8).alias("confidence"))
     uses = uses.unionByName(taken)
     members = symbols.where("kind in ('field', 'method')").select("file_path", F.col("parent").alias("type"), F.element_at(F.split("name", "::"), -1).alias("member"), F.col("name").alias("target")).distinct()
     near = typed_uses(lines, symbols).join(members, ["file_path", "type", "member"]).select("file_path", "source", "target", "rel_type", F.lit(1.0).alias("confidence"))
-    every = defines.unionByName(imports).unionByName(inherits).unionByName(uses).unionByName(near)
+    every = defines.unionByName(imports).unionByName(uses).unionByName(near)
     return every.where("source <> target").groupBy("file_path", "source", "target", "rel_type").agg(F.max("confidence").alias("confidence"))

@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """The frame, written as Parquet in the shared folder and read again, so that several uses compute it once."""
+    folder = f"{shared_folder(df.sparkSession)}/loomgraph/{kind}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def state_of(*tables: DataFrame) -> str:
     """A digest of the paths, sizes and times of the files that tables are read from; no column is read."""
     parts = []

@@ -108,3 +108,12 @@ def test_against_the_parser_of_python(spark):
     df = spark.createDataFrame(list(files.items()), "file_path string, content string").repartition(8)
     got = {(r.file_path, r.name, r.start_line) for r in frontends.parsed_symbols(frontends.lines_of(df)).where(F.col("kind").isin("class", "function", "method")).collect()}
     assert got == want
+
+
+def test_files_of_one_partition_are_dealt_to_tasks_and_matched_once(spark):
+    """Few bytes of a table may make much text, which one task shouldn't parse; and symbols need one pass over the files."""
+    df = spark.range(40).coalesce(1).select(F.format_string("f%d.py", "id").alias("file_path"), F.lit("class A:\n    def run(self):\n        pass\n").alias("content"))
+    lines = frontends.lines_of(df)
+    assert lines.select(F.spark_partition_id()).distinct().count() > 1
+    plan = frontends.parsed_symbols(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_prepared(") == 1 and "Window" not in plan
