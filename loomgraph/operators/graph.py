@@ -259,10 +259,35 @@ def prefix_matched(paths: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The innermost span (start_line, end_line, name) of the same key that holds each point (line)."""
-    rows = points.join(spans, list(key)).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    size = F.struct((F.col("end_line") - F.col("start_line")).alias("size"), F.col("start_line").alias("start"), "name")
-    return rows.groupBy(*key, "line").agg(F.min(size).alias("best")).select(*key, "line", F.col("best.name").alias("name"))
+    """The innermost span (start_line, end_line, name) of the same key that holds each point (line); lines are 32-bit.
+
+    Of several, the shortest, then the first by start and name. Spans may
+    overlap. A span is cut into blocks of 2^l lines at multiples of 2^l, two of
+    a length at most, and each block keeps its best span; a point is in one
+    block of each length. So both meet in equi-joins, and the rows grow with
+    the spans and the points times the logarithm of a span's length, not with
+    the pairs that they make.
+    """
+    key = list(key)
+    lo, hi = F.col("start_line").cast("long"), F.col("end_line").cast("long")
+    rows = spans.where("start_line <= end_line").groupBy(*key, "start_line", "end_line").agg(F.min(F.struct("name"))["name"].alias("name"))
+    longest = spans.where("start_line <= end_line").agg(F.max(hi - lo + 1)).first()[0] or 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(int(longest).bit_length() - 1))).alias("level_")
+    down = lambda n: F.call_function("shiftright", n, F.col("level_"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level_"))
+    first, last = down(lo + size - 1), down(hi + 1) - 1  # the whole blocks of this length
+    edges = F.array_compact(F.array(F.when((first <= last) & (first % 2 != 0), first), F.when((first <= last) & (last % 2 == 0), last)))
+    blocks = rows.select(*key, "start_line", "end_line", levels).select(*key, "level_", (hi - lo).alias("size_"), lo.alias("start_"), F.explode(edges).alias("block_"))
+    # Of a block, the first start of each size, by hashing; few sizes are left to be put in order.
+    held = points.select(*key, "line").distinct().select(*key, "line", levels).withColumn("block_", down(F.col("line").cast("long")))
+    at = [*key, "level_", "block_"]
+    least = blocks.groupBy(*at, "size_").agg(F.min("start_").alias("start_"))
+    order = F.struct("size_", "start_")
+    least = least.groupBy(*at).agg(F.min(order).alias("best_"))
+    found = held.join(least, at).groupBy(*key, "line").agg(F.min("best_").alias("best_"))
+    found = found.select(*key, "line", F.col("best_.start_").alias("start_"), (F.col("best_.start_") + F.col("best_.size_")).alias("end_"))
+    named = rows.select(*key, lo.alias("start_"), hi.alias("end_"), "name")
+    return found.join(named, [*key, "start_", "end_"]).select(*key, "line", "name")
 
 
 def layered(symbols: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The reference's inline cases and properties of the operators."""
 
+import random
 from collections import deque
 
 import pytest
@@ -284,3 +285,17 @@ def test_folders_are_listed_before_files_are_read(spark, tmp_path):
     assert all(abs(r.mtime.timestamp() - (tmp_path / r.file_path).stat().st_mtime) < 1 for r in rows)
     (tmp_path / "none").mkdir()
     assert files.tree(spark, str(tmp_path / "none"), ("py",)).collect() == []
+
+
+def test_enclosing_by_blocks(spark):
+    """The innermost of overlapping spans, as comparing every pair finds it, without a join on the key alone."""
+    rng = random.Random(5)
+    spans = [(rng.randrange(3), a := rng.randrange(-40, 60), a + rng.randrange(-2, 1 << rng.randrange(7)), rng.choice("abc")) for _ in range(300)] + [(1, 7, 7, "x"), (2, None, 5, "n")]
+    points = [(k, n) for k in range(4) for n in range(-50, 130)] + [(0, None)]
+    got = graph.enclosing(spark.createDataFrame(points, "k int, line int"), spark.createDataFrame(spans, "k int, start_line int, end_line int, name string"), ["k"])
+    want = {}
+    for k, n in points:
+        held = [(e - s, s, name) for j, s, e, name in spans if j == k and None not in (n, s) and s <= n <= e]
+        if held:
+            want[k, n] = min(held)[2]
+    assert {(r.k, r.line): r.name for r in got.collect()} == want
