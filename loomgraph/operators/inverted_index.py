@@ -3,8 +3,9 @@
 A posting holds a term, a memory's id, the term's count, the memory's number of
 words and what searches filter by. The score of a term in a memory is its count
 over 1 + ln(words), and that of a memory the sum over the wanted terms, as in
-the scan. Postings lie in folders by a bucket of the term, ordered by term and
-score band, so a search reads the row groups of its terms only. Bands are
+the scan. Words are counted, and postings ordered by term and score band, where
+their memories are; a task writes a file per bucket of the term, so a search
+reads the row groups of its terms only. Bands are
 powers of 2^(1/4); a table of terms has the number of postings in each band.
 
 A search for all of some terms goes down the bands of the rarest one, more of
@@ -19,8 +20,11 @@ fails half-way changes nothing; compact() rewrites all as one segment.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +34,8 @@ from loomgraph.session import send_package
 
 #: Folders of postings, bands for each doubling of the score, and postings that a search reads first.
 BUCKETS, BANDS, FIRST_READ = 64, 4, 10_000
+#: Memories whose words a task counts at once.
+ROWS_COUNTED = 256
 POSTINGS = "term string, band int, id long, n int, size int, expires_at timestamp_ntz, organization string, team string, project string, segment int, bucket int"
 TERMS = "term string, band int, n_postings long, segment int"
 MANIFEST = "version int, segment int, kind string, folder string"
@@ -41,6 +47,22 @@ def impact(n: Column, size: Column) -> Column:
     return n / (1 + F.log(size.cast("double")))
 
 
+def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The different words of each array with their counts and the array's size; a part of a batch at a time."""
+    kind = pa.struct([("term", pa.string()), ("n", pa.int32()), ("size", pa.int32())])
+    for batch in batches:
+        for lo in range(0, len(batch), ROWS_COUNTED):
+            words = batch.slice(lo, ROWS_COUNTED).fill_null([])
+            flat = pc.dictionary_encode(words.flatten())
+            many = max(1, len(flat.dictionary))
+            sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+            of = np.repeat(np.arange(len(words)), sizes)
+            pairs, n = np.unique(of * many + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(len(words) + 1) * many).astype(np.int32)
+            terms = flat.dictionary.take(pa.array(pairs % many))
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([terms, pa.array(n.astype(np.int32)), pa.array(sizes[pairs // many])], fields=list(kind)))
+
+
 class InvertedIndex:
     """The index in a folder; opening it again finds what was added."""
 
@@ -80,8 +102,8 @@ class InvertedIndex:
     def _save(self, postings: DataFrame, segment: int) -> list[tuple[int, str, str]]:
         at = f"{self.folder}/segment-{segment}-{uuid.uuid4().hex}"
         rows = postings.withColumns({"segment": F.lit(segment), "bucket": F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")})
-        by = ("bucket", "term", "band", "id")  # later columns part the rows of a frequent term
-        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("bucket").parquet(f"{at}/postings")
+        # Each task orders the postings of its own memories; so none are shuffled, and a search reads its terms' row groups of every task's file.
+        rows.sortWithinPartitions("bucket", "term", "band", "id").write.partitionBy("bucket").parquet(f"{at}/postings")
         kept = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings")
         terms = kept.groupBy("term", "band").agg(F.count(F.lit(1)).alias("n_postings"), F.max("segment").alias("segment"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
@@ -93,9 +115,15 @@ class InvertedIndex:
         A null content, or one without words, has no postings.
         """
         segment = self._segment()
-        rows = memories.select("id", "expires_at", *SCOPES, self.words(F.col(content)).alias("words"))
-        rows = rows.withColumn("size", F.size("words")).where("size > 0")
-        counts = rows.select("*", F.explode("words").alias("term")).drop("words").groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("n"), *[F.max(c).alias(c) for c in ("size", "expires_at", *SCOPES)])
+        repeated = memories.groupBy("id").agg(F.count(F.lit(1)).alias("rows_")).where("rows_ > 1").select("id")
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        rows = memories.select("id", "expires_at", *SCOPES, content).repartition(tasks)  # few large files would be few tasks
+        rows = rows.select("id", "expires_at", *SCOPES, self.words(F.col(content)).alias("words"))
+        counted = F.arrow_udf("array<struct<term:string,n:int,size:int>>")(_counted)("words")
+        counts = rows.select("id", "expires_at", *SCOPES, F.inline(counted))
+        if not repeated.isEmpty():  # the rows of an id count as one
+            twice = counts.join(repeated, "id", "left_semi").groupBy("id", "term").agg(F.sum("n").cast("int").alias("n"), *[F.max(c).alias(c) for c in ("size", "expires_at", *SCOPES)])
+            counts = counts.join(repeated, "id", "left_anti").unionByName(twice)
         band = F.ceil(BANDS * F.log2(impact(F.col("n"), F.col("size")))).cast("int")
         made = self._save(counts.withColumn("band", band), segment)
         gone = self._tombstones(memories.select("id"), segment - 1) if self.entries else []

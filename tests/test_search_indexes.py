@@ -177,3 +177,17 @@ def test_kept_until_the_files_change(spark, tmp_path):
     assert ask() == ask() and len(built) == 1
     spark.range(4).write.mode("overwrite").parquet(at)
     assert ask() == built[1] and len(built) == 2
+
+
+def test_postings_are_written_where_their_memories_are(spark, memories, tmp_path):
+    """No posting is shuffled; the rows of a repeated id still count as one."""
+    index = InvertedIndex(spark, str(tmp_path))
+    seen = []
+    index._save = lambda postings, segment, real=index._save: seen.append(postings) or real(postings, segment)
+    index.add(memories)
+    assert "hashpartitioning" not in (plan := seen[0]._jdf.queryExecution().executedPlan().toString()) and "rangepartitioning" not in plan
+    twice = InvertedIndex(spark, str(tmp_path / "twice"))
+    twice.add(memories.where("id < 40").unionByName(memories.where("id < 3")))
+    found = {(r.id, r.term): r.n for r in twice.postings().collect()}
+    once = {(r.id, r.term): r.n for r in index.postings().where("id < 40").collect()}
+    assert found == {k: 2 * n if k[0] < 3 else n for k, n in once.items()}
