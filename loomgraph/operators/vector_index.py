@@ -25,6 +25,8 @@ from loomgraph.session import send_package
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 1024, 8
 #: Vectors, and queries, of a cell that meet in one task.
 BLOCK = 4096
+#: Rows that are compared with all centroids at once.
+ROWS_COMPARED = 256
 #: Share of the cells that the approximate search probes, at least one: vectors without clusters need so many for a recall of 0.9, clustered ones a tenth.
 PROBED = 0.75
 CELLS = "cell int, centroid array<double>, n long, reach double"
@@ -37,6 +39,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Batches in parts of few rows: each row is compared with all centroids, so a whole batch would make a matrix of its rows times these."""
+    for array in batches:
+        for lo in range(0, len(array), ROWS_COMPARED):
+            yield array.slice(lo, ROWS_COMPARED)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
 
@@ -98,7 +107,7 @@ class VectorIndex:
 
         def placed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             kind = pa.struct([("cell", pa.int32()), ("away", pa.float64())])
-            for array in batches:
+            for array in _parts(batches):
                 near = np.clip(_unit(_matrix(array)) @ centroids.T, -1, 1) if len(array) else np.zeros((0, 1))
                 cell = near.argmax(axis=1)
                 yield pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.arccos(near[np.arange(len(cell)), cell]))], fields=list(kind))
@@ -119,7 +128,7 @@ class VectorIndex:
 
         def ranked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             kind = pa.struct([("cell", pa.int32()), ("best", pa.float64()), ("place", pa.int32())])
-            for array in batches:
+            for array in _parts(batches):
                 near = np.clip(_unit(_matrix(array)) @ centroids.T, -1, 1) if len(array) else np.zeros((0, len(number)))
                 best = np.cos(np.maximum(np.arccos(near) - reach, 0)) + 1e-6
                 place = (-near).argsort(axis=1, kind="stable").argsort(axis=1)
