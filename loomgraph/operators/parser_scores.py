@@ -3,7 +3,8 @@
 A reference is `file`, `file::name` or, for targets outside the tree, a bare
 name. Its file means every path that ends with it, its name the symbol of that
 name or of one of its bare forms. Both become equi-joins: paths are listed
-under the endings of their last segment, names under their forms.
+under their last segment and those of its endings that may be asked for, names
+under their forms.
 """
 
 from __future__ import annotations
@@ -12,18 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.evaluation import grade
+from loomgraph.sources.derived import written
 
 #: The ground truth's words for the kinds of symbols; functions and methods stand for one another.
 KINDS = {"File": "file", "Function": "call", "Method": "call", "Class": "class", "Struct": "class", "Enum": "class", "Trait": "class", "Interface": "class", "Module": "class", "Object": "class", "Field": "field", "Property": "field", "Attribute": "field"}
 #: The types of edges that a ground truth may ask for.
 EDGE_KINDS = ("Calls", "Imports", "Defines", "Inherits", "References")
+#: What tells an expected edge.
+EDGE = ["kind", "source", "target"]
 #: Weights of the score's parts.
 WEIGHTS = {"symbol_recall": 0.15, "symbol_precision": 0.15, "relationship_recall": 0.15, "relationship_precision": 0.10, "import_resolution": 0.15, "impact_score": 0.15, "edge_case_score": 0.15}
 
 
 def name_forms(name: Column) -> Column:
     """The names by which a symbol of a ground truth's name may be stored: itself, and what follows the last `.`, the last `::`, the first `#`."""
-    after_hash = lambda x: F.regexp_replace(x, "(?s)^[^#]*#", "")
+    after_hash = lambda x: F.substr(x, F.instr(x, "#") + 1)
     colons = F.substring_index(name, "::", -1)
     return F.array_distinct(F.array(name, F.substring_index(name, ".", -1), colons, after_hash(colons), after_hash(name)))
 
@@ -35,16 +39,35 @@ def file_of(ref: Column) -> Column:
 
 def name_of(ref: Column) -> Column:
     """What stands after the first `::` of a reference; null if there is none."""
-    return F.when(ref.contains("::"), F.regexp_replace(ref, r"(?s)^.*?::", ""))
+    return F.when(ref.contains("::"), F.substr(ref, F.instr(ref, "::") + 2))
+
+
+def _file_key(ref: Column) -> Column:
+    """The key under which `_file_keys` lists the paths that end with a reference to a file: its last segment, or all of it where it names no folder."""
+    return F.when(ref.contains("/"), F.concat(F.lit("/"), F.substring_index(ref, "/", -1))).otherwise(ref)
+
+
+def _file_keys(path: Column, lengths: Column) -> Column:
+    """A path's keys: its last segment, which references with a folder share, and the segment's endings of the lengths of references without one."""
+    base = F.substring_index(path, "/", -1)
+    endings = F.transform(F.filter(lengths, lambda n: n <= F.length(base)), lambda n: F.substr(base, F.length(base) - n + 1))
+    return F.concat(F.array(F.concat(F.lit("/"), base)), endings)
+
+
+def _lengths(ref: Column) -> Column:
+    """Aggregates the lengths of references that name no folder, as many as a file's name has characters at most."""
+    return F.collect_set(F.when(~ref.contains("/"), F.length(ref)))
+
+
+def _listed(rows: DataFrame, refs: DataFrame, column: str) -> DataFrame:
+    """Rows with a file_path, once under each of the keys (`file_key_`) that the references in the column may have."""
+    return rows.crossJoin(F.broadcast(refs.agg(_lengths(F.col(column)).alias("lengths_")))).withColumn("file_key_", F.explode(_file_keys(F.col("file_path"), F.col("lengths_")))).drop("lengths_")  # one row
 
 
 def matched_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     """Pairs of the refs (file_ref, distinct) and the paths (file_path, distinct) that end with them."""
-    base = F.substring_index("file_path", "/", -1)
-    endings = F.transform(F.sequence(F.lit(1), F.length(base) + 1), lambda i: F.substr(base, i))
-    listed = files.select("file_path", F.explode(endings).alias("ending_"))
-    keyed = refs.withColumn("ending_", F.substring_index("file_ref", "/", -1))
-    return keyed.join(listed, "ending_").where(F.endswith("file_path", F.col("file_ref"))).select("file_ref", "file_path")
+    keyed = refs.withColumn("file_key_", _file_key(F.col("file_ref")))
+    return keyed.join(_listed(files, refs, "file_ref"), "file_key_").where(F.endswith("file_path", F.col("file_ref"))).select("file_ref", "file_path")
 
 
 def _paths(refs: DataFrame, column: str, symbols: DataFrame) -> DataFrame:
@@ -52,8 +75,10 @@ def _paths(refs: DataFrame, column: str, symbols: DataFrame) -> DataFrame:
 
 
 def _with_found(expected: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds `found` to the expected rows; their keys hold no nulls."""
-    return expected.join(hits.select(*keys).distinct().withColumn("found", F.lit(True)), keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    """Adds `found` to the expected rows; their keys hold no nulls. Rows are sorted by a hash first, which spares comparing long texts that begin alike."""
+    by_hash = F.xxhash64(*keys).alias("hash_")
+    hits = hits.select(*keys).distinct().select(by_hash, *keys, F.lit(True).alias("found"))
+    return expected.select(by_hash, "*").join(hits, ["hash_", *keys], "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("hash_")
 
 
 def symbol_results(expected: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -67,29 +92,67 @@ def symbol_results(expected: DataFrame, symbols: DataFrame) -> DataFrame:
     return _with_found(expected, asked.join(stored, ["file_path", "form_", "class_"], "left_semi"), keys)
 
 
+def _asked(expected: DataFrame, imports_by_file: bool) -> DataFrame:
+    """Expected edges without nulls in their keys, and whether their target counts by its file only."""
+    return expected.fillna("", EDGE).withColumn("by_file_", (F.col("kind") == "Imports") & F.lit(imports_by_file))
+
+
+def _edge_hits(asked: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """The asked edges (EDGE, by_file_) that are there, once each.
+
+    Each source is looked up once, and its edges' targets are listed under
+    their names and files; what is asked of it meets them by equal keys, so
+    many edges asked of a source with many edges aren't all compared. An
+    aggregate, which runs at once, tells which kinds and file names are asked
+    for; the asked sources are written.
+    """
+    target = F.col("target")
+    bare = ~F.col("by_file_") & ~target.contains("::") & ~target.contains("/")
+    by_file = F.col("by_file_") | ~target.contains("::") & ~bare
+    asked = asked.select(*EDGE, "by_file_").where(F.col("kind").isin(*EDGE_KINDS)).withColumns({"rel_type": F.lower("kind"), "t_file": file_of(target)})
+    told = asked.agg(F.collect_set("rel_type").alias("types"), _lengths(F.when(by_file, F.col("t_file"))).alias("lengths"), F.count_if(by_file).alias("files")).first()
+    sources = written(asked.select("source", "rel_type").distinct(), "sources")
+    refs = sources.select("source").distinct().withColumns({"s_file": file_of(F.col("source")), "s_forms": name_forms(name_of(F.col("source"))), "s_named": F.col("source").contains("::")})
+    at = symbols.select("file_path", F.col("id").alias("source_id"), F.col("name").alias("s_name"))
+    found = refs.join(_paths(refs, "s_file", symbols), "s_file").join(at, "file_path").where(~F.col("s_named") | F.array_contains("s_forms", F.col("s_name")))
+    there = edges.where(F.col("rel_type").isin(*told["types"])).select("source_id", "target_id", "rel_type")
+    there = there.join(found.select("source", "source_id").distinct().join(sources, "source"), ["source_id", "rel_type"])
+    there = there.join(symbols.select(F.col("id").alias("target_id"), F.col("name").alias("t_name"), F.col("file_path").alias("t_path")), "target_id")
+    listed = F.array(F.struct(F.lit(False).alias("of_file_"), F.col("t_name").alias("key_")))
+    if told["files"]:
+        base = F.array(F.struct(F.lit(True).alias("of_file_"), F.concat(F.lit("/"), F.substring_index("t_path", "/", -1)).alias("key_")))
+        listed = F.concat(listed, base)
+    if told["lengths"]:
+        keys = _file_keys(F.col("t_path"), F.array(*map(F.lit, told["lengths"])))
+        endings = F.transform(F.slice(keys, 2, F.size(keys)), lambda k: F.struct(F.lit(True).alias("of_file_"), k.alias("key_")))
+        listed = F.when(F.col("t_path").isNull(), listed).otherwise(F.concat(listed, endings))
+    by_hash = F.xxhash64("source", "rel_type", "of_file_", "key_").alias("hash_")
+    there = there.select("source", "rel_type", "t_path", F.inline(listed)).select("*", by_hash)
+    asked = asked.withColumns({"bare_": bare, "of_file_": by_file}).withColumn("name_", F.when(F.col("bare_"), target).otherwise(name_of(target)))
+    asked = asked.withColumn("key_", F.explode(F.when(F.col("of_file_"), F.array(_file_key(F.col("t_file")))).otherwise(name_forms(F.col("name_"))))).drop("name_").select("*", by_hash)
+    same = [asked[c] == there[c] for c in ("hash_", "source", "rel_type", "of_file_", "key_")]
+    return asked.join(there, [*same, asked["bare_"] | F.endswith(there["t_path"], asked["t_file"])], "left_semi").select(*EDGE, "by_file_").distinct()
+
+
 def relationship_results(expected: DataFrame, symbols: DataFrame, edges: DataFrame, imports_by_file: bool = True) -> DataFrame:
     """Adds `found` to expected edges (kind, source, target; other columns stay).
 
     An import's target needs to match by its file only, unless
     `imports_by_file` is off. A target without `::` and `/` is a bare name. Edges
-    whose target isn't a symbol of the tables aren't seen.
+    whose target isn't a symbol of the tables aren't seen. The expected edges
+    are read several times, so write them first if they cost much.
     """
-    keys = ["kind", "source", "target"]
-    expected = expected.fillna("", keys)
-    asked = expected.select(*keys).distinct().where(F.col("kind").isin(*EDGE_KINDS))
-    asked = asked.withColumns({"rel_type": F.lower("kind"), "s_file": file_of(F.col("source")), "s_forms": name_forms(name_of(F.col("source"))), "s_named": F.col("source").contains("::")})
-    at = symbols.select("file_path", F.col("id").alias("source_id"), F.col("name").alias("s_name"))
-    sources = asked.join(_paths(asked, "s_file", symbols), "s_file").join(at, "file_path").where(~F.col("s_named") | F.array_contains("s_forms", F.col("s_name")))
-    hits = sources.select(*keys, "rel_type", "source_id").distinct().join(edges.select("source_id", "target_id", "rel_type"), ["source_id", "rel_type"])
-    hits = hits.join(symbols.select(F.col("id").alias("target_id"), F.col("name").alias("t_name"), F.col("file_path").alias("t_path")), "target_id")
-    target = F.col("target")
-    named = F.array_contains(name_forms(name_of(target)), F.col("t_name"))
-    in_file = F.endswith("t_path", file_of(target))
-    bare = ~target.contains("::") & ~target.contains("/")
-    fits = F.when(bare, F.array_contains(name_forms(target), F.col("t_name"))).when(~target.contains("::"), in_file).otherwise(in_file & named)
-    if imports_by_file:
-        fits = F.when(F.col("kind") == "Imports", in_file).otherwise(fits)
-    return _with_found(expected, hits.where(fits), keys)
+    asked = _asked(expected, imports_by_file)
+    return _with_found(asked, _edge_hits(asked, symbols, edges), [*EDGE, "by_file_"]).drop("by_file_")
+
+
+def relationship_and_case_results(expected: DataFrame, cases: DataFrame, symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The results of expected edges and those of edge cases, whose imports count by name too; both are looked up at once, and what is found is written."""
+    asked = [_asked(expected, True), _asked(cases, False)]
+    keys = [*EDGE, "by_file_"]
+    hits = written(_edge_hits(asked[0].select(*keys).unionByName(asked[1].select(*keys)).distinct(), symbols, edges), "edge-hits")
+    r, c = (_with_found(rows, hits, keys).drop("by_file_") for rows in asked)
+    return r, c
 
 
 def arrows(cases: DataFrame, column: str) -> DataFrame:
@@ -106,12 +169,14 @@ def impact_recall(expected: DataFrame, actual: DataFrame) -> DataFrame:
     name). An entry's name fits whole or by what follows its last `::`, else
     its last `.`.
     """
-    asked = expected.distinct().withColumns({"file": file_of(F.col("entry")), "name_ref": name_of(F.col("entry"))})
+    asked = expected.withColumns({"file": file_of(F.col("entry")), "name_ref": name_of(F.col("entry"))}).withColumn("file_key_", _file_key(F.col("file")))
     bare = F.when(F.col("name_ref").contains("::"), F.substring_index("name_ref", "::", -1)).otherwise(F.substring_index("name_ref", ".", -1))
-    found = asked.where("entry is not null").join(_paths(asked, "file", actual), "file").join(actual.select("query_id", "file_path", "name"), ["query_id", "file_path"])
-    found = found.where(F.col("name_ref").isNull() | (F.col("name") == F.col("name_ref")) | (F.col("name") == bare))
-    hits = found.select("query_id", "entry").distinct().withColumn("hit_", F.lit(1))
-    out = asked.join(hits, ["query_id", "entry"], "left").groupBy("query_id").agg(F.count("entry").alias("expected"), F.count("hit_").alias("hits"))
+    asked = asked.withColumn("bare_", bare)
+    there = _listed(actual.select("query_id", "file_path", "name"), asked, "file")
+    named = asked["name_ref"].isNull() | (there["name"] == asked["name_ref"]) | (there["name"] == asked["bare_"])
+    fits = [asked["query_id"] == there["query_id"], asked["file_key_"] == there["file_key_"], F.endswith(there["file_path"], asked["file"]), named]
+    rows = asked.join(there, fits, "left").groupBy(asked["query_id"], asked["file_key_"], asked["entry"]).agg(F.count(there["query_id"]).alias("hits_"))
+    out = rows.groupBy("query_id").agg(F.count("entry").alias("expected"), F.count_if(F.col("hits_") > 0).alias("hits"))
     return out.withColumn("recall", F.when(F.col("expected") == 0, 1.0).otherwise(F.try_divide("hits", "expected")))
 
 

@@ -138,6 +138,43 @@ def test_relationship_results(spark, index):
     assert sorted((r.c or "", r.found) for r in parser_scores.relationship_results(cases, *index, imports_by_file=False).collect()) == [("", False), ("main.py::run -- Calls --> src/utils.py", True), ("main.py::run --Calls--> helper", True), ("nothing", False)]
 
 
+def test_edges_asked_of_a_source_meet_its_targets_by_equal_keys(spark):
+    """A source of n edges, all asked for, makes rows in proportion to n; comparing all asked edges with all its edges would make n * n."""
+    n = 400
+    symbols = spark.createDataFrame([("s", "main", "function", "/r/main.py")] + [(f"t{i}", f"f{i}", "function", f"/r/lib/m{i}.py") for i in range(n)], "id string, name string, kind string, file_path string")
+    edges = spark.createDataFrame([("s", f"t{i}", "calls") for i in range(n)], "source_id string, target_id string, rel_type string")
+    ways = [lambda i: f"f{i}", lambda i: f"lib/m{i}.py", lambda i: f"m{i}.py::f{i}", lambda i: f"lib/m{i + 1}.py::f{i}"]
+    expected = spark.createDataFrame([("Calls", "main.py::main", ways[i % 4](i)) for i in range(n)], "kind string, source string, target string")
+    out = parser_scores.relationship_results(expected, symbols, edges)
+    assert sorted(r.target for r in out.collect() if r.found) == sorted(ways[i % 4](i) for i in range(n) if i % 4 < 3)
+    plan = out._jdf.queryExecution().executedPlan()
+    out._jdf.collectToPython()
+    most, left = 0, [plan]
+    while left:
+        node = left.pop()
+        kind = node.nodeName()
+        inner = [node.finalPhysicalPlan()] if kind == "AdaptiveSparkPlan" else [node.plan()] if kind.endswith("QueryStage") else []
+        children = node.children()
+        left += inner + [children.apply(i) for i in range(children.size())]
+        if "Join" in kind and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    assert 0 < most < 10 * n
+
+
+def test_files_asked_for_without_folder(spark):
+    index = spark.createDataFrame([("a", "run", "function", "src/main.py"), ("b", "run", "function", "lib/domain.py"), ("c", "run", "function", "other.rb"), ("d", None, "function", None)], "id string, name string, kind string, file_path string")
+    refs = spark.createDataFrame([("main.py",), ("n.py",), ("",), ("c/main.py",), ("lib/main.py",), ("main.pyx",), ("other.rb",), ("/other.rb",)], "file_ref string")
+    pairs = parser_scores.matched_files(refs, index.select("file_path").distinct()).collect()
+    files = ["src/main.py", "lib/domain.py", "other.rb"]
+    assert sorted(map(tuple, pairs)) == sorted((r.file_ref, f) for r in refs.collect() for f in files if f.endswith(r.file_ref))
+    edges = spark.createDataFrame([("a", "b", "imports"), ("a", "c", "imports"), ("a", "d", "imports")], "source_id string, target_id string, rel_type string")
+    asked = spark.createDataFrame([("Imports", "main.py", t) for t in ("main.py", "xmain.py", "n.py::no", "", "other.rb", "lib/domain.py")], "kind string, source string, target string")
+    assert {r.target for r in parser_scores.relationship_results(asked, index, edges).collect() if r.found} == {"main.py", "n.py::no", "", "other.rb", "lib/domain.py"}
+    found, passed = parser_scores.relationship_and_case_results(asked, asked, index, edges)
+    assert {r.target for r in found.collect() if r.found} == {"main.py", "n.py::no", "", "other.rb", "lib/domain.py"}
+    assert {r.target for r in passed.collect() if r.found} == {r.target for r in parser_scores.relationship_results(asked, index, edges, imports_by_file=False).collect() if r.found}
+
+
 def test_impact_recall(spark):
     actual = spark.createDataFrame([("q", "/r/a.py", "run"), ("q", "/r/b.rs", "make"), ("w", "/r/a.py", "run")], "query_id string, file_path string, name string")
     expected = spark.createDataFrame([("q", "a.py"), ("q", "b.rs::Type::make"), ("q", "a.py::Ctx.run"), ("q", "a.py::other"), ("w", None), ("v", "a.py")], "query_id string, entry string")
