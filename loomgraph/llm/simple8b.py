@@ -156,6 +156,12 @@ class PieceCoder:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
+        vocabulary = self.coder.get_vocab()
+        #: Bytes of each token: a character stands for a byte, but in added tokens.
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [*map(len, vocabulary)]
+        for i, token in self.coder.get_added_tokens_decoder().items():
+            self.bytes_of[i] = len(token.content.encode())
         self.clear()
 
     def clear(self) -> None:
@@ -195,21 +201,29 @@ class PieceCoder:
         alone = [p for p in new if p[0] == " " or p[-1].isspace()]
         apart = set(alone)
         many = [p for p in new if p not in apart]
-        flat: list[int] = []
+        flat: list[np.ndarray] = []
         sizes = []
-        for p in alone:
-            found = self.coder.encode(p[1:] if p[0] == " " else p if p[0] == "\n" else " " + p, add_special_tokens=False).ids
-            flat += found
-            sizes.append([len(found)])
+        if alone:
+            found = self.coder.encode_batch_fast([p[1:] if p[0] == " " else p if p[0] == "\n" else " " + p for p in alone], add_special_tokens=False)
+            each = [e.ids for e in found]
+            flat += [np.array(x, np.int64) for x in each]
+            sizes.append([*map(len, each)])
         for lo in range(0, len(many), 4096):
             some = [p if p[0] == "\n" else " " + p for p in many[lo : lo + 4096]]
-            e = self.coder.encode("".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *map(len, some)])
-            of = np.searchsorted(starts, np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids)), "right") - 1
-            sizes.append(np.bincount(of, minlength=len(some)))
-            flat += e.ids
+            whole = "".join(some)
+            ids = np.array(self.coder.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.int64)
+            starts = np.cumsum([0, *(map(len, some) if whole.isascii() else (len(p.encode()) for p in some))])
+            at = np.cumsum(self.bytes_of[ids])
+            if at[-1] == starts[-1]:
+                at -= self.bytes_of[ids]
+            else:  # a token whose text isn't what it stands for
+                e = self.coder.encode(whole, add_special_tokens=False)
+                ids, at = np.array(e.ids, np.int64), np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids))
+                starts = np.cumsum([0, *map(len, some)])
+            sizes.append(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(some)))
+            flat.append(ids)
         if new:
-            self._keep([*alone, *many], np.array(flat, np.int64), np.concatenate(sizes).astype(np.int64))
+            self._keep([*alone, *many], np.concatenate(flat), np.concatenate(sizes).astype(np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of each text's ids."""

@@ -179,6 +179,21 @@ def test_pieces_encode_like_whole_texts(texts):
         assert ids[end - n : end].tolist() == [*coder.coder.encode(text, add_special_tokens=False).ids, 2]
 
 
+@pytest.mark.parametrize("known_bytes", [True, False])
+def test_bounds_of_pieces_follow_from_the_bytes_of_their_tokens(known_bytes):
+    """Ids are told apart by the bytes that they stand for; where these don't add up, by the offsets."""
+    import public_tokenizers
+
+    coder = simple8b.PieceCoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["naïve 日本語 <|endoftext|> x<|endoftext|>y\nend", "  🎉🎉 zzz-qq_1234.  ", "ab  \x1c cd\n\n ", "plain words, more words."]
+    want = [coder.coder.encode(t, add_special_tokens=False) for t in texts]
+    assert all(coder.bytes_of[w.ids].sum() == len(t.encode()) for w, t in zip(want, texts, strict=True))
+    if not known_bytes:
+        coder.bytes_of[:] = 0
+    ids, counts = coder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*w.ids, 2] for w in want]
+
+
 @pytest.mark.parametrize("folder", ["sf_dir", "odd_dir"])
 def test_token_files(spark, folder, request):
     import public_tokenizers
