@@ -22,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,8 +40,10 @@ END_ID = 2
 FILE_SCHEMA = "part int, row long, start_in_part long, doc_ids array<long>, n_tokens array<long>, n_ids long, words binary, block_offsets array<int>, raw_at array<int>"
 #: Pieces whose ids a worker process remembers before it starts anew.
 REMEMBERED = 1_000_000
-#: A space between two other characters.
-CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Characters that are tried for letters: Latin, Greek and Cyrillic ones.
+LETTERS = range(0x41, 0x530)
+#: Bytes of text that are encoded at once, a longer text alone.
+AT_ONCE = 1_000_000
 #: Bits of each number below 2^16.
 _SMALL = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 
@@ -67,27 +70,26 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         most[c] = np.maximum(most[a], of(b, a))
     pick = np.full(wide.shape, ESCAPE, np.uint8)
     for s in range(len(COUNTS) - 1, -1, -1):
-        pick[most[COUNTS[s]] <= BITS[s]] = s
+        np.minimum(pick, (most[COUNTS[s]] > BITS[s]).view(np.uint8) * np.uint8(ESCAPE) | np.uint8(s), out=pick)
     takes = np.array([*COUNTS, 0, 1], np.int64)
     ends = np.full(rows, BLOCK, np.int64)
     ends[-1] = n - (rows - 1) * BLOCK
-    at, here, steps = np.zeros(rows, np.int64), np.arange(rows), []
-    while len(here):
-        p = at[here]
-        s = pick[here, p]
-        steps.append((here, p, s))
-        at[here] = p + takes[s]
-        here = here[at[here] < ends[here]]
-    row, place, sel = (np.concatenate([x[i] for x in steps]) for i in range(3))
-    order = np.argsort(row * BLOCK + place)
-    row, place, sel = row[order], place[order], sel[order]
-    source = wide.ravel()
-    base = row * wide.shape[1] + place
+    at, taken, flat_pick = np.arange(rows) * wide.shape[1], np.zeros(wide.size, bool), pick.ravel()
+    ends += at
+    while len(at):
+        taken[at] = True
+        at = at + takes[flat_pick[at]]
+        left = at < ends
+        at, ends = at[left], ends[left]
+    source, base = wide.ravel(), np.flatnonzero(taken)
+    row, sel = base // wide.shape[1], flat_pick[base]
     coded = sel.astype(np.uint64) << np.uint64(60)
     for s, (c, b) in enumerate(zip(COUNTS, BITS, strict=True)):
         m = np.flatnonzero(sel == s)
+        first, word = base[m], np.zeros(len(m), np.uint64)
         for k in range(c if len(m) else 0):
-            coded[m] |= source[base[m] + k] << np.uint64(b * k)
+            word |= source[first + k] << np.uint64(b * k)
+        coded[m] |= word
     raw = sel == ESCAPE
     where = np.arange(len(sel)) + np.cumsum(raw) - raw
     words = np.zeros(len(sel) + int(raw.sum()), np.uint64)
@@ -121,28 +123,33 @@ def unpack(words: np.ndarray, block_offsets: np.ndarray, raw_at: np.ndarray, n:
     return out.reshape(len(first), BLOCK + 60)[:, :BLOCK].reshape(-1)[:n]
 
 
-def pieces(text: str) -> list[str]:
-    """Cuts a text where byte-level BPE with the usual letter, number, other and space pattern always starts a new piece.
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin, in UTF-8 bytes: places at which byte-level BPE with the usual letter, number, other and space pattern always starts anew.
 
-    That is before a space between two other characters; and before line feeds
-    in a text whose white space is single spaces and line feeds inside. A piece
-    that starts with a space comes without it; the text's start comes with one
-    more.
+    That is at a text's start; before white space after another character, seen
+    at spaces and line feeds; after a line feed between two other characters;
+    and before a full stop or comma after a letter, seen for the letters of ASCII
+    and Latin-1. Where a character isn't told from white space by its bytes
+    here, no cut is made.
     """
-    if not text:
-        return []
-    out: list[str] = []
-    starts = []
-    for line in text.split("\n"):
-        starts.append(len(out))
-        out += line.split(" ")
-    if out == text.split():
-        for at in starts:
-            out[at] = "\n" + out[at]
-        out[0] = " " + out[0][1:]
-        return out
-    first, *rest = CUT.split(text)
-    return [" " + first, *(p[1:] for p in rest)]
+    mark = np.zeros(len(data) + 1, bool)
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[(at > 0) & (at < len(data))]
+    last, second, third = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    blank = (last <= 32) | (second == 0xC2) & ((last == 0x85) | (last == 0xA0)) | (last >= 0x80) & ((third == 0xE1) & (second == 0x9A) | (third == 0xE2) & ((second == 0x81) | (second == 0x80) & ((last < 0x90) | (last >= 0xA8))) | (third == 0xE3) & (second == 0x80))
+    after = at[~blank]
+    mark[after] = True
+    feeds = after[data[after] == 10] + 1
+    feeds = feeds[feeds < len(data)]
+    following = data[feeds]
+    mark[feeds[(following > 32) & (following < 0x80) | (following >= 0xC3) & ~np.isin(following, (0xE1, 0xE2, 0xE3))]] = True
+    at = np.flatnonzero((data == 44) | (data == 46))
+    at = at[at > 0]
+    last = data[at - 1]
+    low = last | 32
+    mark[at[(low >= 97) & (low <= 122) & (last < 0x80) | (data[np.maximum(at - 2, 0)] == 0xC3) & (last != 0x97) & (last != 0xB7) & (last >= 0x80)]] = True
+    mark[starts] = True
+    return np.flatnonzero(mark[:-1])
 
 
 class PieceCoder:
@@ -162,6 +169,15 @@ class PieceCoder:
         self.bytes_of[list(vocabulary.values())] = [*map(len, vocabulary)]
         for i, token in self.coder.get_added_tokens_decoder().items():
             self.bytes_of[i] = len(token.content.encode())
+        #: Of each letter, the characters that stand for its bytes. Pieces of letters alone go straight to the model, as nothing in them is split.
+        split = self.coder.pre_tokenizer.pre_tokenize_str
+        self.stands = {ord(c): split(c)[0][0] for c in map(chr, LETTERS) if len(split(f"a{c}a")) == 1} | {32: split(" a")[0][0][0]}
+        self.letters = re.compile(f" ?[{re.escape(''.join(chr(i) for i in self.stands if i != 32))}]+")
+        if self.coder.normalizer is not None or any(self.letters.fullmatch(t.content.strip()) for t in self.coder.get_added_tokens_decoder().values()):
+            self.letters = re.compile("(?!)")  # then words aren't what they seem
+        # Each word comes once, so the model's own memory would only cost time.
+        self.model = self.coder.model
+        self.model._resize_cache(0)
         self.clear()
 
     def clear(self) -> None:
@@ -170,15 +186,17 @@ class PieceCoder:
         self.used = 0
 
     def learn(self, new: list[str]) -> None:
-        """Adds unknown pieces. A letter and a full stop or comma at the end are always apart, so such pieces are put together."""
-        ended = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()]
-        ends = set(ended)
-        rest = dict.fromkeys(p for p in new if p not in ends)
-        rest.update(dict.fromkeys(q for p in ended for q in (p[:-1], " " + p[-1])))
-        self._encode([p for p in rest if p not in self.known])
-        if ended:
-            codes = np.fromiter((self.known[q] for p in ended for q in (p[:-1], " " + p[-1])), np.int64, 2 * len(ended))
-            self._keep(ended, self._ids(codes), self.size[codes].reshape(-1, 2).sum(axis=1))
+        """Adds unknown pieces."""
+        words = [*filter(self.letters.fullmatch, new)]
+        if words:
+            flat: list[int] = []
+            sizes = []
+            for tokens in map(self.model.tokenize, "\n".join(words).translate(self.stands).split("\n")):
+                flat += [t.id for t in tokens]
+                sizes.append(len(tokens))
+            self._keep(words, np.array(flat, np.int64), np.array(sizes, np.int64))
+        if len(words) < len(new):
+            self._encode([p for p in new if p not in self.known])
 
     def _ids(self, codes: np.ndarray) -> np.ndarray:
         size = self.size[codes]
@@ -197,19 +215,18 @@ class PieceCoder:
         self.known.update(zip(order, range(k, k + len(order)), strict=True))
 
     def _encode(self, new: list[str]) -> None:
-        # The start of a text, and a piece that ends with white space, is encoded alone; the others many at once.
-        alone = [p for p in new if p[0] == " " or p[-1].isspace()]
+        # A piece that doesn't start with white space, or ends with it, is encoded alone; the others many at once.
+        alone = [p for p in new if p[0] not in " \n" or p[-1].isspace()]
         apart = set(alone)
         many = [p for p in new if p not in apart]
         flat: list[np.ndarray] = []
         sizes = []
         if alone:
-            found = self.coder.encode_batch_fast([p[1:] if p[0] == " " else p if p[0] == "\n" else " " + p for p in alone], add_special_tokens=False)
-            each = [e.ids for e in found]
+            each = [e.ids for e in self.coder.encode_batch_fast(alone, add_special_tokens=False)]
             flat += [np.array(x, np.int64) for x in each]
             sizes.append([*map(len, each)])
         for lo in range(0, len(many), 4096):
-            some = [p if p[0] == "\n" else " " + p for p in many[lo : lo + 4096]]
+            some = many[lo : lo + 4096]
             whole = "".join(some)
             ids = np.array(self.coder.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.int64)
             starts = np.cumsum([0, *(map(len, some) if whole.isascii() else (len(p.encode()) for p in some))])
@@ -225,26 +242,30 @@ class PieceCoder:
         if new:
             self._keep([*alone, *many], np.concatenate(flat), np.concatenate(sizes).astype(np.int64))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by the end id, and the number of each text's ids."""
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by the end id, and the number of each text's ids. A null text counts as empty."""
         if len(self.known) > REMEMBERED:
             self.clear()
-        cut: list[str] = []
-        per = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            found = pieces(t)
-            per[i] = len(found)
-            cut += found
-        codes = np.fromiter(map(self.known.get, cut, repeat(-1)), np.int64, len(cut))
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).fill_null("").cast(pa.large_string())
+        _, places, held = column.buffers()
+        bounds = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        data = np.frombuffer(held or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        at = cuts(data, bounds[:-1])
+        # Pieces are slices of the texts' own bytes; each different one is looked up once.
+        found = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        different = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
         missing = np.flatnonzero(codes < 0)
         if len(missing):
-            self.learn(list(dict.fromkeys(cut[i] for i in missing)))
-            codes[missing] = [self.known[cut[i]] for i in missing]
-        size = self.size[codes]
-        text = np.repeat(np.arange(len(texts)), per)
-        counts = np.bincount(text, weights=size, minlength=len(texts)).astype(np.int64) + 1
+            new = [different[i] for i in missing]
+            self.learn(new)
+            codes[missing] = [self.known[p] for p in new]
+        codes = codes[found.indices.to_numpy()]
+        text = np.repeat(np.arange(len(column)), np.diff(np.searchsorted(at, bounds)))
+        counts = np.bincount(text, weights=self.size[codes], minlength=len(column)).astype(np.int64) + 1
         plain = self._ids(codes)
-        out = np.empty(len(plain) + len(texts), np.uint32)
+        out = np.empty(len(plain) + len(column), np.uint32)
         ends = np.cumsum(counts) - 1
         inner = np.ones(len(out), bool)
         inner[ends] = False
@@ -260,30 +281,39 @@ def coder(path: str) -> PieceCoder:
 
 def _file_rows(batches: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[pa.RecordBatch]:
     part, start, row = TaskContext.get().partitionId(), 0, 0
-    held: tuple[list, list, list] = ([], [], [])
+    keys: list[int | None] = []
+    sizes: list[int] = []
+    held: list[np.ndarray] = []
+    n = 0
 
     def close() -> pa.RecordBatch:
-        nonlocal start, row, held
-        ids = np.concatenate(held[2])
-        words, offsets, raw_at = pack(ids.astype(np.uint64))
-        out = [[part], [row], [start], [held[0]], [held[1]], [len(ids)], [words.astype("<u8").tobytes()], [offsets.tolist()], [raw_at.tolist()]]
+        nonlocal start, row, keys, sizes, held, n
+        words, offsets, raw_at = pack(np.concatenate(held).astype(np.uint64))
+        out = [[part], [row], [start], [keys], [sizes], [n], [words.astype("<u8").tobytes()], [offsets.tolist()], [raw_at.tolist()]]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        start, row, held = start + len(ids), row + 1, ([], [], [])
+        start, row, keys, sizes, held, n = start + n, row + 1, [], [], [], 0
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["part", "row", "start_in_part", "doc_ids", "n_tokens", "n_ids", "words", "block_offsets", "raw_at"])
 
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            some = batch.slice(lo, 256)
-            keys, texts = some.column("doc_id").to_pylist(), some.column("text").fill_null("").to_pylist()
-            ids, counts = coder(tokenizer_path).encode(texts)
+        texts, ids_of = batch.column("text").fill_null(""), batch.column("doc_id").to_pylist()
+        before = np.cumsum([0, *pc.binary_length(texts).to_pylist()])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + AT_ONCE, "right")) - 1)
+            ids, counts = coder(tokenizer_path).encode(texts.slice(lo, hi - lo))
             ends = np.cumsum(counts)
-            for i, key in enumerate(keys):
-                held[0].append(key)
-                held[1].append(int(counts[i]))
-                held[2].append(ids[ends[i] - counts[i] : ends[i]])
-            if sum(held[1]) >= ROW_IDS:
-                yield close()
-    if held[0]:
+            at, done = 0, 0
+            while at < len(ends):
+                to = min(len(ends), int(np.searchsorted(ends, done + ROW_IDS - n)) + 1)
+                keys += ids_of[lo + at : lo + to]
+                sizes += counts[at:to].tolist()
+                held.append(ids[done : ends[to - 1]])
+                n += int(ends[to - 1]) - done
+                at, done = to, int(ends[to - 1])
+                if n >= ROW_IDS:
+                    yield close()
+            lo = hi
+    if keys:
         yield close()
 
 

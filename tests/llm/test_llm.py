@@ -194,6 +194,73 @@ def test_bounds_of_pieces_follow_from_the_bytes_of_their_tokens(known_bytes):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*w.ids, 2] for w in want]
 
 
+SPACES = [*"\t\r\x0b\x0c\x1c\x1f\x85\xa0", *map(chr, (0x1680, 0x2000, 0x2008, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from([*"ab .,\n 1'*-éÉ×÷ªñжΩ日”…", *SPACES, "\u200b", "\u0301", "s", "t"]), max_size=24), max_size=6))
+def test_cuts_at_any_white_space(texts):
+    import pyarrow as pa
+    import public_tokenizers
+
+    coder = simple8b.coder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, counts = coder.encode(pa.array(["left out", *texts, None], pa.string()).slice(1))
+    want = [[*coder.coder.encode(t, add_special_tokens=False).ids, 2] for t in [*texts, ""]]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_words_of_letters_go_straight_to_the_model(monkeypatch):
+    """A word costs the same wherever it stands, and is met once: at the start, after a line feed, before a full stop."""
+    import public_tokenizers
+
+    coder = simple8b.PieceCoder(public_tokenizers.path("byte_bpe_50k.json"))
+    seen = []
+    monkeypatch.setattr(coder, "_encode", lambda new, real=coder._encode: (seen.extend(new), real(new)))
+    text = "Qwzxa qwzxa, qwzxa.\nQwzxa señoría, qwzxa\nstraße größter. Жук qwzxa"
+    ids, counts = coder.encode([text, text])
+    assert sorted(seen) == ["\n", ",", "."] and set(coder.known) == {*seen, "Qwzxa", " qwzxa", " señoría", "straße", " größter", " Жук"}
+    want = [*coder.coder.encode(text, add_special_tokens=False).ids, 2]
+    assert ids.tolist() == want * 2 and counts.tolist() == [len(want)] * 2
+
+
+@pytest.mark.parametrize("change", ["added", "normalizer"])
+def test_words_take_the_whole_way_if_the_tokenizer_changes_them(tmp_path, change):
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    if change == "added":
+        library.add_tokens(["qwz"])
+    else:
+        library.normalizer = normalizers.Lowercase()
+    library.save(str(tmp_path / "own.json"))
+    ids, _ = simple8b.PieceCoder(str(tmp_path / "own.json")).encode(["Some WORDS, xqwzx qwz and\nqwz."])
+    assert ids.tolist() == [*library.encode("Some WORDS, xqwzx qwz and\nqwz.", add_special_tokens=False).ids, 2]
+
+
+def test_rows_of_a_file_are_closed_between_documents(monkeypatch):
+    """However many texts a batch brings, a row ends with the document that fills it."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(simple8b, "ROW_IDS", 64)
+    monkeypatch.setattr(simple8b, "AT_ONCE", 150, raising=False)
+    monkeypatch.setattr(simple8b, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 3})())}))
+    rng = random.Random(2)
+    texts = [None, "", *(" ".join(rng.choice(["some", "words", "née", "x."]) for _ in range(rng.choice([0, 3, 20, 300]))) for _ in range(80))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(texts[a:b], pa.string())], names=["doc_id", "text"]) for a, b in ((0, 50), (50, 50), (50, len(texts)))]
+    rows = [r for b in simple8b._file_rows(iter(batches), path) for r in b.to_pylist()]
+    assert all(r["n_ids"] >= 64 > r["n_ids"] - r["n_tokens"][-1] for r in rows[:-1]) and len(rows) > 10
+    assert [r["row"] for r in rows] == [*range(len(rows))] and {r["part"] for r in rows} == {3}
+    assert [r["start_in_part"] for r in rows] == np.cumsum([0, *(r["n_ids"] for r in rows[:-1])]).tolist()
+    assert [i for r in rows for i in r["doc_ids"]] == [*range(len(texts))]
+    got = np.concatenate([simple8b.unpack(np.frombuffer(r["words"], "<u8"), np.array(r["block_offsets"], np.int64), np.array(r["raw_at"], np.int64), r["n_ids"]) for r in rows])
+    library = simple8b.coder(path).coder
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert got.tolist() == [i for x in want for i in x] and [k for r in rows for k in r["n_tokens"]] == [*map(len, want)]
+
+
 @pytest.mark.parametrize("folder", ["sf_dir", "odd_dir"])
 def test_token_files(spark, folder, request):
     import public_tokenizers
