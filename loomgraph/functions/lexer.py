@@ -7,9 +7,10 @@ statement that is joined onto its first line is followed by empty lines.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +30,14 @@ TOKENS = {
 }
 TOKENS |= {name: TOKENS["typescript"] for name in ("tsx", "javascript", "jsx")}
 _COMPILED = {name: re.compile(pattern, re.DOTALL | re.MULTILINE) for name, pattern in TOKENS.items()}
+#: The characters that a token begins with.
+STARTS = {name: "[#\"']" if name == "python" else "[=<#\"']" if name == "ruby" else "[r/\"']" if name == "rust" else "[`/\"']" for name in TOKENS}
+_STARTS = {name: re.compile(pattern) for name, pattern in STARTS.items()}
 _MARKS = str.maketrans(dict.fromkeys("{}()[]#;", " "))
 _BRACKETS = re.compile(r"[()\[\]{}\n]")
+#: By whether braces are brackets: a bracket that closes on its line and holds none, and what tells that a text may have lines to join.
+_CLOSED = {False: r"[(\[][^()\[\]{}\n]*[)\]]", True: r"[(\[{][^()\[\]{}\n]*[)\]}]"}
+_OPEN = {False: r"[()\[\]]", True: r"[()\[\]{}]|\\\n"}
 #: A Go group of declarations, which has one a line.
 _GROUP = re.compile(r"^\s*(?:import|const|var|type)\s*$")
 
@@ -53,7 +60,15 @@ def masked(text: str, language: str) -> str:
             return head + "\n" + _blank(body)
         return '"' + _blank(found[1:-1]) + '"'
 
-    return _COMPILED[language].sub(cover, text)
+    starts, token, out, done = _STARTS[language], _COMPILED[language], [], 0
+    found = starts.search(text)
+    while found:
+        m = token.match(text, found.start())
+        if m:
+            out += (text[done : m.start()], cover(m))
+            done = m.end()
+        found = starts.search(text, m.end() if m else found.start() + 1)
+    return "".join((*out, text[done:])) if out else text
 
 
 def joined(text: str, language: str) -> str:
@@ -93,9 +108,32 @@ def joined(text: str, language: str) -> str:
     return "".join([*out, text[at:], "\n" * waiting])
 
 
+def _scanned(texts: pa.Array, language: str) -> pa.Array:
+    """Texts of a language, masked and joined. Most have few tokens and close their brackets on their lines, so only those that may change are scanned."""
+    if not len(texts):
+        return texts
+    texts = pc.replace_substring(texts, "\r\n", "\n")
+
+    def changed(where: pa.Array, change: Callable[[str, str], str]) -> pa.Array:
+        where = pc.fill_null(where, False)
+        return pc.replace_with_mask(texts, where, pa.array([change(t, language) for t in texts.filter(where).to_pylist()], texts.type))
+
+    texts = changed(pc.match_substring_regex(texts, STARTS[language]), masked)
+    braces, left = language == "python", texts
+    for _ in range(3):
+        left = pc.replace_substring_regex(left, _CLOSED[braces], "")
+    return changed(pc.match_substring_regex(left, _OPEN[braces]), joined)
+
+
 def _prepared(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, languages in rows:
-        yield pa.array([joined(masked(t.replace("\r\n", "\n"), x), x) if t and x in TOKENS else t for t, x in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], pa.string())
+        of, parts, places = languages.cast(pa.string()), [], []
+        for language in of.unique().to_pylist():
+            at = pc.indices_nonzero(pc.is_null(of) if language is None else pc.fill_null(pc.equal(of, language), False))
+            some = texts.take(at).cast(pa.string())
+            parts.append(_scanned(some, language) if language in TOKENS else some)
+            places.append(at)
+        yield pa.concat_arrays(parts).take(pc.sort_indices(pa.concat_arrays(places))) if parts else texts
 
 
 def prepared(content: Column, language: Column) -> Column:

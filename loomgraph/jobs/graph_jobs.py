@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import evaluation, frontends, graph, incremental, memory_search
-from loomgraph.sources.derived import written
 from loomgraph.sources.tables import table
 from loomgraph.streaming import watch
 from loomgraph.views import file_edges, relationships, symbols, with_ctes
@@ -361,8 +360,7 @@ def parse_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = written(frontends.lines_of(source_files(spark, sf_dir)), "lines")
-    r = frontends.parsed_relationships(lines, frontends.parsed_symbols(lines))
+    r = frontends.parsed_relationships(frontends.lines_of(source_files(spark, sf_dir)))
     return r.groupBy("file_path", "rel_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 

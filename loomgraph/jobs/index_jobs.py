@@ -17,7 +17,7 @@ FIRST_SCAN = "2001-01-01 00:00:00"
 
 def _parsed(spark: SparkSession, files: DataFrame) -> indexing.Index:
     _checkpoints(spark)
-    return _written(spark, indexing.parsed(files))
+    return indexing.parsed(files)
 
 
 def scanned(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
@@ -35,15 +35,14 @@ def _written(spark: SparkSession, index: indexing.Index) -> indexing.Index:
     return indexing.Index.read(spark, folder)
 
 
-def _by_file(index: indexing.Index, resolved: DataFrame) -> DataFrame:
-    at = index.symbols.select(F.col("id").alias("source_id"), "file_path")
-    return resolved.join(at, "source_id").groupBy("file_path", "rel_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
+def _by_file(index: indexing.Index) -> DataFrame:
+    return indexing.edges_of_files(index).groupBy("file_path", "rel_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
 def idx_full_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a whole index by file and type."""
     index = _parsed(spark, source_files(spark, sf_dir).select("file_path", F.lit(None).cast("timestamp_ntz").alias("mtime"), "content"))
-    return _by_file(index, indexing.edges(index))
+    return _by_file(index)
 
 
 def _second(spark: SparkSession, sf_dir: str) -> tuple[indexing.Index, DataFrame]:
@@ -55,7 +54,7 @@ def _second(spark: SparkSession, sf_dir: str) -> tuple[indexing.Index, DataFrame
 def idx_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges by file and type after a second scan, in which files are new, changed, the same or gone."""
     index, _ = _second(spark, sf_dir)
-    return _by_file(index, indexing.edges(index))
+    return _by_file(index)
 
 
 def idx_reindex_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,17 +174,29 @@ def candidates(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(degree, "target_name").join(named, "target_name")
 
 
-def resolved(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges of named targets, by type.
+#: So many keys are broadcast.
+FEW = 200_000
+
+
+def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose columns of the keys' names are among the keys; rows aren't shuffled for a few different keys, which are written."""
+    keys = keys.distinct().checkpoint()
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, keys.columns, "left_semi")
+
+
+def resolved(calls: DataFrame, symbols: DataFrame, files: bool = False) -> DataFrame:
+    """Edges of named targets, by type; on demand with the files of both ends: importer, a column of the calls, and imported.
 
     Calls and uses of types go to all candidates and share their confidence;
     references go to the only candidate at 0.8 of it, else nowhere; definitions
     and inheritance go to the first candidate by file and id.
     """
-    rows = candidates(calls, symbols)
-    fan = rows.where(F.col("rel_type").isin("calls", "uses_type")).select("source_id", "target_id", "rel_type", (F.col("confidence") / F.col("n_candidates")).alias("confidence"))
-    only = rows.where((F.col("rel_type") == "references") & (F.col("n_candidates") == 1)).select("source_id", "target_id", "rel_type", (F.col("confidence") * 0.8).alias("confidence"))
-    first = rows.where(F.col("rel_type").isin("defines", "inherits")).groupBy("source_id", "target_name", "rel_type").agg(F.min_by("target_id", F.struct("file_path", "target_id")).alias("target_id"), F.first("confidence").alias("confidence")).select("source_id", "target_id", "rel_type", "confidence")
+    rows, kept = candidates(calls, symbols), ("importer", F.col("file_path").alias("imported")) if files else ()
+    fan = rows.where(F.col("rel_type").isin("calls", "uses_type")).select("source_id", "target_id", "rel_type", (F.col("confidence") / F.col("n_candidates")).alias("confidence"), *kept)
+    only = rows.where((F.col("rel_type") == "references") & (F.col("n_candidates") == 1)).select("source_id", "target_id", "rel_type", (F.col("confidence") * 0.8).alias("confidence"), *kept)
+    best = F.min(F.struct("file_path", "target_id"))
+    first = rows.where(F.col("rel_type").isin("defines", "inherits")).groupBy("source_id", "target_name", "rel_type", *kept[:1]).agg(best.alias("best"), F.first("confidence").alias("confidence")).select("source_id", "best.target_id", "rel_type", "confidence", *kept[:1], "best.file_path")
+    first = first.withColumnRenamed("file_path", "imported") if files else first.drop("file_path")
     return fan.unionByName(only).unionByName(first)
 
 
@@ -218,7 +230,7 @@ def walked(path: Column) -> Column:
     return F.aggregate(F.split(path, "/"), F.lit(""), lambda a, x: F.when(x == "..", F.regexp_replace(a, "/?[^/]*$", "")).when(x.isin(".", ""), a).when(a == "", x).otherwise(F.concat(a, F.lit("/"), x)))
 
 
-def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+def resolved_imports(imports: DataFrame, files: DataFrame, few: bool = False) -> DataFrame:
     """The file that each import (importer, module, dots) means: importer, module, imported, how; none without a file.
 
     A module that begins with `./` or `../`, or has leading dots (counted apart,
@@ -228,20 +240,25 @@ def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     index name, that ends with the module's path, or with its path after the
     first segment; the shortest, then the first by name. All matches are
     equi-joins: each file is listed under its variants, folders and suffixes.
+    With `few`, the keys that are asked for are found first and listed alone;
+    that needs a checkpoint folder.
     """
     path = F.regexp_replace("module", r"\.", "/")
     local = F.when(F.col("dots") > 0, F.concat(F.expr("repeat('../', dots - 1)"), path)).when(F.col("module").rlike(r"^\.\.?/"), F.col("module"))
     rows = imports.withColumn("local_", local)
     stems = rows.where("local_ is not null").select("importer", "module", "dots", walked(F.concat(F.regexp_replace("importer", "[^/]*$", ""), "local_")).alias("stem"))
     tries = stems.select("*", F.posexplode(F.array(*map(F.lit, VARIANTS))).alias("k", "variant")).withColumn("file_path", F.concat("stem", "variant"))
-    best = tries.join(files.select("file_path").distinct(), "file_path").groupBy("importer", "module", "dots").agg(F.min_by("file_path", "k").alias("imported"))
+    listed = files.select("file_path").distinct()
+    best = tries.join(among(listed, tries.select("file_path")) if few else listed, "file_path").groupBy("importer", "module", "dots").agg(F.min_by("file_path", "k").alias("imported"))
     shortest = F.min(F.struct(F.length("file_path").alias("n"), "file_path"))
-    folders = files.where(F.col("file_path").contains("/")).select(F.regexp_extract("file_path", "^(.*)/[^/]*$", 1).alias("stem"), "file_path").groupBy("stem").agg(shortest.alias("first"))
+    folders = files.where(F.col("file_path").contains("/")).select(F.regexp_extract("file_path", "^(.*)/[^/]*$", 1).alias("stem"), "file_path")
+    folders = (among(folders, stems.select("stem")) if few else folders).groupBy("stem").agg(shortest.alias("first"))
     found = stems.join(best, ["importer", "module", "dots"], "left").join(folders, "stem", "left").select("importer", "module", F.coalesce("imported", "first.file_path").alias("imported")).where("imported is not null")
     named = files.select("file_path", F.regexp_replace(F.regexp_replace("file_path", r"\.[^./]*$", ""), "/(index|__init__|mod)$", "").alias("stem"))
     parts = F.split("stem", "/")
-    keyed = named.select("file_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("key")).groupBy("key").agg(shortest.alias("first"))
+    keyed = named.select("file_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("key"))
     far = rows.where("local_ is null").select("importer", "module", "dots", F.posexplode(F.array(path, F.regexp_replace(path, "^[^/]*/", ""))).alias("part", "key"))
+    keyed = (among(keyed, far.select("key")) if few else keyed).groupBy("key").agg(shortest.alias("first"))
     far = far.join(keyed, "key").groupBy("importer", "module", "dots").agg(F.min(F.struct("part", "first")).alias("hit")).select("importer", "module", F.col("hit.first.file_path").alias("imported"))
     return found.withColumn("how", F.lit("relative")).unionByName(far.withColumn("how", F.lit("absolute")))
 

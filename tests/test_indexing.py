@@ -2,11 +2,13 @@
 
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import lexer
 from loomgraph.functions import text as T
-from loomgraph.operators import graph, indexing
+from loomgraph.operators import frontends, graph, indexing
 
 SCHEMA = "file_path string, mtime timestamp_ntz, content string"
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
@@ -117,3 +119,50 @@ def test_ruby_constants_are_loaded_by_name(spark, tmp_path):
     paths = index.symbols.where("kind = 'file'").select("id", "file_path")
     e = indexing.edges(index).where("rel_type = 'imports' and confidence = 1.0").join(paths.toDF("source_id", "a"), "source_id").join(paths.toDF("target_id", "b"), "target_id")
     assert {(r.a, r.b) for r in e.collect()} == {(users, app), (users, "lib/api/signed.rb"), (users, "lib/timed.rb")}
+
+
+def test_facts_of_files_shuffle_them_only(spark):
+    """All that files tell is found with two shuffles by file: of the texts, and of what their lines state."""
+    rows = frontends.facts(frontends.lines_of(scan(spark, FIRST)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(file_path") == plan.count("Exchange hashpartitioning") == 2
+
+
+def test_lines_of_a_file_that_batches_cut(spark):
+    """A file's lines nest alike however few rows a batch holds."""
+    texts = {**FIRST, "app/long.py": "# a comment first\n" + "class A:\n    def f(self):\n        if x:\n            self.g()\n\n    def g(self):\n        pass\n" * 20, "b.rs": "impl A {\n  fn f() {\n  }\n}\n"}
+    rows = lambda: sorted(map(repr, frontends.lines_of(scan(spark, texts)).collect()))
+    want, key = rows(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for n in ("1", "7"):
+            spark.conf.set(key, n)
+            assert rows() == want
+    finally:
+        spark.conf.set(key, before)
+    assert len(want) == 15 + 120 + 4
+
+
+def test_edges_tell_the_file_of_their_source(first):
+    at = first.symbols.select(F.col("id").alias("source_id"), F.col("file_path").alias("at"))
+    rows = indexing.edges_of_files(first).join(at, "source_id", "left").collect()
+    assert len(rows) == 19 and all(r.at == r.file_path for r in rows)
+
+
+def test_members_of_a_type_within_the_file_and_elsewhere(spark, tmp_path):
+    """A typed variable's member is that of the same file at 1.0, else the only one at 0.8."""
+    texts = {"a.py": "class Here:\n    def go(self):\n        pass\n\ndef use(h: Here, f: Far, t: Two):\n    h.go()\n    f.go()\n    t.go()\n", "b.py": "class Far:\n    def go(self):\n        pass\n\nclass Two:\n    def go(self):\n        pass\n", "c.py": "class Two:\n    def go(self):\n        pass\n"}
+    index = written(spark, indexing.parsed(scan(spark, texts)), tmp_path, "typed")
+    assert {(r.type, r.member, r.rel_type) for r in index.typed.collect()} == {("Far", "go", "calls"), ("Two", "go", "calls")}
+    found = {e for e in named(index) if e[0] == "a.py:use" and e[2] == "calls"}
+    assert {("a.py:use", "a.py:go", "calls", 1.0)} <= found and ("a.py:use", "b.py:go", "calls", 0.8) in found and ("a.py:use", "c.py:go", "calls", 0.8) not in found
+
+
+def test_texts_are_scanned_alike_in_batches():
+    """Only texts with tokens or open brackets are scanned, each as it is alone."""
+    texts = ["def f(a,\n      b):\n    pass\r\n", "x = (1)\n", "# (\ny = [\n2]\n", None, "a \\\n b\n", "f({\n1: 2})\n", "s = 'a(b'\n", ""]
+    for language in ("python", "java", "ruby", "rust", "none", None):
+        want = [lexer.joined(lexer.masked(t.replace("\r\n", "\n"), language), language) if t and language in lexer.TOKENS else t for t in texts]
+        batch = (pa.array(texts, pa.string()), pa.array([language] * len(texts), pa.string()))
+        assert [x.to_pylist() for x in lexer._prepared(iter([batch]))] == [want]
+    assert lexer._scanned(pa.array(texts[:1]), "python").to_pylist() == ["def f(a,       b):\n\n    pass\n"]
