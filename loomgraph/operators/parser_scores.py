@@ -97,8 +97,8 @@ def _asked(expected: DataFrame, imports_by_file: bool) -> DataFrame:
     return expected.fillna("", EDGE).withColumn("by_file_", (F.col("kind") == "Imports") & F.lit(imports_by_file))
 
 
-def _edge_hits(asked: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """The asked edges (EDGE, by_file_) that are there, once each.
+def _edge_hits(asked: DataFrame, symbols: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of the asked edges (EDGE, by_file_) that are there, once each.
 
     Each source is looked up once, and its edges' targets are listed under
     their names and files; what is asked of it meets them by equal keys, so
@@ -106,10 +106,10 @@ def _edge_hits(asked: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFr
     aggregate, which runs at once, tells which kinds and file names are asked
     for; the asked sources are written.
     """
-    target = F.col("target")
+    target, kept = F.col("target"), list(dict.fromkeys([*keys, *EDGE, "by_file_"]))
     bare = ~F.col("by_file_") & ~target.contains("::") & ~target.contains("/")
     by_file = F.col("by_file_") | ~target.contains("::") & ~bare
-    asked = asked.select(*EDGE, "by_file_").where(F.col("kind").isin(*EDGE_KINDS)).withColumns({"rel_type": F.lower("kind"), "t_file": file_of(target)})
+    asked = asked.select(*kept).where(F.col("kind").isin(*EDGE_KINDS)).withColumns({"rel_type": F.lower("kind"), "t_file": file_of(target)})
     told = asked.agg(F.collect_set("rel_type").alias("types"), _lengths(F.when(by_file, F.col("t_file"))).alias("lengths"), F.count_if(by_file).alias("files")).first()
     sources = written(asked.select("source", "rel_type").distinct(), "sources")
     refs = sources.select("source").distinct().withColumns({"s_file": file_of(F.col("source")), "s_forms": name_forms(name_of(F.col("source"))), "s_named": F.col("source").contains("::")})
@@ -123,15 +123,17 @@ def _edge_hits(asked: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFr
         base = F.array(F.struct(F.lit(True).alias("of_file_"), F.concat(F.lit("/"), F.substring_index("t_path", "/", -1)).alias("key_")))
         listed = F.concat(listed, base)
     if told["lengths"]:
-        keys = _file_keys(F.col("t_path"), F.array(*map(F.lit, told["lengths"])))
-        endings = F.transform(F.slice(keys, 2, F.size(keys)), lambda k: F.struct(F.lit(True).alias("of_file_"), k.alias("key_")))
+        listed_keys = _file_keys(F.col("t_path"), F.array(*map(F.lit, told["lengths"])))
+        endings = F.transform(F.slice(listed_keys, 2, F.size(listed_keys)), lambda k: F.struct(F.lit(True).alias("of_file_"), k.alias("key_")))
         listed = F.when(F.col("t_path").isNull(), listed).otherwise(F.concat(listed, endings))
     by_hash = F.xxhash64("source", "rel_type", "of_file_", "key_").alias("hash_")
-    there = there.select("source", "rel_type", "t_path", F.inline(listed)).select("*", by_hash)
-    asked = asked.withColumns({"bare_": bare, "of_file_": by_file}).withColumn("name_", F.when(F.col("bare_"), target).otherwise(name_of(target)))
-    asked = asked.withColumn("key_", F.explode(F.when(F.col("of_file_"), F.array(_file_key(F.col("t_file")))).otherwise(name_forms(F.col("name_"))))).drop("name_").select("*", by_hash)
-    same = [asked[c] == there[c] for c in ("hash_", "source", "rel_type", "of_file_", "key_")]
-    return asked.join(there, [*same, asked["bare_"] | F.endswith(there["t_path"], asked["t_file"])], "left_semi").select(*EDGE, "by_file_").distinct()
+    there = there.select("source", "rel_type", "t_name", "t_path", F.inline(listed)).select(by_hash, F.col("source").alias("source_"), F.col("rel_type").alias("type_"), F.when(~F.col("of_file_"), F.col("t_name")).alias("t_name"), "t_path")
+    asked = asked.withColumns({"of_file_": by_file, "name_": F.when(bare, target).otherwise(name_of(target))})
+    asked = asked.withColumn("key_", F.explode(F.when(F.col("of_file_"), F.array(_file_key(F.col("t_file")))).otherwise(name_forms(F.col("name_"))))).select(by_hash, *kept)
+    # Rows meet by the hash of their keys; what it stands for is compared from the columns that they have anyway.
+    named = F.array_contains(name_forms(F.when(bare, target).otherwise(name_of(target))), F.col("t_name"))
+    fits = [asked["hash_"] == there["hash_"], F.col("source") == F.col("source_"), F.lower("kind") == F.col("type_"), bare | F.endswith("t_path", file_of(target)), F.when(by_file, F.col("t_name").isNull()).otherwise(named)]
+    return asked.join(there, fits, "left_semi").select(*keys).distinct()
 
 
 def relationship_results(expected: DataFrame, symbols: DataFrame, edges: DataFrame, imports_by_file: bool = True) -> DataFrame:
@@ -142,19 +144,37 @@ def relationship_results(expected: DataFrame, symbols: DataFrame, edges: DataFra
     whose target isn't a symbol of the tables aren't seen. The expected edges
     are read several times, so write them first if they cost much.
     """
-    asked = _asked(expected, imports_by_file)
-    return _with_found(asked, _edge_hits(asked, symbols, edges), [*EDGE, "by_file_"]).drop("by_file_")
+    asked, keys = _asked(expected, imports_by_file), [*EDGE, "by_file_"]
+    return _with_found(asked, _edge_hits(asked, symbols, edges, keys), keys).drop("by_file_")
 
 
 def relationship_and_case_results(expected: DataFrame, cases: DataFrame, symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The results of expected edges and those of edge cases, whose imports count by name too; both are looked up at once, and what is found is written."""
     asked = [_asked(expected, True), _asked(cases, False)]
     keys = [*EDGE, "by_file_"]
-    hits = written(_edge_hits(asked[0].select(*keys).unionByName(asked[1].select(*keys)).distinct(), symbols, edges), "edge-hits")
+    every = written(asked[0].select(*keys).unionByName(asked[1].select(*keys)).distinct(), "asked-edges")
+    hits = written(_edge_hits(every, symbols, edges, keys), "edge-hits")
     r, c = (_with_found(rows, hits, keys).drop("by_file_") for rows in asked)
     return r, c
 
 
+def counted_results(expected: DataFrame, cases: DataFrame, symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many expected edges (with a tier) and edge cases, whose imports count by name too, are found: kind, tier, found and n; found and n.
+
+    Equal edges of both are written once with their counts and a number, and
+    looked up at once; what is found is told by the numbers.
+    """
+    keys, must, n = [*EDGE, "by_file_"], F.col("tier") == "must_find", F.count_if
+    both = _asked(expected, True).select(*keys, "tier", F.lit(True).alias("edge_")).unionByName(_asked(cases, False).select(*keys, F.lit(None).cast("string").alias("tier"), F.lit(False).alias("edge_")))
+    every = both.groupBy(*keys).agg(n(F.col("edge_") & must).alias("must_"), n(F.col("edge_") & ~F.coalesce(must, F.lit(False))).alias("other_"), n(~F.col("edge_")).alias("cases_"))
+    every = written(every.withColumn("edge_id_", F.monotonically_increasing_id()), "asked-edges")
+    hits = _edge_hits(every, symbols, edges, ["edge_id_"]).withColumn("found", F.lit(True))
+    told = every.select("edge_id_", "kind", "must_", "other_", "cases_").join(hits, "edge_id_", "left").groupBy("kind", F.coalesce("found", F.lit(False)).alias("found"))
+    told = written(told.agg(*(F.sum(c).alias(c) for c in ("must_", "other_", "cases_"))), "edges-found")
+    tiers = F.array(F.struct(F.lit("must_find").alias("tier"), F.col("must_").alias("n")), F.struct(F.lit(None).cast("string").alias("tier"), F.col("other_").alias("n")))
+    return told.select("kind", "found", F.inline(tiers)), told.select("found", F.col("cases_").alias("n"))
+
+
 def arrows(cases: DataFrame, column: str) -> DataFrame:
     """Adds kind, source and target of edges written as `source --Kind--> target`; empty where the text isn't one."""
     part = lambda i: F.trim(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"(?s)^(.*?) --(.*?)-->(.*)$", i))
@@ -169,13 +189,14 @@ def impact_recall(expected: DataFrame, actual: DataFrame) -> DataFrame:
     name). An entry's name fits whole or by what follows its last `::`, else
     its last `.`.
     """
-    asked = expected.withColumns({"file": file_of(F.col("entry")), "name_ref": name_of(F.col("entry"))}).withColumn("file_key_", _file_key(F.col("file")))
-    bare = F.when(F.col("name_ref").contains("::"), F.substring_index("name_ref", "::", -1)).otherwise(F.substring_index("name_ref", ".", -1))
-    asked = asked.withColumn("bare_", bare)
-    there = _listed(actual.select("query_id", "file_path", "name"), asked, "file")
-    named = asked["name_ref"].isNull() | (there["name"] == asked["name_ref"]) | (there["name"] == asked["bare_"])
-    fits = [asked["query_id"] == there["query_id"], asked["file_key_"] == there["file_key_"], F.endswith(there["file_path"], asked["file"]), named]
-    rows = asked.join(there, fits, "left").groupBy(asked["query_id"], asked["file_key_"], asked["entry"]).agg(F.count(there["query_id"]).alias("hits_"))
+    asked = expected.select("query_id", "entry", _file_key(file_of(F.col("entry"))).alias("file_key_"))
+    there = _listed(actual.select(F.col("query_id").alias("of_query_"), "file_path", "name"), expected.select(file_of(F.col("entry")).alias("file")), "file").withColumnsRenamed({"file_key_": "of_key_", "name": "name_"})
+    # What an entry tells is taken from it where it is compared, so only entries are shuffled.
+    entry, name = F.col("entry"), F.col("name_")
+    ref = name_of(entry)
+    bare = F.when(ref.contains("::"), F.substring_index(ref, "::", -1)).otherwise(F.substring_index(ref, ".", -1))
+    fits = [F.col("query_id") == F.col("of_query_"), F.col("file_key_") == F.col("of_key_"), F.endswith("file_path", file_of(entry)), ref.isNull() | (name == ref) | (name == bare)]
+    rows = asked.join(there, fits, "left").groupBy("query_id", "file_key_", "entry").agg(F.count("of_query_").alias("hits_"))
     out = rows.groupBy("query_id").agg(F.count("entry").alias("expected"), F.count_if(F.col("hits_") > 0).alias("hits"))
     return out.withColumn("recall", F.when(F.col("expected") == 0, 1.0).otherwise(F.try_divide("hits", "expected")))
 
@@ -184,20 +205,24 @@ def scores(symbols: DataFrame, relationships: DataFrame, impacts: DataFrame, cas
     """One row: the parts in percent, their weighted total, its letter, and counts.
 
     Takes results with `found` (relationships with kind and tier as well),
-    impacts with `recall`, edge cases with `passed`. A part without any case
-    counts 100; false positives aren't measured, so both precisions are 100.
+    impacts with `recall`, edge cases with `passed`; relationships and cases may
+    have a column n, the number of equal results that a row stands for. A part
+    without any case counts 100; false positives aren't measured, so both
+    precisions are 100.
     """
     percent = lambda hit, n: F.coalesce(F.try_divide(100.0 * hit, n), F.lit(100.0))
     n = F.count(F.lit(1))
     s = symbols.agg(percent(F.count_if("found"), n).alias("symbol_recall"), F.count_if("found").alias("symbols_found"), n.alias("symbols_total"))
     imports = F.col("kind") == "Imports"
-    r = relationships.agg(
-        percent(F.count_if("found"), n).alias("relationship_recall"),
-        percent(F.count_if(F.col("found") & imports), F.count_if(imports)).alias("import_resolution"),
-        F.count_if(~F.col("found") & (F.col("tier") == "must_find")).alias("must_find_missed"),
+    counted = lambda df: df if "n" in df.columns else df.withColumn("n", F.lit(1).cast("long"))
+    some = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0).cast("long"))
+    r = counted(relationships).agg(
+        percent(some(F.col("found")), some(F.lit(True))).alias("relationship_recall"),
+        percent(some(F.col("found") & imports), some(imports)).alias("import_resolution"),
+        some(~F.col("found") & (F.col("tier") == "must_find")).alias("must_find_missed"),
     )
     i = impacts.agg(F.coalesce(100.0 * F.avg("recall"), F.lit(100.0)).alias("impact_score"), F.count_if(F.col("recall") >= 1).alias("impact_queries_correct"))
-    e = cases.agg(percent(F.count_if("passed"), n).alias("edge_case_score"))
+    e = counted(cases).agg(percent(some(F.col("passed")), some(F.lit(True))).alias("edge_case_score"))
     row = s.crossJoin(r).crossJoin(i).crossJoin(e).withColumns({"symbol_precision": F.lit(100.0), "relationship_precision": F.lit(100.0)})  # one row each
     row = row.withColumn("total", sum((F.col(part) * weight for part, weight in WEIGHTS.items()), F.lit(0.0)))
     return row.withColumn("grade", grade(F.col("total")))

@@ -38,13 +38,14 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _path(key) -> F.Column:
+def path_of(key) -> F.Column:
+    """The file of the symbols of a key."""
     return F.concat(F.array(*map(F.lit, FOLDERS))[(key % len(FOLDERS)).cast("int")], F.lit("/m"), F.floor(key / 40).cast("string"), F.lit(".py"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols: id, name, kind, file_path, project, start_line, end_line."""
-    one = lambda t, prefix, key, name, kind, project: table(spark, sf_dir, t).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), F.col(name).alias("name") if name else F.concat(F.lit("order_"), F.col(key).cast("string")).alias("name"), F.lit(kind).alias("kind"), _path(F.col(key).cast("long")).alias("file_path"), F.lit(project).alias("project"), (F.col(key) % 50 * 10 + 1).cast("int").alias("start_line"), (F.col(key) % 50 * 10 + 9).cast("int").alias("end_line"))
+    one = lambda t, prefix, key, name, kind, project: table(spark, sf_dir, t).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), F.col(name).alias("name") if name else F.concat(F.lit("order_"), F.col(key).cast("string")).alias("name"), F.lit(kind).alias("kind"), path_of(F.col(key).cast("long")).alias("file_path"), F.lit(project).alias("project"), (F.col(key) % 50 * 10 + 1).cast("int").alias("start_line"), (F.col(key) % 50 * 10 + 9).cast("int").alias("end_line"))
     parts = [("region", "R", "r_regionkey", "r_name", "class", "core"), ("nation", "N", "n_nationkey", "n_name", "class", "core"), ("customer", "C", "c_custkey", "c_name", "function", "crm"), ("orders", "O", "o_orderkey", None, "method", "crm"), ("part", "P", "p_partkey", "p_name", "field", "stock"), ("supplier", "S", "s_suppkey", "s_name", "function", "stock")]
     out = one(*parts[0])
     for p in parts[1:]:

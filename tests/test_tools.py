@@ -219,3 +219,20 @@ def test_numbered_and_ranked(spark, monkeypatch):
         assert sorted((r.k, r.stop) for r in graph.numbered(df, ["k"], 1000, 5).collect()) == [(k, k + 5) for k in range(1000)]
     paths = spark.createDataFrame([(2, 0.9, "a"), (1, 0.1, "b"), (1, 0.5, "c")], "depth int, confidence double, path string")
     assert [r.path for r in graph.ranked_paths(paths).collect()] == ["c", "b", "a"]
+
+
+def test_counted_results_score_like_rows(spark):
+    """Equal edges are looked up once, and count as often as they are asked for, by tier."""
+    index = spark.createDataFrame([("a", "run", "function", "src/main.py"), ("b", "go", "function", "lib/x.py")], "id string, name string, kind string, file_path string")
+    edges = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "imports")], "source_id string, target_id string, rel_type string")
+    rows = [("Calls", "main.py::run", "x.py::go", "must_find"), ("Calls", "main.py::run", "x.py::go", "should_find"), ("Calls", "main.py::run", "x.py::go", None), ("Calls", "main.py::run", "no", "must_find"), ("Calls", "main.py::run", "no", "must_find"), ("Imports", "main.py", "x.py::no", None), ("Imports", None, "x.py", "must_find"), ("Odd", "main.py", "x.py", "must_find")]
+    asked = spark.createDataFrame(rows, "kind string, source string, target string, tier string")
+    cases = asked.drop("tier").distinct()
+    s, i = spark.createDataFrame([(True,)], "found boolean"), spark.createDataFrame([(1.0,)], "recall double")
+    score = lambda both: parser_scores.scores(s, both[0], i, both[1].withColumnRenamed("found", "passed")).first()
+    counted = parser_scores.counted_results(asked, cases, index, edges)
+    assert counted[0].agg({"n": "sum"}).first()[0] == len(rows) and counted[1].agg({"n": "sum"}).first()[0] == 5
+    got = score(counted)
+    assert got == score(parser_scores.relationship_and_case_results(asked, cases, index, edges))
+    assert (got.relationship_recall, got.must_find_missed) == (62.5, 3)
+    assert score(parser_scores.counted_results(asked.limit(0), cases.limit(0), index, edges)).total == pytest.approx(100)
